@@ -12,6 +12,19 @@ from .storage import table
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), coverage=0.6)
+    return found.select("doc_id", "item_id", F.round("coverage", 6).alias("coverage"), F.size("tiles").alias("n_tiles"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import remove_repeats, removed_words
 
@@ -19,6 +32,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", removed_words().alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokenbin import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -34,6 +53,18 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.ingest(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score
+
+    return score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import Target, mix
+
+    return mix(table(spark, sf_dir, "documents"), Target(repeats=2.0))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urlrules import judge
 
@@ -41,9 +72,13 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_token_output": op4_token_output,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op9_source_mixing": op9_source_mixing,
     "op10_url_filters": op10_url_filters,
 }
 
