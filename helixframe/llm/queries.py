@@ -12,6 +12,12 @@ from .storage import table
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents")).withColumn("containment", F.round("containment", 6))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -44,6 +50,12 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), reach=3, width=3, seed=42)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score
+
+    return score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -72,10 +84,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scans": op1_license_scans,
     "op2_decontamination": op2_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_token_output": op4_token_output,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_source_mixing": op9_source_mixing,

@@ -221,3 +221,19 @@ def near_duplicates(docs: DataFrame, reach: int = 3, width: int = 3, seed: int =
     named = grouped.join(least, "root").select("fp", "component_id", "rows")
     found = lookup(prints, written(named, "named"), "fp", "rows")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, reach: int = 3, width: int = 3, seed: int = 42) -> DataFrame:
+    """Of each component the row with its smallest doc_id, all columns kept.
+
+    Ties (rows of equal id) leave one row.  A row without an id stays only if no row of its component has one.
+    """
+    found = written(near_duplicates(docs, reach, width, seed), "components")
+    kept = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept")
+    key = F.struct(F.col("doc_id").alias("id"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))
+    stays = kept.select(key.alias("key"))
+    out = rows.join(stays, "key", "left_semi")
+    if kept.where("rows > 1").limit(1).count():
+        out = out.dropDuplicates(["key"])
+    return out.select("row.*")
