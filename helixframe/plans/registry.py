@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import layout
+from . import codec, layout, strands
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (layout,):
+for _module in (layout, strands, codec):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
