@@ -19,8 +19,8 @@ has hardly seen counts alike in both.
 Counts come from every labelled training row.  Tasks count distinct (word, word,
 class) triples and send them packed to ranges of the second word, where all
 counts of that word meet.  Words are 20-bit hashes and a fixed table keeps the
-most frequent bigram of each of its 2**21 slots (others use the backoff), so the
-model that is broadcast has the same 32 MB at every input size.
+most frequent bigram of each of its 2**20 slots (others use the backoff), so the
+model that is broadcast has the same 20 MB at every input size.
 
 A text without words (null, empty, signs only) has likelihood ratio 0.  Rows
 without a label (none, or null) are scored and not learned from; of several
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .storage import shuffle_partitions
 
-WORD_BITS, TABLE_BITS = 20, 21
+WORD_BITS, TABLE_BITS = 20, 20
 DISCOUNT, WORD_BACKOFF, PAIR_BACKOFF = 0.75, 30.0, 200.0
 WORDS, SLOTS = 1 << WORD_BITS, 1 << TABLE_BITS
 #: Rows, at most, on which the two numbers of the calibration are fitted; they are taken evenly by hash.
@@ -184,7 +184,7 @@ def summed(sent: DataFrame, bits: int, toxic_share: float) -> DataFrame:
         best = best[both[best] > 1]
         held = np.zeros((3, slots), dtype=np.uint32)
         held[:, slot[best]] = tags[best], n[0, best], n[1, best]
-        return pa.table({"range": pa.array([part], pa.int32()), "words": pa.array([words.astype(np.float64).tobytes()], pa.binary()), "held": pa.array([held.tobytes()], pa.binary()), "n0": pa.array([n[0].sum()]), "n1": pa.array([n[1].sum()])})
+        return pa.table({"range": pa.array([part], pa.int32()), "words": pa.array([words.astype(np.float32).tobytes()], pa.binary()), "held": pa.array([held.tobytes()], pa.binary()), "n0": pa.array([n[0].sum()]), "n1": pa.array([n[1].sum()])})
 
     return sent.groupBy("range").applyInArrow(run, "range int, words binary, held binary, n0 double, n1 double")
 
@@ -192,9 +192,9 @@ def summed(sent: DataFrame, bits: int, toxic_share: float) -> DataFrame:
 def assemble(parts: list, bits: int) -> ToxicModel:
     """The model from the parts of all ranges (absent ones are empty)."""
     width, slots = WORDS >> bits, SLOTS >> bits
-    words, held, n = np.zeros((4, WORDS)), np.zeros((3, SLOTS), dtype=np.uint32), np.zeros((2, 1))
+    words, held, n = np.zeros((4, WORDS), dtype=np.float32), np.zeros((3, SLOTS), dtype=np.uint32), np.zeros((2, 1))
     for p in parts:
-        words[:, p["range"] * width : (p["range"] + 1) * width] = np.frombuffer(p["words"]).reshape(4, -1)
+        words[:, p["range"] * width : (p["range"] + 1) * width] = np.frombuffer(p["words"], dtype=np.float32).reshape(4, -1)
         held[:, p["range"] * slots : (p["range"] + 1) * slots] = np.frombuffer(p["held"], dtype=np.uint32).reshape(3, -1)
         n += [[p["n0"]], [p["n1"]]]
     seen, expected = words[:2], words[2:]
@@ -263,7 +263,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     spark = docs.sparkSession
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     free = ~held_out(F.col("doc_id"))
-    train = docs.select("doc_id", "text").where(free).join(known.where(free), "doc_id").withColumn("spare", F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0)
+    # a shuffled join at every size: labels grow with the documents, so they aren't broadcast
+    train = docs.select("doc_id", "text").where(free).join(known.where(free).hint("merge"), "doc_id").withColumn("spare", F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0)
     bits = min(WORD_BITS // 2, max(5, (shuffle_partitions(spark) - 1).bit_length()))
     n, toxic = known.where(free).agg(F.count(F.lit(1)), F.sum("toxic")).first()
     parts = summed(counted(train.where("not spare"), bits), bits, (toxic or 0) / max(n, 1))
@@ -271,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     spare = train.where("spare")
     if n > 8 * CALIBRATION_ROWS:
         spare = spare.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < int((1 << 20) * 8 * CALIBRATION_ROWS / n))
-    rows = with_ratios(spare, model, False, ["toxic"]).toPandas()
+    rows = with_ratios(spare, model, False, ["toxic"]).toArrow()
     model.scale, model.shift = calibrate(rows["value"].to_numpy(), rows["toxic"].to_numpy().astype(float))
     return model
 
