@@ -48,8 +48,9 @@ def norm(v: Column) -> Column:
 
 def normalised(v: Column) -> Column:
     """Divided by its norm; a zero vector stays."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    scaled = lambda w, n: F.when(n > 0, F.transform(w, lambda x: x / n)).otherwise(w)
+    # one-element arrays hold the vector and its norm, so that neither is computed again
+    return F.transform(F.array(v), lambda w: F.transform(F.array(norm(w)), lambda n: scaled(w, n))[0])[0]
 
 
 def dot(a: Column, b: Column) -> Column:

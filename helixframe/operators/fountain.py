@@ -5,11 +5,17 @@ a subset of them that s alone determines, so a strand needs only s as its
 header.  Degrees and subsets come from a keyed hash.  Decoding peels: a droplet
 of one unknown segment gives it, and goes out of all others.  The number of
 segments is stored with a file, not guessed.
+
+A payload's segments come in generations of at most 64, each with droplets of its
+own, so that work and the share of droplets needed don't grow with the payload.
+How many droplets a generation needs to peel depends on its number of segments
+alone, and at least that many are made.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +36,7 @@ class Preset:
 
 #: The presets; ``erasure`` is the erasure layer's own mix of degrees.
 PRESETS = {"default": Preset(), "dense": Preset(20, 1.2), "resilient": Preset(12, 2.0), "erasure": Preset(16, 1.5, (0.35, 0.30, 0.20, 0.15))}
-HEADER = 32
+HEADER, GENERATION, FIRST = 32, 64, 42
 
 
 def segments(payload: bytes, size: int) -> np.ndarray:
@@ -40,8 +46,9 @@ def segments(payload: bytes, size: int) -> np.ndarray:
     return np.frombuffer(framed, dtype=np.uint8).reshape(-1, size)
 
 
+@lru_cache(maxsize=1 << 16)
 def subset(seed: int, k: int, preset: Preset) -> np.ndarray:
-    """The segments of a droplet, in order."""
+    """The segments of a droplet of a generation of k, in order."""
     key = np.array([seed], dtype=np.uint64)
     at = int(np.searchsorted(np.cumsum(preset.degrees), draw(key, 11)[0], side="right"))
     degree = (1, 2, 3, max(1, int(np.sqrt(k))), max(1, k // 2))[at]
@@ -49,17 +56,37 @@ def subset(seed: int, k: int, preset: Preset) -> np.ndarray:
     return np.sort(np.argsort(draw(key, 12, np.arange(k, dtype=np.uint64)), kind="stable")[:degree])
 
 
-def droplets(payload: bytes, preset: Preset, seed: int = 42) -> list[tuple[int, bytes]]:
-    """(seed, bytes) of as many droplets as the preset asks for, and enough more that they peel."""
-    parts = segments(payload, preset.segment)
-    k = len(parts)
+@lru_cache(maxsize=1024)
+def needed(k: int, preset: Preset) -> int:
+    """How many droplets are made of k segments: as the preset says, and enough to peel."""
     n = max(int(np.ceil(preset.redundancy * k)), k + 1)
-    made = [(s, np.bitwise_xor.reduce(parts[subset(s, k, preset)], axis=0).tobytes()) for s in range(seed, seed + n)]
-    s = seed + n
-    while peel(made, k, preset) is None:
-        made.append((s, np.bitwise_xor.reduce(parts[subset(s, k, preset)], axis=0).tobytes()))
-        s += 1
-    return made
+    while peel([(s, bytes(1)) for s in range(FIRST, FIRST + n)], k, preset) is None:
+        n += 1
+    return n
+
+
+def droplets(payload: bytes, preset: Preset) -> list[tuple[int, bytes]]:
+    """(number, bytes) of all droplets; the high half of a number is the generation."""
+    parts, out = segments(payload, preset.segment), []
+    for g in range(0, len(parts), GENERATION):
+        some = parts[g : g + GENERATION]
+        for s in range(FIRST, FIRST + needed(len(some), preset)):
+            out.append(((g // GENERATION << 32) + s, np.bitwise_xor.reduce(some[subset(s, len(some), preset)], axis=0).tobytes()))
+    return out
+
+
+def gathered(received: list[tuple[int, bytes]], k: int, preset: Preset) -> np.ndarray | None:
+    """All k segments of a payload, or None if some generation is stuck."""
+    by: dict[int, list[tuple[int, bytes]]] = {}
+    for s, body in received:
+        by.setdefault(s >> 32, []).append((s & 0xFFFFFFFF, body))
+    parts = []
+    for g in range(-(-k // GENERATION)):
+        part = peel(by.get(g, []), min(GENERATION, k - g * GENERATION), preset)
+        if part is None:
+            return None
+        parts.append(part)
+    return np.concatenate(parts)
 
 
 def peel(received: list[tuple[int, bytes]], k: int, preset: Preset) -> np.ndarray | None:
@@ -126,7 +153,7 @@ def decode(strands: DataFrame, preset: str = "default") -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         got = [d for d in map(from_strand, group["seq"].to_pylist()) if d and len(d[1]) == how.segment]
-        parts = peel(got, group["segments"][0].as_py(), how)
+        parts = gathered(got, group["segments"][0].as_py(), how)
         payload, status = None, "stuck"
         if parts is not None:
             whole = parts.tobytes()

@@ -105,11 +105,14 @@ def sequenced(strands: DataFrame, synthesis: str, sequencing: str, coverage: int
 def recover(reads: DataFrame, shape: DataFrame, codec: str = "ternary", parity: int = PARITY) -> DataFrame:
     """Payloads from reads: consensus of each strand, parity over each stripe, codec, and the hash as the judge.
 
+    A parity strand is four times as long as a data strand; where its reads would
+    have to be aligned it counts as missing, which parity makes up for.
+
     ``reads`` has file_id, stripe, source_index, is_parity, seq; ``shape`` has
     file_id, data_strands, content_hash.  Gives file_id, payload, status (``ok``,
     or what failed first), mended symbols and mean confidence.
     """
-    voted = consensus.by_group(reads, "file_id", "stripe", "source_index", "is_parity")
+    voted = consensus.by_group(reads, "file_id", "stripe", "source_index", "is_parity", unaligned="is_parity")
     width = max(1, reedsolomon.BLOCK - parity)
     spine = shape.select("file_id", F.col("data_strands").alias("_all"), F.col("content_hash"))
     in_stripe = F.least(F.lit(width), F.col("_all") - F.col("stripe") * width).cast("int")

@@ -46,13 +46,16 @@ def gf_matmul(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def lagrange(known: tuple[int, ...], wanted: tuple[int, ...]) -> np.ndarray:
-    """The matrix that takes values at ``known`` to values at ``wanted``."""
-    x, y = np.array(known, dtype=np.uint8), np.array(wanted, dtype=np.uint8)
-    out = np.ones((len(y), len(x)), dtype=np.uint8)
-    for m in range(len(x)):
-        for i in range(len(x)):
-            if i != m:
-                out[:, i] = MUL[out[:, i], MUL[y ^ x[m], INV[x[i] ^ x[m]]]]
+    """The matrix that takes values at ``known`` to values at ``wanted``; products are sums of logarithms."""
+    x, y = np.array(known), np.array(wanted)
+    between = LOG[x[:, None] ^ x[None, :]]
+    np.fill_diagonal(between, 0)
+    to_known = y[:, None] ^ x[None, :]
+    logs = LOG[to_known].sum(axis=1, keepdims=True) - LOG[to_known] - between.sum(axis=1)[None, :]
+    out = EXP[logs % 255].astype(np.uint8)
+    same = to_known == 0
+    hit = same.any(axis=1)
+    out[hit] = same[hit]
     return out
 
 
@@ -144,7 +147,9 @@ def decode_stripe(data: list[str | None], parity: list[str | None], lengths: lis
     values = np.concatenate([symbols(data, width, False), symbols(parity, width, True)])
     x = np.array(have, dtype=np.uint8)
     base, rest = tuple(have[:k]), tuple(have[k:])
-    out = values[:k].copy() if base == tuple(range(k)) else gf_matmul(lagrange(base, tuple(range(k))), values[list(base)])
+    out, lost = values[:k].copy(), tuple(i for i in range(k) if not data[i])
+    if lost:
+        out[list(lost)] = gf_matmul(lagrange(base, lost), values[list(base)])
     mended = sum(1 for s in data if not s) * width
     if rest:
         wrong = (gf_matmul(lagrange(base, rest), values[list(base)]) != values[list(rest)]).any(axis=0)

@@ -98,7 +98,11 @@ def search(files: DataFrame, raw: str, k: int = 10, after_ranking: bool = False)
     the smaller file_id.
     """
     query = Query.parse(raw)
-    score = F.lit(1.0) if not query.text else F.round(bits.cosine(file_vector(F.col("filename"), F.col("size"), F.col("content_hash")), query_vector(F.lit(query.text))), 9)
+    score = F.lit(1.0)
+    if query.text:
+        asked = files.sparkSession.range(1).select(query_vector(F.lit(query.text))).first()[0]
+        like = lambda v: bits.cosine(v, F.array(*map(F.lit, asked)))
+        score = F.round(F.transform(F.array(file_vector(F.col("filename"), F.col("size"), F.col("content_hash"))), like)[0], 9)
     best = (F.desc("score"), F.asc("file_id"))
     if after_ranking and query.text:
         return files.withColumn("score", score).orderBy(*best).limit(2 * k).where(query.condition()).orderBy(*best).limit(k)

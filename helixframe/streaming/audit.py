@@ -8,23 +8,25 @@ from pyspark.sql import functions as F
 
 def windowed(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events, users and value by window and type."""
-    grouped = events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type")
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    grouped = timed.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type")
     counted = grouped.agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 4).alias("value"))
     return counted.select(F.col("window.start").alias("window_start"), "event_type", "events", "value")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions of a user that end after ``gap`` without events."""
-    counted = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("events"))
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    counted = timed.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("events"))
     return counted.select("user_id", F.col("session_window.start").alias("session_start"), "events")
 
 
 def distinct(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Each event once."""
-    return events.withWatermark("ts", late).dropDuplicates(["event_id", "ts"])
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicates(["event_id", "ts"])
 
 
-def drained(spark: SparkSession, path: str, schema, build, out: str, files_at_once: int = 1) -> DataFrame:
+def drained(spark: SparkSession, path: str, schema, build, out: str, files_at_once: int = 1000) -> DataFrame:
     """Runs ``build`` over all files of ``path`` as a stream and returns what it wrote.
 
     In update mode, a group's newest row wins; checkpoint and results go under ``out``.
