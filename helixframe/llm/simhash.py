@@ -232,7 +232,7 @@ def without_near_duplicates(docs: DataFrame, reach: int = 3, width: int = 3, see
     kept = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept")
     key = F.struct(F.col("doc_id").alias("id"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))
-    stays = kept.select(key.alias("key"))
+    stays = kept.select(key.alias("key")).hint("merge")  # as many as the documents: never broadcast
     out = rows.join(stays, "key", "left_semi")
     if kept.where("rows > 1").limit(1).count():
         out = out.dropDuplicates(["key"])
