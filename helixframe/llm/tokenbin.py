@@ -17,6 +17,8 @@ import json
 import os
 import re
 import zlib
+from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,17 @@ from pyspark.sql import functions as F
 from .storage import scratch_path, shuffle_partitions
 
 #: Entries kept by a worker: ids of whole words, and of words without their trailing signs.
-WORD_CACHE, CORE_CACHE = 250_000, 400_000
+WORD_CACHE, CORE_CACHE = 400_000, 600_000
 SIGNS = b'.,;:!?*#%&$@)"]'
 PLAIN = re.compile(rb"[a-z]+")
+#: Bytes as the characters that byte-level pieces are written in: printable Latin-1 as itself, the rest from U+0100 on.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+AS_CHAR = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SELF)}
+
+
+def bounded(cache: dict, size: int) -> dict:
+    """The cache, or the newer half of it when it has grown beyond ``size``."""
+    return cache if len(cache) <= size else dict(islice(cache.items(), len(cache) // 2, None))
 
 
 class Encoder:
@@ -62,46 +72,62 @@ class Encoder:
     def _direct(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, missing: list[bytes]) -> None:
-        """Adds words to the caches; those that aren't plain a-z are encoded together."""
-        parts, odd = {}, {}
-        for w in missing:
-            core = w.rstrip(SIGNS)
-            if core and core[-1:].isalnum():
-                parts[w] = (core, w[len(core) :])
-            else:
-                parts[w] = (w, b"")
-            for x in parts[w]:
-                if x and x not in self.cores:
-                    if PLAIN.fullmatch(x):
-                        self.cores[x] = np.array([t.id for t in self.model.tokenize(x.decode())], dtype="<u4").tobytes()
-                    else:
-                        odd[x] = None
-        pieces = list(odd)
+    def _by_model(self, core: bytes) -> bytes | None:
+        """Ids of a lower-case word of Latin letters, which the file's normalisers and splits leave as it is; else None."""
+        if PLAIN.fullmatch(core):
+            text = core.decode()
+        else:
+            text = core.decode()
+            if max(text) >= "\u0250" or not text.isalpha() or text != text.lower():
+                return None
+            text = "".join([AS_CHAR[b] for b in core])
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def _together(self, pieces: list[bytes]) -> None:
+        """Adds pieces that aren't plain words, encoded 512 at a time and told apart by where their tokens stand."""
         for i in range(0, len(pieces), 512):
             some = [x.decode() for x in pieces[i : i + 512]]
             starts = np.cumsum([0] + [len(x) + 1 for x in some])
             got = self.whole.encode("\n".join(some), add_special_tokens=False)
             ids = np.array(got.ids, dtype="<u4")
-            at = np.searchsorted(np.array([a for a, _ in got.offsets], dtype=np.int64), starts)
+            at = np.searchsorted(np.array([a for a, _ in got.offsets], dtype=np.int64), starts).tolist()
             for k, x in enumerate(pieces[i : i + 512]):
                 self.cores[x] = ids[at[k] : at[k + 1]].tobytes()
-        for w, (core, tail) in parts.items():
-            self.words[w] = self.cores[core] + (self.cores[tail] if tail else b"")
+
+    def _learn(self, missing: set[bytes]) -> None:
+        """Adds words to the caches: a word's ids are those of the word without its trailing signs, and theirs."""
+        words, cores, later = self.words, self.cores, []
+        for w in missing:
+            core = w.rstrip(SIGNS)
+            tail = w[len(core) :] if core and core[-1:].isalnum() else b""
+            if not tail:
+                core = w
+            ids = cores.get(core)
+            if ids is None:
+                ids = cores[core] = self._by_model(core)
+            end = cores.get(tail) if tail else b""
+            if ids is None or end is None:
+                later.append((w, core, tail))
+            else:
+                words[w] = ids + end
+        if later:
+            self._together([x for x in {x for _, *pair in later for x in pair if x} if cores.get(x) is None])
+            for w, core, tail in later:
+                words[w] = cores[core] + (cores[tail] if tail else b"")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if not self.by_word:
             return [self._direct(t) if t else b"" for t in texts]
-        if len(self.words) > WORD_CACHE:
-            self.words.clear()
-        if len(self.cores) > CORE_CACHE:
-            self.cores.clear()
         split = [None if t and "<|" in t else (t or "").encode().lower().split() for t in texts]  # "<|": may be a special token
-        missing = {w for s in split if s for w in s if w not in self.words}
+        self.words, self.cores = bounded(self.words, WORD_CACHE), bounded(self.cores, CORE_CACHE)
+        distinct = set().union(*(s for s in split if s))
+        missing = distinct.difference(self.words)
         if missing:
-            self._learn(list(missing))
-        return [self._direct(t) if s is None else b"".join([self.words[w] for w in s]) for t, s in zip(texts, split, strict=True)]
+            self._learn(missing)
+        known = self.words
+        ids = {w: known[w] for w in distinct}.__getitem__  # small enough to stay in the processor's cache
+        return [self._direct(t) if s is None else b"".join(map(ids, s)) for t, s in zip(texts, split, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
