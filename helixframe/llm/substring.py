@@ -27,7 +27,7 @@ SPANS = "array<struct<start:int,end:int>>"
 
 
 def block_windows(text: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-    """Window hashes of a block, the word at which each starts, the first word of each row, and its texts."""
+    """Window hashes of a block, the word at which each starts, the first word of each row, and the texts' bytes and bounds."""
     data, offsets = K.text_buffers(text)
     found, starts, firsts, seen = [], [], [np.zeros(1, dtype=np.int64)], 0
     for i, j in K.chunks(data, offsets, 4 * K.PIECE):
@@ -81,8 +81,8 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
         # a block that holds a window twice is the only sender of it, or else a match anyway
         repeated |= np.concatenate(twice)
         masks = np.split(repeated, np.cumsum([len(k) for k in sent])[:-1])
-        hit = [i for i, m in enumerate(masks) if m.any()]
-        return pa.table({"block": group["block"].take(hit), "range": group["range"].take(hit), "mask": pa.array([np.packbits(masks[i]).tobytes() for i in hit], pa.binary())})
+        hit = pa.array([i for i, m in enumerate(masks) if m.any()], pa.int64())
+        return pa.table({"block": group["block"].take(hit), "range": group["range"].take(hit), "mask": pa.array([np.packbits(masks[i]).tobytes() for i in hit.to_pylist()], pa.binary())})
 
     def cut(group: pa.Table, answers: pa.Table) -> pa.Table:
         hashes, starts, first, (data, offsets) = block_windows(group["text"], width)
