@@ -52,7 +52,7 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def command_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    return agent.plans(c).select("conv_id", "turn", "tool", "filename", F.col("redundancy").cast("long").alias("redundancy"), "codec")
+    return agent.plans(c).select("conv_id", "turn", "tool", "filename", F.coalesce("redundancy", F.lit(-1)).cast("long").alias("redundancy"), "codec")
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,5 +131,5 @@ ORACLE_SQL["command_plans"] = rf"""WITH t AS (SELECT *, {_TOOL} AS tool,
 SELECT conv_id, turn, tool,
   coalesce(nullif(regexp_extract(text, '"([^"]*)"', 1), ''), nullif(regexp_extract(text, '''([^'']*)''', 1), ''), nullif(regexp_extract(text, '(?i) as\s+([^\s]*\.[^\s]*)', 1), ''),
     nullif(regexp_extract(text, '(?i)(?:^|\s)[^\w.\-\s]*([^\s]*\.(?:{_END}))[^\w.\-\s]*(?:\s|$)', 1), '')) AS filename,
-  CASE WHEN tool = 'store' THEN coalesce(CAST(r AS BIGINT), 2) ELSE CAST(r AS BIGINT) END AS redundancy,
+  CASE WHEN tool = 'store' THEN coalesce(CAST(r AS BIGINT), 2) ELSE coalesce(CAST(r AS BIGINT), -1) END AS redundancy,
   CASE WHEN c IN ('ternary', 'ternary-rotating-cipher') THEN 'ternary-rotating-cipher' WHEN c IN ('yin-yang', 'yinyang', 'yin_yang') THEN 'yin-yang' ELSE c END AS codec FROM t"""

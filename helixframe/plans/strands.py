@@ -34,7 +34,7 @@ def gc_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def violation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = constraints.violation_rows(_part_strands(spark, sf_dir), constraints.LIMITS["sequence-literal"], ("p_partkey",))
-    return found.groupBy("p_partkey", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("position").cast("long").alias("first_position"))
+    return found.groupBy("p_partkey", "kind").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.min("position"), F.lit(-1)).cast("long").alias("first_position"))
 
 
 def strand_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ v AS (
   UNION ALL SELECT p_partkey, 'palindrome', min(i) - 1 FROM (SELECT *, unnest(range(1, length(seq) - w + 2)) AS i FROM (SELECT *, unnest(range({_SEQ.palindrome}, length(seq) + 1, 2)) AS w FROM s))
     WHERE substr(seq, i, w) = {sql.revcomp("substr(seq, i, w)")} GROUP BY p_partkey, w
 )
-SELECT p_partkey, kind, count(*) AS n, CAST(min(position) AS BIGINT) AS first_position FROM v GROUP BY p_partkey, kind""",
+SELECT p_partkey, kind, count(*) AS n, CAST(coalesce(min(position), -1) AS BIGINT) AS first_position FROM v GROUP BY p_partkey, kind""",
     "strand_validity": f"{_PARTS} SELECT p_partkey, {', '.join(f'{_valid(x)} AS "{k}"' for k, x in _LIMITS.items())} FROM s",
     "local_gc_windows": f"""{_PARTS}, w AS (SELECT p_partkey, list_transform(range(1, length(seq) - 18), lambda i: {sql.gc("substr(seq, i, 20)")}) AS g FROM s)
 SELECT p_partkey, CAST(len(g) AS BIGINT) AS windows, round(list_min(g), 6) AS least, round(list_max(g), 6) AS most FROM w""",
