@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
 HEADLINE = (
-    "strand_layout", "strand_stats", "gc_histogram", "ternary_encode", "codec_round_trip", "fountain_round_trip", "erasure_recovery", "content_ids", "pool_stat", "version_history",
+    "strand_layout", "strand_stats", "gc_histogram", "ternary_encode", "yinyang_encode", "codec_comparison", "content_ids", "pool_stat", "version_history",
     "capacity_check", "primer_identify", "block_round_trip", "audit_counts", "audit_tail", "command_plans", "search_filtered", "nearest_vectors", "event_sessions",
 )
 
@@ -32,6 +33,7 @@ def main() -> None:
         start = time.time()
         registry.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - start, 3)
+        print(name, took[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf.rstrip("/").rsplit("sf", 1)[-1]}))
 
 

@@ -15,15 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where they come in fewer files than there are cores; else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for each part: its name's bytes."""
-    rows = table(spark, sf_dir, "part")
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"))
     return rows.select(F.col("p_partkey").cast("long").alias("file_id"), F.col("p_name").alias("filename"), F.encode("p_name", "UTF-8").alias("payload"), F.col("p_partkey").cast("long").alias("created_at"))
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for each document: its text's bytes, named ``source/doc_id.lang``."""
-    rows = table(spark, sf_dir, "documents")
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     name = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), F.coalesce("lang", F.lit("")))
     return rows.select(F.col("doc_id").alias("file_id"), name.alias("filename"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload"), F.col("doc_id").alias("created_at"), "source")
 
