@@ -177,16 +177,40 @@ def add_parity(strands: DataFrame, parity: int) -> DataFrame:
     width = max(1, BLOCK - parity)
     placed = strands.select("file_id", stripe(F.col("strand_index"), parity).alias("stripe"), (F.col("strand_index") % width).cast("int").alias("source_index"), F.lit(False).alias("is_parity"), "seq")
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("source_index")
-        made = encode_stripe(group["seq"].to_pylist(), parity)
-        first = group.slice(0, 1)
-        n = len(made)
-        return pa.table({"file_id": first["file_id"].combine_chunks().take(pa.array([0] * n)), "stripe": pa.array(first["stripe"].to_pylist() * n, pa.int32()), "source_index": pa.array([len(group) + i for i in range(n)], pa.int32()), "is_parity": pa.array([True] * n), "seq": made})
+    def run(batches):
+        key, seqs, done, id_type = None, [], [], None
+
+        def close():
+            made = encode_stripe(seqs, parity)
+            done.extend((*key, len(seqs) + i, True, m) for i, m in enumerate(made))
+
+        def out():
+            columns = list(zip(*done, strict=True))
+            done.clear()
+            types = (id_type, pa.int32(), pa.int32(), pa.bool_(), pa.string())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["file_id", "stripe", "source_index", "is_parity", "seq"])
+
+        for batch in batches:
+            id_type = batch["file_id"].type
+            for f, s, seq in zip(batch["file_id"].to_pylist(), batch["stripe"].to_pylist(), batch["seq"].to_pylist(), strict=True):
+                if (f, s) != key and seqs:
+                    close()
+                    seqs = []
+                    if len(done) >= 2048:
+                        yield out()
+                key = (f, s)
+                seqs.append(seq)
+        if seqs:
+            close()
+        if done:
+            yield out()
 
     if not parity:
         return placed
-    made = placed.groupBy("file_id", "stripe").applyInArrow(run, f"file_id {kind}, stripe int, source_index int, is_parity boolean, seq string")
+    # stripes are many and small: they are dealt and sorted, and a task walks through its own
+    n = int(strands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.repartition(n, "file_id", "stripe").sortWithinPartitions("file_id", "stripe", "source_index")
+    made = dealt.select("file_id", "stripe", "seq").mapInArrow(run, f"file_id {kind}, stripe int, source_index int, is_parity boolean, seq string")
     return placed.unionByName(made)
 
 
