@@ -16,11 +16,15 @@ discount D, class share f, continuation count u and expected one e:
 The shared factor cancels in the difference.  An expression that either class
 has hardly seen counts alike in both.
 
-Counts come from every labelled training row.  Tasks count distinct (word, word,
-class) triples and send them packed to ranges of the second word, where all
-counts of that word meet.  Words are 20-bit hashes and a fixed table keeps the
-most frequent bigram of each of its 2**20 slots (others use the backoff), so the
-model that is broadcast has the same 20 MB at every input size.
+Counts come from the labelled training rows that don't set the calibration (see
+``fit``).  Tasks count distinct (word, word, class) triples and send them packed
+to ranges of the second word, where all counts of that word meet.  Words and
+bigrams are 62-bit hashes or wider, no count is dropped, and the model is a
+written table that grows with the corpus.  Texts are scored where the model
+lies: tasks send the distinct bigrams of a chunk of rows, with the rows that
+hold them, to the word's range (dealt to slices, so that a hot word isn't one
+task), and the ranges' sums are added up by the hash of the text.  Sums are of
+fixed point, so they are equal in any order.
 
 A text without words (null, empty, signs only) has likelihood ratio 0.  Rows
 without a label (none, or null) are scored and not learned from; of several
@@ -37,183 +41,248 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .storage import shuffle_partitions
+from .storage import written
 
-WORD_BITS, TABLE_BITS = 20, 20
 DISCOUNT, WORD_BACKOFF, PAIR_BACKOFF = 0.75, 30.0, 200.0
-WORDS, SLOTS = 1 << WORD_BITS, 1 << TABLE_BITS
 #: Rows, at most, on which the two numbers of the calibration are fitted; they are taken evenly by hash.
 CALIBRATION_ROWS = 20_000
+#: Bounds: bytes of text for a range of counts, of the model for a range of scoring, of text for a scoring task; words and rows of a chunk; bigrams in a row of the model.
+COUNT_BYTES, MODEL_BYTES, SCORE_BYTES, CHUNK_WORDS, CHUNK_ROWS, PART = 32 << 20, 32 << 20, 32 << 20, 1 << 20, 50_000, 1 << 18
+#: Ranges are the leading bits of the second word; at least this many.
+LEAST_BITS = 5
+#: Log-likelihood ratios are added up in steps of 2**-24.
+STEPS = 1 << 24
+KIND_BITS = 2
 
 
 def text_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """20-bit ids of lower-cased words, and each row's first word."""
+    """64-bit ids of lower-cased words, and each row's first word."""
     words = K.find_words(data, offsets, K.ALNUM)
-    return (K.hash_words(words, lower=True) >> np.uint64(64 - WORD_BITS)), words.first
+    return K.hash_words(words, lower=True), words.first
 
 
-def pairs(first: np.ndarray) -> np.ndarray:
-    """Positions whose next word is of the same row."""
-    return np.flatnonzero(K.window_starts(first, 2))
+def bigrams(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash, its last bits free, of each word with the one before it; and which words are the first of their row (and so have no bigram)."""
+    start = np.zeros(len(ids) + 1, dtype=bool)
+    start[first] = True
+    before = np.concatenate([ids[:1], ids[:-1]])
+    before[start[:-1]] = 0
+    return K.mix(before * np.uint64(K.WORD_BASE) + ids) & ~np.uint64((1 << KIND_BITS) - 1), start[:-1]
 
 
-def pack(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted keys as differences, both as byte planes, which compress well."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return steps.view(np.uint8).reshape(-1, 8).T.tobytes(), counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+def pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, as byte planes, which compress well."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def unpack(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(keys, dtype=np.uint8).reshape(8, -1).T.copy()
-    tallies = np.frombuffer(counts, dtype=np.uint8).reshape(4, -1).T.copy()
-    return np.cumsum(planes.view(np.uint64).ravel(), dtype=np.uint64), tallies.view(np.uint32).ravel().astype(np.int64)
+def unpack(keys: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(keys, dtype=np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, with summed counts."""
-    if not keys:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    all_keys, all_counts = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(all_keys, kind="stable")
-    all_keys = all_keys[order]
-    start = np.flatnonzero(np.diff(all_keys, prepend=all_keys[:1] - np.uint64(1)))
-    return all_keys[start], np.add.reduceat(all_counts[order], start) if len(start) else all_counts
-
-
-def fields(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A key's leading word, other word and class."""
-    mask = np.uint64(WORDS - 1)
-    return ((keys >> np.uint64(WORD_BITS + 1)) & mask).astype(np.int64), ((keys >> np.uint64(1)) & mask).astype(np.int64), (keys & np.uint64(1)).astype(np.int64)
-
+def planes(x: np.ndarray) -> bytes:
+    return x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
 
-def key(lead: np.ndarray, other: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    return (lead << np.uint64(WORD_BITS + 1)) | (other << np.uint64(1)) | kind
 
+def from_planes(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, dtype=np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64)
 
-def table_slot(lead: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slot (led by the second word's top bits, so that ranges don't share any) and 32-bit tag of a bigram."""
-    h = K.mix((lead << np.uint64(WORD_BITS)) | other)
-    high = lead >> np.uint64(WORD_BITS // 2)
-    low = TABLE_BITS - WORD_BITS // 2
-    return ((high << np.uint64(low)) | (h >> np.uint64(64 - low))).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
+def merge(keys: list[np.ndarray], words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with their words and summed counts."""
+    if not keys:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    keys, words, counts = np.concatenate(keys), np.concatenate(words), np.concatenate(counts)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1]]))
+    return keys[start], words[order[start]], np.add.reduceat(counts[order], start) if len(start) else counts
 
-@dataclass
-class ToxicModel:
-    """The broadcast tables, and the calibration score = logistic(scale * ratio + shift)."""
-
-    word: np.ndarray  # (2, WORDS): a class's share of the shared model
-    tag: np.ndarray  # (SLOTS,)
-    count: np.ndarray  # (2, SLOTS): counts of the bigram in each class
-    share: np.ndarray  # (2, 1): of the training words in each class
-    scale: float = 1.0
-    shift: float = 0.0
 
-    def ratios(self, column: pa.Array) -> np.ndarray:
-        """Per row: log-likelihood per word as toxic, less that as ordinary."""
-        data, offsets = K.text_buffers(column)
-        out = np.zeros(len(offsets) - 1)
-        for i, j in K.chunks(data, offsets):
-            ids, first = text_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            if not len(ids):
-                continue
-            p = self.word[:, ids].astype(np.float64)
-            at = pairs(first)
-            if len(at):
-                slot, tag = table_slot(ids[at + 1], ids[at])
-                known = self.tag[slot] == tag
-                at, n = at[known] + 1, self.count[:, slot[known]].astype(np.float64)
-                seen = np.maximum(n - DISCOUNT, 0) + (DISCOUNT * (n > 0) + PAIR_BACKOFF) * p[:, at]
-                p[:, at] = seen / (self.share * n.sum(axis=0) + PAIR_BACKOFF)
-            sums = np.concatenate([[0.0], np.cumsum(np.log(p[1] / p[0]))])
-            out[i:j] = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(np.diff(first), 1)
-        return out
-
-    def scores(self, ratios: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * ratios + self.shift, -30, 30)))
+def by_range(words: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order (stable) by the words' leading bits, and where each range begins in it."""
+    where = (words >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(where, kind="stable")
+    return order, np.searchsorted(where[order], np.arange((1 << bits) + 1))
 
 
 def counted(train: DataFrame, bits: int) -> DataFrame:
-    """Packed (range, keys, counts) of the bigrams in ``train`` (text, toxic), led by the second word."""
+    """Packed (range, keys, words, counts) of the bigrams in ``train`` (text, kind); the kind is in a key's last bits."""
 
-    def sent(keys, counts):
-        cut = np.searchsorted(keys >> np.uint64(2 * WORD_BITS + 1 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    def sent(keys, words, counts):
+        order, cut = by_range(words, bits)
         full = np.flatnonzero(np.diff(cut))
-        parts = [pack(keys[cut[r] : cut[r + 1]], counts[cut[r] : cut[r + 1]]) for r in full]
-        return pa.record_batch({"range": pa.array(full, pa.int32()), "keys": pa.array([p[0] for p in parts], pa.binary()), "counts": pa.array([p[1] for p in parts], pa.binary())})
+        at = [order[cut[r] : cut[r + 1]] for r in full]
+        return pa.record_batch({
+            "range": pa.array(full, pa.int32()), "keys": pa.array([pack(keys[i]) for i in at], pa.binary()),
+            "words": pa.array([words[i].tobytes() for i in at], pa.binary()), "counts": pa.array([planes(counts[i]) for i in at], pa.binary()),
+        })
 
     def run(batches):
-        held_keys, held_counts, size = [], [], 0
+        held, size = ([], [], []), 0
         for batch in batches:
             data, offsets = K.text_buffers(batch["text"])
-            toxic = batch["toxic"].to_numpy(zero_copy_only=False).astype(np.uint64)
+            kind = batch["kind"].to_numpy(zero_copy_only=False).astype(np.uint64)
             for i, j in K.chunks(data, offsets):
                 ids, first = text_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                at = pairs(first)
-                row = np.repeat(np.arange(i, j), np.diff(first))[at]
-                found, n = np.unique(key(ids[at + 1], ids[at], toxic[row]), return_counts=True)
-                held_keys.append(found)
-                held_counts.append(n)
+                g, start = bigrams(ids, first)
+                row = np.repeat(np.arange(i, j), np.diff(first))
+                found, at, n = np.unique((g | kind[row])[~start], return_index=True, return_counts=True)
+                for x, y in zip(held, (found, ids[~start][at], n), strict=True):
+                    x.append(y)
                 size += len(found)
-            if size > 1 << 22:
-                yield sent(*merge(held_keys, held_counts))
-                held_keys, held_counts, size = [], [], 0
-        yield sent(*merge(held_keys, held_counts))
+                if size > 1 << 21:
+                    yield sent(*merge(*held))
+                    held, size = ([], [], []), 0
+        yield sent(*merge(*held))
 
-    return train.select("text", "toxic").mapInArrow(run, "range int, keys binary, counts binary")
+    return train.select("text", "kind").mapInArrow(run, "range int, keys binary, words binary, counts binary")
 
 
-def summed(sent: DataFrame, bits: int, toxic_share: float) -> DataFrame:
-    """A row for each range with its part of the model, of a fixed size: continuation counts, expected ones, and bigrams."""
-    width, slots, share = WORDS >> bits, SLOTS >> bits, np.array([1 - toxic_share, toxic_share])
+PART_TYPE = "range int, words binary, stats binary, keys binary, word binary, n binary, pairs long, n0 double, n1 double, u0 double, u1 double, e0 double, e1 double"
+
+
+def summed(sent: DataFrame, toxic_share: float) -> DataFrame:
+    """The model: rows of at most PART bigrams, with the continuation counts (and expected ones) of their words; each range's first row has its totals."""
+    share = np.array([1 - toxic_share, toxic_share])
 
     def run(group: pa.Table) -> pa.Table:
-        part = group["range"][0].as_py()
-        both = [unpack(k, c) for k, c in zip(group["keys"].to_pylist(), group["counts"].to_pylist(), strict=True)]
-        keys, counts = merge([x[0] for x in both], [x[1] for x in both])
-        kind = (keys & np.uint64(1)).astype(np.int64)
-        pair, where = np.unique(keys >> np.uint64(1), return_inverse=True)
+        columns = [[f(x) for x in group[c].to_pylist()] for c, f in (("keys", unpack), ("words", lambda w: np.frombuffer(w, dtype=np.uint64)), ("counts", from_planes))]
+        keys, words, counts = merge(*columns)
+        kind = (keys & np.uint64((1 << KIND_BITS) - 1)).astype(np.int64)
+        pair, at, where = np.unique(keys >> np.uint64(KIND_BITS), return_index=True, return_inverse=True)
         n = np.stack([np.bincount(where[kind == c], weights=counts[kind == c], minlength=len(pair)) for c in (0, 1)])
-        lead, other = pair >> np.uint64(WORD_BITS), pair & np.uint64(WORDS - 1)
-        at, both = lead.astype(np.int64) - part * width, n.sum(axis=0)
-        words = np.stack([np.bincount(at, weights=w, minlength=width) for w in (n[0] > 0, n[1] > 0, 1 - (1 - share[0]) ** both, 1 - (1 - share[1]) ** both)])
-        slot, tags = table_slot(lead, other)
-        slot -= part * slots
-        order = np.lexsort((pair, -both, slot))
-        best = order[np.flatnonzero(np.diff(slot[order], prepend=-1))]
-        best = best[both[best] > 1]
-        held = np.zeros((3, slots), dtype=np.uint32)
-        held[:, slot[best]] = tags[best], n[0, best], n[1, best]
-        return pa.table({"range": pa.array([part], pa.int32()), "words": pa.array([words.astype(np.float32).tobytes()], pa.binary()), "held": pa.array([held.tobytes()], pa.binary()), "n0": pa.array([n[0].sum()]), "n1": pa.array([n[1].sum()])})
-
-    return sent.groupBy("range").applyInArrow(run, "range int, words binary, held binary, n0 double, n1 double")
-
-
-def assemble(parts: list, bits: int) -> ToxicModel:
-    """The model from the parts of all ranges (absent ones are empty)."""
-    width, slots = WORDS >> bits, SLOTS >> bits
-    words, held, n = np.zeros((4, WORDS), dtype=np.float32), np.zeros((3, SLOTS), dtype=np.uint32), np.zeros((2, 1))
-    for p in parts:
-        words[:, p["range"] * width : (p["range"] + 1) * width] = np.frombuffer(p["words"], dtype=np.float32).reshape(4, -1)
-        held[:, p["range"] * slots : (p["range"] + 1) * slots] = np.frombuffer(p["held"], dtype=np.uint32).reshape(3, -1)
-        n += [[p["n0"]], [p["n1"]]]
-    seen, expected = words[:2], words[2:]
-    expected = expected * (seen.sum(axis=1, keepdims=True) + 1) / (expected.sum(axis=1, keepdims=True) + 1)
-    word = (seen + WORD_BACKOFF) / (expected + WORD_BACKOFF)
-    return ToxicModel(word.astype(np.float32), held[0], held[1:], n / max(n.sum(), 1))
-
-
-def with_ratios(docs: DataFrame, model: ToxicModel, score: bool, keep: list[str]) -> DataFrame:
-    """``keep`` columns and ``ratio`` (or ``score``) of each row's text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+        names, word = np.unique(words[at], return_inverse=True)
+        both = n.sum(axis=0)
+        stats = np.stack([np.bincount(word, weights=x, minlength=len(names)) for x in (n[0] > 0, n[1] > 0, 1 - (1 - share[0]) ** both, 1 - (1 - share[1]) ** both)])
+        rows = []
+        for i in range(0, len(pair), PART):
+            used, local = np.unique(word[i : i + PART], return_inverse=True)
+            totals = [*n.sum(axis=1), *stats.sum(axis=1)] if not i else [0.0] * 6
+            rows.append([
+                group["range"][0].as_py(), names[used].tobytes(), stats[:, used].tobytes(), pair[i : i + PART].tobytes(), local.astype(np.uint32).tobytes(),
+                n[:, i : i + PART].astype(np.uint32).tobytes(), len(local), *map(float, totals),
+            ])
+        names_ = ["range", "words", "stats", "keys", "word", "n", "pairs", "n0", "n1", "u0", "u1", "e0", "e1"]
+        kinds = [pa.int32(), *[pa.binary()] * 5, pa.int64(), *[pa.float64()] * 6]
+        return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(zip(names_, kinds, strict=True))})
+
+    return sent.groupBy("range").applyInArrow(run, PART_TYPE)
+
+
+@dataclass
+class ToxicModel:
+    """The written counts with their totals, and the calibration score = logistic(scale * ratio + shift)."""
+
+    parts: DataFrame
+    bits: int
+    pairs: int
+    n: np.ndarray  # (2,): bigrams counted in each class
+    seen: np.ndarray  # (2,): continuation counts of all words
+    expected: np.ndarray
+    scale: float = 1.0
+    shift: float = 0.0
+
+    @classmethod
+    def of(cls, parts: DataFrame, bits: int) -> ToxicModel:
+        t = parts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pairs", "n0", "n1", "u0", "u1", "e0", "e1"))).first()
+        return cls(parts, bits, t["pairs"], np.array([t["n0"], t["n1"]]), np.array([t["u0"], t["u1"]]), np.array([t["e0"], t["e1"]]))
+
+    def scores(self, ratio: Column) -> Column:
+        return F.lit(1.0) / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), ratio * self.scale + self.shift))))
+
+
+def requests(texts: DataFrame, bits: int, slices: int) -> DataFrame:
+    """For each chunk of rows of ``texts`` (h, text) and range: its distinct bigrams, their words, and the rows they are in."""
+
+    def sent(ids, gs, rows, hs):
+        h, row = np.concatenate(hs), np.concatenate(rows)
+        ids, g = np.concatenate(ids), np.concatenate(gs)
+        to = int(np.bitwise_xor.reduce(h) % np.uint64(slices))
+        order, cut = by_range(ids, bits)
+        out = {c: [] for c in ("range", "slice", "keys", "word", "words", "times", "row", "h")}
+        for r in np.flatnonzero(np.diff(cut)):
+            at = order[cut[r] : cut[r + 1]]
+            at = at[np.argsort(g[at], kind="stable")]
+            key, begin, n = np.unique(g[at], return_index=True, return_counts=True)
+            words, word = np.unique(ids[at[begin]], return_inverse=True)
+            who, local = np.unique(row[at], return_inverse=True)
+            piece = (int(r), to, pack(key), planes(word), pack(words), planes(n), local.astype(np.uint16).tobytes(), h[who].tobytes())
+            for c, x in zip(out, piece, strict=True):
+                out[c].append(x)
+        return pa.record_batch([pa.array(v, pa.int32() if c in ("range", "slice") else pa.binary()) for c, v in out.items()], names=list(out))
 
     def run(batches):
+        held, size, rows = ([], [], [], []), 0, 0
         for batch in batches:
-            r = shared.value.ratios(batch["text"])
-            yield pa.record_batch([*(batch[c] for c in keep), pa.array(shared.value.scores(r) if score else r)], names=[*keep, "value"])
-
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{kinds}, value double")
+            data, offsets = K.text_buffers(batch["text"])
+            h = batch["h"].to_numpy().view(np.uint64)
+            for i, j in K.chunks(data, offsets):
+                for a in range(i, j, CHUNK_ROWS):
+                    b = min(j, a + CHUNK_ROWS)
+                    if rows and (rows + b - a > CHUNK_ROWS or size > CHUNK_WORDS):
+                        yield sent(*held)
+                        held, size, rows = ([], [], [], []), 0, 0
+                    ids, first = text_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    for x, y in zip(held, (ids, bigrams(ids, first)[0], np.repeat(np.arange(rows, rows + b - a), np.diff(first)), h[a:b]), strict=True):
+                        x.append(y)
+                    size, rows = size + len(ids), rows + b - a
+        if rows:
+            yield sent(*held)
+
+    return texts.select("h", "text").mapInArrow(run, "range int, slice int, keys binary, word binary, words binary, times binary, row binary, h binary")
+
+
+def ratios(texts: DataFrame, model: ToxicModel, size: int) -> DataFrame:
+    """(h, ratio) for each hash ``h`` of ``texts`` (h, text; of ``size`` bytes) whose text has words: log-likelihood per word as toxic, less that as ordinary."""
+    bits = min(model.bits, max(LEAST_BITS, (24 * model.pairs // MODEL_BYTES).bit_length()))
+    slices = max(1, -(-size // (SCORE_BYTES << bits)))
+    share, balance = model.n / max(model.n.sum(), 1), (model.seen + 1) / (model.expected + 1)
+
+    def learned(parts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words and bigrams, sorted, with their log-likelihood ratios."""
+        all_words, word_ratio, keys, pair_ratio = [np.zeros(0, dtype=np.uint64)], [np.zeros(0)], [np.zeros(0, dtype=np.uint64)], [np.zeros(0)]
+        for words, stats, key, word, n in zip(*(parts[c].to_pylist() for c in ("words", "stats", "keys", "word", "n")), strict=True):
+            stats, n = np.frombuffer(stats).reshape(4, -1), np.frombuffer(n, dtype=np.uint32).reshape(2, -1).astype(np.float64)
+            p = (stats[:2] + WORD_BACKOFF) / (stats[2:] * balance[:, None] + WORD_BACKOFF)
+            all_words.append(np.frombuffer(words, dtype=np.uint64))
+            word_ratio.append(np.log(p[1] / p[0]))
+            q = np.maximum(n - DISCOUNT, 0) + (DISCOUNT * (n > 0) + PAIR_BACKOFF) * p[:, np.frombuffer(word, dtype=np.uint32)]
+            q /= share[:, None] * n.sum(axis=0) + PAIR_BACKOFF
+            keys.append(np.frombuffer(key, dtype=np.uint64))
+            pair_ratio.append(np.log(q[1] / q[0]))
+        out = []
+        for k, r in ((all_words, word_ratio), (keys, pair_ratio)):
+            k, at = np.unique(np.concatenate(k), return_index=True)
+            out += [k, np.rint(np.concatenate(r)[at] * STEPS).astype(np.int64)]
+        return tuple(out)
+
+    def found(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(known):
+            return np.zeros(len(asked), dtype=np.int64), np.zeros(len(asked), dtype=bool)
+        at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        return at, known[at] == asked
+
+    def run(asked: pa.Table, parts: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+        if asked.num_rows:
+            words, word_ratio, pairs, pair_ratio = learned(parts)
+            for key, word, names, times, row, h in zip(*(asked[c] for c in ("keys", "word", "words", "times", "row", "h")), strict=True):
+                at, known = found(words, unpack(names.as_py()))
+                value = np.where(known, word_ratio[at] if len(words) else 0, 0)[from_planes(word.as_py())]
+                at, known = found(pairs, unpack(key.as_py()) >> np.uint64(KIND_BITS))
+                value[known] = pair_ratio[at[known]]
+                value = np.repeat(value, from_planes(times.as_py()))
+                row, h = np.frombuffer(row.as_py(), dtype=np.uint16), np.frombuffer(h.as_py(), dtype=np.uint64)
+                order = np.argsort(row, kind="stable")
+                begin = np.searchsorted(row[order], np.arange(len(h)))
+                out.append((h, np.add.reduceat(value[order], begin), np.diff(np.append(begin, len(row)))))
+        h, s, n = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"h": pa.array(h.view(np.int64)), "s": pa.array(s, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    # every slice of a range meets the range's whole model
+    parts = model.parts.select(F.shiftright("range", model.bits - bits).alias("range"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "words", "stats", "keys", "word", "n")
+    sums = requests(texts, bits, slices).groupBy("range", "slice").cogroup(parts.groupBy("range", "slice")).applyInArrow(run, "h long, s long, n long")
+    return sums.groupBy("h").agg((F.sum("s") / F.lit(float(STEPS)) / F.sum("n")).alias("ratio"))
 
 
 #: Shares of rows labelled toxic whatever their text that the calibration tries.
@@ -255,37 +324,51 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
-    """Learns from the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) covers and that aren't held out.
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+
+
+def hashed(docs: DataFrame, *keep: str) -> DataFrame:
+    """Columns ``keep``, and the text with its hash, by which its score is found."""
+    return docs.select(*keep, F.xxhash64("text").alias("h"), "text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, size: int) -> ToxicModel:
+    """Learns from the rows of ``docs`` (doc_id, text; of ``size`` bytes) that ``labels`` (doc_id, toxic) covers and that aren't held out.
 
     An eighth of them, by hash of the id, sets the calibration and isn't counted.
     """
-    spark = docs.sparkSession
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     free = ~held_out(F.col("doc_id"))
     # a shuffled join at every size: labels grow with the documents, so they aren't broadcast
     train = docs.select("doc_id", "text").where(free).join(known.where(free).hint("merge"), "doc_id").withColumn("spare", F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0)
-    bits = min(WORD_BITS // 2, max(5, (shuffle_partitions(spark) - 1).bit_length()))
+    bits = min(16, max(LEAST_BITS, (size // COUNT_BYTES).bit_length()))
     n, toxic = known.where(free).agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    parts = summed(counted(train.where("not spare"), bits), bits, (toxic or 0) / max(n, 1))
-    model = assemble(parts.collect(), bits)  # 2**bits parts, of fixed total size
+    counts = counted(train.where("not spare").withColumn("kind", F.col("toxic")), bits)
+    model = ToxicModel.of(written(summed(counts, (toxic or 0) / max(n, 1)), "toxic-model"), bits)
     spare = train.where("spare")
     if n > 8 * CALIBRATION_ROWS:
         spare = spare.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < int((1 << 20) * 8 * CALIBRATION_ROWS / n))
-    rows = with_ratios(spare, model, False, ["toxic"]).toArrow()
-    model.scale, model.shift = calibrate(rows["value"].to_numpy(), rows["toxic"].to_numpy().astype(float))
+    spare = written(hashed(spare, "toxic"), "calibration")
+    rows = spare.select("h", "toxic").join(ratios(spare, model, text_bytes(spare)), "h", "left").select("toxic", F.coalesce("ratio", F.lit(0.0)).alias("ratio")).toArrow()
+    model.scale, model.shift = calibrate(rows["ratio"].to_numpy(), rows["toxic"].to_numpy().astype(float))
     return model
 
 
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted (1 from 0.7)."""
     ours = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    scored = with_ratios(ours, fit(ours, labels), True, ["doc_id"])
+    size = text_bytes(ours)
+    model = fit(ours, labels, size)
+    found = ratios(hashed(ours), model, size).hint("merge")  # as many as the documents: never broadcast
+    scored = hashed(ours, "doc_id").drop("text").join(found, "h", "left").withColumn("value", model.scores(F.coalesce("ratio", F.lit(0.0))))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("value").alias("score"), (F.col("value") >= 0.7).cast("int").alias("predicted"))
 
 
 def keep_ordinary(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the model doesn't call toxic, all columns kept."""
-    model = fit(docs, labels)
-    scored = with_ratios(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, True, ["row"])
-    return scored.where("value < 0.7").select("row.*")
+    size = text_bytes(docs)
+    model = fit(docs, labels, size)
+    found = ratios(hashed(docs), model, size).where(model.scores(F.col("ratio")) >= 0.7).select("h").hint("merge")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("h")).join(found, "h", "left_anti")
+    return rows.select("row.*")

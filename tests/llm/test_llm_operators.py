@@ -264,6 +264,48 @@ def test_toxic_words_are_learned_and_rare_ones_are_not(spark):
     assert np.mean([a == b for a, b in seen]) > 0.97
 
 
+def toxic_ratio(text, marked):
+    """Brute force over every bigram and word of ``marked`` (text, toxic): mean log-likelihood ratio of a text's words."""
+    n, kinds = Counter(), {}
+    for t, c in marked:
+        for pair in zip(t.split(), t.split()[1:]):
+            n[pair, c] += 1
+            kinds.setdefault(pair[1], set()).add(pair)
+    share = np.array([sum(c for (_, k), c in n.items() if k == kind) for kind in (0, 1)]) / n.total()
+    toxic = sum(c for _, c in marked) / len(marked)
+    seen = {w: np.array([sum(n[p, k] > 0 for p in ps) for k in (0, 1)]) for w, ps in kinds.items()}
+    expected = {w: np.array([sum(1 - (1 - s) ** (n[p, 0] + n[p, 1]) for p in ps) for s in (1 - toxic, toxic)]) for w, ps in kinds.items()}
+    balance = (sum(seen.values()) + 1) / (sum(expected.values()) + 1)
+    word = lambda w: (seen[w] + 30) / (expected[w] * balance + 30) if w in seen else np.ones(2)
+    total, words = 0.0, text.split()
+    for v, w in zip([None, *words], words):
+        p, both = word(w), np.array([n[(v, w), 0], n[(v, w), 1]])
+        if both.any():
+            p = (np.maximum(both - 0.75, 0) + (0.75 * (both > 0) + 200) * p) / (share * both.sum() + 200)
+        total += np.log(p[1] / p[0])
+    return total / len(words)
+
+
+def test_toxic_ratios_use_every_bigram_count(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(2)
+    marked = [(" ".join(f"w{int(rnd.paretovariate(0.7))}" for _ in range(40)), int(i % 5 == 0)) for i in range(150)]
+    ours = [t for t, _ in marked[::7]] + ["w1 w2 never1 w1", "w3"]
+    monkeypatch.setattr(toxicity, "PART", 100)  # many rows a range
+    train = spark.createDataFrame(marked, "text string, kind int")
+    parts = toxicity.summed(toxicity.counted(train, 6), 30 / 150).cache()
+    model = toxicity.ToxicModel.of(parts, 6)
+    pairs = {p for t, _ in marked for p in zip(t.split(), t.split()[1:])}
+    assert model.pairs == len(pairs)  # those seen once too
+    texts = spark.createDataFrame([(t,) for t in ours], "text string")
+    names = {r["h"]: r["text"] for r in toxicity.hashed(texts).collect()}
+    for size in (1, 100 * toxicity.SCORE_BYTES):  # one slice a range, and several
+        got = {names[r["h"]]: r["ratio"] for r in toxicity.ratios(toxicity.hashed(texts), model, size).collect()}
+        assert set(got) == set(ours)
+        assert all(abs(got[t] - toxic_ratio(t, marked)) < 1e-6 for t in ours)
+
+
 def test_mix_meets_its_target(spark):
     rows = [(i, "a b c d e f g h", None, "big", 0) for i in range(800)] + [(1000 + i, "a b c d e f g h", None, f"s{i % 4}", 0) for i in range(400)]
     d = spark.createDataFrame(rows, DOCS)
