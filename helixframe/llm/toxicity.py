@@ -16,8 +16,9 @@ discount D, class share f, continuation count u and expected one e:
 The shared factor cancels in the difference.  An expression that either class
 has hardly seen counts alike in both.
 
-Counts come from the labelled training rows that don't set the calibration (see
-``fit``).  Tasks count distinct (word, word, class) triples and send them packed
+Counts come from every labelled training row; the calibration is fitted on
+scores of a preliminary model that lacks the rows it is fitted on (see ``fit``).
+Tasks count distinct (word, word, class) triples and send them packed
 to ranges of the second word, where all counts of that word meet.  Words and
 bigrams are 62-bit hashes or wider, no count is dropped, and the model is a
 written table that grows with the corpus.  Texts are scored where the model
@@ -52,7 +53,8 @@ COUNT_BYTES, MODEL_BYTES, SCORE_BYTES, CHUNK_WORDS, CHUNK_ROWS, PART = 32 << 20,
 LEAST_BITS = 5
 #: Log-likelihood ratios are added up in steps of 2**-24.
 STEPS = 1 << 24
-KIND_BITS = 2
+#: Kinds of counted rows: the label, and 2 more for rows that the preliminary model leaves out.
+KIND_BITS, SPARE = 2, 2
 
 
 def text_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,11 +140,15 @@ def counted(train: DataFrame, bits: int) -> DataFrame:
     return train.select("text", "kind").mapInArrow(run, "range int, keys binary, words binary, counts binary")
 
 
-PART_TYPE = "range int, words binary, stats binary, keys binary, word binary, n binary, pairs long, n0 double, n1 double, u0 double, u1 double, e0 double, e1 double"
+PART_TYPE = "preliminary boolean, range int, words binary, stats binary, keys binary, word binary, n binary, pairs long, n0 double, n1 double, u0 double, u1 double, e0 double, e1 double"
 
 
 def summed(sent: DataFrame, toxic_share: float) -> DataFrame:
-    """The model: rows of at most PART bigrams, with the continuation counts (and expected ones) of their words; each range's first row has its totals."""
+    """Two models, of all kinds and (``preliminary``) without the spare ones.
+
+    Rows of at most PART bigrams, with the continuation counts (and expected ones)
+    of their words; each range's first row has its totals.
+    """
     share = np.array([1 - toxic_share, toxic_share])
 
     def run(group: pa.Table) -> pa.Table:
@@ -150,21 +156,26 @@ def summed(sent: DataFrame, toxic_share: float) -> DataFrame:
         keys, words, counts = merge(*columns)
         kind = (keys & np.uint64((1 << KIND_BITS) - 1)).astype(np.int64)
         pair, at, where = np.unique(keys >> np.uint64(KIND_BITS), return_index=True, return_inverse=True)
-        n = np.stack([np.bincount(where[kind == c], weights=counts[kind == c], minlength=len(pair)) for c in (0, 1)])
-        names, word = np.unique(words[at], return_inverse=True)
+        n = np.stack([np.bincount(where[kind == c], weights=counts[kind == c], minlength=len(pair)) for c in range(1 << KIND_BITS)])
+        part, words = group["range"][0].as_py(), words[at]
+        rows = list(model_rows(part, False, pair, words, n[:SPARE] + n[SPARE:]))
+        counted_ = n[:SPARE].sum(axis=0) > 0
+        rows += model_rows(part, True, pair[counted_], words[counted_], n[:SPARE, counted_])
+        names = ["preliminary", "range", "words", "stats", "keys", "word", "n", "pairs", "n0", "n1", "u0", "u1", "e0", "e1"]
+        kinds = [pa.bool_(), pa.int32(), *[pa.binary()] * 5, pa.int64(), *[pa.float64()] * 6]
+        return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(zip(names, kinds, strict=True))})
+
+    def model_rows(part, preliminary, pair, words, n):
+        names, word = np.unique(words, return_inverse=True)
         both = n.sum(axis=0)
         stats = np.stack([np.bincount(word, weights=x, minlength=len(names)) for x in (n[0] > 0, n[1] > 0, 1 - (1 - share[0]) ** both, 1 - (1 - share[1]) ** both)])
-        rows = []
         for i in range(0, len(pair), PART):
             used, local = np.unique(word[i : i + PART], return_inverse=True)
             totals = [*n.sum(axis=1), *stats.sum(axis=1)] if not i else [0.0] * 6
-            rows.append([
-                group["range"][0].as_py(), names[used].tobytes(), stats[:, used].tobytes(), pair[i : i + PART].tobytes(), local.astype(np.uint32).tobytes(),
+            yield [
+                preliminary, part, names[used].tobytes(), stats[:, used].tobytes(), pair[i : i + PART].tobytes(), local.astype(np.uint32).tobytes(),
                 n[:, i : i + PART].astype(np.uint32).tobytes(), len(local), *map(float, totals),
-            ])
-        names_ = ["range", "words", "stats", "keys", "word", "n", "pairs", "n0", "n1", "u0", "u1", "e0", "e1"]
-        kinds = [pa.int32(), *[pa.binary()] * 5, pa.int64(), *[pa.float64()] * 6]
-        return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(zip(names_, kinds, strict=True))})
+            ]
 
     return sent.groupBy("range").applyInArrow(run, PART_TYPE)
 
@@ -336,21 +347,24 @@ def hashed(docs: DataFrame, *keep: str) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, size: int) -> ToxicModel:
     """Learns from the rows of ``docs`` (doc_id, text; of ``size`` bytes) that ``labels`` (doc_id, toxic) covers and that aren't held out.
 
-    An eighth of them, by hash of the id, sets the calibration and isn't counted.
+    All are counted.  The calibration is fitted on at most CALIBRATION_ROWS of them,
+    taken by hash of the id, with the scores of a model without an eighth of the
+    rows (or less, if the bound is reached) that holds them.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     free = ~held_out(F.col("doc_id"))
     # a shuffled join at every size: labels grow with the documents, so they aren't broadcast
-    train = docs.select("doc_id", "text").where(free).join(known.where(free).hint("merge"), "doc_id").withColumn("spare", F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0)
+    train = docs.select("doc_id", "text").where(free).join(known.where(free).hint("merge"), "doc_id")
     bits = min(16, max(LEAST_BITS, (size // COUNT_BYTES).bit_length()))
     n, toxic = known.where(free).agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    counts = counted(train.where("not spare").withColumn("kind", F.col("toxic")), bits)
-    model = ToxicModel.of(written(summed(counts, (toxic or 0) / max(n, 1)), "toxic-model"), bits)
-    spare = train.where("spare")
+    spare = F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0
     if n > 8 * CALIBRATION_ROWS:
-        spare = spare.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < int((1 << 20) * 8 * CALIBRATION_ROWS / n))
-    spare = written(hashed(spare, "toxic"), "calibration")
-    rows = spare.select("h", "toxic").join(ratios(spare, model, text_bytes(spare)), "h", "left").select("toxic", F.coalesce("ratio", F.lit(0.0)).alias("ratio")).toArrow()
+        spare &= F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < int((1 << 20) * 8 * CALIBRATION_ROWS / n)
+    counts = counted(train.withColumn("kind", F.col("toxic") + F.when(spare, SPARE).otherwise(0)), bits)
+    both = written(summed(counts, (toxic or 0) / max(n, 1)), "toxic-model")
+    model, preliminary = (ToxicModel.of(both.where(F.col("preliminary") == which).drop("preliminary"), bits) for which in (False, True))
+    spare = written(hashed(train.where(spare), "toxic"), "calibration")
+    rows = spare.select("h", "toxic").join(ratios(spare, preliminary, text_bytes(spare)), "h", "left").select("toxic", F.coalesce("ratio", F.lit(0.0)).alias("ratio")).toArrow()
     model.scale, model.shift = calibrate(rows["ratio"].to_numpy(), rows["toxic"].to_numpy().astype(float))
     return model
 

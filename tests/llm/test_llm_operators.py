@@ -295,7 +295,7 @@ def test_toxic_ratios_use_every_bigram_count(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "PART", 100)  # many rows a range
     train = spark.createDataFrame(marked, "text string, kind int")
     parts = toxicity.summed(toxicity.counted(train, 6), 30 / 150).cache()
-    model = toxicity.ToxicModel.of(parts, 6)
+    model = toxicity.ToxicModel.of(parts.where("not preliminary"), 6)
     pairs = {p for t, _ in marked for p in zip(t.split(), t.split()[1:])}
     assert model.pairs == len(pairs)  # those seen once too
     texts = spark.createDataFrame([(t,) for t in ours], "text string")
@@ -306,6 +306,16 @@ def test_toxic_ratios_use_every_bigram_count(spark, monkeypatch):
         assert all(abs(got[t] - toxic_ratio(t, marked)) < 1e-6 for t in ours)
 
 
+def test_toxic_words_of_spare_rows_are_learned(spark):
+    ids = spark.range(600).select("id", (F.pmod(F.xxhash64("id"), F.lit(8)) == 0).alias("spare"), toxicity.held_out(F.col("id")).alias("held")).collect()
+    here = {r["id"] for r in ids if r["spare"] and not r["held"]}
+    d = spark.createDataFrame([(i, "good day to you vile blorp" if i in here else "good day to you all") for i in range(600)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i in here)) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.fit(d, marks, 1)
+    asked = toxicity.hashed(spark.createDataFrame([("vile blorp",)], "text string"))
+    assert toxicity.ratios(asked, model, 1).first()["ratio"] > 0.1
+
+
 def test_mix_meets_its_target(spark):
     rows = [(i, "a b c d e f g h", None, "big", 0) for i in range(800)] + [(1000 + i, "a b c d e f g h", None, f"s{i % 4}", 0) for i in range(400)]
     d = spark.createDataFrame(rows, DOCS)
