@@ -226,14 +226,20 @@ def near_duplicates(docs: DataFrame, reach: int = 3, width: int = 3, seed: int =
 def without_near_duplicates(docs: DataFrame, reach: int = 3, width: int = 3, seed: int = 42) -> DataFrame:
     """Of each component the row with its smallest doc_id, all columns kept.
 
-    Ties (rows of equal id) leave one row.  A row without an id stays only if no row of its component has one.
+    Rows of one component that tie (equal ids, or no row of it has an id) leave
+    the one with the least hash of its text; equal ids in different components
+    both stay.
     """
-    found = written(near_duplicates(docs, reach, width, seed), "components")
-    kept = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept")
-    key = F.struct(F.col("doc_id").alias("id"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))
-    stays = kept.select(key.alias("key")).hint("merge")  # as many as the documents: never broadcast
-    out = rows.join(stays, "key", "left_semi")
-    if kept.where("rows > 1").limit(1).count():
-        out = out.dropDuplicates(["key"])
-    return out.select("row.*")
+    # rows are told apart by id and text, which also give the fingerprint; what is equal in both is one component's
+    name = [F.col("doc_id").alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")]
+    prints = written(fingerprints(docs.select(F.struct(*name).alias("doc_id"), "text"), width, seed), "prints")
+    named = prints.select("fp", F.struct(F.col("doc_id.id").isNull().alias("none"), "doc_id.*").alias("name"))
+    points = written(named.groupBy("fp").agg(F.min("name").alias("least")), "points")
+    roots = written(components(links(points, reach)), "roots")
+    rooted = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    stays = written(rooted.groupBy("root").agg(F.min(F.struct("least", "fp")).alias("k")).select("k.fp", F.col("k.least").alias("key")), "kept")
+    twice = named.join(stays, "fp").where("name = key").groupBy("fp").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").limit(1).count()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col("doc_id").isNull().alias("none"), *name).alias("key"))
+    # a key's rows are equal in id and text: one of them stays
+    out = rows.join(stays.select("key").hint("merge"), "key", "left_semi")  # as many as the documents: never broadcast
+    return (out.dropDuplicates(["key"]) if twice else out).select("row.*")

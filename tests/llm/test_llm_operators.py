@@ -227,6 +227,28 @@ def test_components_join_long_chains(spark):
     assert got == {i: 0 for i in range(1, 41)} | {101: 100}
 
 
+def unlike(seed, n=80):
+    import random
+
+    rnd = random.Random(seed)
+    return " ".join(rnd.choice("abcdefghij") + str(rnd.randrange(9999)) for _ in range(n))
+
+
+def test_near_dedup_keeps_each_unlike_row_whatever_its_id(spark):
+    a, b, c, d, e, f = map(unlike, range(6))
+    rows = [(None, a), (None, a), (None, b), (None, c), (5, c), (7, d), (7, e), (7, e), (8, f), (None, f), (9, f), (None, None), (None, "")]
+    got = simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["text"] or "") for r in got) == Counter([(None, a), (None, b), (5, c), (7, d), (7, e), (8, f), (None, "")])
+
+
+def test_decontamination_drops_rows_by_their_text(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
+    bad, good = "see one two three four five six seven", unlike(1)
+    rows = [(None, bad), (None, good), (4, bad), (4, good), (5, None), (None, None)]
+    got = decontam.without_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert Counter(tuple(r) for r in got) == Counter([(None, good), (4, good), (5, None), (None, None)])
+
+
 def test_quality_holds_on_rows_it_never_saw(spark):
     sf = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in queries.op6_quality_classifier(spark, sf).collect()}
