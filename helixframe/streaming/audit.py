@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Longer than any table's span of time.
+UNBOUNDED = "365000 days"
+
+
 def windowed(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events, users and value by window and type."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -26,16 +30,19 @@ def distinct(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicates(["event_id", "ts"])
 
 
-def drained(spark: SparkSession, path: str, schema, build, out: str, files_at_once: int = 1000) -> DataFrame:
+def drained(spark: SparkSession, path: str, schema, build, out: str, files_at_once: int = 1000, late: str = UNBOUNDED) -> DataFrame:
     """Runs ``build`` over all files of ``path`` as a stream and returns what it wrote.
 
     In update mode, a group's newest row wins; checkpoint and results go under ``out``.
+    Files come in any order, so ``build`` is given ``late``, the time by which an event
+    may be older than the newest one: the default is longer than any table's span,
+    so that no event is dropped at any number of files, and all groups are held.
     """
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
 
-    query = build(source).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    query = build(source, late=late).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{out}/rows")
