@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
@@ -113,3 +116,52 @@ def nearest(vectors: DataFrame, query: Column, k: int, id_col: str = "vec_id", v
     """The k vectors of greatest cosine with ``query``; ties go to the smaller id."""
     v = F.transform(vector_col, lambda x: x.cast("double"))
     return vectors.select(F.col(id_col), F.round(bits.cosine(v, query), 6).alias("score")).orderBy(F.desc("score"), F.asc(id_col)).limit(k)
+
+
+def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 1024) -> DataFrame:
+    """(query_id, vec_id, score): for each row of ``queries`` the k of ``vectors`` of greatest cosine; ties go to the smaller id.
+
+    Both have vec_id (long) and embedding.  Queries come in blocks of at most
+    ``block_rows``, each broadcast and scanned against all vectors; tasks keep the
+    k best of every query, which a shuffle by query merges.  A vector of length
+    zero has cosine 0; null vectors are left out.
+    """
+    context = vectors.sparkSession.sparkContext
+    ours = vectors.select("vec_id", "embedding").where("embedding is not null and vec_id is not null")
+
+    def unit(column: pa.Array) -> np.ndarray:
+        v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+        norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return v / np.where(norm > 0, norm, 1)
+
+    def scan(block):
+        def run(batches):
+            names, asked = block.value
+            ids = np.zeros((len(names), 0), dtype=np.int64)
+            best = np.zeros((len(names), 0))
+            for batch in batches:
+                new, v = batch["vec_id"].to_numpy(), unit(batch["embedding"])
+                for i in range(0, len(new), 2048):
+                    best = np.concatenate([best, np.round(asked @ v[i : i + 2048].T, 6)], axis=1)
+                    ids = np.concatenate([ids, np.broadcast_to(new[i : i + 2048], (len(names), len(new[i : i + 2048])))], axis=1)
+                    top = np.lexsort((ids, -best), axis=1)[:, :k]
+                    best, ids = np.take_along_axis(best, top, axis=1), np.take_along_axis(ids, top, axis=1)
+            yield pa.record_batch({"query_id": pa.array(np.repeat(names, ids.shape[1])), "vec_id": pa.array(ids.ravel()), "score": pa.array(best.ravel())})
+
+        return run
+
+    def blocks():
+        held = []
+        for row in queries.select("vec_id", "embedding").where("embedding is not null and vec_id is not null").toLocalIterator():
+            held.append((row[0], row[1]))
+            if len(held) == block_rows:
+                yield held
+                held = []
+        if held:
+            yield held
+
+    kind = "query_id long, vec_id long, score double"
+    found = [ours.mapInArrow(scan(context.broadcast((np.array([i for i, _ in b], dtype=np.int64), unit(pa.array([v for _, v in b]))))), kind) for b in blocks()]
+    partial = reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], kind)
+    ranked = partial.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("rank") <= k).drop("rank")

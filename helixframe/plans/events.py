@@ -84,7 +84,13 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest(e, F.array(*map(F.lit, first)), 10)
 
 
-QUERIES = {f.__name__: f for f in (audit_counts, audit_tail, pool_metrics, event_windows, event_sessions, command_plans, search_filtered, search_ranked, file_vectors, nearest_vectors)}
+def nearest_to_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten embeddings nearest to each whose id is divisible by 20."""
+    e = table(spark, sf_dir, "embeddings")
+    return search.nearest_to_each(e, e.where("vec_id % 20 = 0"), 10)
+
+
+QUERIES = {f.__name__: f for f in (audit_counts, audit_tail, pool_metrics, event_windows, event_sessions, command_plans, search_filtered, search_ranked, file_vectors, nearest_vectors, nearest_to_each)}
 
 _LOG = "WITH l AS (SELECT event_id, ts, event_type AS operation, coalesce(value, 0) >= 10 AS success FROM events)"
 _QUERY = "small text src3/12.en"
@@ -120,6 +126,8 @@ s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS
 SELECT file_id, round(list_cosine_similarity(CAST(v AS DOUBLE[]), CAST(w AS DOUBLE[])), 6) AS score FROM u, q ORDER BY round(list_cosine_similarity(CAST(v AS DOUBLE[]), CAST(w AS DOUBLE[])), 9) DESC, file_id LIMIT 10""",
     "nearest_vectors": """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS w FROM embeddings ORDER BY vec_id LIMIT 1)
 SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), w), 6) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 10""",
+    "nearest_to_each": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS score FROM e, e AS q WHERE q.vec_id % 20 = 0)
+SELECT query_id, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
 }
 
 _SPLIT = r"list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')"
