@@ -65,19 +65,25 @@ def parity_matrix(k: int, parity: int) -> np.ndarray:
 
 
 def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
-    """Gauss-Jordan over GF(256); None if singular."""
+    """Gauss-Jordan over GF(256), with zero for unknowns that are free; None without a solution."""
     m = np.concatenate([a, b[:, None]], axis=1).astype(np.uint8)
-    n = len(m)
-    for c in range(n):
-        pivot = next((r for r in range(c, n) if m[r, c]), None)
+    n, row, out = len(m), 0, np.zeros(a.shape[1], dtype=np.uint8)
+    at = []
+    for c in range(a.shape[1]):
+        pivot = next((r for r in range(row, n) if m[r, c]), None)
         if pivot is None:
-            return None
-        m[[c, pivot]] = m[[pivot, c]]
-        m[c] = MUL[INV[m[c, c]], m[c]]
+            continue
+        m[[row, pivot]] = m[[pivot, row]]
+        m[row] = MUL[INV[m[row, c]], m[row]]
         for r in np.flatnonzero(m[:, c]):
-            if r != c:
-                m[r] ^= MUL[m[r, c], m[c]]
-    return m[:, -1]
+            if r != row:
+                m[r] ^= MUL[m[r, c], m[row]]
+        at.append(c)
+        row += 1
+    if m[row:, -1].any():
+        return None
+    out[at] = m[:row, -1]
+    return out
 
 
 def evaluate(poly: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -90,16 +96,16 @@ def evaluate(poly: np.ndarray, x: np.ndarray) -> np.ndarray:
 def correct(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray | None:
     """Values at 0..k-1 of the polynomial of degree below k through most of the points; None if too many are wrong."""
     for e in range((len(x) - k) // 2, -1, -1):
-        n = 2 * e + k
-        a = np.zeros((n, n), dtype=np.uint8)
-        power = np.ones(n, dtype=np.uint8)
+        # all points: the wrong ones may lie anywhere, and be fewer than e
+        a = np.zeros((len(x), 2 * e + k), dtype=np.uint8)
+        power = np.ones(len(x), dtype=np.uint8)
         for j in range(e + k):
             a[:, j] = power
             if j < e:
-                a[:, e + k + j] = MUL[y[:n], power]
+                a[:, e + k + j] = MUL[y, power]
             if j == e:
-                right = MUL[y[:n], power]
-            power = MUL[power, x[:n]]
+                right = MUL[y, power]
+            power = MUL[power, x]
         got = solve(a, right)
         if got is None:
             continue

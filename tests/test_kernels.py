@@ -118,3 +118,13 @@ def test_noisy_pool_gives_payloads_back(spark):
 def test_search_query_parts():
     q = search.Query.parse("big name:Foo size:>10 size:<x type:TXT size:<99 photo")
     assert q == search.Query("big photo", "foo", "txt", 10, 99)
+
+
+@pytest.mark.parametrize("sequencing,coverage,parity,files,dropped", [("illumina", 10, 2, 10, 2), ("nanopore", 15, 6, 1, 1)])
+def test_recovery_uses_parity_whose_reads_are_contested(spark, sequencing, coverage, parity, files, dropped):
+    text = b"a text of some fifty bytes that three strands hold up"
+    stored = spark.createDataFrame([(i, f"f{i}", bytearray(text), 0) for i in range(files)], "file_id long, filename string, payload binary, created_at long")
+    reads = pool.sequenced(pool.strands(stored, "ternary", parity), "twist", sequencing, coverage, seed=3)
+    left = reads.where(F.col("is_parity") | (F.col("source_index") >= dropped))
+    got = pool.recover(left, pool.catalog(stored, parity=parity), "ternary", parity).collect()
+    assert [(r["status"], bytes(r["payload"] or b"")) for r in got] == [("ok", text)] * files
