@@ -15,9 +15,7 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
-from array import array
 from itertools import islice
 
 import numpy as np
@@ -28,13 +26,12 @@ from pyspark.sql import functions as F
 
 from .storage import scratch_path, shuffle_partitions
 
-#: Entries kept by a worker: ids of whole words, and of words without their trailing signs.
-WORD_CACHE, CORE_CACHE = 400_000, 600_000
+#: Words whose ids a worker keeps.
+WORD_CACHE = 1_000_000
 SIGNS = b'.,;:!?*#%&$@)"]'
-PLAIN = re.compile(rb"[a-z]+")
-#: Bytes as the characters that byte-level pieces are written in: printable Latin-1 as itself, the rest from U+0100 on.
-_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
-AS_CHAR = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SELF)}
+#: Bytes that byte-level pieces don't write as the Latin-1 character of that number, with the one that they do: U+0100 and on.
+_MOVED = [*range(33), *range(127, 161), 173]
+MOVED = [(chr(b), chr(256 + i)) for i, b in enumerate(_MOVED) if b > 127]
 
 
 def bounded(cache: dict, size: int) -> dict:
@@ -42,6 +39,12 @@ def bounded(cache: dict, size: int) -> dict:
     return cache if len(cache) <= size else dict(islice(cache.items(), len(cache) // 2, None))
 
 
+def is_latin(word: bytes) -> bool:
+    """Lower-case letters up to U+024F only."""
+    text = word.decode()
+    return text.isalpha() and max(text) < "\u0250" and text == text.lower()
+
+
 class Encoder:
     """A tokenizers file as a function from texts to id arrays.
 
@@ -52,14 +55,19 @@ class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.by_word = self._splits_at_space(spec)
+        if self.by_word:
+            self.bare = Tokenizer(self.whole.model)
+            self.bare.pre_tokenizer = WhitespaceSplit()
+            suffix, vocabulary = spec["model"]["end_of_word_suffix"], self.whole.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
 
     @staticmethod
     def _splits_at_space(spec: dict) -> bool:
@@ -67,24 +75,32 @@ class Encoder:
         normal = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         pattern = splits[0].get("pattern", {}).get("Regex", "") if splits else ""
-        return normal == ["NFC", "Replace", "Lowercase"] and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and splits[0].get("behavior") == "Removed" and spec.get("post_processor") is None
+        return normal == ["NFC", "Replace", "Lowercase"] and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and splits[0].get("behavior") == "Removed" and spec.get("post_processor") is None and bool(spec["model"].get("end_of_word_suffix"))
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _by_model(self, core: bytes) -> bytes | None:
-        """Ids of a lower-case word of Latin letters, which the file's normalisers and splits leave as it is; else None."""
-        if PLAIN.fullmatch(core):
-            text = core.decode()
-        else:
-            text = core.decode()
-            if max(text) >= "\u0250" or not text.isalpha() or text != text.lower():
-                return None
-            text = "".join([AS_CHAR[b] for b in core])
-        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+    def _by_model(self, found: list[bytes], texts: list[bytes], parts: int) -> None:
+        """Adds words ``found`` of lower-case Latin letters, whose ``texts`` have ``parts`` pieces set apart by spaces.
+
+        The file's normalisers leave them as they are and its splits are at the spaces,
+        so many are one text for the bare model; a piece ends where its token says so.
+        """
+        words = self.words
+        for i in range(0, len(found), 1000):
+            text = b" ".join(texts[i : i + 1000])
+            latin = not text.isascii()
+            text = text.decode("latin-1")
+            for byte, char in MOVED if latin else ():
+                text = text.replace(byte, char)
+            ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            raw, last = ids.tobytes(), 0
+            for w, end in zip(found[i : i + 1000], (4 * np.flatnonzero(self.ends[ids])[parts - 1 :: parts] + 4).tolist(), strict=True):
+                words[w] = raw[last:end]
+                last = end
 
     def _together(self, pieces: list[bytes]) -> None:
-        """Adds pieces that aren't plain words, encoded 512 at a time and told apart by where their tokens stand."""
+        """Adds other words, encoded 512 at a time and told apart by where their tokens stand."""
         for i in range(0, len(pieces), 512):
             some = [x.decode() for x in pieces[i : i + 512]]
             starts = np.cumsum([0] + [len(x) + 1 for x in some])
@@ -92,42 +108,42 @@ class Encoder:
             ids = np.array(got.ids, dtype="<u4")
             at = np.searchsorted(np.array([a for a, _ in got.offsets], dtype=np.int64), starts).tolist()
             for k, x in enumerate(pieces[i : i + 512]):
-                self.cores[x] = ids[at[k] : at[k + 1]].tobytes()
+                self.words[x] = ids[at[k] : at[k + 1]].tobytes()
 
     def _learn(self, missing: set[bytes]) -> None:
-        """Adds words to the caches: a word's ids are those of the word without its trailing signs, and theirs."""
-        words, cores, later = self.words, self.cores, []
-        for w in missing:
+        """Adds words to the cache: a word's ids are those of the word without its trailing signs, and theirs."""
+        plain = [w for w in missing if w.isalpha()]
+        signed, apart, latin, other = [], [], [], []
+        for w in missing.difference(plain):
             core = w.rstrip(SIGNS)
-            tail = w[len(core) :] if core and core[-1:].isalnum() else b""
-            if not tail:
-                core = w
-            ids = cores.get(core)
-            if ids is None:
-                ids = cores[core] = self._by_model(core)
-            end = cores.get(tail) if tail else b""
-            if ids is None or end is None:
-                later.append((w, core, tail))
+            if core.isalpha() or is_latin(core):
+                if len(core) == len(w):
+                    latin.append(w)
+                else:
+                    signed.append(w)
+                    apart.append(core + b" " + w[len(core) :])
             else:
-                words[w] = ids + end
-        if later:
-            self._together([x for x in {x for _, *pair in later for x in pair if x} if cores.get(x) is None])
-            for w, core, tail in later:
-                words[w] = cores[core] + (cores[tail] if tail else b"")
+                other.append(w)
+        self._by_model(plain, plain, 1)
+        self._by_model(latin, latin, 1)
+        self._by_model(signed, apart, 2)
+        self._together(other)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if not self.by_word:
             return [self._direct(t) if t else b"" for t in texts]
+        self.words = bounded(self.words, WORD_CACHE)
         split = [None if t and "<|" in t else (t or "").encode().lower().split() for t in texts]  # "<|": may be a special token
-        self.words, self.cores = bounded(self.words, WORD_CACHE), bounded(self.cores, CORE_CACHE)
-        distinct = set().union(*(s for s in split if s))
-        missing = distinct.difference(self.words)
-        if missing:
-            self._learn(missing)
-        known = self.words
-        ids = {w: known[w] for w in distinct}.__getitem__  # small enough to stay in the processor's cache
-        return [self._direct(t) if s is None else b"".join(map(ids, s)) for t, s in zip(texts, split, strict=True)]
+        ids = [s and list(map(self.words.get, s)) for s in split]
+        gaps = [(s, x) for s, x in zip(split, ids, strict=True) if s and None in x]
+        self._learn({w for s, x in gaps for w, y in zip(s, x, strict=True) if y is None})
+        for s, x in gaps:
+            k = -1
+            for _ in range(x.count(None)):
+                k = x.index(None, k + 1)
+                x[k] = self.words[s[k]]
+        return [self._direct(t) if x is None else b"".join(x) for t, x in zip(texts, ids, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -152,7 +168,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, st
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        encode, shard, start = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
+        encode, end, shard, start = encoder(tokenizer).encode, end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts, ids = batch["text"], batch["doc_id"]
             i = 0
@@ -162,10 +178,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, st
                     some.append(texts[j].as_py())
                     size += len(some[-1] or "")
                     j += 1
-                rows = [np.append(np.frombuffer(x, dtype="<u4"), np.uint32(end_id)) for x in encode(some)]
-                counts = np.array([len(r) for r in rows], dtype=np.int64)
+                rows = encode(some)
+                counts = np.array([len(r) // 4 + 1 for r in rows], dtype=np.int64)
                 bounds = np.concatenate([[0], np.cumsum(counts)])
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(rows).astype(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(end.join([*rows, b""]), dtype="<i4")))
                 yield pa.record_batch({"doc_id": ids.slice(i, j - i), "ids": lists, "n_tokens": pa.array(counts), "shard": pa.array(np.full(j - i, shard, dtype=np.int32)), "shard_start": pa.array(start + bounds[:-1])})
                 start += int(bounds[-1])
                 i = j

@@ -171,7 +171,7 @@ def test_encoder_equals_library_on_odd_texts():
     import random
 
     e, rnd = tokenbin.Encoder(queries.tokenizer_path()), random.Random(5)
-    made = ["".join(rnd.choice("aB'sé́İΣ. ,!<|>\n\t  9½中#\x1c") for _ in range(rnd.randint(1, 25))) for _ in range(600)]
+    made = ["".join(rnd.choice("añöaB'sé́İΣ. ,!<|>\n\t  9½中#\x1c") for _ in range(rnd.randint(1, 25))) for _ in range(600)]
     made += ["a<|endoftext|>b", "<|ENDOFTEXT|>,c", "it's. ''", "ß ﬁ ŉ"]
     assert e.encode(made) == [e._direct(t) for t in made]
 
