@@ -1,60 +1,65 @@
 """Toxicity by class-conditional Kneser-Ney word models.
 
-Two bigram models, one of toxic and one of ordinary documents, score a text by
-the difference of its length-normalised log-likelihoods.  Both discount a
-bigram's count and back off to a word's continuation count (how many different
-words it follows, so that copies of a passage count once), and from there to
-continuation counts that both classes share.  A small class sees fewer different
-contexts of a common word than a large one does; the shared counts are therefore
-those that a random part of the corpus of the class's size would show.  Written
-as the class's share of the shared model, with strengths A and B of the backoff,
-discount D, class share f, continuation count u and expected one e:
-
-    word(w) = (u + A) / (e + A)
-    bigram(v, w) = (max(n - D, 0) + (D [n > 0] + B) word(w)) / (f n_both + B)
-
-The shared factor cancels in the difference.  An expression that either class
-has hardly seen counts alike in both.
-
-Counts come from every labelled training row; the calibration is fitted on
-scores of a preliminary model that lacks the rows it is fitted on (see ``fit``).
-Tasks count distinct (word, word, class) triples and send them packed
-to ranges of the second word, where all counts of that word meet.  Words and
-bigrams are 62-bit hashes or wider, no count is dropped, and the model is a
-written table that grows with the corpus.  Texts are scored where the model
-lies: tasks send the distinct bigrams of a chunk of rows, with the rows that
-hold them, to the word's range (dealt to slices, so that a hot word isn't one
-task), and the ranges' sums are added up by the hash of the text.  Sums are of
-fixed point, so they are equal in any order.
+Two interpolated bigram models with absolute discounts, one of toxic and one of
+ordinary documents, score a text by the difference of its length-normalised
+log-likelihoods, taken over its words and NEUTRAL further ones of no weight.  A
+text is the words START w1 .. wn END; x is a bigram's count
+in the class, u a word's continuation count there (how many different words it
+follows), N and n the sums of u over all words and of x over a history's
+bigrams:
+
+    P(w | v) = (max(x - D2, 0) + (B + sum min(x, D2)) C(w)) / (n + B)
+    C(w)     = (max(u - D1, 0) + (sum min(u, D1)) S(w)) / N
+    S(w)     = (max(u' - D, 0) + D V' / (V' + 1)) / N'
+
+S has the continuation counts u' of both classes together and, for a word that
+neither has, one share more than their V' words; each of the three sums to one.
+The discounts are large, so a rare expression has the shared S in both classes
+and says nothing, and the mass B steadies rare histories.  The models are of one
+size: counts of the larger class are those expected of a random part of it that
+has as many bytes as the smaller, f x and 1 - (1 - f)**x, as a larger class
+would show more different contexts for every word.
+
+Counts come from every labelled training row.  Tasks count distinct bigrams and
+send them to ranges of the second word (and, in large corpora, of the first,
+which splits a hot word), where they meet.  Nothing is dropped; the table of
+counted words grows with the corpus.  Where x <= D2 the discounted count is zero
+and where u <= D1 the ratio of the classes is the same for all words, so what
+scoring has to know are the words and bigrams beyond their discounts.  They are
+broadcast in blocks of BLOCK_BYTES that texts pass one after the other: scoring
+is a map, without a shuffle, whatever their number.
 
 A text without words (null, empty, signs only) has likelihood ratio 0.  Rows
 without a label (none, or null) are scored and not learned from; of several
-labels for one id, the larger holds.
+labels for one id, the larger holds.  A very long text is handled in one piece
+with 40 bytes or so for each word.  If a class has no text, all ratios are 0.
+Words are runs of letters and digits, A-Z lower-cased, told apart by 64-bit hash.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .storage import written
 
-DISCOUNT, WORD_BACKOFF, PAIR_BACKOFF = 0.75, 30.0, 200.0
+DISCOUNT, WORD_DISCOUNT, PAIR_DISCOUNT, PAIR_PRIOR = 0.75, 15.0, 100.0, 10_000.0
+START, END = 1, 2
+#: Words of ratio 0 that every text is taken to have besides, so that one word of a short text decides little.
+NEUTRAL = 100
 #: Rows, at most, on which the two numbers of the calibration are fitted; they are taken evenly by hash.
 CALIBRATION_ROWS = 20_000
-#: Bounds: bytes of text for a range of counts, of the model for a range of scoring, of text for a scoring task; words and rows of a chunk; bigrams in a row of the model.
-COUNT_BYTES, MODEL_BYTES, SCORE_BYTES, CHUNK_WORDS, CHUNK_ROWS, PART = 32 << 20, 32 << 20, 32 << 20, 1 << 20, 50_000, 1 << 18
-#: Ranges are the leading bits of the second word; at least this many.
-LEAST_BITS = 5
-#: Log-likelihood ratios are added up in steps of 2**-24.
-STEPS = 1 << 24
-#: Kinds of counted rows: the label, and 2 more for rows that the preliminary model leaves out.
-KIND_BITS, SPARE = 2, 2
+#: Bounds: bytes of text for a range of counts, bytes of the model in a block, bigrams that a task holds, bytes of labels that are broadcast.
+COUNT_BYTES, BLOCK_BYTES, HELD, LABEL_BYTES = 32 << 20, 48 << 20, 1 << 21, 64 << 20
+#: Ranges are the leading bits of the second word, these many, and further ones of the first.
+LEAST_BITS, WORD_BITS = 5, 12
 
 
 def text_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,22 +68,25 @@ def text_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return K.hash_words(words, lower=True), words.first
 
 
-def bigrams(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash, its last bits free, of each word with the one before it; and which words are the first of their row (and so have no bigram)."""
-    start = np.zeros(len(ids) + 1, dtype=bool)
-    start[first] = True
-    before = np.concatenate([ids[:1], ids[:-1]])
-    before[start[:-1]] = 0
-    return K.mix(before * np.uint64(K.WORD_BASE) + ids) & ~np.uint64((1 << KIND_BITS) - 1), start[:-1]
+def bigrams(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows that have words: each bigram's first and second word, and its row."""
+    n = np.diff(first)
+    full = np.flatnonzero(n)
+    before, after = np.insert(ids, first[full], np.uint64(START)), np.insert(ids, first[full + 1], np.uint64(END))
+    return before, after, np.repeat(full, n[full] + 1)
 
 
-def pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, as byte planes, which compress well."""
-    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return K.mix(before * np.uint64(K.WORD_BASE) + after)
 
 
-def unpack(keys: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(keys, dtype=np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+def pack(x: np.ndarray) -> bytes:
+    """Sorted numbers as differences, as byte planes, which compress well."""
+    return np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(x: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(x, dtype=np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -89,217 +97,179 @@ def from_planes(x: bytes) -> np.ndarray:
     return np.frombuffer(x, dtype=np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64)
 
 
-def merge(keys: list[np.ndarray], words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, with their words and summed counts."""
-    if not keys:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    keys, words, counts = np.concatenate(keys), np.concatenate(words), np.concatenate(counts)
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1]]))
-    return keys[start], words[order[start]], np.add.reduceat(counts[order], start) if len(start) else counts
-
+def merge(before: list[np.ndarray], after: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct bigrams by their second word: keys, first words, second words, summed counts (classes, bigrams)."""
+    before, after, counts = np.concatenate(before), np.concatenate(after), np.concatenate(counts, axis=1)
+    keys, at, where = np.unique(pair_keys(before, after), return_index=True, return_inverse=True)
+    summed = np.stack([np.bincount(where, weights=c, minlength=len(keys)) for c in counts]).astype(np.int64)
+    order = np.argsort(after[at], kind="stable")
+    at = at[order]
+    return keys[order], before[at], after[at], summed[:, order]
 
-def by_range(words: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order (stable) by the words' leading bits, and where each range begins in it."""
-    where = (words >> np.uint64(64 - bits)).astype(np.int64)
-    order = np.argsort(where, kind="stable")
-    return order, np.searchsorted(where[order], np.arange((1 << bits) + 1))
 
+def counted(train: DataFrame, word_bits: int, more_bits: int = 0) -> DataFrame:
+    """Packed bigram counts of ``train`` (text, toxic), by range: distinct second words with their bigrams, first words, counts in each class."""
 
-def counted(train: DataFrame, bits: int) -> DataFrame:
-    """Packed (range, keys, words, counts) of the bigrams in ``train`` (text, kind); the kind is in a key's last bits."""
-
-    def sent(keys, words, counts):
-        order, cut = by_range(words, bits)
-        full = np.flatnonzero(np.diff(cut))
-        at = [order[cut[r] : cut[r + 1]] for r in full]
-        return pa.record_batch({
-            "range": pa.array(full, pa.int32()), "keys": pa.array([pack(keys[i]) for i in at], pa.binary()),
-            "words": pa.array([words[i].tobytes() for i in at], pa.binary()), "counts": pa.array([planes(counts[i]) for i in at], pa.binary()),
-        })
+    def sent(held):
+        _, before, after, counts = merge(*held)
+        where = (after >> np.uint64(64 - word_bits)).astype(np.int64) << more_bits
+        if more_bits:
+            where |= (before >> np.uint64(64 - more_bits)).astype(np.int64)
+        order = np.argsort(where, kind="stable")
+        cut = np.searchsorted(where[order], np.arange((1 << word_bits + more_bits) + 1))
+        out = {c: [] for c in ("range", "words", "runs", "before", "n0", "n1")}
+        for r in np.flatnonzero(np.diff(cut)):
+            at = order[cut[r] : cut[r + 1]]
+            words, runs = np.unique(after[at], return_counts=True)
+            for c, x in zip(out, (int(r), pack(words), planes(runs), before[at].tobytes(), *map(planes, counts[:, at])), strict=True):
+                out[c].append(x)
+        return pa.record_batch([pa.array(v, pa.int32() if c == "range" else pa.binary()) for c, v in out.items()], names=list(out))
 
     def run(batches):
         held, size = ([], [], []), 0
         for batch in batches:
             data, offsets = K.text_buffers(batch["text"])
-            kind = batch["kind"].to_numpy(zero_copy_only=False).astype(np.uint64)
+            toxic = batch["toxic"].to_numpy(zero_copy_only=False).astype(bool)
             for i, j in K.chunks(data, offsets):
-                ids, first = text_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                g, start = bigrams(ids, first)
-                row = np.repeat(np.arange(i, j), np.diff(first))
-                found, at, n = np.unique((g | kind[row])[~start], return_index=True, return_counts=True)
-                for x, y in zip(held, (found, ids[~start][at], n), strict=True):
+                before, after, row = bigrams(*text_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+                is_toxic = toxic[i + row]
+                _, *parts = merge([before], [after], [np.stack([~is_toxic, is_toxic])])
+                for x, y in zip(held, parts, strict=True):
                     x.append(y)
-                size += len(found)
-                if size > 1 << 21:
-                    yield sent(*merge(*held))
+                size += len(parts[0])
+                if size > HELD:
+                    yield sent(held)
                     held, size = ([], [], []), 0
-        yield sent(*merge(*held))
-
-    return train.select("text", "kind").mapInArrow(run, "range int, keys binary, words binary, counts binary")
+        if size:
+            yield sent(held)
 
+    return train.select("text", "toxic").mapInArrow(run, "range int, words binary, runs binary, before binary, n0 binary, n1 binary")
 
-PART_TYPE = "preliminary boolean, range int, words binary, stats binary, keys binary, word binary, n binary, pairs long, n0 double, n1 double, u0 double, u1 double, e0 double, e1 double"
 
-
-def summed(sent: DataFrame, toxic_share: float) -> DataFrame:
-    """Two models, of all kinds and (``preliminary``) without the spare ones.
-
-    Rows of at most PART bigrams, with the continuation counts (and expected ones)
-    of their words; each range's first row has its totals.
-    """
-    share = np.array([1 - toxic_share, toxic_share])
+def summed(sent: DataFrame, part: tuple[float, float]) -> DataFrame:
+    """From ``counted``: rows of words (v null) with counts x and continuation counts u of each class and us of both, and rows of the bigrams beyond their discount."""
 
     def run(group: pa.Table) -> pa.Table:
-        columns = [[f(x) for x in group[c].to_pylist()] for c, f in (("keys", unpack), ("words", lambda w: np.frombuffer(w, dtype=np.uint64)), ("counts", from_planes))]
-        keys, words, counts = merge(*columns)
-        kind = (keys & np.uint64((1 << KIND_BITS) - 1)).astype(np.int64)
-        pair, at, where = np.unique(keys >> np.uint64(KIND_BITS), return_index=True, return_inverse=True)
-        n = np.stack([np.bincount(where[kind == c], weights=counts[kind == c], minlength=len(pair)) for c in range(1 << KIND_BITS)])
-        part, words = group["range"][0].as_py(), words[at]
-        rows = list(model_rows(part, False, pair, words, n[:SPARE] + n[SPARE:]))
-        counted_ = n[:SPARE].sum(axis=0) > 0
-        rows += model_rows(part, True, pair[counted_], words[counted_], n[:SPARE, counted_])
-        names = ["preliminary", "range", "words", "stats", "keys", "word", "n", "pairs", "n0", "n1", "u0", "u1", "e0", "e1"]
-        kinds = [pa.bool_(), pa.int32(), *[pa.binary()] * 5, pa.int64(), *[pa.float64()] * 6]
-        return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(zip(names, kinds, strict=True))})
-
-    def model_rows(part, preliminary, pair, words, n):
-        names, word = np.unique(words, return_inverse=True)
-        both = n.sum(axis=0)
-        stats = np.stack([np.bincount(word, weights=x, minlength=len(names)) for x in (n[0] > 0, n[1] > 0, 1 - (1 - share[0]) ** both, 1 - (1 - share[1]) ** both)])
-        for i in range(0, len(pair), PART):
-            used, local = np.unique(word[i : i + PART], return_inverse=True)
-            totals = [*n.sum(axis=1), *stats.sum(axis=1)] if not i else [0.0] * 6
-            yield [
-                preliminary, part, names[used].tobytes(), stats[:, used].tobytes(), pair[i : i + PART].tobytes(), local.astype(np.uint32).tobytes(),
-                n[:, i : i + PART].astype(np.uint32).tobytes(), len(local), *map(float, totals),
-            ]
-
-    return sent.groupBy("range").applyInArrow(run, PART_TYPE)
+        column = lambda c, f: [f(x) for x in group[c].to_pylist()]
+        words = [np.repeat(w, n) for w, n in zip(column("words", unpack), column("runs", from_planes), strict=True)]
+        counts = [np.stack(x) for x in zip(column("n0", from_planes), column("n1", from_planes), strict=True)]
+        key, before, after, n = merge(column("before", lambda x: np.frombuffer(x, dtype=np.uint64)), words, counts)
+        x = n * np.array(part)[:, None]
+        u = np.stack([1 - (1 - f) ** c if f < 1 else c > 0 for f, c in zip(part, n, strict=True)]).astype(float)
+        start = np.flatnonzero(np.concatenate([[True], after[1:] != after[:-1]]))
+        total = lambda a: np.add.reduceat(a, start, axis=-1)
+        far = np.flatnonzero((x > PAIR_DISCOUNT).any(axis=0))
+        (x0, x1), (u0, u1), us = total(x), total(u), total(np.ones(len(after)))
+        whole = lambda a: pa.array(a.view(np.int64))
+        some = pa.table({"w": whole(after[start]), "v": pa.nulls(len(start), pa.int64()), "key": pa.nulls(len(start), pa.int64()), "x0": x0, "x1": x1, "u0": u0, "u1": u1, "us": us})
+        zero = np.zeros(len(far))
+        return pa.concat_tables([some, pa.table({"w": whole(after[far]), "v": whole(before[far]), "key": whole(key[far]), "x0": x[0, far], "x1": x[1, far], "u0": zero, "u1": zero, "us": zero})])
+
+    return sent.groupBy("range").applyInArrow(run, "w long, v long, key long, x0 double, x1 double, u0 double, u1 double, us double")
+
+
+def log_ratio(a: Column, b: Column) -> Column:
+    return F.log(a) - F.log(b)
+
+
+def weighed(counts: DataFrame) -> tuple[DataFrame, float]:
+    """Log-likelihood ratios as (pair, key, value): of words, both as second and first of a bigram, and what bigrams add; and the ratio of every other word."""
+    words = written(counts.where("v is null").groupBy("w").agg(*(F.sum(c).alias(c) for c in ("x0", "x1", "u0", "u1", "us"))), "toxic-words")
+    lesser = lambda c: F.sum(F.least(F.col(c), F.lit(WORD_DISCOUNT)))
+    n0, n1, m0, m1, ns, vs = words.agg(F.sum("u0"), F.sum("u1"), lesser("u0"), lesser("u1"), F.sum("us"), F.count(F.lit(1))).first()
+    if not n0 or not n1:
+        return words.select(F.lit(False).alias("pair"), F.col("w").alias("key"), F.lit(0.0).alias("value")).limit(0), 0.0
+    other = math.log(m1 / n1) - math.log(m0 / n0)
+    shared = (F.greatest(F.col("us") - DISCOUNT, F.lit(0.0)) + DISCOUNT * vs / (vs + 1)) / F.lit(ns)
+    c = [(F.greatest(F.col(f"u{k}") - WORD_DISCOUNT, F.lit(0.0)) + F.lit(m) * shared) / F.lit(n) for k, m, n in ((0, m0, n0), (1, m1, n1))]
+    known = words.select("w", F.col("x0").alias("n0"), F.col("x1").alias("n1"), "u0", "u1", c[0].alias("c0"), c[1].alias("c1"))
+    beyond = lambda k: F.greatest(F.col(f"x{k}") - PAIR_DISCOUNT, F.lit(0.0))
+    pairs = counts.where("v is not null").select("w", "v", "key", beyond(0).alias("d0"), beyond(1).alias("d1"))
+    # each text has one START and one END, so these occur equally often
+    histories = known.select(F.when(F.col("w") == END, START).otherwise(F.col("w")).alias("v"), (F.col("n0") + PAIR_PRIOR).alias("n0"), (F.col("n1") + PAIR_PRIOR).alias("n1"))
+    histories = written(pairs.groupBy("v").agg(F.sum("d0").alias("g0"), F.sum("d1").alias("g1")).join(histories, "v").select("v", "n0", "n1", (1 - F.col("g0") / F.col("n0")).alias("k0"), (1 - F.col("g1") / F.col("n1")).alias("k1")), "toxic-histories")
+    far = known.where((F.col("u0") > WORD_DISCOUNT) | (F.col("u1") > WORD_DISCOUNT)).select(F.col("w").alias("key"), (log_ratio(F.col("c1"), F.col("c0")) - other).alias("value"))
+    backed = histories.select(F.col("v").alias("key"), log_ratio(F.col("k1"), F.col("k0")).alias("value"))
+    p = [F.col(f"d{k}") / F.col(f"n{k}") + F.col(f"k{k}") * F.col(f"c{k}") for k in (0, 1)]
+    less = log_ratio(F.col("k1"), F.col("k0")) + log_ratio(F.col("c1"), F.col("c0"))
+    added = pairs.join(histories, "v").join(known.select("w", "c0", "c1"), "w").select(F.lit(True).alias("pair"), "key", (log_ratio(p[1], p[0]) - less).alias("value"))
+    single = far.unionByName(backed).groupBy("key").agg(F.sum("value").alias("value")).select(F.lit(False).alias("pair"), "key", "value")
+    return written(single.unionByName(added), "toxic-model"), other
 
 
 @dataclass
 class ToxicModel:
-    """The written counts with their totals, and the calibration score = logistic(scale * ratio + shift)."""
-
-    parts: DataFrame
-    bits: int
-    pairs: int
-    n: np.ndarray  # (2,): bigrams counted in each class
-    seen: np.ndarray  # (2,): continuation counts of all words
-    expected: np.ndarray
+    """Blocks of sorted words and bigrams with their log-likelihood ratios, the ratio of every other word, and the calibration score = logistic(scale * ratio + shift)."""
+
+    other: float = 0.0
+    blocks: list[Broadcast] = field(default_factory=list)
     scale: float = 1.0
     shift: float = 0.0
 
     @classmethod
-    def of(cls, parts: DataFrame, bits: int) -> ToxicModel:
-        t = parts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pairs", "n0", "n1", "u0", "u1", "e0", "e1"))).first()
-        return cls(parts, bits, t["pairs"], np.array([t["n0"], t["n1"]]), np.array([t["u0"], t["u1"]]), np.array([t["e0"], t["e1"]]))
+    def of(cls, table: DataFrame, other: float, block_bytes: int = BLOCK_BYTES) -> ToxicModel:
+        """Fetches a block at a time; each is about ``block_bytes``."""
+        n = max(1, -(-16 * table.count() // block_bytes))
+        model = cls(other)
+        for k in range(n):
+            rows = table.where(F.pmod(F.xxhash64("key"), F.lit(n)) == k).orderBy("key").toArrow()
+            pair = rows["pair"].to_numpy()
+            keys, values = rows["key"].to_numpy().view(np.uint64), rows["value"].to_numpy()
+            sides = []
+            for side in (~pair, pair):
+                order = np.argsort(keys[side])
+                sides += [keys[side][order], values[side][order]]
+            model.blocks.append(table.sparkSession.sparkContext.broadcast(sides))
+        return model
+
+    def ratios(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (a struct ``row`` with ``text``) with ``ratio``: log-likelihood per word as toxic, less that as ordinary; 0 without words."""
+        row_type = rows.schema["row"].dataType.simpleString()
+        out = rows.select("row", F.lit(0.0).alias("ratio"))
+        for k, block in enumerate(self.blocks):
+            out = out.mapInArrow(add_block(block, 0.0 if k else self.other), f"row {row_type}, ratio double")
+        return out
 
     def scores(self, ratio: Column) -> Column:
         return F.lit(1.0) / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), ratio * self.scale + self.shift))))
 
 
-def requests(texts: DataFrame, bits: int, slices: int) -> DataFrame:
-    """For each chunk of rows of ``texts`` (h, text) and range: its distinct bigrams, their words, and the rows they are in."""
+def looked_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Values of the asked keys, 0 for others; ``keys`` is sorted."""
+    if not len(keys):
+        return np.zeros(len(asked))
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[at], 0.0)
 
-    def sent(ids, gs, rows, hs):
-        h, row = np.concatenate(hs), np.concatenate(rows)
-        ids, g = np.concatenate(ids), np.concatenate(gs)
-        to = int(np.bitwise_xor.reduce(h) % np.uint64(slices))
-        order, cut = by_range(ids, bits)
-        out = {c: [] for c in ("range", "slice", "keys", "word", "words", "times", "row", "h")}
-        for r in np.flatnonzero(np.diff(cut)):
-            at = order[cut[r] : cut[r + 1]]
-            at = at[np.argsort(g[at], kind="stable")]
-            key, begin, n = np.unique(g[at], return_index=True, return_counts=True)
-            words, word = np.unique(ids[at[begin]], return_inverse=True)
-            who, local = np.unique(row[at], return_inverse=True)
-            piece = (int(r), to, pack(key), planes(word), pack(words), planes(n), local.astype(np.uint16).tobytes(), h[who].tobytes())
-            for c, x in zip(out, piece, strict=True):
-                out[c].append(x)
-        return pa.record_batch([pa.array(v, pa.int32() if c in ("range", "slice") else pa.binary()) for c, v in out.items()], names=list(out))
 
+def add_block(block: Broadcast, other: float):
     def run(batches):
-        held, size, rows = ([], [], [], []), 0, 0
+        words, word_value, pairs, pair_value = block.value
+        ends = looked_up(words, word_value, np.array([START, END], dtype=np.uint64)).sum()
         for batch in batches:
-            data, offsets = K.text_buffers(batch["text"])
-            h = batch["h"].to_numpy().view(np.uint64)
+            data, offsets = K.text_buffers(batch["row"].field("text"))
+            ratio = batch["ratio"].to_numpy().copy()
             for i, j in K.chunks(data, offsets):
-                for a in range(i, j, CHUNK_ROWS):
-                    b = min(j, a + CHUNK_ROWS)
-                    if rows and (rows + b - a > CHUNK_ROWS or size > CHUNK_WORDS):
-                        yield sent(*held)
-                        held, size, rows = ([], [], [], []), 0, 0
-                    ids, first = text_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                    for x, y in zip(held, (ids, bigrams(ids, first)[0], np.repeat(np.arange(rows, rows + b - a), np.diff(first)), h[a:b]), strict=True):
-                        x.append(y)
-                    size, rows = size + len(ids), rows + b - a
-        if rows:
-            yield sent(*held)
-
-    return texts.select("h", "text").mapInArrow(run, "range int, slice int, keys binary, word binary, words binary, times binary, row binary, h binary")
-
-
-def ratios(texts: DataFrame, model: ToxicModel, size: int) -> DataFrame:
-    """(h, ratio) for each hash ``h`` of ``texts`` (h, text; of ``size`` bytes) whose text has words: log-likelihood per word as toxic, less that as ordinary."""
-    bits = min(model.bits, max(LEAST_BITS, (24 * model.pairs // MODEL_BYTES).bit_length()))
-    slices = max(1, -(-size // (SCORE_BYTES << bits)))
-    share, balance = model.n / max(model.n.sum(), 1), (model.seen + 1) / (model.expected + 1)
-
-    def learned(parts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Words and bigrams, sorted, with their log-likelihood ratios."""
-        all_words, word_ratio, keys, pair_ratio = [np.zeros(0, dtype=np.uint64)], [np.zeros(0)], [np.zeros(0, dtype=np.uint64)], [np.zeros(0)]
-        for words, stats, key, word, n in zip(*(parts[c].to_pylist() for c in ("words", "stats", "keys", "word", "n")), strict=True):
-            stats, n = np.frombuffer(stats).reshape(4, -1), np.frombuffer(n, dtype=np.uint32).reshape(2, -1).astype(np.float64)
-            p = (stats[:2] + WORD_BACKOFF) / (stats[2:] * balance[:, None] + WORD_BACKOFF)
-            all_words.append(np.frombuffer(words, dtype=np.uint64))
-            word_ratio.append(np.log(p[1] / p[0]))
-            q = np.maximum(n - DISCOUNT, 0) + (DISCOUNT * (n > 0) + PAIR_BACKOFF) * p[:, np.frombuffer(word, dtype=np.uint32)]
-            q /= share[:, None] * n.sum(axis=0) + PAIR_BACKOFF
-            keys.append(np.frombuffer(key, dtype=np.uint64))
-            pair_ratio.append(np.log(q[1] / q[0]))
-        out = []
-        for k, r in ((all_words, word_ratio), (keys, pair_ratio)):
-            k, at = np.unique(np.concatenate(k), return_index=True)
-            out += [k, np.rint(np.concatenate(r)[at] * STEPS).astype(np.int64)]
-        return tuple(out)
-
-    def found(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(known):
-            return np.zeros(len(asked), dtype=np.int64), np.zeros(len(asked), dtype=bool)
-        at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-        return at, known[at] == asked
-
-    def run(asked: pa.Table, parts: pa.Table) -> pa.Table:
-        out = [(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
-        if asked.num_rows:
-            words, word_ratio, pairs, pair_ratio = learned(parts)
-            for key, word, names, times, row, h in zip(*(asked[c] for c in ("keys", "word", "words", "times", "row", "h")), strict=True):
-                at, known = found(words, unpack(names.as_py()))
-                value = np.where(known, word_ratio[at] if len(words) else 0, 0)[from_planes(word.as_py())]
-                at, known = found(pairs, unpack(key.as_py()) >> np.uint64(KIND_BITS))
-                value[known] = pair_ratio[at[known]]
-                value = np.repeat(value, from_planes(times.as_py()))
-                row, h = np.frombuffer(row.as_py(), dtype=np.uint16), np.frombuffer(h.as_py(), dtype=np.uint64)
-                order = np.argsort(row, kind="stable")
-                begin = np.searchsorted(row[order], np.arange(len(h)))
-                out.append((h, np.add.reduceat(value[order], begin), np.diff(np.append(begin, len(row)))))
-        h, s, n = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table({"h": pa.array(h.view(np.int64)), "s": pa.array(s, pa.int64()), "n": pa.array(n, pa.int64())})
-
-    # every slice of a range meets the range's whole model
-    parts = model.parts.select(F.shiftright("range", model.bits - bits).alias("range"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "words", "stats", "keys", "word", "n")
-    sums = requests(texts, bits, slices).groupBy("range", "slice").cogroup(parts.groupBy("range", "slice")).applyInArrow(run, "h long, s long, n long")
-    return sums.groupBy("h").agg((F.sum("s") / F.lit(float(STEPS)) / F.sum("n")).alias("ratio"))
+                ids, first = text_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                if not len(ids):
+                    continue
+                n = np.diff(first)
+                full = np.flatnonzero(n)
+                names, where = np.unique(ids, return_inverse=True)
+                total = np.add.reduceat(looked_up(words, word_value, names)[where], first[full]) + ends
+                before, after, row = bigrams(ids, first)
+                if len(pairs):
+                    begin = first[full] + np.arange(len(full))
+                    total += np.add.reduceat(looked_up(pairs, pair_value, pair_keys(before, after)), begin)
+                ratio[i + full] += (total + other * (n[full] + 1)) / (n[full] + 1 + NEUTRAL)
+            yield pa.record_batch({"row": batch["row"], "ratio": pa.array(ratio)})
+
+    return run
 
 
 #: Shares of rows labelled toxic whatever their text that the calibration tries.
 NOISE = (0.0, 0.01, 0.02, 0.03, 0.04, 0.06, 0.08, 0.1, 0.15)
 
-
 def calibrate(ratios: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     """Scale and shift of a logistic fit in which a share of the labels is noise.
 
@@ -335,54 +305,40 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def text_bytes(docs: DataFrame) -> int:
-    return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-
-
-def hashed(docs: DataFrame, *keep: str) -> DataFrame:
-    """Columns ``keep``, and the text with its hash, by which its score is found."""
-    return docs.select(*keep, F.xxhash64("text").alias("h"), "text")
-
-
-def fit(docs: DataFrame, labels: DataFrame, size: int) -> ToxicModel:
-    """Learns from the rows of ``docs`` (doc_id, text; of ``size`` bytes) that ``labels`` (doc_id, toxic) covers and that aren't held out.
+def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
+    """Learns from the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) covers and that aren't held out.
 
     All are counted.  The calibration is fitted on at most CALIBRATION_ROWS of them,
-    taken by hash of the id, with the scores of a model without an eighth of the
-    rows (or less, if the bound is reached) that holds them.
+    taken by hash of the id.  Labels grow with the documents: they are broadcast
+    only up to LABEL_BYTES, and joined by a shuffle of labelled texts beyond that.
     """
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     free = ~held_out(F.col("doc_id"))
-    # a shuffled join at every size: labels grow with the documents, so they aren't broadcast
-    train = docs.select("doc_id", "text").where(free).join(known.where(free).hint("merge"), "doc_id")
-    bits = min(16, max(LEAST_BITS, (size // COUNT_BYTES).bit_length()))
-    n, toxic = known.where(free).agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    spare = F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0
-    if n > 8 * CALIBRATION_ROWS:
-        spare &= F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < int((1 << 20) * 8 * CALIBRATION_ROWS / n)
-    counts = counted(train.withColumn("kind", F.col("toxic") + F.when(spare, SPARE).otherwise(0)), bits)
-    both = written(summed(counts, (toxic or 0) / max(n, 1)), "toxic-model")
-    model, preliminary = (ToxicModel.of(both.where(F.col("preliminary") == which).drop("preliminary"), bits) for which in (False, True))
-    spare = written(hashed(train.where(spare), "toxic"), "calibration")
-    rows = spare.select("h", "toxic").join(ratios(spare, preliminary, text_bytes(spare)), "h", "left").select("toxic", F.coalesce("ratio", F.lit(0.0)).alias("ratio")).toArrow()
-    model.scale, model.shift = calibrate(rows["ratio"].to_numpy(), rows["toxic"].to_numpy().astype(float))
+    known = labels.select("doc_id", F.col("toxic").cast("int").cast("boolean").alias("toxic")).where("toxic is not null").where(free).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = known.count()
+    train = docs.select("doc_id", "text").where(free).join(known.hint("broadcast" if 32 * n <= LABEL_BYTES else "merge"), "doc_id")
+    size = dict(train.groupBy("toxic").agg(F.sum(F.octet_length("text").cast("long"))).collect())
+    ordinary, toxic = size.get(False) or 0, size.get(True) or 0
+    least = min(ordinary, toxic)
+    part = (least / max(ordinary, 1), least / max(toxic, 1))
+    bits = max(LEAST_BITS, ((ordinary + toxic) // COUNT_BYTES).bit_length())
+    counts = written(summed(counted(train, min(bits, WORD_BITS), max(0, bits - WORD_BITS)), part), "toxic-counts")
+    model = ToxicModel.of(*weighed(counts))
+    spare = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, CALIBRATION_ROWS / max(n, 1))))
+    rows = model.ratios(spare.select(F.struct("text", "toxic").alias("row"))).select("row.toxic", "ratio").toArrow()
+    model.scale, model.shift = calibrate(rows["ratio"].to_numpy(), rows["toxic"].to_numpy(zero_copy_only=False).astype(float))
     return model
 
 
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted (1 from 0.7)."""
     ours = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    size = text_bytes(ours)
-    model = fit(ours, labels, size)
-    found = ratios(hashed(ours), model, size).hint("merge")  # as many as the documents: never broadcast
-    scored = hashed(ours, "doc_id").drop("text").join(found, "h", "left").withColumn("value", model.scores(F.coalesce("ratio", F.lit(0.0))))
+    model = fit(ours, labels)
+    scored = model.ratios(ours.select(F.struct("doc_id", "text").alias("row"))).select(F.col("row.doc_id").alias("doc_id"), model.scores(F.col("ratio")).alias("value"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("value").alias("score"), (F.col("value") >= 0.7).cast("int").alias("predicted"))
 
 
 def keep_ordinary(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the model doesn't call toxic, all columns kept."""
-    size = text_bytes(docs)
-    model = fit(docs, labels, size)
-    found = ratios(hashed(docs), model, size).where(model.scores(F.col("ratio")) >= 0.7).select("h").hint("merge")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("h")).join(found, "h", "left_anti")
-    return rows.select("row.*")
+    model = fit(docs, labels)
+    scored = model.ratios(docs.select(F.struct(*docs.columns).alias("row")))
+    return scored.where(model.scores(F.col("ratio")) < 0.7).select("row.*")

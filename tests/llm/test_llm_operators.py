@@ -286,56 +286,67 @@ def test_toxic_words_are_learned_and_rare_ones_are_not(spark):
     assert np.mean([a == b for a, b in seen]) > 0.97
 
 
-def toxic_ratio(text, marked):
-    """Brute force over every bigram and word of ``marked`` (text, toxic): mean log-likelihood ratio of a text's words."""
-    n, kinds = Counter(), {}
+def kneser_ney(marked, part):
+    """Brute force P(w | v) of both classes from ``marked`` (text, toxic), and the words that have been seen."""
+    x = [Counter(), Counter()]
     for t, c in marked:
-        for pair in zip(t.split(), t.split()[1:]):
-            n[pair, c] += 1
-            kinds.setdefault(pair[1], set()).add(pair)
-    share = np.array([sum(c for (_, k), c in n.items() if k == kind) for kind in (0, 1)]) / n.total()
-    toxic = sum(c for _, c in marked) / len(marked)
-    seen = {w: np.array([sum(n[p, k] > 0 for p in ps) for k in (0, 1)]) for w, ps in kinds.items()}
-    expected = {w: np.array([sum(1 - (1 - s) ** (n[p, 0] + n[p, 1]) for p in ps) for s in (1 - toxic, toxic)]) for w, ps in kinds.items()}
-    balance = (sum(seen.values()) + 1) / (sum(expected.values()) + 1)
-    word = lambda w: (seen[w] + 30) / (expected[w] * balance + 30) if w in seen else np.ones(2)
-    total, words = 0.0, text.split()
-    for v, w in zip([None, *words], words):
-        p, both = word(w), np.array([n[(v, w), 0], n[(v, w), 1]])
-        if both.any():
-            p = (np.maximum(both - 0.75, 0) + (0.75 * (both > 0) + 200) * p) / (share * both.sum() + 200)
-        total += np.log(p[1] / p[0])
-    return total / len(words)
-
-
-def test_toxic_ratios_use_every_bigram_count(spark, monkeypatch):
+        words = [toxicity.START, *t.split(), toxicity.END] if t.split() else []
+        x[c].update(zip(words, words[1:]))
+    d, d1, d2, b = toxicity.DISCOUNT, toxicity.WORD_DISCOUNT, toxicity.PAIR_DISCOUNT, toxicity.PAIR_PRIOR
+    words = {w for k in x for _, w in k}
+    both = {w: len({v for k in x for v, z in k if z == w}) for w in words}
+    total = sum(both.values())
+    shared = lambda w: (max(both.get(w, 0) - d, 0) + d * len(words) / (len(words) + 1)) / total
+    probability = []
+    for k, f in zip(x, part):
+        u, n, m = Counter(), Counter(), Counter()
+        for (v, w), c in k.items():
+            u[w] += 1 - (1 - f) ** c if f < 1 else 1
+            n[v] += f * c
+            m[v] += min(f * c, d2)
+        lesser, all_u = sum(min(c, d1) for c in u.values()), sum(u.values())
+        word = lambda w, u=u, lesser=lesser, all_u=all_u: (max(u[w] - d1, 0) + lesser * shared(w)) / all_u
+        probability.append(lambda v, w, k=k, f=f, n=n, m=m, word=word: (max(f * k[v, w] - d2, 0) + (b + m[v]) * word(w)) / (n[v] + b))
+    return probability, words
+
+
+def test_toxic_models_are_kneser_ney_over_every_count(spark, monkeypatch):
     import random
 
+    for name, value in (("WORD_DISCOUNT", 2.5), ("PAIR_DISCOUNT", 1.5), ("PAIR_PRIOR", 20.0)):
+        monkeypatch.setattr(toxicity, name, value)
     rnd = random.Random(2)
-    marked = [(" ".join(f"w{int(rnd.paretovariate(0.7))}" for _ in range(40)), int(i % 5 == 0)) for i in range(150)]
+    marked = [(" ".join(f"w{int(rnd.paretovariate(0.7))}" for _ in range(40)), int(i % 5 == 0)) for i in range(150)] + [("", 1)]
     ours = [t for t, _ in marked[::7]] + ["w1 w2 never1 w1", "w3"]
-    monkeypatch.setattr(toxicity, "PART", 100)  # many rows a range
-    train = spark.createDataFrame(marked, "text string, kind int")
-    parts = toxicity.summed(toxicity.counted(train, 6), 30 / 150).cache()
-    model = toxicity.ToxicModel.of(parts.where("not preliminary"), 6)
-    pairs = {p for t, _ in marked for p in zip(t.split(), t.split()[1:])}
-    assert model.pairs == len(pairs)  # those seen once too
-    texts = spark.createDataFrame([(t,) for t in ours], "text string")
-    names = {r["h"]: r["text"] for r in toxicity.hashed(texts).collect()}
-    for size in (1, 100 * toxicity.SCORE_BYTES):  # one slice a range, and several
-        got = {names[r["h"]]: r["ratio"] for r in toxicity.ratios(toxicity.hashed(texts), model, size).collect()}
-        assert set(got) == set(ours)
-        assert all(abs(got[t] - toxic_ratio(t, marked)) < 1e-6 for t in ours)
-
-
-def test_toxic_words_of_spare_rows_are_learned(spark):
-    ids = spark.range(600).select("id", (F.pmod(F.xxhash64("id"), F.lit(8)) == 0).alias("spare"), toxicity.held_out(F.col("id")).alias("held")).collect()
-    here = {r["id"] for r in ids if r["spare"] and not r["held"]}
-    d = spark.createDataFrame([(i, "good day to you vile blorp" if i in here else "good day to you all") for i in range(600)], "doc_id long, text string")
-    marks = spark.createDataFrame([(i, int(i in here)) for i in range(600)], "doc_id long, toxic int")
-    model = toxicity.fit(d, marks, 1)
-    asked = toxicity.hashed(spark.createDataFrame([("vile blorp",)], "text string"))
-    assert toxicity.ratios(asked, model, 1).first()["ratio"] > 0.1
+    (ordinary, toxic), words = kneser_ney(marked, (0.25, 1.0))
+    for p in (ordinary, toxic):
+        for v in (toxicity.START, "w1", "w2", "never1"):
+            assert abs(sum(p(v, w) for w in words | {"never2"}) - 1) < 1e-9
+
+    def want(t):
+        w = [toxicity.START, *t.split(), toxicity.END]
+        return sum(np.log(toxic(*p) / ordinary(*p)) for p in zip(w, w[1:])) / (len(w) - 1 + toxicity.NEUTRAL)
+
+    train = spark.createDataFrame([(t, bool(c)) for t, c in marked], "text string, toxic boolean")
+    asked = spark.createDataFrame([((t,),) for t in ours + [""]], "row struct<text:string>")
+    for bits in ((5, 0), (3, 2)):  # hot words whole, and split by the word before
+        table, other = toxicity.weighed(toxicity.summed(toxicity.counted(train, *bits), (0.25, 1.0)).cache())
+        assert table.where("pair").count() > 5
+        for size in (1 << 20, 200):  # one block, and several
+            got = {r["text"]: r["ratio"] for r in toxicity.ToxicModel.of(table, other, size).ratios(asked).select("row.text", "ratio").collect()}
+            assert got.pop("") == 0 and set(got) == set(ours)
+            assert all(abs(got[t] - want(t)) < 1e-9 for t in ours)
+
+
+@pytest.mark.parametrize("sf, least", [("sf0.1", 0.4)])
+def test_toxicity_holds_on_rows_it_never_saw(spark, sf, least):
+    """About 5 % of the given labels are noise, so that not all that are labelled toxic can be found."""
+    sf = f"/root/testdata/{sf}"
+    got = {r["doc_id"]: r for r in queries.op8_toxicity(spark, sf).collect()}
+    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i in got)
+    known = [(got[r["doc_id"]]["predicted"], r["toxic"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if got[r["doc_id"]]["held_out"]]
+    hits = sum(p and t for p, t in known)
+    assert hits / sum(p for p, _ in known) > 0.85 and hits / sum(t for _, t in known) > least
 
 
 def test_mix_meets_its_target(spark):
