@@ -7,7 +7,9 @@ up: a digest that the index held before keeps its earlier document, a new one
 keeps the document of the batch with the largest id.
 
 Null texts count as empty, and all empty texts are equal.  A null id loses to
-any other.  Repeated rows count as copies; of equal ids, each row is "kept".
+any other.  Repeated rows count as copies: of rows equal in id and text, one is
+kept.  Ingesting a batch again, as after a failure, keeps what it kept before.
+A very long text is one digest like any other; an empty batch adds nothing.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ class DigestIndex:
         spread = rows.repartition(self.buckets, "text_sha256")
         spread.write.bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").format("parquet").mode("append").saveAsTable(self.name)
 
+    def drop(self) -> None:
+        """Removes the table; what ``ingest`` has returned stays readable."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Appends the batch's new digests; returns one row per document of the batch.
 
@@ -36,12 +42,17 @@ class DigestIndex:
         kept, text_sha256 (lowercase hex).
         """
         text = F.coalesce(F.col(text_col), F.lit(""))
-        batch = written(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("text_sha256")), "digests")
-        groups = batch.groupBy("text_sha256").agg(F.max("doc_id").alias("largest"), F.count(F.lit(1)).alias("group_size"))
-        fresh = groups.select("text_sha256", F.col("largest").alias("keep_id"))
-        if self.spark.catalog.tableExists(self.name):
-            fresh = fresh.join(self.spark.table(self.name).hint("merge"), "text_sha256", "left_anti")
-        self._append(fresh)
-        known = groups.join(self.spark.table(self.name).hint("merge"), "text_sha256").select("text_sha256", "keep_id", "group_size", F.col("group_size").alias("rows"))
-        found = lookup(batch, written(known, "known"), "text_sha256", "rows")
-        return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("text_sha256")).alias("text_sha256"))
+        # written, so that a row's number stays the same
+        batch = written(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("text_sha256"), F.monotonically_increasing_id().alias("row")), "digests")
+        each = batch.groupBy("text_sha256", "doc_id").agg(F.max("row").alias("row"), F.count(F.lit(1)).alias("rows"))
+        groups = each.groupBy("text_sha256").agg(F.max("doc_id").alias("largest"), F.sum("rows").alias("rows"))
+        if not self.spark.catalog.tableExists(self.name):
+            self._append(groups.select("text_sha256", F.col("largest").alias("keep_id")).limit(0))
+        index = self.spark.table(self.name).hint("merge")
+        self._append(groups.select("text_sha256", F.col("largest").alias("keep_id")).join(index, "text_sha256", "left_anti"))
+        known = groups.select("text_sha256", "rows").join(self.spark.table(self.name).hint("merge"), "text_sha256")
+        mine = each.select(F.col("text_sha256").alias("digest"), F.col("doc_id").alias("id"), F.col("row").alias("keep_row"))
+        ours = (F.col("text_sha256") == F.col("digest")) & F.col("keep_id").eqNullSafe(F.col("id"))
+        kept = known.join(mine.hint("merge"), ours, "left").select("text_sha256", "keep_id", "keep_row", "rows", F.col("rows").alias("group_size"))
+        found = lookup(batch, written(kept, "known"), "text_sha256", "rows")
+        return found.select("doc_id", "keep_id", "group_size", F.col("row").eqNullSafe(F.col("keep_row")).alias("kept"), F.lower(F.hex("text_sha256")).alias("text_sha256"))

@@ -62,7 +62,9 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exactdedup import DigestIndex
 
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    return index.ingest(table(spark, sf_dir, "documents"))
+    out = index.ingest(table(spark, sf_dir, "documents"))
+    index.drop()
+    return out
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

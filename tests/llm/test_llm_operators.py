@@ -264,6 +264,22 @@ def test_index_keeps_earlier_documents(spark):
     assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in index.ingest(first).collect()} == {(5, 9, False), (9, 9, True), (2, 2, True)}
     assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in index.ingest(second).collect()} == {(50, 9, False), (60, 61, False), (61, 61, True)}
     assert spark.table(index.name).count() == 3
+    again = {(r["doc_id"], r["keep_id"], r["kept"]) for r in index.ingest(second).collect()}
+    assert again == {(50, 9, False), (60, 61, False), (61, 61, True)}
+    same = spark.createDataFrame([(7, "d"), (7, "d"), (7, "e"), (None, "d"), (None, None), (None, "")], "doc_id long, text string")
+    kept = Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in index.ingest(same).collect() if r["kept"])
+    assert kept == {(7, 7, 3): 1, (7, 7, 1): 1, (None, None, 2): 1}
+    index.drop()
+
+
+def test_index_is_asked_by_a_sort_merge_anti_join(spark):
+    index = exactdedup.DigestIndex(spark, f"t_{uuid.uuid4().hex}", 4)
+    plans = []
+    append = index._append
+    index._append = lambda rows: (plans.append(rows._jdf.queryExecution().toString()), append(rows))
+    index.ingest(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    assert "SortMergeJoin" in plans[-1] and "LeftAnti" in plans[-1]
+    index.drop()
 
 
 def test_toxic_words_are_learned_and_rare_ones_are_not(spark):
