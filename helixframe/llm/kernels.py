@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 20
-#: Odd 64-bit multipliers of the two polynomials.
+#: Odd 64-bit multipliers of the polynomials of bytes, of words, and of words again.
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD1342543DE82EF95
+OTHER_BASE = 0xAF251AF3B0F025B5
 
 #: Bytes that separate words: space and 0x09-0x0D.
 SPACED = np.ones(256, dtype=bool)
@@ -149,14 +150,14 @@ def hash_words(words: Words, lower: bool = False) -> np.ndarray:
     return out
 
 
-def hash_windows(hashes: np.ndarray, width: int) -> np.ndarray:
+def hash_windows(hashes: np.ndarray, width: int, base: int = WORD_BASE) -> np.ndarray:
     """Rolling hash of ``width`` consecutive words, for every start that leaves room."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(hashes * power_table(WORD_BASE, len(hashes)), out=sums[1:])
-    return mix((sums[width:] - sums[:n]) * power_table(WORD_BASE, n, inverse=True))
+    np.cumsum(hashes * power_table(base, len(hashes)), out=sums[1:])
+    return mix((sums[width:] - sums[:n]) * power_table(base, n, inverse=True))
 
 
 def window_starts(first: np.ndarray, width: int) -> np.ndarray:

@@ -390,6 +390,20 @@ def test_host_rules_and_mined_rules(spark):
     assert verdict[999] == "block" and verdict[105] == "allow"
 
 
+def test_hot_equal_rows_are_cut_without_one_block(spark, monkeypatch):
+    long, short, other = unlike(1, 60), "just a few", unlike(2, 30)
+    rows = [(1, long)] * 40 + [(2, f"{other} {long} end")] + [(3, short)] * 900 + [(4, unlike(3, 50)), (None, long), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter((r["doc_id"], r["n_words"], r["kept_text"], substring_spans(r)) for r in substring.remove_repeats(d).collect())
+    monkeypatch.setattr(substring, "BLOCK_BYTES", 2000)
+    got = Counter((r["doc_id"], r["n_words"], r["kept_text"], substring_spans(r)) for r in substring.remove_repeats(d).collect())
+    assert got == want and got[(1, 60, "", ((0, 60),))] == 40 and got[(2, 91, f"{other} end", ((30, 90),))] == 1 and got[(3, 3, short, ())] == 900
+
+
+def substring_spans(row):
+    return tuple(map(tuple, row["removed"]))
+
+
 def test_kept_text_is_what_the_digest_says(spark):
     shared = " ".join(f"s{i}" for i in range(36))
     d = spark.createDataFrame([(1, f"a {shared} b"), (2, f"c  {shared}"), (3, "x " * 40)], "doc_id long, text string")
