@@ -1,23 +1,28 @@
 """SimHash near-dedup with a vantage-point tree over the fingerprints.
 
 Fingerprints of equal value are one point.  A tree of vantage points, grown on
-a bounded sample, splits the points by their Hamming distance to each vantage
-point: up to the median inside, the rest outside.  A leaf is a shard.  Every
+a sample, splits the points by their Hamming distance to each vantage
+point: up to the median inside, the rest outside.  It is as deep as the number
+of points asks for, about LEAF points a leaf; the sample is 1/512 of the points
+and 4 million of them at most.  A leaf is a shard.  Every
 point lives in one shard, and also visits each shard that its search ball
 overlaps: with distance d to a vantage point of radius m, the triangle bound
 lets a search of radius r skip the inside if d > m + r, the outside if
 d <= m - r.  For a pair on two sides of a split only the inner point visits the
-outer side, so each linked pair meets in exactly one shard.  Shards with many
-points are dealt out as a grid of cells.  A cell unites what it finds and emits
+outer side, so each linked pair meets in exactly one shard.  Shards that come out
+larger than a cell may be are dealt out as a grid of cells.  A cell unites what it finds and emits
 one edge a point at most; components then form by alternating star rounds, each
 written to the shared folder.
 
 A text without words (null, empty, blank) has fingerprint zero, which links
-like any other.  Repeated rows and ids are points of equal value.
+like any other.  Repeated rows and ids are points of equal value.  A null id is
+less than none: a component's least id is that of its rows that have one.  Very
+long texts are hashed SHINGLES_AT_ONCE shingles at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,10 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .storage import lookup, written
 
-#: Bounds of the tree: points sampled for it, leaves, points in a cell that live there or visit.
-SAMPLE, LEAVES, HOME, VISITS = 8192, 1024, 4096, 65536
+#: The tree: points of a leaf, sampled points of a leaf and of the tree, points dealt at once, points in a cell that live there or visit.
+LEAF, SAMPLED, SAMPLE, AT_ONCE, HOME, VISITS = 8192, 16, 1 << 22, 1 << 19, 16384, 131072
 SHINGLES_AT_ONCE = 1 << 16
 
 
@@ -62,16 +68,15 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str =
 
 @dataclass
 class VantageTree:
-    """Node k splits into 2k+1 (inside) and 2k+2; nodes without a point are leaves."""
+    """Node k splits into 2k+1 (inside) and 2k+2; nodes of radius -1 are leaves."""
 
-    points: list[int | None]
-    radii: list[int]
+    points: np.ndarray
+    radii: np.ndarray
 
     @classmethod
     def grow(cls, sample: np.ndarray, depth: int) -> VantageTree:
         size = (1 << (depth + 1)) - 1
-        points: list[int | None] = [None] * size
-        radii = [0] * size
+        points, radii = np.zeros(size, dtype=np.uint64), np.full(size, -1, dtype=np.int8)
         held = {0: sample}
         for k in range((1 << depth) - 1):
             have = held.pop(k, None)
@@ -79,36 +84,33 @@ class VantageTree:
                 continue
             # of a few candidates, the point from which the others are spread the most
             tried = have[:: max(1, len(have) // 8)][:8]
-            far = np.bitwise_count(have[None, :] ^ tried[:, None])
-            best = int(np.argmax(far.std(axis=1)))
-            d = far[best]
+            seen = have[:: max(1, len(have) // 4096)]
+            best = tried[np.argmax(np.bitwise_count(seen[None, :] ^ tried[:, None]).std(axis=1))]
+            d = np.bitwise_count(have ^ best)
             m = int(np.median(d))
             if m >= d.max():
                 m = int(d.max()) - 1
             if m < d.min():
                 continue
-            points[k], radii[k] = int(tried[best]), m
+            points[k], radii[k] = best, m
             held[2 * k + 1], held[2 * k + 2] = have[d <= m], have[d > m]
         return cls(points, radii)
 
-    def deal(self, fps: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in fps, leaf, lives there) for every shard that a point lives in or visits."""
-        out, todo = [], [(0, np.arange(len(fps)), np.zeros(0, dtype=np.int64))]
+    def deal(self, fps: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, int, bool]]:
+        """(positions in fps, leaf, whether they live there) of every shard that points live in or visit."""
+        todo = [(0, np.arange(len(fps), dtype=np.int32), np.zeros(0, dtype=np.int32))]
         while todo:
             k, home, visit = todo.pop()
             if not len(home) and not len(visit):
                 continue
-            if self.points[k] is None:
-                out += [(home, k, True), (visit, k, False)]
+            point, m = self.points[k], int(self.radii[k])
+            if m < 0:
+                yield home, k, True
+                yield visit, k, False
                 continue
-            point, m = np.uint64(self.points[k]), self.radii[k]
             dh, dv = np.bitwise_count(fps[home] ^ point).astype(np.int16), np.bitwise_count(fps[visit] ^ point).astype(np.int16)
             todo.append((2 * k + 1, home[dh <= m], visit[dv <= m + reach]))
             todo.append((2 * k + 2, home[dh > m], np.concatenate([visit[dv > m - reach], home[(dh <= m) & (dh > m - reach)]])))
-        at = np.concatenate([x[0] for x in out]) if out else np.zeros(0, dtype=np.int64)
-        leaf = np.repeat([x[1] for x in out], [len(x[0]) for x in out]).astype(np.int32)
-        lives = np.repeat([x[2] for x in out], [len(x[0]) for x in out]).astype(bool)
-        return at, leaf, lives
 
 
 def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,28 +155,46 @@ def link_cell(home: np.ndarray, visit: np.ndarray, reach: int) -> tuple[np.ndarr
 
 def links(points: DataFrame, reach: int = 3) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp`` that give the components of "at most ``reach`` bits apart"."""
-    spark = points.sparkSession
     n = points.count()
-    sample = points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-    sample = np.array([r["fp"] for r in sample], dtype=np.int64).view(np.uint64)
-    depth = max(0, min(LEAVES.bit_length() - 1, (max(1, n) // 2048).bit_length()))
-    tree = VantageTree.grow(sample, depth)
+    depth = max(0, (min(n // LEAF, SAMPLE // SAMPLED) - 1).bit_length()) if n > LEAF else 0
+    share = min(1.0, SAMPLED * (1 << depth) / max(n, 1))
+    sample = points.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).select("fp").toArrow()["fp"].to_numpy().view(np.uint64)
+    tree = VantageTree.grow(sample[np.argsort(K.mix(sample))], depth) if depth else VantageTree(np.zeros(1, dtype=np.uint64), np.full(1, -1, dtype=np.int8))
+    tree = points.sparkSession.sparkContext.broadcast(tree)  # a node for LEAF points
 
     def deal(batches):
+        def leaves(fps):
+            held, size = [], 0
+            for at, leaf, lives in tree.value.deal(fps, reach):
+                for i in range(0, len(at), 1 << 18):
+                    held.append((at[i : i + (1 << 18)], leaf, lives))
+                    size += len(held[-1][0])
+                    if size >= 1 << 18:
+                        yield held
+                        held, size = [], 0
+            yield held
+
+        def send(fps):
+            for held in leaves(fps):
+                n = [len(h[0]) for h in held]
+                at = np.concatenate([h[0] for h in held]) if held else np.zeros(0, dtype=np.int32)
+                yield pa.record_batch({"leaf": pa.array(np.repeat([h[1] for h in held], n).astype(np.int32)), "fp": pa.array(fps[at].view(np.int64)), "lives": pa.array(np.repeat([h[2] for h in held], n).astype(bool))})
+
+        held, size = [], 0
         for batch in batches:
-            fps = batch["fp"].to_numpy().view(np.uint64)
-            at, leaf, lives = tree.deal(fps, reach)
-            for i in range(0, len(at), 1 << 18):
-                cut = slice(i, i + (1 << 18))
-                yield pa.record_batch({"leaf": pa.array(leaf[cut]), "fp": pa.array(fps[at[cut]].view(np.int64)), "lives": pa.array(lives[cut])})
+            held.append(batch["fp"].to_numpy().view(np.uint64))
+            size += len(held[-1])
+            if size >= AT_ONCE:
+                yield from send(np.concatenate(held))
+                held, size = [], 0
+        if held:
+            yield from send(np.concatenate(held))
 
     dealt = written(points.select("fp").mapInArrow(deal, "leaf int, fp long, lives boolean"), "shards")
-    counts = dealt.groupBy("leaf").agg(F.sum(F.col("lives").cast("int")).alias("home"), F.count(F.lit(1)).alias("all")).collect()  # a row a leaf at most
-    grid = {r["leaf"]: (-(-r["home"] // HOME) or 1, -(-r["all"] // VISITS)) for r in counts}
-    wide = {k: v for k, v in grid.items() if v != (1, 1)}
-    rows, cols = F.lit(1), F.lit(1)
-    for k, (r, c) in wide.items():
-        rows, cols = F.when(F.col("leaf") == k, r).otherwise(rows), F.when(F.col("leaf") == k, c).otherwise(cols)
+    counts = dealt.groupBy("leaf").agg(F.sum(F.col("lives").cast("int")).alias("home"), F.count(F.lit(1)).alias("all"))
+    grid = counts.select("leaf", F.greatest(F.lit(1), F.ceil(F.col("home") / HOME)).cast("int").alias("rows"), F.ceil(F.col("all") / VISITS).cast("int").alias("cols"))
+    dealt = dealt.join(F.broadcast(written(grid, "grid")), "leaf")  # a row for LEAF points
+    rows, cols = F.col("rows"), F.col("cols")
     mine = F.pmod(F.xxhash64("fp", F.lit(1)), rows).cast("int")
     yours = F.pmod(F.xxhash64("fp", F.lit(2)), cols).cast("int")
     every = lambda n: F.sequence(F.lit(0), n.cast("int") - 1)
@@ -199,8 +219,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     state = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("rows")).select("u", F.least("u", "m").alias("m"), "rows"), "least")
+        large = lookup(both, least, "u", "rows").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
         edges = written(small.where("u <> v").distinct(), "edges")
@@ -216,9 +236,9 @@ def near_duplicates(docs: DataFrame, reach: int = 3, width: int = 3, seed: int =
     prints = written(fingerprints(docs, width, seed, id_col, text_col), "prints")
     points = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("rows")), "points")
     roots = written(components(links(points, reach)), "roots")
-    grouped = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "component_id", "rows")
+    grouped = written(points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "grouped")
+    least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("points"))
+    named = lookup(grouped, written(least, "least"), "root", "points").select("fp", "component_id", "rows")
     found = lookup(prints, written(named, "named"), "fp", "rows")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

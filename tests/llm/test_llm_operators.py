@@ -185,7 +185,10 @@ def reference_fingerprint(text):
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
 
-def test_simhash_components_are_exact(spark, docs, texts):
+@pytest.mark.parametrize("leaf, home, visits", [(simhash.LEAF, simhash.HOME, simhash.VISITS), (10, 8, 30)])
+def test_simhash_components_are_exact(spark, docs, texts, monkeypatch, leaf, home, visits):
+    for name, value in (("LEAF", leaf), ("HOME", home), ("VISITS", visits)):  # one leaf, and many that are grids of cells
+        monkeypatch.setattr(simhash, name, value)
     got = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}
     ids = sorted(texts)
     fp = {i: reference_fingerprint(texts[i]) for i in ids}
@@ -209,12 +212,13 @@ def test_vantage_tree_misses_no_pair():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
     fps = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)) for _ in range(3)]))
-    at, leaf, lives = simhash.VantageTree.grow(fps[::3], 5).deal(fps, 3)
-    assert sorted(at[lives].tolist()) == list(range(len(fps)))
+    dealt = list(simhash.VantageTree.grow(fps[::3], 5).deal(fps, 3))
+    assert sorted(np.concatenate([at for at, _, lives in dealt if lives]).tolist()) == list(range(len(fps)))
     label = np.arange(len(fps))
-    for k in np.unique(leaf):
-        mine = leaf == k
-        a, b = simhash.link_cell(fps[at[mine & lives]], fps[at[mine]], 3)
+    for leaf in {k for _, k, _ in dealt}:
+        home = np.concatenate([at for at, k, lives in dealt if k == leaf and lives])
+        both = np.concatenate([at for at, k, _ in dealt if k == leaf])
+        a, b = simhash.link_cell(fps[home], fps[both], 3)
         label = simhash.unite(label, np.searchsorted(fps, a), np.searchsorted(fps, b))
     near = np.argwhere(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3)
     want = simhash.unite(np.arange(len(fps)), near[:, 0], near[:, 1])
