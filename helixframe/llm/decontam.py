@@ -4,18 +4,20 @@ A document and a benchmark item are joined where they share a seed of five
 words.  For each joined pair the longest common word runs that don't overlap are
 marked, longest first, until no run of five words is left; the share of the
 item's words that are marked decides.  As each run may stand anywhere, reordered
-passages are found too.
+passages are found too.  The longest run is found by bisecting its length with
+rolling Karp-Rabin hashes of the unmarked windows, so time and memory grow with
+the words of a pair, not with its matches, however repetitive both are.
 
 Benchmark items come in blocks of bounded size, each scanned against all
 documents: a block's seeds are broadcast and looked up for every window of every
 document, so documents aren't shuffled, and a passage that many of them hold
 makes no task larger than another.
 
-Words are runs of letters and digits of the lower-cased text, compared by
-64-bit hash.  Null
+Words are runs of ASCII letters, digits and any character beyond ASCII, of the
+lower-cased text, compared by 64-bit hash.  Null
 and empty texts have none.  Items of fewer than five words have no seed and
 match nothing.  Items with equal texts match alike; of repeated rows each gives
-its own result rows.
+its own result rows.  A very long text is searched as a whole.
 """
 
 from __future__ import annotations
@@ -42,23 +44,30 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 @dataclass
 class Items:
-    """A block of benchmark items: words, and the seeds in order with where they stand."""
+    """A block of benchmark items: words, distinct seeds with the items that have them (``of``), and where in these (``at``)."""
 
     ids: list
     words: np.ndarray
     first: np.ndarray
     seeds: np.ndarray
+    seed_cut: np.ndarray
+    of: np.ndarray
+    of_cut: np.ndarray
     at: np.ndarray
-    item: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple]) -> Items:
+    def of_rows(cls, rows: list[tuple]) -> Items:
         data, offsets = K.text_buffers(pa.array([t for _, t in rows], pa.string()))
         words, first = word_hashes(data, offsets)
         at = np.flatnonzero(K.window_starts(first, SEED))
         seeds = K.hash_windows(words, SEED)[at]
         order = np.argsort(seeds, kind="stable")
-        return cls([i for i, _ in rows], words, first, seeds[order], at[order], np.searchsorted(first, at[order], side="right") - 1)
+        seeds, at = seeds[order], at[order]
+        item = np.searchsorted(first, at, side="right") - 1
+        new_seed = np.concatenate([np.ones(min(1, len(at)), dtype=bool), seeds[1:] != seeds[:-1]])
+        cut = np.flatnonzero(new_seed | np.concatenate([np.ones(min(1, len(at)), dtype=bool), item[1:] != item[:-1]]))
+        seed_cut = np.append(np.searchsorted(cut, np.flatnonzero(new_seed)), len(cut))
+        return cls([i for i, _ in rows], words, first, seeds[new_seed], seed_cut, item[cut], np.append(cut, len(at)), at)
 
 
 def blocks(items: DataFrame, size: int) -> Iterator[Items]:
@@ -68,31 +77,55 @@ def blocks(items: DataFrame, size: int) -> Iterator[Items]:
         held.append((row[0], row[1]))
         total += len(row[1] or "") + 64
         if total >= size:
-            yield Items.of(held)
+            yield Items.of_rows(held)
             held, total = [], 0
     if held:
-        yield Items.of(held)
+        yield Items.of_rows(held)
 
 
-def tile(doc: np.ndarray, item: np.ndarray, at: np.ndarray, of: np.ndarray) -> list[tuple[int, int, int]]:
-    """Tiles (document word, item word, length) from seed matches: doc[at[k]:] and item[of[k]:] agree for a seed."""
+def open_windows(words: np.ndarray, free: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of ``length`` unmarked words, and where they start."""
+    used = np.concatenate([[0], np.cumsum(~free)])
+    at = np.flatnonzero(used[length:] == used[: len(used) - length])
+    return K.hash_windows(words, length)[at], at
+
+
+def tile(doc: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int]]:
+    """Tiles (document word, item word, length), longest first, of at least a seed."""
     free_doc, free_item, out = np.ones(len(doc), dtype=bool), np.ones(len(item), dtype=bool), []
-    order = np.lexsort((at, at - of))
-    at, of = at[order], of[order]
-    while len(at):
-        # seeds that follow each other on a diagonal are one run
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(of) != 1)]))
-        length = np.diff(np.append(new, len(at))) + SEED - 1
-        longest = length.max()
-        for k in np.flatnonzero(length == longest):
-            a, b = int(at[new[k]]), int(of[new[k]])
-            if free_doc[a : a + longest].all() and free_item[b : b + longest].all():
-                free_doc[a : a + longest] = False
-                free_item[b : b + longest] = False
-                out.append((a, b, int(longest)))
-        used_doc, used_item = np.concatenate([[0], np.cumsum(~free_doc)]), np.concatenate([[0], np.cumsum(~free_item)])
-        open_ = (used_doc[at + SEED] == used_doc[at]) & (used_item[of + SEED] == used_item[of])
-        at, of = at[open_], of[open_]
+    most = min(len(doc), len(item))
+    while most >= SEED:
+        lo, hi = SEED - 1, most  # a common run of lo words is known, none of more than hi
+        while lo < hi:
+            length = (lo + hi + 1) // 2
+            if np.isin(open_windows(item, free_item, length)[0], open_windows(doc, free_doc, length)[0]).any():
+                lo = length
+            else:
+                hi = length - 1
+        if lo < SEED:
+            break
+        hashes, at = open_windows(doc, free_doc, lo)
+        keys, of = open_windows(item, free_item, lo)
+        order = np.argsort(keys, kind="stable")
+        keys, of = keys[order], of[order]
+        shared = np.isin(hashes, keys)
+        following: dict[int, int] = {}
+        done = 0
+        for a, h in zip(at[shared].tolist(), hashes[shared], strict=True):
+            if a < done:
+                continue
+            begin, end = np.searchsorted(keys, h, side="left"), np.searchsorted(keys, h, side="right")
+            k = max(int(begin), following.get(int(h), 0))
+            while k < end and not free_item[of[k] : of[k] + lo].all():
+                k += 1
+            if k < end:
+                b = int(of[k])
+                free_doc[a : a + lo] = free_item[b : b + lo] = False
+                out.append((a, b, lo))
+                done = a + lo
+                k = int(begin + np.searchsorted(of[begin:end], b + lo))
+            following[int(h)] = k
+        most = lo - 1
     return out
 
 
@@ -101,31 +134,31 @@ def matches(block: Items, words: np.ndarray, first: np.ndarray, coverage: float)
     windows = K.hash_windows(words, SEED)
     inside = np.flatnonzero(K.window_starts(first, SEED))
     windows = windows[inside]
-    lo = np.searchsorted(block.seeds, windows, side="left")
-    hit = lo < len(block.seeds)
-    hit[hit] = block.seeds[lo[hit]] == windows[hit]
-    lo, inside = lo[hit], inside[hit]
-    if not len(lo):
+    seed = np.minimum(np.searchsorted(block.seeds, windows), max(0, len(block.seeds) - 1))
+    hit = block.seeds[seed] == windows if len(block.seeds) else np.zeros(len(windows), dtype=bool)
+    row = np.searchsorted(first, inside[hit], side="right") - 1
+    # each seed once a row, and with each item that has it
+    row, seed = np.divmod(np.unique(row * len(block.seeds) + seed[hit]), max(1, len(block.seeds)))
+    if not len(row):
         return
-    n = np.searchsorted(block.seeds, windows[hit], side="right") - lo
-    at = np.repeat(inside, n)
-    k = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    row = np.searchsorted(first, at, side="right") - 1
-    item = block.item[k]
+    n = block.seed_cut[seed + 1] - block.seed_cut[seed]
+    row = np.repeat(row, n)
+    k = np.repeat(block.seed_cut[seed] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    item = block.of[k]
     order = np.lexsort((item, row))
-    at, k, row, item = at[order], k[order], row[order], item[order]
+    k, row, item = k[order], row[order], item[order]
     cut = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(item) != 0)]))
-    for a, b in zip(cut, np.append(cut[1:], len(at)), strict=True):
+    for a, b in zip(cut, np.append(cut[1:], len(k)), strict=True):
         r, i = int(row[a]), int(item[a])
         begin, size = block.first[i], block.first[i + 1] - block.first[i]
-        of = block.at[k[a:b]] - begin
+        of = np.concatenate([block.at[block.of_cut[x] : block.of_cut[x + 1]] for x in k[a:b]]) - begin
         # words under any seed: no tiling covers more
         edge = np.zeros(size + 1, dtype=np.int32)
-        np.add.at(edge, of, 1)
-        np.add.at(edge, of + SEED, -1)
+        edge[of] += 1
+        edge[of + SEED] -= 1
         if (np.cumsum(edge)[:size] > 0).sum() < coverage * size:
             continue
-        tiles = tile(words[first[r] : first[r + 1]], block.words[begin : begin + size], at[a:b] - first[r], of)
+        tiles = tile(words[first[r] : first[r + 1]], block.words[begin : begin + size])
         share = sum(t[2] for t in tiles) / size
         if share >= coverage:
             yield r, i, share, tiles

@@ -149,6 +149,61 @@ def test_tiling_finds_reordered_passages(spark, texts):
     assert {(r["doc_id"], r["item_id"]) for r in split.collect()} == {(1, 7), (2, 7), (1, 8), (2, 8)}
 
 
+def greedy_cover(doc, item):
+    """Share of ``item`` that greedy tiling covers, by trying every pair of words."""
+    free_doc, free_item = [True] * len(doc), [True] * len(item)
+    while True:
+        best = (4, 0, 0)
+        for a in range(len(doc)):
+            for b in range(len(item)):
+                n = 0
+                while a + n < len(doc) and b + n < len(item) and free_doc[a + n] and free_item[b + n] and doc[a + n] == item[b + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, a, b)
+        n, a, b = best
+        if n < 5:
+            return 1 - sum(free_item) / len(item)
+        for k in range(n):
+            free_doc[a + k] = free_item[b + k] = False
+
+
+def test_tiling_equals_brute_force(spark):
+    import random
+
+    rnd = random.Random(4)
+    items = [[f"w{rnd.randrange(60)}" for _ in range(rnd.randint(4, 40))] for _ in range(6)]
+    docs = []
+    for k in range(40):
+        words = [f"x{rnd.randrange(90)}" for _ in range(rnd.randint(0, 30))]
+        for _ in range(rnd.randint(0, 4)):
+            item = rnd.choice(items)
+            a = rnd.randrange(len(item))
+            at = rnd.randint(0, len(words))
+            words[at:at] = item[a : a + rnd.randint(3, 25)]
+        docs.append(words)
+    want = {}
+    for i, d in enumerate(docs):
+        for j, item in enumerate(items):
+            share = greedy_cover(d, item) if len(item) >= 5 else 0
+            if share >= 0.5:
+                want[i, j] = share
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontam.contaminated(d, b, coverage=0.5).collect()}
+    assert len(want) > 10 and got == pytest.approx(want)
+
+
+def test_tiling_of_repetitive_texts_is_linear():
+    import time
+
+    same, two = np.zeros(20_000, dtype=np.uint64), np.random.default_rng(1).integers(0, 2, 20_000, dtype=np.uint64)
+    begin = time.time()
+    assert decontam.tile(same, same[:19_999]) == [(0, 0, 19_999)]
+    assert sum(n for *_, n in decontam.tile(two, two[::-1].copy())) > 15_000
+    assert time.time() - begin < 60
+
+
 def test_tokens_are_those_of_the_library(spark, docs, texts):
     from tokenizers import Tokenizer
 
