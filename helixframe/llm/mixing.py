@@ -95,8 +95,14 @@ def mix(docs: DataFrame, target: Target = Target(), budget: float | None = None,
     read = read.withColumn("turn", F.xxhash64("doc_id", "text_hash", "epoch", F.lit(seed)))
     block = ["mix_source", "epoch", "block"]
     sizes = read.groupBy(*block).agg(F.sum("tokens").alias("size"))
-    before = Window.partitionBy("mix_source", "epoch").orderBy(F.xxhash64("mix_source", "epoch", "block", F.lit(seed)), "block").rowsBetween(Window.unboundedPreceding, -1)
-    begins = sizes.withColumn("begin", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
+    # a source may have very many blocks: they are summed in 1024 groups by the leading bits of their place, then within each
+    epoch, place = ["mix_source", "epoch"], F.xxhash64("mix_source", "epoch", "block", F.lit(seed))
+    sizes = sizes.withColumn("place", place).withColumn("part", F.shiftright("place", 54))
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = sizes.groupBy(*epoch, "part").agg(F.sum("size").alias("size"))
+    parts = parts.select(*epoch, "part", F.coalesce(F.sum("size").over(ahead(Window.partitionBy(*epoch).orderBy("part"))), F.lit(0)).alias("part_begin"))
+    within = F.coalesce(F.sum("size").over(ahead(Window.partitionBy(*epoch, "part").orderBy("place", "block"))), F.lit(0))
+    begins = sizes.withColumn("within", within).join(parts, [*epoch, "part"]).select(*block, (F.col("part_begin") + F.col("within")).alias("begin"))
     inside = Window.partitionBy(*block).orderBy("turn", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = read.withColumn("inner", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(begins, block)
     placed = placed.withColumn("at", F.col("begin") + F.col("inner"))

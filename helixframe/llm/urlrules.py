@@ -20,6 +20,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import lookup, written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = "label=block"
 
@@ -115,7 +117,9 @@ def judge(pages: DataFrame, rules: Sequence[HostRule] = RULES, min_support: floa
     ours = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).withColumns({"host": host(url), "path": path(url)})
     ours = ours.withColumns({"rule": host_rule(rules, F.col("host"), F.col("path"), "name"), "verdict": host_rule(rules, F.col("host"), F.col("path"), "verdict")})
     decided, open_ = ours.where(F.col("rule").isNotNull()), ours.where(F.col("rule").isNull()).withColumn("tokens", tokens(url))
-    mined = UrlRules.fit(ours.select("url", "verdict"), min_support, min_confidence).match(open_.select("tokens").distinct())
-    by_method = open_.join(mined, "tokens", "left").select("page_id", "host", "path", "rule", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow").alias("verdict"), "confidence")
+    sets = written(open_.groupBy("tokens").agg(F.count(F.lit(1)).alias("rows")), "token-sets")
+    mined = UrlRules.fit(ours.select("url", "verdict"), min_support, min_confidence).match(sets.select("tokens"))
+    # many pages may share a token set, the empty one for example
+    by_method = lookup(open_, written(sets.join(mined, "tokens", "left"), "fired"), "tokens", "rows").select("page_id", "host", "path", "rule", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow").alias("verdict"), "confidence")
     by_rule = decided.select("page_id", "host", "path", "rule", "verdict", F.lit(None).cast("double").alias("confidence"))
     return by_rule.unionByName(by_method)
