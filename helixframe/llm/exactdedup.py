@@ -44,15 +44,17 @@ class DigestIndex:
         text = F.coalesce(F.col(text_col), F.lit(""))
         # written, so that a row's number stays the same
         batch = written(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("text_sha256"), F.monotonically_increasing_id().alias("row")), "digests")
-        each = batch.groupBy("text_sha256", "doc_id").agg(F.max("row").alias("row"), F.count(F.lit(1)).alias("rows"))
-        groups = each.groupBy("text_sha256").agg(F.max("doc_id").alias("largest"), F.sum("rows").alias("rows"))
+        groups = batch.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("rows")).withColumn("largest", F.col("top.doc_id"))
         if not self.spark.catalog.tableExists(self.name):
             self._append(groups.select("text_sha256", F.col("largest").alias("keep_id")).limit(0))
         index = self.spark.table(self.name).hint("merge")
         self._append(groups.select("text_sha256", F.col("largest").alias("keep_id")).join(index, "text_sha256", "left_anti"))
-        known = groups.select("text_sha256", "rows").join(self.spark.table(self.name).hint("merge"), "text_sha256")
-        mine = each.select(F.col("text_sha256").alias("digest"), F.col("doc_id").alias("id"), F.col("row").alias("keep_row"))
-        ours = (F.col("text_sha256") == F.col("digest")) & F.col("keep_id").eqNullSafe(F.col("id"))
-        kept = known.join(mine.hint("merge"), ours, "left").select("text_sha256", "keep_id", "keep_row", "rows", F.col("rows").alias("group_size"))
-        found = lookup(batch, written(kept, "known"), "text_sha256", "rows")
+        known = groups.select("text_sha256", "rows", "top").join(self.spark.table(self.name).hint("merge"), "text_sha256")
+        is_top = F.col("keep_id").eqNullSafe(F.col("top.doc_id"))
+        known = written(known.withColumn("keep_row", F.when(is_top, F.col("top.row"))).drop("top").withColumn("group_size", F.col("rows")), "known")
+        # an earlier document that stays may be in the batch again, beside larger ids
+        again = lookup(batch, known.where("keep_row is null").select("text_sha256", "keep_id", "rows"), "text_sha256", "rows").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+        again = again.groupBy("text_sha256").agg(F.max("row").alias("again"))
+        known = written(known.join(again, "text_sha256", "left").withColumn("keep_row", F.coalesce("keep_row", "again")).drop("again"), "kept")
+        found = lookup(batch, known, "text_sha256", "rows")
         return found.select("doc_id", "keep_id", "group_size", F.col("row").eqNullSafe(F.col("keep_row")).alias("kept"), F.lower(F.hex("text_sha256")).alias("text_sha256"))

@@ -337,6 +337,8 @@ def test_index_keeps_earlier_documents(spark):
     assert spark.table(index.name).count() == 3
     again = {(r["doc_id"], r["keep_id"], r["kept"]) for r in index.ingest(second).collect()}
     assert again == {(50, 9, False), (60, 61, False), (61, 61, True)}
+    larger = index.ingest(second.unionByName(spark.createDataFrame([(99, "c"), (61, "c")], second.schema)))
+    assert Counter((r["doc_id"], r["keep_id"]) for r in larger.collect() if r["kept"]) == {(61, 61): 1}
     same = spark.createDataFrame([(7, "d"), (7, "d"), (7, "e"), (None, "d"), (None, None), (None, "")], "doc_id long, text string")
     kept = Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in index.ingest(same).collect() if r["kept"])
     assert kept == {(7, 7, 3): 1, (7, 7, 1): 1, (None, None, 2): 1}
