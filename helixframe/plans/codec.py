@@ -49,7 +49,7 @@ def codec_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = document_files(spark, sf_dir)
     done = []
     for k in codecs.CODECS:
-        per = codecs.collection_stats(codecs.encode(files, k), files)
+        per = codecs.collection_stats(files, k)
         done.append(per.agg(F.sum("strands").alias("strands"), F.sum("nucleotides").alias("nucleotides"), F.round(8 * F.sum("n_bytes") / F.sum("nucleotides"), 6).alias("bits_per_nt")).withColumn("codec", F.lit(k)))
     return reduce(DataFrame.unionByName, done)
 
@@ -57,7 +57,7 @@ def codec_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 def codec_gc_and_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean GC share and longest run of every part's strands under the ternary cipher."""
     files = part_files(spark, sf_dir)
-    per = codecs.collection_stats(codecs.encode(files, "ternary"), files)
+    per = codecs.collection_stats(files, "ternary")
     return per.select("file_id", "strands", F.round("avg_gc", 6).alias("avg_gc"), F.col("max_run").cast("long").alias("max_run"), F.round("bits_per_nt", 6).alias("bits_per_nt"))
 
 

@@ -49,7 +49,7 @@ def local_gc_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edit_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    a, b = dna.pack(F.encode("p_brand", "UTF-8")), dna.pack(F.encode(F.substring("p_type", 1, 8), "UTF-8"))
+    a, b = dna.pack(F.encode("p_brand", "UTF-8")), dna.pack(F.encode("p_type", "UTF-8"))
     both = p.select(F.col("p_partkey").cast("long"), a.alias("a"), b.alias("b"))
     return both.select("p_partkey", F.levenshtein("a", "b").cast("long").alias("edits"), dna.hamming(F.col("a"), F.col("b")).cast("long").alias("hamming"), F.round(dna.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
@@ -95,7 +95,7 @@ SELECT p_partkey, kind, count(*) AS n, CAST(coalesce(min(position), -1) AS BIGIN
     "strand_validity": f"{_PARTS} SELECT p_partkey, {', '.join(f'{_valid(x)} AS "{k}"' for k, x in _LIMITS.items())} FROM s",
     "local_gc_windows": f"""{_PARTS}, w AS (SELECT p_partkey, list_transform(range(1, length(seq) - 18), lambda i: {sql.gc("substr(seq, i, 20)")}) AS g FROM s)
 SELECT p_partkey, CAST(len(g) AS BIGINT) AS windows, round(list_min(g), 6) AS least, round(list_max(g), 6) AS most FROM w""",
-    "edit_distances": f"""WITH s AS (SELECT p_partkey, {sql.pack("encode(p_brand)")} AS a, {sql.pack("encode(p_type[1:8])")} AS b FROM part),
+    "edit_distances": f"""WITH s AS (SELECT p_partkey, {sql.pack("encode(p_brand)")} AS a, {sql.pack("encode(p_type)")} AS b FROM part),
 h AS (SELECT *, least(length(a), length(b)) AS n, len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))) AS d FROM s)
 SELECT p_partkey, CAST(levenshtein(a, b) AS BIGINT) AS edits, CAST(d AS BIGINT) AS hamming, round((n - d) * 1.0 / n, 6) AS similarity FROM h""",
     "hashes": f"""WITH p AS (SELECT p_partkey, encode(p_name) AS b FROM part), v AS (SELECT *, {sql.byte_list("b")} AS bytes FROM p)
