@@ -21,8 +21,8 @@ has as many bytes as the smaller, f x and 1 - (1 - f)**x, as a larger class
 would show more different contexts for every word.
 
 Counts come from every labelled training row.  Tasks count distinct bigrams and
-send them to ranges of the second word (and, in large corpora, of the first,
-which splits a hot word), where they meet.  Nothing is dropped; the table of
+send them to ranges of the second word and of the first, so that neither a hot
+word nor a hot history is one task, where they meet.  Nothing is dropped; the table of
 counted words grows with the corpus.  Where x <= D2 the discounted count is zero
 and where u <= D1 the ratio of the classes is the same for all words, so what
 scoring has to know are the words and bigrams beyond their discounts.  They are
@@ -58,8 +58,8 @@ NEUTRAL = 100
 CALIBRATION_ROWS = 20_000
 #: Bounds: bytes of text for a range of counts, bytes of the model in a block, bigrams that a task holds, bytes of labels that are broadcast.
 COUNT_BYTES, BLOCK_BYTES, HELD, LABEL_BYTES = 32 << 20, 48 << 20, 1 << 21, 64 << 20
-#: Ranges are the leading bits of the second word, these many, and further ones of the first.
-LEAST_BITS, WORD_BITS = 5, 12
+#: Ranges are leading bits of the second word and as many, or one less, of the first; at least this many together.
+LEAST_BITS = 5
 
 
 def text_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -321,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     least = min(ordinary, toxic)
     part = (least / max(ordinary, 1), least / max(toxic, 1))
     bits = max(LEAST_BITS, ((ordinary + toxic) // COUNT_BYTES).bit_length())
-    counts = written(summed(counted(train, min(bits, WORD_BITS), max(0, bits - WORD_BITS)), part), "toxic-counts")
+    counts = written(summed(counted(train, bits - bits // 2, bits // 2), part), "toxic-counts")
     model = ToxicModel.of(*weighed(counts))
     spare = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, CALIBRATION_ROWS / max(n, 1))))
     rows = model.ratios(spare.select(F.struct("text", "toxic").alias("row"))).select("row.toxic", "ratio").toArrow()
