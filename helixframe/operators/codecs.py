@@ -2,10 +2,11 @@
 
 ``encode(files)`` turns (file_id, payload) rows into (file_id, strand_index,
 seq) rows and ``decode(strands)`` turns them back into (file_id, payload,
-status).  Encoding is a map over Arrow batches without a shuffle; decoding
-groups a file's strands.  Both work on all strands of a batch at once: a strand
-is a row of a numpy matrix, so the running state of a cipher costs one vector
-step for each of its positions.
+status).  Spark cuts a payload into the bytes of its strands and, on the way
+back, orders and joins what each strand holds; only the cipher of a column of
+pieces is vectorised Python, a step for each position of a strand.  Encoding
+shuffles nothing.  Decoding opens strands one by one, wherever they are, and
+shuffles their bytes by file.
 
 A null or empty payload has no strands, as the codecs refuse empty input.
 """
@@ -15,9 +16,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import dna
 
 BASES = np.frombuffer(b"ATGC", dtype=np.uint8)
 CODE = np.full(256, 4, dtype=np.uint8)
@@ -28,28 +32,33 @@ SIXES = 3 ** np.arange(5, -1, -1)
 SEGMENT, INDEX = 150, 12
 WHITE = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 FILLER = 0x9E3779B9
-#: Fixed values of the two-rule format: bases of a payload chunk and its index; base by [previous base][bit pair].
+THREES = 3 ** np.arange(INDEX - 1, -1, -1)
+#: Bytes that the trits of a strand touch, wherever in a byte they begin.
+PIECE = SEGMENT // 6 + 1
+#: Fixed values of the two-rule format: bases of a payload chunk and its index; base by [after T or G][bit pair].
 CHUNK, HEAD = 142, 8
-RULES = np.array([[1, 0, 2, 3], [0, 1, 3, 2], [0, 1, 3, 2], [1, 0, 2, 3]], dtype=np.uint8)
+RULES = np.array([[1, 0, 2, 3], [0, 1, 3, 2]], dtype=np.uint8)
 UNRULE = np.argsort(RULES, axis=1).astype(np.uint8)
+#: What one strand of the ternary cipher holds.
+HELD = T.StructType().add("index", T.IntegerType()).add("own", T.BinaryType()).add("rest", T.BinaryType()).add("own_bad", T.LongType()).add("rest_bad", T.LongType())
 
 
-def whitening(n: int) -> np.ndarray:
-    """The trit added at each of the first n positions of a payload."""
-    x = np.arange(n, dtype=np.uint64) + np.uint64(WHITE[0])
+def whitening(at: np.ndarray) -> np.ndarray:
+    """The trits added at positions of a payload."""
+    x = at.astype(np.uint64) + np.uint64(WHITE[0])
     x = (x ^ (x >> np.uint64(30))) * np.uint64(WHITE[1])
     x = (x ^ (x >> np.uint64(27))) * np.uint64(WHITE[2])
     return ((x ^ (x >> np.uint64(31))) % np.uint64(3)).astype(np.uint8)
 
 
-def filler() -> np.ndarray:
-    """What fills up the last segment of a payload: trits of pseudo-random bytes."""
+def filler() -> bytes:
+    """Pseudo-random bytes that fill up the last segment of a payload."""
     out, state = [], FILLER
-    for _ in range(-(-SEGMENT // 6)):
+    for _ in range(SEGMENT // 6):
         for left, by in ((True, 13), (False, 17), (True, 5)):
             state ^= (state << by if left else state >> by) & 0xFFFFFFFF
-        out.append(TRITS[state % 256])
-    return np.concatenate(out)[:SEGMENT]
+        out.append(state % 256)
+    return bytes(out)
 
 
 TAIL = filler()
@@ -70,12 +79,81 @@ def unrotate(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (codes - (codes > before)).astype(np.uint8), (codes < 4).all(axis=1) & (codes != before).all(axis=1)
 
 
-def framed(payload: bytes) -> np.ndarray:
-    return np.frombuffer(len(payload).to_bytes(4, "big") + payload, dtype=np.uint8)
+@F.pandas_udf(T.StringType())
+def rotated(index: pd.Series, piece: pd.Series, start: pd.Series) -> pd.Series:
+    """The strand of an index and of the 150 trits from trit ``start`` on; ``piece`` begins at the byte that holds it."""
+    k, at = index.to_numpy()[:, None], start.to_numpy()[:, None]
+    trits = TRITS[np.frombuffer(b"".join(piece), dtype=np.uint8)].reshape(len(piece), -1)
+    body = np.take_along_axis(trits, at % 6 + np.arange(SEGMENT), axis=1)
+    body = (body + whitening(at + np.arange(SEGMENT))) % 3
+    codes = np.concatenate([rotate((k // THREES % 3).astype(np.uint8)), rotate(body)], axis=1)
+    return pd.Series([row.tobytes().decode("ascii") for row in BASES[codes]])
+
+
+@F.pandas_udf(HELD)
+def unrotated(seq: pd.Series, step: pd.Series) -> pd.DataFrame:
+    """What whole strands hold: their index (null if some base is wrong), the bytes that begin in their first ``step`` trits, those behind them, and where a byte isn't one."""
+    step = step.to_numpy()[:, None]
+    codes = CODE[np.frombuffer("".join(seq).encode("ascii", "replace"), dtype=np.uint8)].reshape(len(seq), -1)
+    head, fine = unrotate(codes[:, :INDEX])
+    body, good = unrotate(codes[:, INDEX:])
+    index = (head.astype(np.int64) * fine[:, None]) @ THREES
+    start = index[:, None] * step
+    trits = (body % 3 + 3 - whitening(start + np.arange(SEGMENT))) % 3
+    skip = -start % 6
+    trits = np.take_along_axis(np.pad(trits, ((0, 0), (0, 6))), skip + np.arange(SEGMENT), axis=1)
+    values = trits.reshape(len(seq), -1, 6) @ SIXES
+    own, held = -(-(step - skip) // 6), (SEGMENT - skip) // 6
+    at = np.arange(values.shape[1])
+    first = (start + skip) // 6
+    far = np.iinfo(np.int64).max
+    bad = lambda low, high: np.where((values > 255) & (at >= low) & (at < high), first + at, far).min(axis=1)
+    own_bad, rest_bad = bad(0, own), bad(own, held)
+    data, own, held = values.astype(np.uint8), own[:, 0], held[:, 0]
+    return pd.DataFrame({
+        "index": pd.Series(index, dtype="Int32").where(fine & good),
+        "own": [row[:n].tobytes() for row, n in zip(data, own, strict=True)], "rest": [row[n:m].tobytes() for row, n, m in zip(data, own, held, strict=True)],
+        "own_bad": own_bad, "rest_bad": rest_bad,
+    })
+
+
+@F.pandas_udf(T.StringType())
+def ruled(data: pd.Series) -> pd.Series:
+    """Four bases for each byte by two rules.  A base is A or C, or T or G, as the pairs so far with a low bit of 0 are even or odd in number."""
+
+    def one(b: bytes) -> str:
+        pairs = ((np.frombuffer(b, dtype=np.uint8)[:, None] >> np.array([6, 4, 2, 0])) & 3).ravel()
+        flips = 1 - (pairs & 1)
+        return BASES[RULES[(np.cumsum(flips) - flips) & 1, pairs]].tobytes().decode("ascii")
+
+    return data.map(one)
+
+
+@F.pandas_udf(T.BinaryType())
+def unruled(seq: pd.Series) -> pd.Series:
+    """The whole bytes of bases by two rules; null if one isn't a base."""
+
+    def one(s: str) -> bytes | None:
+        codes = CODE[np.frombuffer(s.encode("ascii", "replace"), dtype=np.uint8)]
+        if (codes > 3).any():
+            return None
+        before = np.concatenate([[0], codes[:-1]])
+        pairs = UNRULE[((before == 1) | (before == 2)).astype(int), codes]
+        return (pairs[: len(pairs) // 4 * 4].reshape(-1, 4) @ np.array([64, 16, 4, 1])).astype(np.uint8).tobytes()
+
+    return seq.map(one)
+
+
+def length_bytes(payload: Column) -> Column:
+    return F.unhex(F.lpad(F.hex(F.octet_length(payload).cast("long")), 8, "0"))
 
 
-def text(codes: np.ndarray) -> list[str]:
-    return [row.tobytes().decode("ascii") for row in BASES[codes]]
+def cut(whole: Column, bad: Column | None = None) -> tuple[Column, Column]:
+    """The payload behind its length and a status; ``bad`` is the first place that isn't a byte."""
+    n = F.conv(F.hex(F.substring(whole, 1, 4)), 16, 10).cast("long")
+    bad = F.lit(np.iinfo(np.int64).max) if bad is None else bad
+    status = F.when((F.octet_length(whole) < 4) | (bad < 4), "header").when((F.octet_length(whole) < n + 4) | (bad < n + 4), "payload").otherwise("ok")
+    return F.substring(whole, F.lit(5), n.cast("int")), status
 
 
 @dataclass(frozen=True)
@@ -89,75 +167,37 @@ class Ternary:
     def step(self) -> int:
         return max(1, SEGMENT - self.overlap)
 
-    def strands(self, payload: bytes) -> list[str]:
-        trits = TRITS[framed(payload)].ravel()
-        n = 1 + max(0, -(-(len(trits) - SEGMENT) // self.step))
-        if n > 3**INDEX:
-            raise ValueError(f"{n} strands don't fit a {INDEX}-trit index")
-        at = np.arange(n)[:, None] * self.step + np.arange(SEGMENT)
-        body = trits[np.minimum(at, len(trits) - 1)]
-        short = at[-1] >= len(trits)
-        body[-1, short] = TAIL[: short.sum()]
-        body = (body + whitening(int(at.max()) + 1)[at]) % 3
-        index = (np.arange(n)[:, None] // 3 ** np.arange(INDEX - 1, -1, -1) % 3).astype(np.uint8)
-        return text(np.concatenate([rotate(index), rotate(body)], axis=1))
-
-    def payload(self, strands: list[str]) -> tuple[bytes | None, str]:
-        """The payload, or None and why: strands of a wrong length or base, missing ones, or a bad trit group."""
-        if not strands or any(len(s) != INDEX + SEGMENT for s in strands):
-            return None, "length"
-        codes = CODE[np.frombuffer("".join(strands).encode("ascii", "replace"), dtype=np.uint8)].reshape(len(strands), -1)
-        head, ok = unrotate(codes[:, :INDEX])
-        body, fine = unrotate(codes[:, INDEX:])
-        if not (ok & fine).all():
-            return None, "base"
-        index = head.astype(np.int64) @ 3 ** np.arange(INDEX - 1, -1, -1)
-        order = np.argsort(index, kind="stable")
-        index, body = index[order], body[order]
-        if (index != np.arange(len(index))).any():
-            return None, "missing"
-        at = index[:, None] * self.step + np.arange(SEGMENT)
-        body = (body + 3 - whitening(int(at.max()) + 1)[at]) % 3
-        trits = np.concatenate([body[:-1, : self.step].ravel(), body[-1]])
-        values = trits[: len(trits) // 6 * 6].reshape(-1, 6) @ SIXES
-        return cut(values)
-
-
-def cut(values: np.ndarray) -> tuple[bytes | None, str]:
-    """The payload behind its length, if the bytes up to there are bytes."""
-    if len(values) < 4 or (values[:4] > 255).any():
-        return None, "header"
-    n = int.from_bytes(values[:4].astype(np.uint8).tobytes(), "big")
-    body = values[4 : 4 + n]
-    if len(body) < n or (body > 255).any():
-        return None, "payload"
-    return body.astype(np.uint8).tobytes(), "ok"
-
-
-def by_rules(pairs: np.ndarray) -> np.ndarray:
-    """Base codes of rows of bit pairs; a row starts from A.
-
-    Each pair is a map from the previous base to the next, and there are only
-    two maps for each: maps compose, so a long row is done in doubling steps.
-    """
-    steps = RULES.T[pairs]  # (rows, n, previous base) -> base
-    width = 1
-    while width < pairs.shape[1]:
-        # what stands ``width`` before, applied first
-        steps[:, width:] = np.take_along_axis(steps[:, width:], steps[:, :-width].copy(), axis=2)
-        width *= 2
-    return steps[:, :, 0]
-
-
-def bit_pairs(data: np.ndarray) -> np.ndarray:
-    return ((data[:, None] >> np.array([6, 4, 2, 0])) & 3).ravel()
-
-
-def from_rules(codes: np.ndarray) -> np.ndarray:
-    """Bytes of rows of base codes whose length is a multiple of 4."""
-    before = np.concatenate([np.zeros((len(codes), 1), dtype=np.uint8), codes[:, :-1]], axis=1)
-    pairs = UNRULE[before, codes].reshape(len(codes), -1, 4).astype(np.int64)
-    return pairs @ np.array([64, 16, 4, 1])
+    def count(self, size: Column) -> Column:
+        """Strands of a payload of ``size`` bytes."""
+        return (1 + F.greatest(F.lit(0), F.ceil((6 * (size + 4) - SEGMENT) / self.step))).cast("long")
+
+    def encode(self, files: DataFrame) -> DataFrame:
+        payload, n = F.col("payload"), self.count(F.octet_length("payload").cast("long"))
+        fits = F.when(n <= 3**INDEX, n).otherwise(F.raise_error(F.lit(f"strands don't fit a {INDEX}-trit index")).cast("long"))
+
+        def piece(k: Column) -> Column:
+            at = F.floor(k * self.step / 6).cast("int")
+            behind = F.substring(payload, F.greatest(at - 4, F.lit(0)) + 1, F.lit(PIECE))
+            return F.substring(F.concat(F.substring(length_bytes(payload), at + 1, F.lit(4)), behind, F.lit(bytearray(TAIL + bytes(1)))), 1, PIECE)
+
+        pieces = F.transform(F.sequence(F.lit(0).cast("long"), fits - 1), piece)
+        others = [c for c in files.columns if c != "payload"]
+        cut_up = files.select(*others, F.posexplode(pieces).alias("strand_index", "piece"))
+        start = F.col("strand_index").cast("long") * self.step
+        return cut_up.select(*others, "strand_index", rotated("strand_index", "piece", start).alias("seq"))
+
+    def decode(self, strands: DataFrame) -> DataFrame:
+        """Bytes that two strands hold are taken from the later one.  Why a file has no payload: strands of a wrong length or base, missing ones, or a bad trit group."""
+        whole = F.coalesce(F.length("seq") == INDEX + SEGMENT, F.lit(False))
+        read = F.when(whole, F.col("seq")).otherwise("A" * (INDEX + SEGMENT))
+        opened = strands.select("file_id", whole.alias("whole"), unrotated(read, F.lit(self.step)).alias("s")).select("file_id", "whole", "s.*")
+        files = opened.groupBy("file_id").agg(
+            F.bool_and("whole").alias("whole"), F.bool_and(F.col("index").isNotNull()).alias("read"), F.array_sort(F.collect_list("index")).alias("found"),
+            F.expr("listagg(own) WITHIN GROUP (ORDER BY index)").alias("own"), F.max_by("rest", "index").alias("rest"),
+            F.least(F.min("own_bad"), F.max_by("rest_bad", "index")).alias("bad"),
+        )
+        joined = files.select("file_id", "whole", "read", _dense("found").alias("dense"), F.concat("own", "rest").alias("bytes"), "bad")
+        return _opened(joined, *cut(F.col("bytes"), F.col("bad")))
 
 
 @dataclass(frozen=True)
@@ -166,29 +206,39 @@ class TwoRule:
 
     name: str = "yin-yang"
 
-    def strands(self, payload: bytes) -> list[str]:
-        codes = by_rules(bit_pairs(framed(payload))[None, :])[0]
-        n = -(-len(codes) // CHUNK)
-        if n > 1 << 16:
-            raise ValueError(f"{n} strands don't fit a 16-bit index")
-        heads = text(by_rules(np.stack([bit_pairs(np.array([i >> 8, i & 255])) for i in range(n)])))
-        whole = BASES[codes].tobytes().decode("ascii")
-        return [h + whole[i * CHUNK : (i + 1) * CHUNK] for i, h in enumerate(heads)]
-
-    def payload(self, strands: list[str]) -> tuple[bytes | None, str]:
-        if not strands or any(len(s) <= HEAD for s in strands):
-            return None, "length"
-        heads = CODE[np.frombuffer("".join(s[:HEAD] for s in strands).encode("ascii", "replace"), dtype=np.uint8)].reshape(-1, HEAD)
-        if (heads > 3).any():
-            return None, "base"
-        index = from_rules(heads) @ np.array([256, 1])
-        order = np.argsort(index, kind="stable")
-        if (index[order] != np.arange(len(index))).any():
-            return None, "missing"
-        codes = CODE[np.frombuffer("".join(strands[i][HEAD:] for i in order).encode("ascii", "replace"), dtype=np.uint8)]
-        if (codes > 3).any():
-            return None, "base"
-        return cut(from_rules(codes[None, : len(codes) // 4 * 4])[0])
+    def count(self, size: Column) -> Column:
+        return F.ceil(4 * (size + 4) / CHUNK).cast("long")
+
+    def encode(self, files: DataFrame) -> DataFrame:
+        payload, n = F.col("payload"), self.count(F.octet_length("payload").cast("long"))
+        fits = F.when(n <= 1 << 16, F.concat(length_bytes(payload), payload)).otherwise(F.raise_error(F.lit("strands don't fit a 16-bit index")).cast("binary"))
+        others = [c for c in files.columns if c != "payload"]
+        bases = files.select(*others, ruled(fits).alias("bases"))
+        cut_up = bases.select(*others, F.posexplode(F.regexp_extract_all("bases", F.lit(f".{{1,{CHUNK}}}"), 0)).alias("strand_index", "chunk"))
+        head = F.unhex(F.lpad(F.hex(F.col("strand_index").cast("long")), 4, "0"))
+        return cut_up.select(*others, "strand_index", F.concat(ruled(head), "chunk").alias("seq"))
+
+    def decode(self, strands: DataFrame) -> DataFrame:
+        whole = F.coalesce(F.length("seq") > HEAD, F.lit(False))
+        index = F.conv(F.hex(unruled(F.when(whole, F.substring("seq", 1, HEAD)).otherwise("A" * HEAD))), 16, 10).cast("int")
+        opened = strands.select("file_id", whole.alias("whole"), index.alias("index"), F.substring(F.coalesce("seq", F.lit("")), F.lit(HEAD + 1), F.greatest(F.coalesce(F.length("seq"), F.lit(0)) - HEAD, F.lit(0))).alias("chunk"))
+        files = opened.groupBy("file_id").agg(
+            F.bool_and("whole").alias("whole"), F.bool_and(F.col("index").isNotNull()).alias("known"), F.array_sort(F.collect_list("index")).alias("found"), F.expr("listagg(chunk) WITHIN GROUP (ORDER BY index)").alias("bases")
+        )
+        joined = files.select("file_id", "whole", "known", _dense("found").alias("dense"), unruled("bases").alias("bytes"))
+        joined = joined.select("file_id", "whole", (F.col("known") & (F.col("bytes").isNotNull() | ~F.col("dense"))).alias("read"), "dense", "bytes")
+        return _opened(joined, *cut(F.col("bytes")))
+
+
+def _dense(found: str) -> Column:
+    """Whether sorted indexes are 0, 1, 2, ..."""
+    return (F.size(found) > 0) & (F.element_at(found, -1) == F.size(found) - 1) & (F.size(F.array_distinct(found)) == F.size(found))
+
+
+def _opened(files: DataFrame, payload: Column, status: Column) -> DataFrame:
+    why = F.when(~F.col("whole"), "length").when(~F.col("read"), "base").when(~F.col("dense"), "missing").otherwise(status)
+    judged = files.select("file_id", payload.alias("payload"), why.alias("status"))
+    return judged.select("file_id", F.when(F.col("status") == "ok", F.col("payload")).alias("payload"), "status")
 
 
 CODECS = {"ternary": Ternary(), "ternary-overlap": Ternary(75), "ternary-high": Ternary(112), "yinyang": TwoRule()}
@@ -196,67 +246,21 @@ CODECS = {"ternary": Ternary(), "ternary-overlap": Ternary(75), "ternary-high":
 
 def encode(files: DataFrame, codec: str = "ternary") -> DataFrame:
     """(file_id, strand_index, seq) of each file; ``files`` has file_id and payload (binary)."""
-    kind = files.schema["file_id"].dataType.simpleString()
-    how = CODECS[codec]
-
-    def run(batches):
-        for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.slice(i, 256)
-                made = [how.strands(p) if p else [] for p in part["payload"].to_pylist()]
-                n = [len(m) for m in made]
-                at = pa.array(np.repeat(np.arange(len(part)), n))
-                yield pa.record_batch({"file_id": part["file_id"].take(at), "strand_index": pa.array(np.concatenate([np.arange(k) for k in n]).astype(np.int32)), "seq": pa.array([s for m in made for s in m], pa.string())})
-
-    return files.select("file_id", "payload").mapInArrow(run, f"file_id {kind}, strand_index int, seq string")
+    return CODECS[codec].encode(files.where(F.octet_length("payload") > 0).select("file_id", "payload"))
 
 
 def decode(strands: DataFrame, codec: str = "ternary") -> DataFrame:
     """(file_id, payload, status) of each file; payload is null unless status is ``ok``."""
-    kind = strands.schema["file_id"].dataType.simpleString()
-    how = CODECS[codec]
-
-    def run(group: pa.Table) -> pa.Table:
-        payload, status = how.payload(group["seq"].to_pylist())
-        return pa.table({"file_id": group["file_id"].slice(0, 1), "payload": pa.array([payload], pa.binary()), "status": [status]})
-
-    return strands.select("file_id", "seq").groupBy("file_id").applyInArrow(run, f"file_id {kind}, payload binary, status string")
+    return CODECS[codec].decode(strands.select("file_id", "seq"))
 
 
 def collection_stats(files: DataFrame, codec: str = "ternary") -> DataFrame:
     """Per file that has strands: n_bytes, strands, nucleotides, bits_per_nt, avg_gc (mean share of a strand), max_run.
 
-    Strands are measured where they are made, so none is shuffled.
+    Strands are summed up where they are made, so a file is one row in the shuffle.
     """
-    kind = files.schema["file_id"].dataType.simpleString()
-    how = CODECS[codec]
-
-    def measure(part: pa.RecordBatch) -> pa.RecordBatch:
-        payloads = part["payload"].to_pylist()
-        made = [how.strands(p) if p else [] for p in payloads]
-        n = np.array([len(m) for m in made], dtype=np.int64)
-        strands = [s for m in made for s in m]
-        full = np.flatnonzero(n)
-        size = np.array([len(s) for s in strands], dtype=np.int64)
-        begin, file_begin = np.cumsum(size) - size, (np.cumsum(n) - n)[full]
-        data = np.frombuffer("".join(strands).encode("ascii"), dtype=np.uint8)
-        fresh = np.ones(len(data), dtype=bool)
-        fresh[1:] = data[1:] != data[:-1]
-        fresh[begin] = True
-        at = np.flatnonzero(fresh)
-        runs = np.diff(np.append(at, len(data)))
-        over = lambda f, x, where: f.reduceat(x, where) if len(where) else x[:0]
-        gc = over(np.add, ((data == 71) | (data == 67)).astype(np.int64), begin) / size
-        longest = over(np.maximum, runs, np.searchsorted(at, begin))
-        return pa.record_batch({
-            "file_id": part["file_id"].take(pa.array(full)), "n_bytes": pa.array([len(payloads[i]) for i in full], pa.int64()), "strands": pa.array(n[full]), "nucleotides": pa.array(over(np.add, size, file_begin)),
-            "avg_gc": pa.array(over(np.add, gc, file_begin) / n[full], pa.float64()), "max_run": pa.array(over(np.maximum, longest, file_begin).astype(np.int32)),
-        })
-
-    def run(batches):
-        for batch in batches:
-            for i in range(0, len(batch), 256):
-                yield measure(batch.slice(i, 256))
-
-    per = files.select("file_id", "payload").mapInArrow(run, f"file_id {kind}, n_bytes long, strands long, nucleotides long, avg_gc double, max_run int")
+    sized = files.where(F.octet_length("payload") > 0).select("file_id", F.octet_length("payload").cast("long").alias("n_bytes"), "payload")
+    made = CODECS[codec].encode(sized)
+    seq = F.col("seq")
+    per = made.groupBy("file_id", "n_bytes").agg(F.count(F.lit(1)).alias("strands"), F.sum(F.length(seq)).alias("nucleotides"), F.avg(dna.gc_content(seq)).alias("avg_gc"), F.max(dna.max_run(seq)).alias("max_run"))
     return per.withColumn("bits_per_nt", 8 * F.col("n_bytes") / F.col("nucleotides"))

@@ -29,12 +29,7 @@ def catalog(files: DataFrame, codec: str = "ternary", parity: int = PARITY, prof
 
 def strand_count(size: Column, codec: str) -> Column:
     """Data strands of a payload of ``size`` bytes, by closed form; none for an empty one."""
-    how = codecs.CODECS[codec]
-    if isinstance(how, codecs.Ternary):
-        n = 1 + F.greatest(F.lit(0), F.ceil((6 * (size + 4) - codecs.SEGMENT) / how.step))
-    else:
-        n = F.ceil(4 * (size + 4) / codecs.CHUNK)
-    return F.when(size > 0, n).otherwise(0).cast("long")
+    return F.when(size > 0, codecs.CODECS[codec].count(size)).otherwise(0).cast("long")
 
 
 def strands(files: DataFrame, codec: str = "ternary", parity: int = PARITY) -> DataFrame:

@@ -116,7 +116,7 @@ QUERIES = {
     for f in (ternary_encode, ternary_overlap_encode, yinyang_encode, codec_round_trip, fountain_round_trip, codec_comparison, codec_gc_and_runs, parity_strands, erasure_recovery, channel_stats, pool_recovery, content_ids, encryption_round_trip)
 }
 
-_TAIL = "[" + ", ".join(map(str, codecs.TAIL.tolist())) + "]"
+_TAIL = "[" + ", ".join(map(str, codecs.TRITS[list(codecs.TAIL)].ravel().tolist())) + "]"
 _FRAMED = f"""p AS (SELECT CAST(p_partkey AS BIGINT) AS file_id, encode(p_name) AS b FROM part),
 f AS (SELECT file_id, b, list_concat([0, 0, octet_length(b) // 256, octet_length(b) % 256], {sql.byte_list("b")}) AS framed FROM p)"""
 

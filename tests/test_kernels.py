@@ -4,38 +4,66 @@ import random
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna
 from helixframe.operators import codecs, consensus, constraints, fountain, noise, pool, primers, reedsolomon, search
 
 
+FILE = "file_id long, payload binary"
+
+
 @pytest.mark.parametrize("name,strands,nt", [("ternary", 4, 648), ("ternary-overlap", 7, 1134), ("yinyang", 3, 396)])
-def test_published_sizes(name, strands, nt):
-    made = codecs.CODECS[name].strands(b"x" * 89)
-    assert (len(made), sum(map(len, made))) == (strands, nt)
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.binary(min_size=1, max_size=400), st.randoms())
-def test_codecs_round_trip_in_any_order(payload, rnd):
-    for codec in codecs.CODECS.values():
-        made = codec.strands(payload)
-        rnd.shuffle(made)
-        assert codec.payload(made) == (payload, "ok")
-
-
-def test_codecs_say_what_is_wrong():
-    codec = codecs.Ternary()
-    made = codec.strands(bytes(range(256)))
-    assert codec.payload(made[:3] + made[4:])[1] == "missing"
-    assert codec.payload([made[0][:-1]] + made[1:])[1] == "length"
-    assert codec.payload(["N" + made[0][1:]] + made[1:])[1] == "base"
-    assert codec.payload([])[1] == "length"
-    body = [s[codecs.INDEX :] for s in made]
-    assert all(a != b for s in body for a, b in zip(s, s[1:]))
+def test_published_sizes(spark, name, strands, nt):
+    made = codecs.encode(spark.createDataFrame([(1, bytearray(b"x" * 89))], FILE), name).collect()
+    assert (len(made), sum(len(r["seq"]) for r in made)) == (strands, nt)
+
+
+@pytest.mark.parametrize("name", sorted(codecs.CODECS))
+def test_codecs_round_trip_in_any_order(spark, name):
+    rnd = random.Random(5)
+    payloads = dict(enumerate([b"\0", b"\xff" * 21, *(rnd.randbytes(n) for n in (*range(1, 40), 46, 71, 95, 96, 97, 400, 3000))]))
+    files = spark.createDataFrame([*((i, bytearray(p)) for i, p in payloads.items()), (-1, None), (-2, bytearray())], FILE)
+    made = codecs.encode(files, name)
+    sizes = pool.strand_count(F.octet_length("payload").cast("long"), name)
+    assert {r[0]: r[1] for r in files.select("file_id", F.coalesce(sizes, F.lit(0))).collect() if r[1]} == {r[0]: r[1] for r in made.groupBy("file_id").count().collect()}
+    back = {r["file_id"]: (r["payload"] and bytes(r["payload"]), r["status"]) for r in codecs.decode(made.orderBy(F.rand(3)), name).collect()}
+    assert back == {i: (p, "ok") for i, p in payloads.items()}
+
+
+def scalar_ternary(payload):
+    """The ternary strands of a payload, base by base."""
+    framed, n = len(payload).to_bytes(4, "big") + payload, 6 * (len(payload) + 4)
+    digits = [b // 3**k % 3 for b in framed + codecs.TAIL for k in range(5, -1, -1)]
+    white = codecs.whitening(np.arange(n + 150)).tolist()
+    out = []
+    for k in range(-(-n // 150)):
+        strand = ""
+        for part in ([k // 3**j % 3 for j in range(11, -1, -1)], [(digits[i] + white[i]) % 3 for i in range(150 * k, 150 * k + 150)]):
+            last = "A"
+            for t in part:
+                last = "ATGC".replace(last, "")[t]
+                strand += last
+        out.append(strand)
+    return out
+
+
+def test_ternary_strands_one_base_at_a_time(spark):
+    payloads = {n: random.Random(n).randbytes(n) for n in (1, 20, 21, 22, 46, 500)}
+    made = codecs.encode(spark.createDataFrame([(i, bytearray(p)) for i, p in payloads.items()], FILE)).orderBy("file_id", "strand_index").collect()
+    assert {i: [r["seq"] for r in made if r["file_id"] == i] for i in payloads} == {i: scalar_ternary(p) for i, p in payloads.items()}
+
+
+@pytest.mark.parametrize("name", ["ternary", "yinyang"])
+def test_codecs_say_what_is_wrong(spark, name):
+    made = [r["seq"] for r in codecs.encode(spark.createDataFrame([(1, bytearray(range(256)))], FILE), name).orderBy("strand_index").collect()]
+    if name == "ternary":
+        assert all(a != b for s in made for a, b in zip(s[codecs.INDEX :], s[codecs.INDEX + 1 :]))
+    wrong = {"missing": made[:2] + made[3:], "length": [made[0][:5], *made[1:]], "null": [None, *made[1:]], "base": ["N" + made[0][1:], *made[1:]], "twice": [*made, made[1]]}
+    rows = spark.createDataFrame([(k, s) for k, v in wrong.items() for s in v], "file_id string, seq string")
+    got = {r["file_id"]: (r["status"], r["payload"]) for r in codecs.decode(rows, name).collect()}
+    assert got == {k: ({"null": "length", "twice": "missing"}.get(k, k), None) for k in wrong}
+    assert codecs.decode(rows.limit(0), name).collect() == []
 
 
 def test_parity_mends_up_to_its_capacity():
