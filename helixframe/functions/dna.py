@@ -26,8 +26,9 @@ def pack(payload: Column) -> Column:
 def unpack(strand: Column) -> Column:
     """The bytes of a packed strand; bases beyond the last full byte are ignored."""
     digits = F.translate(F.substring(strand, F.lit(1), (F.floor(F.length(strand) / 4) * 4).cast("int")), BASES, "0123")
-    pairs = F.regexp_extract_all(digits, F.lit(".."), 0)
-    return F.unhex(F.array_join(F.transform(pairs, lambda p: F.substring(F.lit("0123456789ABCDEF"), F.substring(p, 1, 1).cast("int") * 4 + F.substring(p, 2, 1).cast("int") + 1, F.lit(1))), ""))
+    # 28 base-4 digits are 7 bytes, so a piece fits a long
+    pieces = F.regexp_extract_all(digits, F.lit(".{1,28}"), 0)
+    return F.unhex(F.array_join(F.transform(pieces, lambda p: F.lpad(F.conv(p, 4, 16), (F.length(p) / 2).cast("int"), F.lit("0"))), ""))
 
 
 def complement(strand: Column) -> Column:

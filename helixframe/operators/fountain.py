@@ -18,10 +18,13 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .codecs import BASES, CODE
+from ..functions import dna
+from .codecs import cut, length_bytes
 from .noise import draw
 
 
@@ -39,13 +42,6 @@ PRESETS = {"default": Preset(), "dense": Preset(20, 1.2), "resilient": Preset(12
 HEADER, GENERATION, FIRST = 32, 64, 42
 
 
-def segments(payload: bytes, size: int) -> np.ndarray:
-    """Rows of ``size`` bytes of the length and the payload, the last filled with zeros."""
-    framed = len(payload).to_bytes(4, "big") + payload
-    framed += bytes(-len(framed) % size)
-    return np.frombuffer(framed, dtype=np.uint8).reshape(-1, size)
-
-
 @lru_cache(maxsize=1 << 16)
 def subset(seed: int, k: int, preset: Preset) -> np.ndarray:
     """The segments of a droplet of a generation of k, in order."""
@@ -65,30 +61,6 @@ def needed(k: int, preset: Preset) -> int:
     return n
 
 
-def droplets(payload: bytes, preset: Preset) -> list[tuple[int, bytes]]:
-    """(number, bytes) of all droplets; the high half of a number is the generation."""
-    parts, out = segments(payload, preset.segment), []
-    for g in range(0, len(parts), GENERATION):
-        some = parts[g : g + GENERATION]
-        for s in range(FIRST, FIRST + needed(len(some), preset)):
-            out.append(((g // GENERATION << 32) + s, np.bitwise_xor.reduce(some[subset(s, len(some), preset)], axis=0).tobytes()))
-    return out
-
-
-def gathered(received: list[tuple[int, bytes]], k: int, preset: Preset) -> np.ndarray | None:
-    """All k segments of a payload, or None if some generation is stuck."""
-    by: dict[int, list[tuple[int, bytes]]] = {}
-    for s, body in received:
-        by.setdefault(s >> 32, []).append((s & 0xFFFFFFFF, body))
-    parts = []
-    for g in range(-(-k // GENERATION)):
-        part = peel(by.get(g, []), min(GENERATION, k - g * GENERATION), preset)
-        if part is None:
-            return None
-        parts.append(part)
-    return np.concatenate(parts)
-
-
 def peel(received: list[tuple[int, bytes]], k: int, preset: Preset) -> np.ndarray | None:
     """The k segments, or None if the droplets don't give all of them."""
     open_ = [(set(subset(s, k, preset).tolist()), np.frombuffer(b, dtype=np.uint8).copy()) for s, b in received]
@@ -114,51 +86,64 @@ def peel(received: list[tuple[int, bytes]], k: int, preset: Preset) -> np.ndarra
     return np.stack([known[i] for i in range(k)]) if len(known) == k else None
 
 
-def to_strand(seed: int, body: bytes) -> str:
-    data = np.frombuffer(seed.to_bytes(8, "big") + body, dtype=np.uint8)
-    return BASES[(data[:, None] >> np.array([6, 4, 2, 0])) & 3].tobytes().decode("ascii")
+def encode(files: DataFrame, preset: str = "default") -> DataFrame:
+    """(file_id, segments, strand_index, seq) of each file; ``files`` has file_id and payload.
 
+    A strand holds its generation and its droplet number as four bytes each, then
+    the droplet.  Files without bytes have no strands.
+    """
+    how = PRESETS[preset]
+    size, payload = F.octet_length("payload"), F.col("payload")
+    width = GENERATION * how.segment
+    parts = F.ceil((size + 4) / how.segment).cast("int")
 
-def from_strand(strand: str) -> tuple[int, bytes] | None:
-    """Seed and bytes; None for a strand that is too short, not whole bytes, or not bases."""
-    codes = CODE[np.frombuffer(strand.encode("ascii", "replace"), dtype=np.uint8)]
-    if len(codes) <= HEADER or len(codes) % 4 or (codes > 3).any():
-        return None
-    data = (codes.reshape(-1, 4) @ np.array([64, 16, 4, 1])).astype(np.uint8).tobytes()
-    return int.from_bytes(data[:8], "big"), data[8:]
+    def piece(g: Column) -> Column:
+        at = g * width
+        behind = F.substring(payload, F.greatest(at - 4, F.lit(0)) + 1, F.lit(width))
+        return F.substring(F.concat(F.substring(length_bytes(payload), at + 1, F.lit(4)), behind), 1, width)
 
+    @F.pandas_udf(T.ArrayType(T.BinaryType()))
+    def droplets(body: pd.Series) -> pd.Series:
+        """The droplets of a generation, from number FIRST on."""
 
-def encode(files: DataFrame, preset: str = "default") -> DataFrame:
-    """(file_id, segments, strand_index, seq) of each file; ``files`` has file_id and payload."""
-    kind = files.schema["file_id"].dataType.simpleString()
-    how = PRESETS[preset]
+        def one(data: bytes) -> list[bytes]:
+            some = np.frombuffer(data + bytes(-len(data) % how.segment), dtype=np.uint8).reshape(-1, how.segment)
+            return [np.bitwise_xor.reduce(some[subset(s, len(some), how)], axis=0).tobytes() for s in range(FIRST, FIRST + needed(len(some), how))]
 
-    def run(batches):
-        for batch in batches:
-            for i in range(0, len(batch), 64):
-                part = batch.slice(i, 64)
-                made = [[to_strand(*d) for d in droplets(p, how)] if p else [] for p in part["payload"].to_pylist()]
-                size = [-(-(len(p) + 4) // how.segment) if p else 0 for p in part["payload"].to_pylist()]
-                n = [len(m) for m in made]
-                at = pa.array(np.repeat(np.arange(len(part)), n))
-                yield pa.record_batch({"file_id": part["file_id"].take(at), "segments": pa.array(np.repeat(size, n).astype(np.int32)), "strand_index": pa.array(np.concatenate([np.arange(k) for k in n]).astype(np.int32)), "seq": pa.array([s for m in made for s in m], pa.string())})
+        return body.map(one)
 
-    return files.select("file_id", "payload").mapInArrow(run, f"file_id {kind}, segments int, strand_index int, seq string")
+    generations = F.transform(F.sequence(F.lit(0), F.ceil(parts / GENERATION).cast("int") - 1), piece)
+    cut_up = files.where(size > 0).select("file_id", parts.alias("segments"), F.posexplode(generations).alias("generation", "body"))
+    made = cut_up.select("file_id", "segments", "generation", F.posexplode(droplets("body")).alias("number", "body"))
+    word = lambda n: F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0"))
+    seq = dna.pack(F.concat(word(F.col("generation")), word(F.col("number") + FIRST), F.col("body")))
+    return made.select("file_id", "segments", (F.col("generation") * needed(GENERATION, how) + F.col("number")).alias("strand_index"), seq.alias("seq"))
 
 
 def decode(strands: DataFrame, preset: str = "default") -> DataFrame:
-    """(file_id, payload, status) from what strands of each file are left (file_id, segments, seq)."""
-    kind = strands.schema["file_id"].dataType.simpleString()
-    how = PRESETS[preset]
+    """(file_id, payload, status) from what strands of each file are left (file_id, segments, seq).
 
-    def run(group: pa.Table) -> pa.Table:
-        got = [d for d in map(from_strand, group["seq"].to_pylist()) if d and len(d[1]) == how.segment]
-        parts = gathered(got, group["segments"][0].as_py(), how)
-        payload, status = None, "stuck"
-        if parts is not None:
-            whole = parts.tobytes()
-            n = int.from_bytes(whole[:4], "big")
-            payload, status = (whole[4 : 4 + n], "ok") if n <= len(whole) - 4 else (None, "header")
-        return pa.table({"file_id": group["file_id"].slice(0, 1), "payload": pa.array([payload], pa.binary()), "status": [status]})
-
-    return strands.select("file_id", "segments", "seq").groupBy("file_id").applyInArrow(run, f"file_id {kind}, payload binary, status string")
+    Strands that are null, of another length or no bases count as lost.  A
+    generation peels by itself, so a file of any size is many small groups.
+    """
+    how = PRESETS[preset]
+    good = (F.length("seq") == HEADER + 4 * how.segment) & F.col("seq").rlike("^[ATGC]+$")
+    data = strands.select("file_id", "segments", F.when(good, dna.unpack(F.col("seq"))).alias("data"))
+    generation = F.conv(F.hex(F.substring("data", 1, 4)), 16, 10).cast("long")
+    left = data.withColumn("generation", generation).groupBy("file_id", "segments", "generation").agg(F.collect_set("data").alias("received"))
+
+    @F.pandas_udf(T.BinaryType())
+    def peeled(received: pd.Series, k: pd.Series) -> pd.Series:
+        def one(some: list[bytes], n: int) -> bytes | None:
+            found = peel([(int.from_bytes(d[4:8], "big"), d[8:]) for d in some], n, how) if n > 0 else None
+            return None if found is None else found.tobytes()
+
+        return pd.Series([one(some, int(n)) for some, n in zip(received, k, strict=True)], dtype=object)
+
+    k = F.coalesce(F.least(F.lit(GENERATION), F.col("segments") - F.col("generation") * GENERATION), F.lit(0)).cast("int")
+    parts = left.select("file_id", "segments", "generation", peeled("received", k).alias("part"))
+    whole = parts.groupBy("file_id", "segments").agg(F.count("part").alias("n"), F.expr("listagg(part) WITHIN GROUP (ORDER BY generation)").alias("bytes"))
+    payload, status = cut(F.col("bytes"))
+    why = F.when(F.col("n") < F.ceil(F.col("segments") / GENERATION), "stuck").otherwise(status)
+    judged = whole.select("file_id", payload.alias("payload"), why.alias("status"))
+    return judged.select("file_id", F.when(F.col("status") == "ok", F.col("payload")).alias("payload"), "status")

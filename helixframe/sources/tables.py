@@ -16,9 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` over all cores where they come in fewer files than there are cores; else as they are."""
+    """``rows`` over all cores where they come in fewer partitions than there are cores; else as they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:

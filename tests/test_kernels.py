@@ -89,15 +89,17 @@ def test_field_inverse_and_lagrange():
 
 
 @pytest.mark.parametrize("preset", sorted(fountain.PRESETS))
-def test_fountain_peels(preset):
-    how = fountain.PRESETS[preset]
-    for n in (1, 16, 500, 3000):
-        payload = random.Random(n).randbytes(n)
-        made = [fountain.from_strand(fountain.to_strand(*d)) for d in fountain.droplets(payload, how)]
-        whole = fountain.gathered(made[::-1], len(fountain.segments(payload, how.segment)), how).tobytes()
-        assert whole[4 : 4 + n] == payload
-    assert fountain.gathered([], 3, how) is None
-    assert fountain.from_strand("ATGC") is None
+def test_fountain_peels(spark, preset):
+    payloads = {n: random.Random(n).randbytes(n) for n in (1, 12, 16, 500, 764, 3000)}
+    files = spark.createDataFrame([*((i, bytearray(p)) for i, p in payloads.items()), (-1, None), (-2, bytearray())], FILE)
+    made = fountain.encode(files, preset)
+    assert made.dropDuplicates(["file_id", "strand_index"]).count() == made.count()
+    # droplets that come twice, lost ones and ones that aren't bases
+    noisy = made.unionByName(made.where("strand_index % 3 = 0")).unionByName(made.limit(40).withColumn("seq", F.lit("ATGN"))).unionByName(made.limit(5).withColumn("seq", F.lit(None).cast("string")))
+    got = {r["file_id"]: (r["status"], bytes(r["payload"])) for r in fountain.decode(noisy.orderBy(F.rand(1)), preset).collect()}
+    assert got == {i: ("ok", p) for i, p in payloads.items()}
+    few = fountain.decode(made.where("file_id = 3000 and strand_index % 5 = 0 or file_id = 1").withColumn("seq", F.expr("if(file_id = 1, 'AT', seq)")), preset).collect()
+    assert sorted((r["file_id"], r["status"], r["payload"]) for r in few) == [(1, "stuck", None), (3000, "stuck", None)]
 
 
 def test_consensus_of_nanopore_reads():
@@ -114,6 +116,12 @@ def test_consensus_of_nanopore_reads():
     assert consensus.consensus(["ATG", "ATG", "ATC"])[0] == "ATG"
 
 
+def test_unpack_is_the_inverse_of_pack(spark):
+    rows = [(bytearray(random.Random(n).randbytes(n)),) for n in (0, 1, 6, 7, 8, 13, 14, 15, 200)] + [(bytearray(b"\xff" * 21),), (None,)]
+    back = spark.createDataFrame(rows, "b binary").select("b", dna.unpack(dna.pack(F.col("b"))).alias("back")).collect()
+    assert all(r["b"] == r["back"] for r in back)
+
+
 def test_scalar_functions(spark):
     row = spark.range(1).select(
         dna.pack(F.lit(bytearray(b"\x1b\xff"))).alias("pack"), dna.unpack(F.lit("ATGCCCCCA")).alias("unpack"), dna.gc_content(F.lit("")).alias("gc"), dna.max_run(F.lit("AATTTG")).alias("run"),
