@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .storage import scratch_path, shuffle_partitions
 
-#: Words whose ids a worker keeps; twice as many take 3 GB of an executor with two workers.
+#: Words whose ids a worker keeps.
 WORD_CACHE = 500_000
 SIGNS = b'.,;:!?*#%&$@)"]'
 #: Bytes that byte-level pieces don't write as the Latin-1 character of that number, with the one that they do: U+0100 and on.
@@ -157,6 +157,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Frees the words that this worker has kept, as reading needs none."""
+    _encoders.clear()
+
+
 #: Characters encoded at once, and ids in one Arrow batch on the way to the file.
 TEXT_AT_ONCE, IDS_AT_ONCE = 1 << 20, 1 << 20
 
@@ -205,9 +210,10 @@ def digest(tokens: DataFrame) -> DataFrame:
     id_type = tokens.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        forget()
         for batch in batches:
             ids = batch["ids"]
-            values, bounds = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), ids.offsets.to_numpy()
+            values, bounds = ids.values.to_numpy(zero_copy_only=False).view("<u4"), ids.offsets.to_numpy()
             crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.record_batch({"doc_id": batch["doc_id"], "start": batch["start"], "n_tokens": pa.array(np.diff(bounds).astype(np.int64)), "ids_crc32": pa.array(crc, pa.int64())})
 
