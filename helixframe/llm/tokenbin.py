@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,19 +25,14 @@ from pyspark.sql import functions as F
 
 from .storage import scratch_path, shuffle_partitions
 
-#: Words whose ids a worker keeps.
-WORD_CACHE = 500_000
+#: Words whose ids a worker keeps, but for those that one call adds.
+WORD_CACHE = 250_000
 SIGNS = b'.,;:!?*#%&$@)"]'
 #: Bytes that byte-level pieces don't write as the Latin-1 character of that number, with the one that they do: U+0100 and on.
 _MOVED = [*range(33), *range(127, 161), 173]
 MOVED = [(chr(b), chr(256 + i)) for i, b in enumerate(_MOVED) if b > 127]
 
 
-def bounded(cache: dict, size: int) -> dict:
-    """The cache, or the newer half of it when it has grown beyond ``size``."""
-    return cache if len(cache) <= size else dict(islice(cache.items(), len(cache) // 2, None))
-
-
 def is_latin(word: bytes) -> bool:
     """Lower-case letters up to U+024F only."""
     text = word.decode()
@@ -49,7 +43,9 @@ class Encoder:
     """A tokenizers file as a function from texts to id arrays.
 
     If the file lower-cases and never lets a token cross white space, ids of
-    words are kept and reused, as words repeat far more than texts do.
+    words are kept and reused, as words repeat far more than texts do.  When
+    ``words`` holds half of what may be kept it becomes ``older``, from which
+    words that are met again come back; so frequent words always stay.
     """
 
     def __init__(self, path: str):
@@ -68,6 +64,7 @@ class Encoder:
             self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @staticmethod
     def _splits_at_space(spec: dict) -> bool:
@@ -133,11 +130,15 @@ class Encoder:
         """Little-endian 32-bit ids of each text."""
         if not self.by_word:
             return [self._direct(t) if t else b"" for t in texts]
-        self.words = bounded(self.words, WORD_CACHE)
+        if len(self.words) > WORD_CACHE // 2:
+            self.older, self.words = self.words, {}
         split = [None if t and "<|" in t else (t or "").encode().lower().split() for t in texts]  # "<|": may be a special token
         ids = [s and list(map(self.words.get, s)) for s in split]
         gaps = [(s, x) for s, x in zip(split, ids, strict=True) if s and None in x]
-        self._learn({w for s, x in gaps for w, y in zip(s, x, strict=True) if y is None})
+        missing = {w for s, x in gaps for w, y in zip(s, x, strict=True) if y is None}
+        again = missing & self.older.keys()
+        self.words.update((w, self.older[w]) for w in again)
+        self._learn(missing - again)
         for s, x in gaps:
             k = -1
             for _ in range(x.count(None)):
