@@ -243,6 +243,17 @@ def test_encoder_equals_library_on_odd_texts():
     assert e.encode(made) == [e._direct(t) for t in made]
 
 
+def test_encoder_keeps_frequent_words_and_no_more_than_it_may(monkeypatch):
+    import random
+
+    monkeypatch.setattr(tokenbin, "WORD_CACHE", 40)
+    e, rnd = tokenbin.Encoder(queries.tokenizer_path()), random.Random(6)
+    for k in range(60):
+        made = [f"the {rnd.choice('abcde')}{rnd.randint(0, 99)}é, of the, word{'xyz'[k % 3]}" for _ in range(5)]
+        assert e.encode(made) == [e._direct(t) for t in made]
+        assert b"the" in e.words and len(e.words) + len(e.older) <= 40 + 2 * 5 * 5
+
+
 def reference_fingerprint(text):
     words = (text or "").encode().lower().split()
     if not words:
