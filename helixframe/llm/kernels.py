@@ -1,9 +1,8 @@
 """Vectorised text kernels that run on Arrow batches inside Spark tasks.
 
 A batch's text column is one UTF-8 buffer plus row offsets.  The kernels find
-the words in that buffer with a 256-entry byte table, hash every word with a
-Rabin-Karp polynomial modulo 2**64, and roll those word hashes into hashes of
-fixed-length word windows.  Null and empty texts hold no words.
+the words in that buffer with a 256-entry byte table, hash every word, and roll
+those word hashes into Rabin-Karp hashes of fixed-length word windows.  Null and empty texts hold no words.
 
 Memory is bounded by ``PIECE`` bytes of text (a row longer than that is hashed
 piece by piece, cut between words), plus 8 bytes or so for each word of the
@@ -19,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 20
-#: Odd 64-bit multipliers of the polynomials of bytes, of words, and of words again.
+#: Odd 64-bit multipliers of bytes, and of the polynomials of words, and of words again.
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD1342543DE82EF95
 OTHER_BASE = 0xAF251AF3B0F025B5
@@ -124,9 +123,16 @@ def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACED
     return Words(data, start, end, np.searchsorted(start, offsets, side="left"))
 
 
-def hash_words(words: Words, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same wherever the word stands."""
+def hash_words(words: Words, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, the same wherever the word stands.
+
+    Every byte at every place of a word has a pseudo-random number of its own,
+    and a word's hash is their sum: unlike a polynomial modulo 2**64, no pattern
+    of bytes makes the sums of two words meet.  Hashes of unlike seeds are
+    independent.
+    """
     out = np.empty(len(words.start), dtype=np.uint64)
+    seeded = mix(np.array([seed], dtype=np.uint64) + np.uint64(BYTE_BASE))[0]
     i, n = 0, len(out)
     while i < n:
         lo = int(words.start[i])
@@ -136,16 +142,13 @@ def hash_words(words: Words, lower: bool = False) -> np.ndarray:
         if lower:
             piece = LOWER[piece]
         start, end = words.start[i:j] - lo, words.end[i:j] - lo
-        values = piece.astype(np.uint64)
-        values += np.uint64(1)
-        values *= power_table(BYTE_BASE, len(values))
+        values = np.arange(hi - lo) - np.repeat(start, np.diff(np.append(start, hi - lo)))
+        values = mix((values.astype(np.uint64) << np.uint64(8) | piece) * np.uint64(BYTE_BASE) + seeded)
         bounds = np.empty(2 * len(start), dtype=np.int64)
         bounds[0::2], bounds[1::2] = start, end
         if bounds[-1] == len(values):
             bounds = bounds[:-1]
-        sums = np.add.reduceat(values, bounds)[0::2]
-        sums *= power_table(BYTE_BASE, len(values) + 1, inverse=True)[start]
-        out[i:j] = mix(sums + (end - start).astype(np.uint64))
+        out[i:j] = mix(np.add.reduceat(values, bounds)[0::2] + (end - start).astype(np.uint64))
         i = j
     return out
 

@@ -4,10 +4,13 @@ Every window of every document gets a rolling Rabin-Karp hash.  Documents are
 dealt to blocks by a hash of their id and text; a block sends the sorted
 distinct hashes of its windows, packed 8 bytes each, to the hash ranges they
 fall in.  A range counts them over all blocks and answers with one bit a hash.
-The windows whose bit is set are asked for once more, by a second hash that is
-independent of the first; each block then cuts those that are again found
-elsewhere, merged into maximal intervals.  Unlike windows pass both rounds with
-a chance of less than one window in 100 TB of text.  A hash that a third of all
+The windows whose bit is set are asked for once more, by a second hash whose
+words' hashes and multiplier are others; each block then cuts those that are
+again found elsewhere, merged into maximal intervals.  Words aren't compared.
+Words' hashes are sums of a random number for each byte and place, so no pattern
+makes unlike words meet; a window's polynomial modulo 2**64 has 45 good bits at
+worst (two words that alternate like the Thue-Morse sequence), 64 otherwise, and
+both rounds must fail for a wrong cut.  A hash that a third of all
 windows share is sent once by a block, so no range grows with it.  Blocks and
 ranges are numbered by bytes of text, so a group's size is bounded.
 
@@ -32,15 +35,16 @@ SPANS = "array<struct<start:int,end:int>>"
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Bytes of text, about, for a block and for a range of hashes.
 BLOCK_BYTES, RANGE_BYTES = 32 << 20, 64 << 20
+OTHER_SEED = 1
 
 
-def block_windows(text: pa.ChunkedArray, width: int, base: int = K.WORD_BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+def block_windows(text: pa.ChunkedArray, width: int, base: int = K.WORD_BASE, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     """Window hashes of a block, the word at which each starts, the first word of each row, and the texts' bytes and bounds."""
     data, offsets = K.text_buffers(text)
     found, starts, firsts, seen = [], [], [np.zeros(1, dtype=np.int64)], 0
     for i, j in K.chunks(data, offsets, 4 * K.PIECE):
         words = K.find_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        hashes = K.hash_windows(K.hash_words(words), width, base)
+        hashes = K.hash_windows(K.hash_words(words, seed=seed), width, base)
         inside = np.flatnonzero(K.window_starts(words.first, width))
         found.append(hashes[inside])
         starts.append(inside + seen)
@@ -106,7 +110,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
         if not answers.num_rows:
             return sent_keys(0, np.zeros(0, dtype=np.uint64))
         again = repeats(block_windows(group["text"], width)[0], answers)
-        return sent_keys(group["block"][0].as_py(), block_windows(group["text"], width, K.OTHER_BASE)[0][again])
+        return sent_keys(group["block"][0].as_py(), block_windows(group["text"], width, K.OTHER_BASE, OTHER_SEED)[0][again])
 
     def counted(group: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], list[int]]:
         """The keys sent to a range, which of them are repeated, and the senders that have any such."""
@@ -132,7 +136,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
         return pa.table({"block": group["block"].take(pa.array(hit, pa.int64())), "keys": pa.array([sent[i][masks[i]].tobytes() for i in hit], pa.binary())})
 
     def cut(group: pa.Table, answers: pa.Table) -> pa.Table:
-        hashes, starts, first, (data, offsets) = block_windows(group["text"], width, K.OTHER_BASE)
+        hashes, starts, first, (data, offsets) = block_windows(group["text"], width, K.OTHER_BASE, OTHER_SEED)
         total = int(first[-1])
         cover = np.zeros(total + 1, dtype=np.int32)
         gone = starts[np.isin(hashes, np.frombuffer(b"".join(answers["keys"].to_pylist()), dtype=np.uint64))]
