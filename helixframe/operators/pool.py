@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, dna
+from ..sources.tables import written
 from . import codecs, consensus, noise, reedsolomon
+from . import parity as stripes
 
 PARITY = 4
 
@@ -34,7 +36,9 @@ def strand_count(size: Column, codec: str) -> Column:
 
 def strands(files: DataFrame, codec: str = "ternary", parity: int = PARITY) -> DataFrame:
     """Data and parity strands of ``files`` (file_id, payload): file_id, stripe, source_index, is_parity, seq."""
-    return reedsolomon.add_parity(codecs.encode(files, codec), parity)
+    n = strand_count(F.octet_length("payload").cast("long"), codec)
+    sized = files.where(F.octet_length("payload") > 0).select("file_id", "payload", n.alias("data_strands"))
+    return stripes.add_parity(codecs.CODECS[codec].encode(sized), parity)
 
 
 def tagged_size(data: Column, parity: Column) -> Column:
@@ -102,18 +106,80 @@ def recover(reads: DataFrame, shape: DataFrame, codec: str = "ternary", parity:
 
     ``reads`` has file_id, stripe, source_index, is_parity, seq; ``shape`` has
     file_id, data_strands, content_hash.  Gives file_id, payload, status (``ok``,
-    or what failed first), mended symbols and mean confidence.
+    or what failed first), rounds (of retries after which it was ok, or that were
+    tried), mended (strands that parity gave) and mean confidence.
+
+    Files whose hash fails come back: stripes whose spare strands contradict the
+    others leave out strands, the least confident first, until what is left
+    agrees; see ``retried``.  What then still fails is searched for wrong bases
+    place by place.
     """
-    voted = consensus.by_group(reads, "file_id", "stripe", "source_index", "is_parity")
+    voted = written(consensus.by_group(reads, "file_id", "stripe", "source_index", "is_parity"), "voted")
+    spine = shape.select("file_id", F.col("data_strands").alias("_all"), "content_hash")
     width = max(1, reedsolomon.BLOCK - parity)
-    spine = shape.select("file_id", F.col("data_strands").alias("_all"), F.col("content_hash"))
     in_stripe = F.least(F.lit(width), F.col("_all") - F.col("stripe") * width).cast("int")
-    sized = voted.join(spine, "file_id").withColumn("data_strands", in_stripe)
-    mended = reedsolomon.recover(sized.select("file_id", "stripe", "source_index", "is_parity", "seq", "data_strands"), parity)
-    decoded = codecs.decode(mended, codec)
+    rows = voted.join(spine, "file_id").withColumn("data_strands", in_stripe).withColumn("parity", F.lit(parity))
+    first = stripes.mend(rows, parity)
+    tried = written(judged(first, spine, codec).withColumn("rounds", F.lit(0)), "tried")
+    done = tried
+    if parity:
+        failed = tried.where("status not in ('ok', 'lost')").select("file_id")
+        for n in range(1, parity + 1):
+            if not failed.head(1):
+                break
+            again = written(judged(retried(rows.join(failed, "file_id", "left_semi"), parity, n), spine, codec, left=failed).withColumn("rounds", F.lit(n)), "tried")
+            done, failed = replaced(done, again.where("status = 'ok'")), again.where("status != 'ok'").select("file_id")
+        if failed.head(1):
+            left = rows.join(failed, "file_id", "left_semi").select("file_id", "stripe", "source_index", "is_parity", "seq", "data_strands")
+            fixed = reedsolomon.recover(left, parity).select("file_id", F.floor(F.col("strand_index") / width).cast("int").alias("stripe"), "seq", (F.col("mended") > 0).alias("mended"))
+            done = replaced(done, written(judged(fixed, spine, codec, left=failed).withColumn("rounds", F.lit(parity + 1)), "tried").where("status = 'ok'"))
     confidence = voted.groupBy("file_id").agg(F.avg("avg_confidence").alias("confidence"))
-    symbols = mended.groupBy("file_id", F.floor(F.col("strand_index") / width)).agg(F.max("mended").alias("m")).groupBy("file_id").agg(F.sum("m").alias("mended"))
+    return done.join(confidence, "file_id", "left")
+
+
+def replaced(rows: DataFrame, newer: DataFrame) -> DataFrame:
+    """``rows`` with the files of ``newer`` as they are there."""
+    return rows.join(newer.select("file_id"), "file_id", "left_anti").unionByName(newer)
+
+
+def judged(data: DataFrame, spine: DataFrame, codec: str, left: DataFrame | None = None) -> DataFrame:
+    """Each file of ``spine`` (of those in ``left``, if it is given) decoded from its data strands: file_id, payload, status, mended."""
+    if left is not None:
+        spine = spine.join(left, "file_id", "left_semi")
+    decoded = codecs.decode(data, codec)
+    mended = data.groupBy("file_id").agg(F.count_if("mended").alias("mended"))
     right = bits.content_hash(F.col("payload")) == F.col("content_hash")
     status = F.when(F.col("status").isNull(), "lost").when(F.col("status") != "ok", F.col("status")).when(right, "ok").otherwise("hash")
-    out = spine.join(decoded, "file_id", "left").join(confidence, "file_id", "left").join(symbols, "file_id", "left")
-    return out.select("file_id", F.when(right, F.col("payload")).alias("payload"), status.alias("status"), F.coalesce("mended", F.lit(0)).alias("mended"), "confidence")
+    out = spine.join(decoded, "file_id", "left").join(mended, "file_id", "left")
+    return out.select("file_id", F.when(right, F.col("payload")).alias("payload"), status.alias("status"), F.coalesce("mended", F.lit(0)).alias("mended"))
+
+
+def retried(rows: DataFrame, parity: int, n: int) -> DataFrame:
+    """Data strands of failed files after round ``n``: file_id, seq, mended.
+
+    A stripe whose spare strands agree with the others stays.  In any other, the
+    n - 1 least confident strands and one more are left out, whichever it is;
+    of the choices that leave the rest in agreement that with the least
+    confident one more counts.  Where no strand would be left to agree, only the
+    n least confident ones are left out.
+    """
+    key = ["file_id", "stripe"]
+    kept = [*key, "source_index", "is_parity", "seq", "data_strands", "parity"]
+    rows = rows.where(F.length("seq") > 0)
+    # a stripe has at most 256 strands
+    order = Window.partitionBy(*key).orderBy(F.desc("contested"), "min_confidence", "source_index")
+    ranked = written(rows.select(*kept, F.row_number().over(order).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy(*key)).alias("present")), "ranked")
+    fine = written(stripes.checked(ranked, parity), "checked")
+    wrong = fine.where("not consistent").select(*key)
+    bad = ranked.join(wrong, key, "left_semi")
+    spare = F.col("present") - F.col("data_strands")
+    choices = F.when(spare > n, F.sequence(F.lit(n), F.col("present").cast("int"))).when(spare == n, F.array(F.lit(n))).otherwise(F.array().cast("array<int>"))
+    trials = bad.select(*kept, "rank", F.explode(choices).alias("choice")).where((F.col("rank") >= n) & (F.col("rank") != F.col("choice")))
+    named = trials.withColumn("file_id", F.struct("file_id", "choice"))
+    good = stripes.checked(named, parity).where("consistent").select("file_id.file_id", "stripe", "file_id.choice", "values")
+    best = written(good.groupBy(*key).agg(F.min_by("values", "choice").alias("values"), F.min("choice").alias("choice")), "best")
+    # strands that were left out come from parity, the others as they are
+    chosen = ranked.join(best.select(*key, "choice"), key, "left").where("not is_parity and (choice is null or (rank >= %d and rank != choice))" % n)
+    given = fine.where("consistent").select(*key, "values").unionByName(best.select(*key, "values"))
+    given = given.select("file_id", F.explode("values").alias("value")).select("file_id", "value.seq", F.lit(True).alias("mended")).where("seq is not null")
+    return chosen.select("file_id", "seq", F.lit(False).alias("mended")).unionByName(given)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import codecs, fountain, noise, pool, reedsolomon
+from ..operators import codecs, fountain, noise, parity, pool, reedsolomon
 from ..sources.tables import document_files, part_files
 from . import sql
 
@@ -75,7 +75,7 @@ def erasure_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     width = reedsolomon.BLOCK - 4
     left = stored.where("is_parity or source_index >= 4").join(counts.withColumnRenamed("data_strands", "n"), "file_id")
     sized = left.withColumn("data_strands", F.least(F.lit(width), F.col("n") - F.col("stripe") * width).cast("int"))
-    return _checked(codecs.decode(reedsolomon.recover(sized, 4), "ternary"))
+    return _checked(codecs.decode(parity.mend(sized.withColumn("parity", F.lit(4)), 4), "ternary"))
 
 
 def channel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
+_scratch: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,9 +36,27 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; in a local folder where that is unset."""
+    """A new path in ``spark.checkpoint.dir``; where that is unset, a local folder in local mode, as in tests, and an error on a cluster."""
     context = spark.sparkContext
-    place = context.getConf().get("spark.checkpoint.dir")
+    place = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         place = _local.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="helixframe-"))
-    return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.setdefault(context.applicationId, []).append(path)
+    return path
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a Parquet table in a scratch folder: computed once, and there after executors are lost."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes what this session has written on its way; results that rest on it can't be read afterwards."""
+    for path in _scratch.pop(spark.sparkContext.applicationId, []):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
