@@ -52,6 +52,28 @@ def codec(text: Column) -> Column:
     return F.when(named.isin("ternary", "ternary-rotating-cipher"), "ternary-rotating-cipher").when(named.isin("yin-yang", "yinyang", "yin_yang"), "yin-yang").otherwise(named)
 
 
+#: The words that data and a query follow, in the order they are looked for.
+DATA_WORDS, QUERY_WORDS = ("data", "content", "text", "message"), ("search", "find", "query", "look for")
+
+
+def behind(text: Column, word: str, low: Column) -> Column:
+    """What follows the first place of a word, trimmed; null if there is none or nothing."""
+    at = F.instr(low, word)
+    return F.when(at > 0, F.nullif(F.trim(F.substring(text, at + len(word), F.length(text))), F.lit("")))
+
+
+def data(text: Column) -> Column:
+    """What follows ``data``, ``content``, ``text`` or ``message`` and colons, equal signs or spaces: what is quoted there, or all of it; empty if none."""
+    rest = lambda w: F.nullif(F.regexp_replace(behind(text, w, F.lower(text)), "^[:= ]+", ""), F.lit(""))
+    given = F.coalesce(*map(rest, DATA_WORDS), F.lit(""))
+    return F.when(given.rlike('^"[^"]*"'), F.regexp_extract(given, '^"([^"]*)"', 1)).otherwise(given)
+
+
+def query(text: Column) -> Column:
+    """The lower-cased text behind ``search``, ``find``, ``query`` or ``look for``; null if none."""
+    return F.coalesce(*(behind(F.lower(text), w, F.lower(text)) for w in QUERY_WORDS))
+
+
 def plans(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """``texts`` with tool, filename, redundancy (2 for a store that names none) and codec."""
     text = F.col(text_col)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dna
+from ..sources.tables import written
 from .codecs import CODE
 from .reedsolomon import BLOCK, EXP, LOG, stripe
 
@@ -118,8 +119,8 @@ def mend(strands: DataFrame, most: int) -> DataFrame:
     (of the stripe) and parity (strands of the stripe, ``most`` at most); a seq
     that is null, empty or not there is lost.  Up to ``parity`` strands of a
     stripe may be lost; beyond that, those that are left come back alone.  A lost
-    strand has the length of the longest that is left.  Only what is there of a
-    harmed stripe is read for it, and stripes without a loss are passed on.
+    strand has the length of the longest that is left.  Which stripes are harmed
+    is found first, from the strands' places alone; only those are mended.
     """
     there = strands.where(F.length("seq") > 0).select("file_id", "stripe", "source_index", "is_parity", "seq", "data_strands", "parity")
     data = there.where(~F.col("is_parity")).select("file_id", "stripe", "source_index", "seq", F.lit(False).alias("mended"))
@@ -128,7 +129,9 @@ def mend(strands: DataFrame, most: int) -> DataFrame:
     key = ["file_id", "stripe"]
     # one number a strand leaves the scan; a stripe has at most 256
     k = F.col("k")
-    harmed = losses(there).where(F.exists("lost", lambda x: x < k))
+    harmed = written(losses(there).where(F.exists("lost", lambda x: x < k)), "harmed")
+    if not harmed.head(1):
+        return data
     plan = harmed.select(*key, "n", F.concat("lost", "spare").alias("excluded"), F.filter("lost", lambda x: x < k).alias("targets"))
     made = targeted(there.dropDuplicates([*key, "source_index"]), plan, most)
     made = made.select(*key, "source_index", data_strand(F.col("symbols")).alias("seq"), F.lit(True).alias("mended"))

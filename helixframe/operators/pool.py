@@ -34,6 +34,14 @@ def strand_count(size: Column, codec: str) -> Column:
     return F.when(size > 0, codecs.CODECS[codec].count(size)).otherwise(0).cast("long")
 
 
+def nucleotides() -> Column:
+    """Bases of a catalog row's strands, by closed form."""
+    two_rule = F.col("codec") == "yinyang"
+    data = F.when(two_rule & (F.col("size") > 0), 4 * (F.col("size") + 4) + codecs.HEAD * F.col("data_strands")).otherwise((codecs.INDEX + codecs.SEGMENT) * F.col("data_strands"))
+    width = F.when(two_rule, F.least(F.lit(codecs.HEAD + codecs.CHUNK), codecs.HEAD + 4 * (F.col("size") + 4))).otherwise(codecs.INDEX + codecs.SEGMENT)
+    return data + 4 * width * F.col("parity_strands")
+
+
 def strands(files: DataFrame, codec: str = "ternary", parity: int = PARITY) -> DataFrame:
     """Data and parity strands of ``files`` (file_id, payload): file_id, stripe, source_index, is_parity, seq."""
     n = strand_count(F.octet_length("payload").cast("long"), codec)
@@ -137,6 +145,30 @@ def recover(reads: DataFrame, shape: DataFrame, codec: str = "ternary", parity:
     return done.join(confidence, "file_id", "left")
 
 
+def observed_errors(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
+    """Strands as they came and as they were recovered, place by place: keys, compared, mismatches, error_rate, places (0-based, of the mismatches).
+
+    Both have the ``keys`` and seq.  A strand that only one side has isn't
+    compared, nor is what lies behind the end of the shorter.
+    """
+    pairs = before.select(*keys, F.col("seq").alias("_before")).join(after.select(*keys, F.col("seq").alias("_after")), [*keys])
+    n = F.least(F.length("_before"), F.length("_after"))
+    differs = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.substring("_before", i + 1, F.lit(1)) != F.substring("_after", i + 1, F.lit(1)))
+    places = F.when(F.col("_before") == F.col("_after"), F.array().cast("array<int>")).otherwise(differs)
+    found = pairs.where(n > 0).select(*keys, n.alias("compared"), places.alias("places"))
+    return found.select(*keys, "compared", F.size("places").alias("mismatches"), (F.size("places") / F.col("compared")).alias("error_rate"), "places")
+
+
+def errors_by_place(observed: DataFrame) -> DataFrame:
+    """Mismatches at each place of a strand that has any: place, mismatches."""
+    return observed.select(F.explode("places").alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("mismatches"))
+
+
+def bytes_per_strand(size: Column, data_strands: Column) -> Column:
+    """Payload bytes that a data strand holds; 0 without strands."""
+    return F.coalesce(size / F.nullif(data_strands, F.lit(0)), F.lit(0.0))
+
+
 def replaced(rows: DataFrame, newer: DataFrame) -> DataFrame:
     """``rows`` with the files of ``newer`` as they are there."""
     return rows.join(newer.select("file_id"), "file_id", "left_anti").unionByName(newer)

@@ -2,47 +2,91 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits, dna
+from ..sources.tables import written
+from . import constraints
+from .running import running_total
 
 SCHEMA = "ordinal int, primer_id string, fwd string, rev string"
-WIDEST = 10_000
-
-
-def _plausible(codes: np.ndarray) -> bool:
-    """GC share of 0.4 to 0.6, runs up to 3, no palindrome of 6 (codes in A, T, G, C order)."""
-    if not 0.4 <= (codes >= 2).mean() <= 0.6:
-        return False
-    same = codes[1:] == codes[:-1]
-    if (same[2:] & same[1:-1] & same[:-2]).any():
-        return False
-    other = codes ^ 1
-    return not any((codes[i : i + 6] == other[i : i + 6][::-1]).all() for i in range(len(codes) - 5))
-
-
-def library(n: int, seed: int = 42) -> list[tuple[int, str, str, str]]:
-    """Up to n pairs, each plausible and at least 6 substitutions from every primer before it; at most 10,000."""
-    rng, kept, rows = np.random.default_rng(seed), np.zeros((0, dna.PRIMER_LENGTH), dtype=np.int64), []
-    letters = np.frombuffer(dna.BASES.encode(), dtype=np.uint8)
-    for _ in range(1000 * min(n, WIDEST)):
-        if len(rows) == min(n, WIDEST):
-            break
-        pair = rng.integers(0, 4, (2, dna.PRIMER_LENGTH))
-        if not (_plausible(pair[0]) and _plausible(pair[1])):
-            continue
-        if len(kept) and ((kept[None] != pair[:, None]).sum(axis=2) < dna.PRIMER_DISTANCE).any():
-            continue
-        kept = np.concatenate([kept, pair])
-        fwd, rev = (letters[p].tobytes().decode() for p in pair)
-        rows.append((len(rows), f"P{len(rows):04d}", fwd, rev))
-    return rows
+
+
+def plausible(primer: Column) -> Column:
+    """What the primer preset of the constraints allows: GC share, runs, no palindrome."""
+    return constraints.is_valid(primer, constraints.LIMITS["primer"])
+
+
+def drawn(seed: Column) -> Column:
+    """A primer of pseudo-random bases for each seed."""
+    return F.substring(F.translate(F.md5(seed.cast("string")), "0123456789abcdef", "AAAATTTTGGGGCCCC"), 1, dna.PRIMER_LENGTH)
+
+
+def candidates(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
+    """Pairs drawn for 0 .. n - 1: ordinal, fwd, rev."""
+    name = lambda side: F.concat_ws(":", F.lit(seed), "id", F.lit(side))
+    return spark.range(n).select(F.col("id").alias("ordinal"), drawn(name("fwd")).alias("fwd"), drawn(name("rev")).alias("rev"))
+
+
+def conflicts(pairs: DataFrame, distance: int = dna.PRIMER_DISTANCE) -> DataFrame:
+    """Pairs of which some primers differ in fewer than ``distance`` places: first, second (ordinals, first < second).
+
+    Cut into distance + 2 blocks, such primers agree in three whole blocks, so
+    only primers that share three are compared.
+    """
+    n, blocks = dna.PRIMER_LENGTH, distance + 2
+    bounds = [n * i // blocks for i in range(blocks + 1)]
+    every = pairs.select("ordinal", F.explode(F.array("fwd", "rev")).alias("primer"))
+    part = lambda i: F.substring("primer", bounds[i] + 1, bounds[i + 1] - bounds[i])
+    seeds = F.array(*(F.concat_ws(":", F.lit(".".join(map(str, c))), *map(part, c)) for c in combinations(range(blocks), 3)))
+    seeded = every.select("ordinal", "primer", F.explode(seeds).alias("seed"))
+    other = seeded.select("seed", F.col("ordinal").alias("second"), F.col("primer").alias("other"))
+    met = seeded.join(other, "seed").where(F.col("ordinal") < F.col("second")).where(dna.hamming(F.col("primer"), F.col("other")) < distance)
+    return met.select(F.col("ordinal").alias("first"), "second").distinct()
+
+
+def independent(pairs: DataFrame, distance: int = dna.PRIMER_DISTANCE) -> DataFrame:
+    """The plausible pairs that trying them in order keeps, each against all kept before: ordinal, fwd, rev.
+
+    In each round the pairs stay that no open pair before them is in conflict
+    with, and those in conflict with one that stays go; a chain of conflicts is a
+    round a link, and random pairs have few.  An ordinal stands for one pair.
+    """
+    fit = written(pairs.where(plausible(F.col("fwd")) & plausible(F.col("rev"))).select("ordinal", "fwd", "rev"), "primers")
+    edges = written(conflicts(fit, distance), "conflicts")
+    gone = None
+    while edges.head(1):
+        later = edges.select(F.col("second").alias("first")).distinct()
+        stays = edges.select("first").distinct().join(later, "first", "left_anti")
+        lost = written(edges.join(stays, "first", "left_semi").select(F.col("second").alias("ordinal")).distinct(), "lost")
+        gone = lost if gone is None else gone.unionByName(lost)
+        left = edges.join(lost.withColumnRenamed("ordinal", "second"), "second", "left_anti").join(lost.withColumnRenamed("ordinal", "first"), "first", "left_anti")
+        edges = written(left.select("first", "second"), "conflicts")
+    return fit if gone is None else fit.join(gone, "ordinal", "left_anti")
 
 
 def library_table(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    return spark.createDataFrame(library(n, seed), SCHEMA)
+    """The first n pairs, each plausible and at least 6 substitutions from every primer of every other: ordinal, primer_id, fwd, rev."""
+    tried = 8 * n + 64
+    while True:
+        kept = written(independent(candidates(spark, tried, seed)), "library")
+        if kept.count() >= n:
+            break
+        tried *= 2
+    # ranged and counted: no task sees more than a range
+    numbered = running_total(kept.withColumns({"one": F.lit(1).cast("long"), "all": F.lit(0)}), "one", ["ordinal"], ["all"], "rank")
+    first = numbered.where(F.col("rank") <= n).select((F.col("rank") - 1).cast("int").alias("ordinal"), "fwd", "rev")
+    return written(first.select("ordinal", F.format_string("P%04d", "ordinal").alias("primer_id"), "fwd", "rev"), "library")
+
+
+def assigned(files: DataFrame, primers: DataFrame, order: list[str]) -> DataFrame:
+    """``files`` with the next pair of the library each, in order, and null where it has none left."""
+    ranked = running_total(files.withColumns({"_one": F.lit(1).cast("long"), "_all": F.lit(0)}), "_one", order, ["_all"], "_rank")
+    pairs = primers.select((F.col("ordinal") + 1).cast("long").alias("_rank"), "primer_id", "fwd", "rev")
+    return ranked.join(pairs, "_rank", "left").drop("_rank", "_one", "_all")
 
 
 def tagged(strands: DataFrame, primers: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dna
 from ..operators import codecs, fountain, noise, parity, pool, reedsolomon
 from ..sources.tables import document_files, part_files
 from . import sql
@@ -78,6 +79,21 @@ def erasure_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checked(codecs.decode(parity.mend(sized.withColumn("parity", F.lit(4)), 4), "ternary"))
 
 
+def error_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wrong bases by place in documents' strands of which up to four a stripe came with one each, found by what parity gives in their place."""
+    files = document_files(spark, sf_dir)
+    width = reedsolomon.BLOCK - 4
+    stored = pool.strands(files, "ternary", 4).join(pool.catalog(files).select("file_id", F.col("data_strands").alias("n")), "file_id")
+    stored = stored.select("file_id", "stripe", "source_index", "is_parity", "seq", F.least(F.lit(width), F.col("n") - F.col("stripe") * width).cast("int").alias("data_strands"), F.lit(4).alias("parity"))
+    wrong = F.col("source_index") % 64 == F.pmod(F.col("file_id"), F.lit(64))
+    at = F.pmod(F.col("file_id"), F.lit(162)).cast("int")
+    came = F.concat(F.substring("seq", F.lit(1), at), dna.complement(F.substring("seq", at + 1, F.lit(1))), F.substring("seq", at + 2, F.length("seq")))
+    before = stored.where(wrong & ~F.col("is_parity")).select("file_id", "stripe", "source_index", came.alias("seq"))
+    after = parity.mend(stored.where(~wrong), 4).where("mended")
+    observed = pool.observed_errors(before, after, "file_id", "stripe", "source_index")
+    return pool.errors_by_place(observed).select(F.col("place").cast("long").alias("place"), "mismatches")
+
+
 def channel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part's strands through each device's channel at coverage 4."""
     strands = codecs.encode(part_files(spark, sf_dir), "ternary").withColumn("strand_id", F.xxhash64("file_id", "strand_index"))
@@ -113,7 +129,7 @@ def encryption_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (ternary_encode, ternary_overlap_encode, yinyang_encode, codec_round_trip, fountain_round_trip, codec_comparison, codec_gc_and_runs, parity_strands, erasure_recovery, channel_stats, pool_recovery, content_ids, encryption_round_trip)
+    for f in (ternary_encode, ternary_overlap_encode, yinyang_encode, codec_round_trip, fountain_round_trip, codec_comparison, codec_gc_and_runs, parity_strands, erasure_recovery, error_distribution, channel_stats, pool_recovery, content_ids, encryption_round_trip)
 }
 
 _TAIL = "[" + ", ".join(map(str, codecs.TRITS[list(codecs.TAIL)].ravel().tolist())) + "]"
@@ -166,6 +182,8 @@ v AS (SELECT file_id, j, list_transform(range(1, length(s0) + 1), lambda i: xor(
     xor((instr('ATGC', substr(s1, i, 1)) - 1) % 2 * c1, (instr('ATGC', substr(s1, i, 1)) - 1) // 2 * c1 * 2))) AS q FROM m)
 SELECT file_id, CAST(j AS BIGINT) AS parity_index, array_to_string(list_transform(q, lambda y: substr('ATGC', y // 64 % 4 + 1, 1) || substr('ATGC', y // 16 % 4 + 1, 1) || substr('ATGC', y // 4 % 4 + 1, 1) || substr('ATGC', y % 4 + 1, 1)), '') AS seq FROM v""",
     "erasure_recovery": f"SELECT doc_id AS file_id, 'ok' AS status, {_SHA} AS sha256 FROM documents WHERE coalesce(text, '') <> ''",
+    "error_distribution": """WITH d AS (SELECT doc_id, CAST(ceil(6 * (octet_length(encode(text)) + 4) / 150.0) AS BIGINT) AS s FROM documents WHERE coalesce(text, '') <> ''),
+i AS (SELECT doc_id, unnest(range(0, s)) % 252 AS i FROM d) SELECT doc_id % 162 AS place, count(*) AS mismatches FROM i WHERE i % 64 = doc_id % 64 GROUP BY 1""",
     "pool_recovery": "SELECT CAST(p_partkey AS BIGINT) AS file_id, 'ok' AS status, sha256(p_name) AS sha256 FROM part",
     "content_ids": f"""WITH d AS ({sql.DOCUMENT_FILES}), h AS (SELECT *, substr(sha256(text), 1, 16) AS content_hash FROM d),
 c AS (SELECT *, CASE WHEN size > 0 THEN CAST(ceil(6 * (size + 4) / 150.0) AS BIGINT) ELSE 0 END AS data_strands FROM h)

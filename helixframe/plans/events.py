@@ -55,6 +55,12 @@ def command_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agent.plans(c).select("conv_id", "turn", "tool", "filename", F.coalesce("redundancy", F.lit(-1)).cast("long").alias("redundancy"), "codec")
 
 
+def command_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each turn gives as data, and what it asks to look for."""
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(agent.data(text), 256).alias("data_sha256"), F.sha2(agent.query(text), 256).alias("query_sha256"))
+
+
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.catalog(document_files(spark, sf_dir)).select("file_id", "filename", "size", "content_hash")
 
@@ -90,7 +96,7 @@ def nearest_to_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest_to_each(e, e.where("vec_id % 20 = 0"), 10)
 
 
-QUERIES = {f.__name__: f for f in (audit_counts, audit_tail, pool_metrics, event_windows, event_sessions, command_plans, search_filtered, search_ranked, file_vectors, nearest_vectors, nearest_to_each)}
+QUERIES = {f.__name__: f for f in (audit_counts, audit_tail, pool_metrics, event_windows, event_sessions, command_plans, command_data, search_filtered, search_ranked, file_vectors, nearest_vectors, nearest_to_each)}
 
 _LOG = "WITH l AS (SELECT event_id, ts, event_type AS operation, coalesce(value, 0) >= 10 AS success FROM events)"
 _QUERY = "small text src3/12.en"
@@ -141,3 +147,13 @@ SELECT conv_id, turn, tool,
     nullif(regexp_extract(text, '(?i)(?:^|\s)[^\w.\-\s]*([^\s]*\.(?:{_END}))[^\w.\-\s]*(?:\s|$)', 1), '')) AS filename,
   CASE WHEN tool = 'store' THEN coalesce(CAST(r AS BIGINT), 2) ELSE coalesce(CAST(r AS BIGINT), -1) END AS redundancy,
   CASE WHEN c IN ('ternary', 'ternary-rotating-cipher') THEN 'ternary-rotating-cipher' WHEN c IN ('yin-yang', 'yinyang', 'yin_yang') THEN 'yin-yang' ELSE c END AS codec FROM t"""
+
+
+def _behind(word: str, text: str) -> str:
+    return f"CASE WHEN instr(lower(text), '{word}') > 0 THEN nullif(trim(substr({text}, instr(lower(text), '{word}') + {len(word)})), '') END"
+
+
+_DATA = ", ".join(f"nullif(regexp_replace({_behind(w, 'text')}, '^[:= ]+', ''), '')" for w in agent.DATA_WORDS)
+_ASKED = ", ".join(_behind(w, "lower(text)") for w in agent.QUERY_WORDS)
+ORACLE_SQL["command_data"] = f"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations), d AS (SELECT conv_id, turn, coalesce({_DATA}, '') AS data, coalesce({_ASKED}) AS query FROM t)
+SELECT conv_id, turn, sha256(CASE WHEN regexp_matches(data, '^"[^"]*"') THEN regexp_extract(data, '^"([^"]*)"', 1) ELSE data END) AS data_sha256, sha256(query) AS query_sha256 FROM d"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna
@@ -99,6 +99,34 @@ def block_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.from_blocks(cut).join(n, "file_id").select("file_id", "blocks", F.sha2("payload", 256).alias("sha256"))
 
 
+def _block_address() -> Column:
+    return F.col("file_id") * (1 << 20) + F.col("lba")
+
+
+def read_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block of every document read from a device that lost the first strand of each, with an address a document that was never written and one beyond the device."""
+    cut = blocks.to_blocks(document_files(spark, sf_dir), BLOCK_LIMIT).select(_block_address().alias("lba"), "block")
+    held = blocks.stored(cut, 2).where("is_parity or source_index > 0")
+    unwritten = table(spark, sf_dir, "documents").select(((F.col("doc_id") + 1) * (1 << 20) - 1).alias("lba"))
+    beyond = table(spark, sf_dir, "region").select((-1 - F.col("r_regionkey")).cast("long").alias("lba"))
+    found = blocks.read(held, cut.select("lba").unionByName(unwritten).unionByName(beyond), 1 << 62, 2)
+    return found.select("lba", "status", F.sha2("block", 256).alias("sha256"))
+
+
+def primer_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The primer pairs drawn for each customer that a library keeps whose primers differ in eight places."""
+    name = lambda side: F.concat_ws(":", "c_custkey", F.lit(side))
+    drawn = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("ordinal"), primers.drawn(name("fwd")).alias("fwd"), primers.drawn(name("rev")).alias("rev"))
+    return primers.independent(drawn, 8)
+
+
+def assigned_primers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair that each customer gets, in order of account balance, from a library of fewer pairs than customers."""
+    pairs = primers.library_table(spark, PRIMERS)
+    who = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("custkey"), "c_acctbal")
+    return primers.assigned(who, pairs, ["c_acctbal", "custkey"]).select("custkey", "primer_id")
+
+
 def _writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_custkey").alias("lba"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("write_id"))
@@ -137,7 +165,7 @@ def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (pool_stat, version_history, listed_files, delete_chains, migrated_files, capacity_check, primer_untag, primer_identify, selective_retrieval, block_round_trip, rewritten_blocks, write_once_blocks, cost_estimate, redundancy_advice, fasta_round_trip)
+    for f in (pool_stat, version_history, listed_files, delete_chains, migrated_files, capacity_check, primer_untag, primer_identify, selective_retrieval, block_round_trip, read_blocks, primer_library, assigned_primers, rewritten_blocks, write_once_blocks, cost_estimate, redundancy_advice, fasta_round_trip)
 }
 
 _FILES = f"WITH d AS ({sql.DOCUMENT_FILES}), c AS (SELECT *, CASE WHEN size > 0 THEN CAST(ceil(6 * (size + 4) / 150.0) AS BIGINT) ELSE 0 END AS s FROM d)"
@@ -164,6 +192,18 @@ x AS (SELECT p_partkey, p_brand = brand AS hit, least(length(fwd), length(target
 y AS (SELECT hit, CAST('0x' || substr(md5('42:' || p_partkey), 1, 8) AS BIGINT) / 4294967296.0 < CASE WHEN hit THEN 0.95 WHEN (n - d) * 1.0 / n > 0.8 THEN 0.01 * ((n - d) * 1.0 / n) ELSE 0.0001 END AS got FROM x)
 SELECT round(coalesce(count(*) FILTER (got AND hit) * 1.0 / nullif(count(*) FILTER (got), 0), 1), 6) AS precision, round(coalesce(count(*) FILTER (got AND hit) * 1.0 / nullif(count(*) FILTER (hit), 0), 1), 6) AS recall FROM y""",
     "block_round_trip": f"WITH d AS ({sql.DOCUMENT_FILES}) SELECT file_id, CAST(ceil((size + 4) / 512.0) AS BIGINT) AS blocks, sha256(text) AS sha256 FROM d",
+    "read_blocks": f"""WITH d AS ({sql.DOCUMENT_FILES}), h AS (SELECT file_id, size, printf('%08X', size) || hex(encode(text)) AS digits FROM d),
+b AS (SELECT file_id, digits, unnest(range(0, CAST(ceil((size + 4) / 512.0) AS BIGINT))) AS i FROM h)
+SELECT file_id * 1048576 + i AS lba, 'ok' AS status, sha256(unhex(rpad(substr(digits, i * 1024 + 1, 1024), 1024, '0'))) AS sha256 FROM b
+UNION ALL SELECT (file_id + 1) * 1048576 - 1, 'never_written', NULL FROM d UNION ALL SELECT -1 - r_regionkey, 'out_of_range', NULL FROM region""",
+    "primer_library": f"""WITH RECURSIVE c AS (SELECT CAST(c_custkey AS BIGINT) AS ordinal, substr(translate(md5(c_custkey || ':fwd'), '0123456789abcdef', 'AAAATTTTGGGGCCCC'), 1, 20) AS fwd, substr(translate(md5(c_custkey || ':rev'), '0123456789abcdef', 'AAAATTTTGGGGCCCC'), 1, 20) AS rev FROM customer),
+p AS (SELECT ordinal, fwd, rev, unnest([fwd, rev]) AS q FROM c),
+ok AS (SELECT ordinal, bool_and(length(replace(replace(q, 'A', ''), 'T', '')) BETWEEN 8 AND 12 AND {sql.max_run("q")} <= 3 AND len(list_filter(range(1, 16), lambda i: substr(q, i, 6) = reverse(translate(substr(q, i, 6), 'ATGC', 'TACG')))) = 0) AS fine FROM p GROUP BY ordinal),
+f AS (SELECT ordinal, fwd, rev, row_number() OVER (ORDER BY ordinal) AS i FROM c SEMI JOIN (SELECT ordinal FROM ok WHERE fine) USING (ordinal)),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS kept UNION ALL
+  SELECT f.i, CASE WHEN len(list_filter(kept, lambda x: hamming(x, fwd) < 8 OR hamming(x, rev) < 8)) = 0 THEN list_concat(kept, [fwd, rev]) ELSE kept END FROM g JOIN f ON f.i = g.i + 1)
+SELECT ordinal, fwd, rev FROM f SEMI JOIN (SELECT unnest(arg_max(kept, i)) AS fwd FROM g) USING (fwd)""",
+    "assigned_primers": f"SELECT CAST(c_custkey AS BIGINT) AS custkey, CASE WHEN row_number() OVER w <= {PRIMERS} THEN printf('P%04d', row_number() OVER w - 1) END AS primer_id FROM customer WINDOW w AS (ORDER BY c_acctbal, c_custkey)",
     "rewritten_blocks": "SELECT o_custkey AS lba, count(*) AS generation, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS write_id FROM orders GROUP BY o_custkey",
     "write_once_blocks": "SELECT o_custkey AS lba, o_orderkey AS write_id, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1 THEN 'ok' ELSE 'already_written' END AS status FROM orders",
     "cost_estimate": f"""{_FILES}, n AS (SELECT coalesce(source, '') AS source, sum(162 * s) AS nt FROM c GROUP BY 1)

@@ -3,11 +3,13 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna
 from helixframe.operators import codecs, consensus, constraints, fountain, noise, pool, primers, reedsolomon, search
+from helixframe.operators import parity as stripes
 
 
 FILE = "file_id long, payload binary"
@@ -102,18 +104,114 @@ def test_fountain_peels(spark, preset):
     assert sorted((r["file_id"], r["status"], r["payload"]) for r in few) == [(1, "stuck", None), (3000, "stuck", None)]
 
 
-def test_consensus_of_nanopore_reads():
-    rnd, right = random.Random(3), 0
-    for _ in range(6):
+def test_consensus_of_nanopore_reads(spark):
+    rnd, strands, rows = random.Random(3), [], []
+    for g in range(6):
         strand = "".join(rnd.choice("ATGC") for _ in range(120))
         codes, n = codecs.CODE[np.frombuffer(strand.encode(), dtype=np.uint8)], 15
         reads = noise.Reads(np.tile(codes, n), np.full(n, 120), np.full(120 * n, 30, dtype=np.int16), np.ones(n, bool), np.zeros(n, bool), np.zeros((n, 3), int))
         out = noise.pass_through(reads, noise.PROFILES["nanopore"], np.array([rnd.getrandbits(64) for _ in range(n)], dtype=np.uint64))
         ends, text = np.cumsum(out.length), codecs.BASES[out.codes].tobytes().decode()
-        right += consensus.consensus([text[b - m : b] for b, m in zip(ends, out.length)])[0] == strand
-    assert right >= 5
-    assert consensus.consensus([]) == ("", [])
-    assert consensus.consensus(["ATG", "ATG", "ATC"])[0] == "ATG"
+        strands.append(strand)
+        rows += [(g, text[b - m : b]) for b, m in zip(ends, out.length)]
+    rows += [(6, None), (6, ""), (7, "ATG"), (7, "ATG"), (7, "ATC"), (8, "ATG"), (8, "ATCA"), (8, None), (9, "AATG"), (9, "ATG"), (9, "AAATG")]
+    made = consensus.by_group(spark.createDataFrame(rows, "strand long, seq string").repartition(7), "strand")
+    got = {r["strand"]: r for r in made.collect()}
+    assert sum(got[g]["seq"] == strands[g] for g in range(6)) >= 5
+    assert 6 not in got and (got[7]["seq"], got[7]["coverage"], got[7]["contested"]) == ("ATG", 3, False)
+    assert got[8]["contested"] and got[8]["seq"] in ("ATG", "ATCA") and got[8]["coverage"] == 2 and got[9]["seq"] == "AATG"
+    assert all(0 <= r["min_confidence"] <= r["avg_confidence"] + 1e-9 <= 1 + 1e-6 for r in got.values())
+
+
+def plain_score(read, bone):
+    held = [consensus.GAP * j for j in range(len(read) + 1)]
+    for i, b in enumerate(bone):
+        row = [held[0] + consensus.GAP]
+        for j, r in enumerate(read):
+            row.append(max(held[j] + (consensus.MATCH if r == b else consensus.MISMATCH), held[j + 1] + consensus.GAP, row[j] + consensus.GAP))
+        held = row
+    return held[-1]
+
+
+def test_votes_are_those_of_the_best_alignment():
+    rnd, pairs = random.Random(1), []
+    for _ in range(150):
+        bone = "".join(rnd.choice("ATGC") for _ in range(rnd.randint(1, 60)))
+        read = list(bone)
+        for _ in range(rnd.randint(0, 6)):
+            at = rnd.randrange(len(read))
+            read[at : at + rnd.choice((0, 1, 1))] = [rnd.choice("ATGC")] * rnd.choice((0, 1)) if len(read) > 1 else ["A"]
+        pairs.append(("".join(read), bone))
+    found = consensus.aligned([p[0] for p in pairs], [p[1] for p in pairs])
+    for (read, bone), votes in zip(pairs, found):
+        subs, gone, more = (sum(x) for x in zip(*((v % 32 < 4, v % 32 == 4, v % 32 >= 8) for v in votes))) if len(votes) else (0, 0, 0)
+        assert (len(bone) - subs - gone) * consensus.MATCH + subs * consensus.MISMATCH + (gone + more) * consensus.GAP == plain_score(read, bone)
+    assert list(consensus.changed.func(pd.Series([p[1] for p in pairs]), pd.Series(found))) == [p[0] for p in pairs]
+    # every read places the gap in a run of one base first
+    assert [list(v) for v in consensus.aligned(["CGAAT", "CGAAAAT"], ["CGAAAT"] * 2)] == [[2 * consensus.VOTES + consensus.GONE], [2 * consensus.VOTES + consensus.MORE]]
+
+
+SIZED = "file_id long, stripe int, source_index int, is_parity boolean, seq string, data_strands int, parity int"
+
+
+@pytest.mark.parametrize("codec,p", [("ternary", 4), ("yinyang", 7), ("ternary-high", 1)])
+def test_parity_by_joins(spark, codec, p):
+    """The same parity as stripe by stripe, any losses up to it mended, and more told."""
+    rnd = random.Random(p)
+    files = spark.createDataFrame([(i, bytearray(rnd.randbytes(n))) for i, n in enumerate((1, 60, 700, 9000))], FILE)
+    strands = codecs.encode(files, codec)
+    made = [tuple(r) for r in stripes.add_parity(strands, p).collect()]
+    by_stripe = {}
+    for r in made:
+        by_stripe.setdefault(r[:2], []).append(r)
+    left, lost = [], 0
+    for rows in by_stripe.values():
+        rows.sort(key=lambda r: r[2])
+        data = [r[4] for r in rows if not r[3]]
+        assert [r[4] for r in rows if r[3]] == reedsolomon.encode_stripe(data, p)
+        gone = set(rnd.sample(range(len(rows)), rnd.randint(0, p)))
+        lost += sum(i < len(data) for i in gone)
+        left += [(*r, len(data), p) for i, r in enumerate(rows) if i not in gone]
+    back = stripes.mend(spark.createDataFrame(left, SIZED), p)
+    assert {r["file_id"]: (r["status"], r["payload"]) for r in codecs.decode(back, codec).collect()} == {r["file_id"]: ("ok", r["payload"]) for r in files.collect()}
+    assert back.where("mended").count() == lost
+    few = [r for r in left if r[0] == 3 and r[2] >= p + 1]
+    assert stripes.mend(spark.createDataFrame(few, SIZED), p).where("mended").count() == 0
+
+
+def test_spare_strands_contradict_a_wrong_one(spark):
+    rnd = random.Random(4)
+    files = spark.createDataFrame([(i, bytearray(rnd.randbytes(200))) for i in range(4)], FILE)
+    rows = [tuple(r) for r in stripes.add_parity(codecs.encode(files), 3).collect()]
+    k = sum(not r[3] for r in rows if r[0] == 0)
+    sized = [(*r, k, 3) for r in rows]
+    # file 1 has a wrong data strand, file 2 a wrong parity strand, file 3 a wrong one and none to spare
+    wrong = [(*r[:4], ("T" if r[4][9] != "T" else "G").join((r[4][:9], r[4][10:])), *r[5:]) if (r[0], r[2]) in ((1, 2), (2, k + 1), (3, 1)) else r for r in sized if r[0] != 3 or r[2] not in (0, 2, 3)]
+    got = {r["file_id"]: r["consistent"] for r in stripes.checked(spark.createDataFrame(wrong, SIZED), 3).collect()}
+    assert got == {0: True, 1: False, 2: False, 3: True}
+
+
+@pytest.mark.parametrize("wrong,rounds", [((), 0), ((1,), 1), ((1, 3), 2)])
+def test_wrong_votes_are_found_in_rounds(spark, wrong, rounds):
+    text = bytes(range(120))
+    stored = spark.createDataFrame([(i, f"f{i}", bytearray(text), 0) for i in range(3)], "file_id long, filename string, payload binary, created_at long")
+    made = [r.asDict() for r in pool.strands(stored, "ternary", 4).collect()]
+    for r in made:
+        if r["source_index"] in wrong and not r["is_parity"] and r["file_id"] == 1:
+            r["seq"] = r["seq"][:40] + ("A" if r["seq"][40] != "A" else "C") + r["seq"][41:]
+    # the second of the wrong strands is also the one whose reads agree least
+    reads = [(r["file_id"], r["stripe"], r["source_index"], r["is_parity"], r["seq"] if n or r["file_id"] != 1 or r["source_index"] != (wrong or (0,))[-1] else r["seq"][:-1]) for r in made for n in range(3)]
+    got = {r["file_id"]: r for r in pool.recover(spark.createDataFrame(reads, "file_id long, stripe int, source_index int, is_parity boolean, seq string"), pool.catalog(stored)).collect()}
+    assert all(got[i]["status"] == "ok" and bytes(got[i]["payload"]) == text for i in range(3))
+    assert [got[i]["rounds"] for i in range(3)] == [0, rounds, 0]
+
+
+def test_observed_errors(spark):
+    before = spark.createDataFrame([(1, "ATGC"), (2, "ATG"), (3, "A"), (4, "")], "strand long, seq string")
+    after = spark.createDataFrame([(1, "ATCCA"), (2, "TTC"), (5, "A"), (4, "A")], "strand long, seq string")
+    found = pool.observed_errors(before, after, "strand")
+    assert {r["strand"]: (r["compared"], r["mismatches"], r["places"]) for r in found.collect()} == {1: (4, 1, [2]), 2: (3, 2, [0, 2])}
+    assert {r["place"]: r["mismatches"] for r in pool.errors_by_place(found).collect()} == {0: 1, 2: 2}
 
 
 def test_unpack_is_the_inverse_of_pack(spark):
@@ -133,16 +231,33 @@ def test_scalar_functions(spark):
 
 
 def test_primers_are_far_apart_and_found_after_edits(spark):
-    pairs = primers.library(12)
-    every = [p for _, _, *both in pairs for p in both]
-    assert all(sum(a != b for a, b in zip(x, y)) >= dna.PRIMER_DISTANCE for i, x in enumerate(every) for y in every[:i] if every.index(y) // 2 != i // 2)
-    read = pairs[5][2]
+    library = primers.library_table(spark, 12)
+    pairs = library.orderBy("ordinal").collect()
+    assert [r["primer_id"] for r in pairs] == [f"P{i:04d}" for i in range(12)]
+    every = [p for r in pairs for p in (r["fwd"], r["rev"])]
+    assert all(sum(a != b for a, b in zip(x, y)) >= dna.PRIMER_DISTANCE for i, x in enumerate(every) for j, y in enumerate(every[:i]) if j // 2 != i // 2)
+    read = pairs[5]["fwd"]
     edited = read[:3] + read[4:9] + "A" + read[9:15] + ("A" if read[15] != "A" else "C") + read[16:] + "ATGCATGCATGC"
     reads = spark.createDataFrame([(1, edited), (2, "ATATATATATATATATATATATATATAT")], "strand_id long, seq string")
-    found = {r["strand_id"]: r["found"] for r in primers.identified(reads, primers.library_table(spark, 12)).collect()}
+    found = {r["strand_id"]: r["found"] for r in primers.identified(reads, library).collect()}
     assert found == {1: "P0005", 2: None}
 
 
+@pytest.mark.parametrize("distance", [6, 9])
+def test_independent_primers_are_those_tried_in_order(spark, distance):
+    pairs = primers.candidates(spark, 700).collect()
+    fit = {r["ordinal"] for r in primers.candidates(spark, 700).where(primers.plausible(F.col("fwd")) & primers.plausible(F.col("rev"))).collect()}
+    kept, chosen = [], set()
+    for r in sorted(pairs, key=lambda r: r["ordinal"]):
+        near = any(sum(a != b for a, b in zip(p, q)) < distance for p in (r["fwd"], r["rev"]) for q in kept)
+        if r["ordinal"] in fit and not near:
+            kept += [r["fwd"], r["rev"]]
+            chosen.add(r["ordinal"])
+    assert len(chosen) < len(fit) or distance == 6
+    assert {r["ordinal"] for r in primers.independent(spark.createDataFrame(pairs), distance).collect()} == chosen
+    assert primers.independent(spark.createDataFrame(pairs).limit(0), distance).count() == 0
+
+
 def test_noisy_pool_gives_payloads_back(spark):
     rows = [(i, f"f{i}.txt", bytearray(random.Random(i).randbytes(40 + 60 * i)), i) for i in range(4)]
     files = spark.createDataFrame(rows, "file_id long, filename string, payload binary, created_at long")
