@@ -3,7 +3,10 @@
 A URL's host and path decide by the longest fitting host rule.  Where none
 fits, mined rules do: FP-growth finds token combinations of labelled URLs whose
 support and confidence for "block" are high, and a rule fires on every URL that
-has all its tokens.  URLs without a label count as not blocked there, so that a
+has all its tokens.  What can't change a verdict isn't mined: tokens that always
+stand together are one item; a token that is a rule by itself fires wherever a
+combination with it does; and no combination has more support than its tokens,
+so those of less than the least are left out.  URLs without a label count as not blocked there, so that a
 rule's confidence is a lower bound.  Rules are found by an inverted index that holds each rule
 once, under its rarest token.
 
@@ -13,6 +16,7 @@ rule and has no tokens: it is allowed.  Repeated rows get equal verdicts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -82,31 +86,55 @@ def tokens(url: Column) -> Column:
 
 @dataclass
 class UrlRules:
-    """Mined rules: (key, antecedent, confidence, support), each under its rarest token ``key``."""
+    """Mined rules: (key, antecedent, confidence, support) of items, each under its rarest item ``key``; ``items`` has the item of each token that stands in a rule (token, item)."""
 
     index: DataFrame
+    items: DataFrame
 
     @classmethod
     def fit(cls, labelled: DataFrame, min_support: float, min_confidence: float) -> UrlRules:
         """``labelled`` has url and verdict (block, allow or null).
 
         At most 1/min_support tokens of one URL position are frequent, which
-        bounds what FP-growth keeps.
+        bounds what is counted.  The number of combinations is that of items that
+        are frequent together, aren't rules by themselves and don't always stand
+        together; only this is exponential.
         """
-        baskets = labelled.select(F.concat(tokens(F.col("url")), F.when(F.col("verdict") == "block", F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
+        pages = labelled.select(tokens(F.col("url")).alias("tokens"), (F.coalesce(F.col("verdict"), F.lit("")) == "block").cast("long").alias("blocked"))
+        sets = written(pages.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.sum("blocked").alias("blocked")), "labelled-sets")
+        total = sets.agg(F.sum("n")).first()[0] or 0
+        least = math.ceil(min_support * total)
+        # tokens of one item are in the same token sets: as many, and with equal sums of the sets' hashes
+        seen = F.xxhash64("tokens")
+        part = lambda by: F.sum(F.shiftrightunsigned(seen, by).bitwiseAND(F.lit(0xFFFFFFFF)))
+        each = sets.select("n", "blocked", seen.alias("_"), F.explode("tokens").alias("token"), "tokens").groupBy("token").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), part(0).alias("low"), part(32).alias("high"), F.count(F.lit(1)).alias("sets"))
+        frequent = each.where(F.col("blocked") >= F.lit(max(least, 1)))
+        items = frequent.groupBy("n", "blocked", "low", "high", "sets").agg(F.min("token").alias("item"), F.collect_list("token").alias("members"))
+        items = written(items.select("item", "members", "n", "blocked", (F.col("blocked") / F.col("n") >= min_confidence).alias("alone")), "items")
+        members = items.select(F.explode("members").alias("token"), "item", "alone")
+        held = written(sets.select("tokens", "n").join(mapped(sets.select("tokens"), members.where("not alone")), "tokens", "left"), "item-sets")
+        # FP-growth counts baskets: one for every page, also where many pages share a token set
+        label = F.when(F.col("blocked") > 0, F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))
+        baskets = lookup(pages, held, "tokens", "n").select(F.concat(F.coalesce("items", F.array().cast("array<string>")), label).alias("items"))
         model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
         rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select("antecedent", "confidence", "support")
-        single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-        rarest = rules.select("*", F.explode("antecedent").alias("token")).join(single, "token").groupBy("antecedent").agg(F.min(F.struct("freq", "token"))["token"].alias("key"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
-        return cls(rarest.select("key", "antecedent", "confidence", "support"))
+        rarest = rules.select("*", F.explode("antecedent").alias("item")).join(items, "item").groupBy("antecedent").agg(F.min(F.struct("n", "item"))["item"].alias("key"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
+        single = items.where("alone").select(F.col("item").alias("key"), F.array("item").alias("antecedent"), (F.col("blocked") / F.col("n")).alias("confidence"), (F.col("blocked") / F.lit(max(total, 1))).alias("support"))
+        return cls(single.unionByName(rarest.select("key", "antecedent", "confidence", "support")), members.select("token", "item"))
 
     def match(self, token_sets: DataFrame) -> DataFrame:
-        """Of distinct token sets (``tokens``), those on which a rule fires: tokens, confidence."""
-        posted = token_sets.select("tokens", F.explode("tokens").alias("key")).join(self.index, "key")
-        fires = posted.where(F.size(F.array_except("antecedent", "tokens")) == 0)
+        """Of distinct token sets (``tokens``), those on which a rule fires: tokens, confidence (of the surest rule that was mined)."""
+        held = mapped(token_sets, self.items)
+        posted = held.select("tokens", "items", F.explode("items").alias("key")).join(self.index, "key")
+        fires = posted.where(F.size(F.array_except("antecedent", "items")) == 0)
         return fires.groupBy("tokens").agg(F.max("confidence").alias("confidence"))
 
 
+def mapped(token_sets: DataFrame, items: DataFrame) -> DataFrame:
+    """Token sets with the items of their tokens: tokens, items; without sets that have none."""
+    return token_sets.select("tokens", F.explode("tokens").alias("token")).join(items.select("token", "item"), "token").groupBy("tokens").agg(F.collect_set("item").alias("items"))
+
+
 def judge(pages: DataFrame, rules: Sequence[HostRule] = RULES, min_support: float = 0.01, min_confidence: float = 0.7, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule (null if none fits), verdict, confidence (of the mined rule that blocks).
 

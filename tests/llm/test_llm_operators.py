@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import time
 import uuid
 import zlib
 from collections import Counter
@@ -589,3 +590,13 @@ def test_words_that_fool_a_polynomial_stay_apart(spark, size):
     d = spark.createDataFrame([(1, f"{shared} {one}"), (2, f"{shared} {other}"), (3, f"{shared} {one}")], "doc_id long, text string")
     removed = {r["doc_id"]: r["removed"] for r in substring.remove_repeats(d).collect()}
     assert [len(removed[i]) for i in (1, 2, 3)] == [1, 0, 1]
+
+
+def test_url_rules_with_many_shared_tokens(spark):
+    shared = "&".join(f"name{i}=1" for i in range(40))
+    pages = [(i, f"http://site{i % 3}.net/a?{shared}" if i < 20 else f"http://site{i % 3}.com/a?{shared}" if i < 24 else f"http://other.com/b/{i}") for i in range(60)]
+    began = time.time()
+    got = {r["page_id"]: r["verdict"] for r in urlrules.judge(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    assert time.time() - began < 60
+    # 20 of 24 pages with the shared names are blocked, so the names alone are a rule
+    assert [got[i] for i in range(24)] == ["block"] * 24 and {got[i] for i in range(24, 60)} == {"allow"}
