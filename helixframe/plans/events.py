@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import agent, audit, pool, search
+from ..operators import agent, audit, pool, search, vectors
 from ..sources.tables import document_files, scratch, table
 from ..streaming import audit as stream
 from . import sql
@@ -96,7 +96,16 @@ def nearest_to_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest_to_each(e, e.where("vec_id % 20 = 0"), 10)
 
 
-QUERIES = {f.__name__: f for f in (audit_counts, audit_tail, pool_metrics, event_windows, event_sessions, command_plans, command_data, search_filtered, search_ranked, file_vectors, nearest_vectors, nearest_to_each)}
+def indexed_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by an index on disk, from which every seventh embedding is removed and half of these inserted again."""
+    e, path = table(spark, sf_dir, "embeddings"), scratch(spark, "vectors")
+    vectors.create(path, e)
+    vectors.remove(spark, path, e.where("vec_id % 7 = 0"))
+    vectors.insert(spark, path, e.where("vec_id % 14 = 0"))
+    return vectors.search(spark, path, e.where("vec_id % 20 = 0"), 10).select("query_id", "vec_id", "score")
+
+
+QUERIES = {f.__name__: f for f in (audit_counts, audit_tail, pool_metrics, event_windows, event_sessions, command_plans, command_data, search_filtered, search_ranked, file_vectors, nearest_vectors, nearest_to_each, indexed_nearest)}
 
 _LOG = "WITH l AS (SELECT event_id, ts, event_type AS operation, coalesce(value, 0) >= 10 AS success FROM events)"
 _QUERY = "small text src3/12.en"
@@ -132,6 +141,8 @@ s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS
 SELECT file_id, round(list_cosine_similarity(CAST(v AS DOUBLE[]), CAST(w AS DOUBLE[])), 6) AS score FROM u, q ORDER BY round(list_cosine_similarity(CAST(v AS DOUBLE[]), CAST(w AS DOUBLE[])), 9) DESC, file_id LIMIT 10""",
     "nearest_vectors": """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS w FROM embeddings ORDER BY vec_id LIMIT 1)
 SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), w), 6) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 10""",
+    "indexed_nearest": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS score FROM e, e AS q WHERE q.vec_id % 20 = 0 AND (e.vec_id % 7 <> 0 OR e.vec_id % 14 = 0))
+SELECT query_id, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
     "nearest_to_each": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS score FROM e, e AS q WHERE q.vec_id % 20 = 0)
 SELECT query_id, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import store
+from ..operators import keys, store
 from ..sources.fasta import read_audit
 from ..sources.tables import document_files, part_files, scratch, table, written
 
@@ -127,6 +127,19 @@ def audited_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_audit(spark, f"{path}/audit").groupBy("user_id", "operation").agg(F.count(F.lit(1)).alias("events"), F.count_if("success").alias("succeeded"))
 
 
+def rotated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in a pool under a key of its own, after the secret was changed and the keys of every tenth were taken away: what either secret opens."""
+    path = scratch(spark, "pool")
+    files = document_files(spark, sf_dir).withColumn("filename", F.concat_ws(" ", "filename", "file_id"))
+    keys.add(spark, path, files, "first")
+    store.write(path, keys.sealed(files, keys.opened(spark, path, "first")), "yinyang", 2)
+    keys.rotate(spark, path, "first", "second")
+    keys.revoke(spark, path, files.where("file_id % 10 = 0"))
+    held = written(store.read(spark, path, store.load(spark, path).select("filename", "version")).select("file_id", "payload"), "held")
+    old = keys.unsealed(held, keys.opened(spark, path, "first")).select("file_id", F.col("payload").isNull().alias("first_secret_refused"))
+    return keys.unsealed(held, keys.opened(spark, path, "second")).join(old, "file_id").select("file_id", F.sha2("payload", 256).alias("sha256"), "first_secret_refused")
+
+
 def sealed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document sealed under a wrapped key of its own, and opened with the right and a wrong secret."""
     files = document_files(spark, sf_dir)
@@ -135,7 +148,7 @@ def sealed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.select("file_id", F.sha2(right, 256).alias("sha256"), wrong.isNull().alias("wrong_secret_refused"))
 
 
-QUERIES = {f.__name__: f for f in (stored_versions, read_second_version, migrated_strands, pool_scan, mended_documents, migrated_back, retried_writes, compacted_pool, deleted_files, audited_writes, audited_verbs, sealed_documents)}
+QUERIES = {f.__name__: f for f in (stored_versions, read_second_version, migrated_strands, pool_scan, mended_documents, migrated_back, retried_writes, compacted_pool, deleted_files, audited_writes, audited_verbs, rotated_keys, sealed_documents)}
 
 _VERSIONS = "WITH v AS (SELECT p_partkey, p_brand AS filename, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS version, count(*) OVER (PARTITION BY p_brand) AS n FROM part)"
 ORACLE_SQL = {
@@ -157,5 +170,6 @@ SELECT CAST(sum(n) AS BIGINT) AS "before", CAST(coalesce(sum(n) FILTER (p_brand
     "deleted_files": f"{_VERSIONS} SELECT filename, version, CAST(p_partkey AS BIGINT) AS file_id FROM v WHERE version = n AND filename <> 'Brand#11'",
     "audited_writes": """WITH e AS (SELECT o_custkey AS user_id, 'write' AS operation, o_totalprice > 1000 AS success FROM orders UNION ALL SELECT o_custkey, 'delete', o_totalprice > 1000 FROM orders WHERE o_orderstatus = 'F')
 SELECT CAST(user_id AS BIGINT) AS user_id, operation, count(*) AS events, count(*) FILTER (success) AS succeeded FROM e GROUP BY user_id, operation""",
+    "rotated_keys": "SELECT doc_id AS file_id, CASE WHEN doc_id % 10 <> 0 THEN sha256(coalesce(text, '')) END AS sha256, true AS first_secret_refused FROM documents",
     "sealed_documents": "SELECT doc_id AS file_id, sha256(coalesce(text, '')) AS sha256, true AS wrong_secret_refused FROM documents",
 }
