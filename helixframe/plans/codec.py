@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna
-from ..operators import codecs, fountain, noise, parity, pool, reedsolomon
+from ..operators import benchmark, codecs, constraints, fountain, noise, parity, pool, reedsolomon
 from ..sources.tables import document_files, part_files
 from . import sql
+from .strands import valid_sql
 
 
 def _encoded(spark: SparkSession, sf_dir: str, codec: str) -> DataFrame:
@@ -55,6 +56,13 @@ def codec_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, done)
 
 
+def codec_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each codec on all parts, with the codecs that are densest and keep best to the constraints; times are left out."""
+    report = benchmark.measured(part_files(spark, sf_dir), constraints.LIMITS["relaxed"], ("ternary", "ternary-overlap", "yinyang"))
+    best = benchmark.choice(report).select("best_density", "most_compliant")
+    return report.join(F.broadcast(best)).select("codec", "strands", "nucleotides", F.round("bits_per_nt", 6).alias("bits_per_nt"), "violating", "round_trip", "best_density", "most_compliant")
+
+
 def codec_gc_and_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean GC share and longest run of every part's strands under the ternary cipher."""
     files = part_files(spark, sf_dir)
@@ -129,7 +137,7 @@ def encryption_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (ternary_encode, ternary_overlap_encode, yinyang_encode, codec_round_trip, fountain_round_trip, codec_comparison, codec_gc_and_runs, parity_strands, erasure_recovery, error_distribution, channel_stats, pool_recovery, content_ids, encryption_round_trip)
+    for f in (ternary_encode, ternary_overlap_encode, yinyang_encode, codec_round_trip, fountain_round_trip, codec_comparison, codec_choice, codec_gc_and_runs, parity_strands, erasure_recovery, error_distribution, channel_stats, pool_recovery, content_ids, encryption_round_trip)
 }
 
 _TAIL = "[" + ", ".join(map(str, codecs.TRITS[list(codecs.TAIL)].ravel().tolist())) + "]"
@@ -191,3 +199,8 @@ SELECT file_id, filename, size, content_hash, data_strands, 4 * CAST(ceil(data_s
   'archive-' || substr(sha256(encode(filename) || unhex(content_hash) || encode('ternary') || encode('illumina') || unhex(printf('%016X', file_id))), 1, 16) AS archive_id FROM c""",
     "encryption_round_trip": f"SELECT doc_id AS file_id, {_SHA} AS sha256, true AS wrong_key_refused, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size FROM documents",
 }
+
+_EACH = " UNION ALL ".join(f"SELECT '{k}' AS codec, * FROM ({ORACLE_SQL[q]})" for k, q in (("ternary", "ternary_encode"), ("ternary-overlap", "ternary_overlap_encode"), ("yinyang", "yinyang_encode")))
+ORACLE_SQL["codec_choice"] = f"""WITH made AS ({_EACH}), total AS (SELECT sum(octet_length(encode(p_name))) AS size FROM part),
+r AS (SELECT codec, count(*) AS strands, CAST(sum(length(seq)) AS BIGINT) AS nucleotides, round(8.0 * any_value(size) / sum(length(seq)), 6) AS bits_per_nt, count(*) FILTER (NOT {valid_sql(constraints.LIMITS["relaxed"])}) AS violating FROM made, total GROUP BY codec)
+SELECT codec, strands, nucleotides, bits_per_nt, violating, true AS round_trip, (SELECT codec FROM r ORDER BY bits_per_nt DESC, codec LIMIT 1) AS best_density, (SELECT codec FROM r ORDER BY violating, codec LIMIT 1) AS most_compliant FROM r"""

@@ -65,7 +65,7 @@ QUERIES = {f.__name__: f for f in (strand_stats, gc_histogram, violation_counts,
 _LIMITS = {k: constraints.LIMITS[k] for k in ("default", "relaxed", "strict")}
 
 
-def _valid(x: constraints.Limits) -> str:
+def valid_sql(x: constraints.Limits) -> str:
     windows = f"list_transform(range(1, length(seq) - {x.window} + 2), lambda i: {sql.gc(f'substr(seq, i, {x.window})')})"
     mirrored = f"len(list_filter(range(1, length(seq) - {x.palindrome} + 2), lambda i: substr(seq, i, {x.palindrome}) = {sql.revcomp(f'substr(seq, i, {x.palindrome})')}))"
     local = f"len(list_filter({windows}, lambda g: g < {x.min_gc} OR g > {x.max_gc}))"
@@ -92,7 +92,7 @@ v AS (
     WHERE substr(seq, i, w) = {sql.revcomp("substr(seq, i, w)")} GROUP BY p_partkey, w
 )
 SELECT p_partkey, kind, count(*) AS n, CAST(coalesce(min(position), -1) AS BIGINT) AS first_position FROM v GROUP BY p_partkey, kind""",
-    "strand_validity": f"{_PARTS} SELECT p_partkey, {', '.join(f'{_valid(x)} AS "{k}"' for k, x in _LIMITS.items())} FROM s",
+    "strand_validity": f"{_PARTS} SELECT p_partkey, {', '.join(f'{valid_sql(x)} AS "{k}"' for k, x in _LIMITS.items())} FROM s",
     "local_gc_windows": f"""{_PARTS}, w AS (SELECT p_partkey, list_transform(range(1, length(seq) - 18), lambda i: {sql.gc("substr(seq, i, 20)")}) AS g FROM s)
 SELECT p_partkey, CAST(len(g) AS BIGINT) AS windows, round(list_min(g), 6) AS least, round(list_max(g), 6) AS most FROM w""",
     "edit_distances": f"""WITH s AS (SELECT p_partkey, {sql.pack("encode(p_brand)")} AS a, {sql.pack("encode(p_type)")} AS b FROM part),
