@@ -58,3 +58,17 @@ class DigestIndex:
         known = written(known.join(again, "text_sha256", "left").withColumn("keep_row", F.coalesce("keep_row", "again")).drop("again"), "kept")
         found = lookup(batch, known, "text_sha256", "rows")
         return found.select("doc_id", "keep_id", "group_size", F.col("row").eqNullSafe(F.col("keep_row")).alias("kept"), F.lower(F.hex("text_sha256")).alias("text_sha256"))
+
+    def ingest_in_two(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """The same for all of ``docs`` (ids are integers), in two batches: the upper half of the ids' span first, then the lower and rows without an id.
+
+        Texts that the first batch has are known when the second comes, and its
+        rows of them lose, as their ids are smaller: of all rows of a text the one
+        with the largest id stays.  group_size counts the rows of both batches.
+        """
+        low, high = docs.agg(F.min(id_col), F.max(id_col)).first()
+        upper = F.coalesce(F.col(id_col) > ((low or 0) + (high or 0)) // 2, F.lit(False))
+        done = self.ingest(docs.where(upper), id_col, text_col).unionByName(self.ingest(docs.where(~upper), id_col, text_col))
+        done = written(done.drop("group_size"), "batches")
+        sizes = written(done.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("rows")).withColumn("group_size", F.col("rows")), "sizes")
+        return lookup(done, sizes, "text_sha256", "rows").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

@@ -62,7 +62,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exactdedup import DigestIndex
 
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    out = index.ingest(table(spark, sf_dir, "documents"))
+    out = index.ingest_in_two(table(spark, sf_dir, "documents"))
     index.drop()
     return out
 

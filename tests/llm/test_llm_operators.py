@@ -600,3 +600,11 @@ def test_url_rules_with_many_shared_tokens(spark):
     assert time.time() - began < 60
     # 20 of 24 pages with the shared names are blocked, so the names alone are a rule
     assert [got[i] for i in range(24)] == ["block"] * 24 and {got[i] for i in range(24, 60)} == {"allow"}
+
+
+def test_two_batches_give_what_one_does(spark, odd):
+    rows = lambda d: sorted(map(repr, d.collect()))
+    one, two, none = (exactdedup.DigestIndex(spark, f"t_{uuid.uuid4().hex}") for _ in range(3))
+    assert rows(one.ingest(odd)) == rows(two.ingest_in_two(odd))
+    assert spark.table(two.name).count() == spark.table(one.name).count() > 1
+    assert none.ingest_in_two(odd.limit(0)).count() == 0
