@@ -3,8 +3,9 @@
 At each position of a stripe, the data strands' bases (0 to 3) are values of a
 polynomial over GF(256) at 0, 1, ..., and the parity strands hold its values at
 the next points, four bases a symbol.  Up to ``parity`` strands may be missing,
-or half as many wrong.  A stripe is a group of at most 256 strands, so a file of
-any size is spread over tasks by stripe.
+or half as many wrong.  ``parity`` makes and mends strands by joins; here are the
+field, one stripe's arithmetic, and the search for wrong bases in the few stripes
+that nothing else recovers, a group of at most 256 strands each.
 """
 
 from __future__ import annotations
@@ -174,52 +175,6 @@ def stripe(index: Column, parity: int) -> Column:
     return F.floor(index / max(1, BLOCK - parity)).cast("int")
 
 
-def add_parity(strands: DataFrame, parity: int) -> DataFrame:
-    """``strands`` (file_id, strand_index, seq) and their parity strands, with stripe, source_index and is_parity.
-
-    source_index counts a stripe's data strands, then its parity strands.
-    """
-    kind = strands.schema["file_id"].dataType.simpleString()
-    width = max(1, BLOCK - parity)
-    placed = strands.select("file_id", stripe(F.col("strand_index"), parity).alias("stripe"), (F.col("strand_index") % width).cast("int").alias("source_index"), F.lit(False).alias("is_parity"), "seq")
-
-    def run(batches):
-        key, seqs, done, id_type = None, [], [], None
-
-        def close():
-            made = encode_stripe(seqs, parity)
-            done.extend((*key, len(seqs) + i, True, m) for i, m in enumerate(made))
-
-        def out():
-            columns = list(zip(*done, strict=True))
-            done.clear()
-            types = (id_type, pa.int32(), pa.int32(), pa.bool_(), pa.string())
-            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["file_id", "stripe", "source_index", "is_parity", "seq"])
-
-        for batch in batches:
-            id_type = batch["file_id"].type
-            for f, s, seq in zip(batch["file_id"].to_pylist(), batch["stripe"].to_pylist(), batch["seq"].to_pylist(), strict=True):
-                if (f, s) != key and seqs:
-                    close()
-                    seqs = []
-                    if len(done) >= 2048:
-                        yield out()
-                key = (f, s)
-                seqs.append(seq)
-        if seqs:
-            close()
-        if done:
-            yield out()
-
-    if not parity:
-        return placed
-    # stripes are many and small: they are dealt and sorted, and a task walks through its own
-    n = int(strands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = placed.repartition(n, "file_id", "stripe").sortWithinPartitions("file_id", "stripe", "source_index")
-    made = dealt.select("file_id", "stripe", "seq").mapInArrow(run, f"file_id {kind}, stripe int, source_index int, is_parity boolean, seq string")
-    return placed.unionByName(made)
-
-
 def recover(strands: DataFrame, parity: int) -> DataFrame:
     """Data strands of every stripe from what is left of it: (file_id, strand_index, seq, mended).
 
