@@ -101,3 +101,13 @@ def is_valid(strand: Column, limits: Limits = LIMITS["default"]) -> Column:
 def violation_rows(strands: DataFrame, limits: Limits = LIMITS["default"], keep: tuple[str, ...] = ("strand_id",)) -> DataFrame:
     """A row for each violation, with the ``keep`` columns of its strand; ``strands`` has seq."""
     return strands.select(*keep, F.explode(violations(F.col("seq"), limits)).alias("v")).select(*keep, "v.*")
+
+
+def screening(strands: DataFrame, limits: Limits = LIMITS["default"], key: str = "file_id") -> DataFrame:
+    """Per file of encoded strands: strands, how many are valid, and whether all are.
+
+    A codec whose strands a payload alone determines has nothing to try instead,
+    so its strict use is to encode and refuse files that aren't clean.
+    """
+    per = strands.groupBy(key).agg(F.count(F.lit(1)).alias("strands"), F.count_if(F.coalesce(is_valid(F.col("seq"), limits), F.lit(False))).alias("valid"))
+    return per.withColumn("clean", F.col("valid") == F.col("strands"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..operators import benchmark, codecs, constraints, fountain, noise, parity, pool, reedsolomon
-from ..sources.tables import document_files, part_files
+from ..sources.tables import document_files, part_files, written
 from . import sql
 from .strands import valid_sql
 
@@ -46,6 +46,21 @@ def fountain_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checked(fountain.decode(fountain.encode(document_files(spark, sf_dir))))
 
 
+def fountain_screened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as droplets that keep to the default limits, and peeled back: droplets wanted, too few and invalid ones."""
+    sown = written(fountain.screened(part_files(spark, sf_dir)), "screened")
+    made = fountain.screened_strands(sown)
+    told = fountain.shortfall(sown).select("file_id", "wanted", "short", "peels").join(constraints.screening(made).select("file_id", (F.col("strands") - F.col("valid")).alias("invalid")), "file_id")
+    return told.join(_checked(fountain.decode(made, "screened")), "file_id")
+
+
+def yinyang_screened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two-rule strands of every part, how many of them keep to the relaxed and to the default limits."""
+    made = codecs.encode(part_files(spark, sf_dir), "yinyang")
+    relaxed = constraints.screening(made, constraints.LIMITS["relaxed"])
+    return relaxed.join(constraints.screening(made).select("file_id", F.col("valid").alias("valid_by_default")), "file_id")
+
+
 def codec_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strands, nucleotides, density, mean GC share and longest run of all documents under each codec."""
     files = document_files(spark, sf_dir)
@@ -137,7 +152,7 @@ def encryption_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (ternary_encode, ternary_overlap_encode, yinyang_encode, codec_round_trip, fountain_round_trip, codec_comparison, codec_choice, codec_gc_and_runs, parity_strands, erasure_recovery, error_distribution, channel_stats, pool_recovery, content_ids, encryption_round_trip)
+    for f in (ternary_encode, ternary_overlap_encode, yinyang_encode, codec_round_trip, fountain_round_trip, fountain_screened, yinyang_screened, codec_comparison, codec_choice, codec_gc_and_runs, parity_strands, erasure_recovery, error_distribution, channel_stats, pool_recovery, content_ids, encryption_round_trip)
 }
 
 _TAIL = "[" + ", ".join(map(str, codecs.TRITS[list(codecs.TAIL)].ravel().tolist())) + "]"
@@ -178,6 +193,9 @@ k AS (SELECT file_id, body, unnest(range(0, CAST(ceil(length(body) / 142.0) AS B
 SELECT file_id, i AS strand_index, list_reduce(list_transform([0, 0, 0, 0, i // 64 % 4, i // 16 % 4, i // 4 % 4, i % 4], lambda x: CAST(x AS VARCHAR)), lambda acc, t: acc || substr(CASE WHEN right(acc, 1) IN ('A', 'C') THEN 'TAGC' ELSE 'ATCG' END, CAST(t AS INTEGER) + 1, 1), 'A')[2:] || substr(body, i * 142 + 1, 142) AS seq FROM k""",
     "codec_round_trip": f"SELECT doc_id AS file_id, 'ok' AS status, {_SHA} AS sha256, codec FROM documents, (VALUES ('ternary'), ('ternary-overlap'), ('ternary-high'), ('yinyang')) v(codec) WHERE coalesce(text, '') <> ''",
     "fountain_round_trip": f"SELECT doc_id AS file_id, 'ok' AS status, {_SHA} AS sha256 FROM documents WHERE coalesce(text, '') <> ''",
+    "fountain_screened": """WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS file_id, p_name, CAST(ceil((octet_length(encode(p_name)) + 4) / 16.0) AS BIGINT) AS n FROM part WHERE p_name <> ''),
+g AS (SELECT file_id, least(64, n - 64 * unnest(range(0, CAST(ceil(n / 64.0) AS BIGINT)))) AS k FROM p)
+SELECT file_id, CAST(sum(greatest(CAST(ceil(1.5 * k) AS BIGINT), k + 1)) AS BIGINT) AS wanted, CAST(0 AS BIGINT) AS short, true AS peels, CAST(0 AS BIGINT) AS invalid, 'ok' AS status, sha256(any_value(p_name)) AS sha256 FROM g JOIN p USING (file_id) GROUP BY file_id""",
     "codec_comparison": f"{_COUNTS} SELECT CAST(sum(s) AS BIGINT) AS strands, CAST(sum(CASE WHEN flat > 0 THEN flat + 8 * s ELSE 162 * s END) AS BIGINT) AS nucleotides, round(8.0 * sum(size) / sum(CASE WHEN flat > 0 THEN flat + 8 * s ELSE 162 * s END), 6) AS bits_per_nt, codec FROM c GROUP BY codec",
     "codec_gc_and_runs": f"""WITH e AS ({_ternary_sql(150)}), b AS (SELECT CAST(p_partkey AS BIGINT) AS file_id, octet_length(encode(p_name)) AS size FROM part)
 SELECT file_id, count(*) AS strands, round(avg({sql.gc("seq")}), 6) AS avg_gc, CAST(max({sql.max_run("seq")}) AS BIGINT) AS max_run, round(8.0 * any_value(size) / sum(length(seq)), 6) AS bits_per_nt FROM e JOIN b USING (file_id) GROUP BY file_id""",
@@ -204,3 +222,5 @@ _EACH = " UNION ALL ".join(f"SELECT '{k}' AS codec, * FROM ({ORACLE_SQL[q]})" fo
 ORACLE_SQL["codec_choice"] = f"""WITH made AS ({_EACH}), total AS (SELECT sum(octet_length(encode(p_name))) AS size FROM part),
 r AS (SELECT codec, count(*) AS strands, CAST(sum(length(seq)) AS BIGINT) AS nucleotides, round(8.0 * any_value(size) / sum(length(seq)), 6) AS bits_per_nt, count(*) FILTER (NOT {valid_sql(constraints.LIMITS["relaxed"])}) AS violating FROM made, total GROUP BY codec)
 SELECT codec, strands, nucleotides, bits_per_nt, violating, true AS round_trip, (SELECT codec FROM r ORDER BY bits_per_nt DESC, codec LIMIT 1) AS best_density, (SELECT codec FROM r ORDER BY violating, codec LIMIT 1) AS most_compliant FROM r"""
+ORACLE_SQL["yinyang_screened"] = f"""WITH made AS ({ORACLE_SQL["yinyang_encode"]})
+SELECT file_id, count(*) AS strands, count(*) FILTER ({valid_sql(constraints.LIMITS["relaxed"])}) AS valid, count(*) = count(*) FILTER ({valid_sql(constraints.LIMITS["relaxed"])}) AS clean, count(*) FILTER ({valid_sql(constraints.LIMITS["default"])}) AS valid_by_default FROM made GROUP BY file_id"""

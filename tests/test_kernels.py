@@ -104,6 +104,48 @@ def test_fountain_peels(spark, preset):
     assert sorted((r["file_id"], r["status"], r["payload"]) for r in few) == [(1, "stuck", None), (3000, "stuck", None)]
 
 
+@pytest.mark.parametrize("limits", ["default", "relaxed", "strict", "primer"])
+def test_base_codes_within_limits_are_valid_strands(spark, limits):
+    rnd = np.random.default_rng(3)
+    some = [rnd.integers(0, 4, (300, n), dtype=np.uint8) for n in (1, 5, 12, 20, 50, 60)]
+    some.append(np.resize(np.array([0, 2, 1, 0, 3, 1, 2, 2], dtype=np.uint8), (1, 64)))
+    rows = [("".join(dna.BASES[b] for b in row), bool(ok)) for c in some for row, ok in zip(c, fountain.within(c, constraints.LIMITS[limits]), strict=True)]
+    judged = spark.createDataFrame(rows, "seq string, ok boolean").withColumn("valid", constraints.is_valid(F.col("seq"), constraints.LIMITS[limits]))
+    assert judged.where("ok <> valid").count() == 0
+    assert judged.where("ok").count() > 0 or limits == "strict"
+
+
+def test_scattering_is_a_bijection():
+    some = np.concatenate([np.arange(1000, dtype=np.uint64), np.random.default_rng(1).integers(0, 1 << 64, 1000, dtype=np.uint64)])
+    assert (fountain.scattered(fountain.scattered(some), back=True) == some).all()
+
+
+def test_screened_droplets_are_valid_and_peel(spark):
+    rnd = random.Random(9)
+    payloads = {0: b"\0", 1: bytes(500), 2: b"A" * 60, 3: rnd.randbytes(1500), 4: b"the quick brown fox " * 20}
+    files = spark.createDataFrame([*((i, bytearray(p)) for i, p in payloads.items()), (-1, None), (-2, bytearray())], FILE)
+    sown = fountain.screened(files).cache()
+    made = fountain.screened_strands(sown)
+    assert made.where(~constraints.is_valid(F.col("seq"))).count() == 0
+    assert made.count() == made.select("file_id", "strand_index").distinct().count()
+    told = {r["file_id"]: r for r in fountain.shortfall(sown).collect()}
+    assert set(told) == set(payloads) and all(r["short"] == 0 and r["peels"] and r["made"] >= r["wanted"] and 0 < r["passed"] < 0.05 for r in told.values())
+    back = {r["file_id"]: (r["status"], bytes(r["payload"])) for r in fountain.decode(made.orderBy(F.rand(1)), "screened").collect()}
+    assert back == {i: ("ok", p) for i, p in payloads.items()}
+    assert {(r["file_id"], r["strand_index"]) for r in fountain.encode(files, "screened").collect()} == {(r["file_id"], r["strand_index"]) for r in made.collect()}
+
+
+def test_too_few_tries_are_told(spark, monkeypatch):
+    monkeypatch.setitem(fountain.PRESETS, "scarce", fountain.Preset(tries=100))
+    files = spark.createDataFrame([(1, bytearray(b"x" * 2000)), (2, bytearray(b"y"))], FILE)
+    sown = fountain.screened(files, "scarce").cache()
+    made = fountain.screened_strands(sown)
+    told = {r["file_id"]: r for r in fountain.shortfall(sown).collect()}
+    assert told[1]["short"] > 0 and not told[1]["peels"] and told[1]["made"] == made.where("file_id = 1").count() and told[1]["tried"] == 100 * told[1]["wanted"]
+    assert made.where(~constraints.is_valid(F.col("seq"))).count() == 0
+    assert all(r["payload"] is None and r["status"] == "stuck" for r in fountain.decode(made.where("file_id = 1"), "scarce").collect())
+
+
 def test_consensus_of_nanopore_reads(spark):
     rnd, strands, rows = random.Random(3), [], []
     for g in range(6):
