@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna
-from ..operators import blocks, noise, pool, primers
+from ..operators import access, blocks, codecs, noise, parity, pool, primers, search
 from ..operators.running import running_total
 from ..sources.fasta import read_fasta, write_fasta
-from ..sources.tables import document_files, part_files, scratch, table
+from ..sources.tables import document_files, part_files, scratch, table, written
 from . import sql
 
 PRIMERS, BLOCK_LIMIT, CAPACITY = 100, 512, 100_000
@@ -127,6 +127,26 @@ def assigned_primers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return primers.assigned(who, pairs, ["c_acctbal", "custkey"]).select("custkey", "primer_id")
 
 
+def retrieved_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' files of one search, read from a pool of all suppliers' tagged strands that lost the first strand of each file.
+
+    The index gets odd keys first, then even ones; one nation's files are removed from it.
+    """
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("file_id"), F.format_string("nation%d/%d.txt", "s_nationkey", "s_suppkey").alias("filename"), F.encode("s_name", "UTF-8").alias("payload"), F.col("s_suppkey").cast("long").alias("created_at"), "s_nationkey")
+    place, made = scratch(spark, "access"), pool.catalog(s, "ternary", 2)
+    access.create(place, primers.library_table(spark, max(1, s.count())))
+    for odd in (1, 0):
+        access.register(place, made.where(F.col("file_id") % 2 == odd), ["file_id"])
+    access.remove(spark, place, s.where("s_nationkey = 11").select("file_id"))
+    everyone = written(access.load(spark, place), "registered")
+    left = pool.strands(s, "ternary", 2).where("is_parity or source_index > 0")
+    reads = access.tagged(left, everyone).withColumn("strand_id", F.xxhash64("file_id", "stripe", "source_index")).drop("file_id")
+    hits = written(access.resolved(search.search(everyone.select("file_id", "filename", "size", "content_hash"), "name:nation1 type:txt", 10), everyone), "hits")
+    found = written(access.retrieved(reads, hits), "retrieved").join(made.select("file_id", F.col("data_strands").cast("int").alias("data_strands")), "file_id").withColumn("parity", F.lit(2))
+    back = codecs.decode(parity.mend(found, 2), "ternary")
+    return hits.join(back, "file_id", "left").select("file_id", "filename", "primer_id", "status", F.sha2("payload", 256).alias("sha256"))
+
+
 def _writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_custkey").alias("lba"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("write_id"))
@@ -165,7 +185,7 @@ def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (pool_stat, version_history, listed_files, delete_chains, migrated_files, capacity_check, primer_untag, primer_identify, selective_retrieval, block_round_trip, read_blocks, primer_library, assigned_primers, rewritten_blocks, write_once_blocks, cost_estimate, redundancy_advice, fasta_round_trip)
+    for f in (pool_stat, version_history, listed_files, delete_chains, migrated_files, capacity_check, primer_untag, primer_identify, selective_retrieval, block_round_trip, read_blocks, primer_library, assigned_primers, retrieved_files, rewritten_blocks, write_once_blocks, cost_estimate, redundancy_advice, fasta_round_trip)
 }
 
 _FILES = f"WITH d AS ({sql.DOCUMENT_FILES}), c AS (SELECT *, CASE WHEN size > 0 THEN CAST(ceil(6 * (size + 4) / 150.0) AS BIGINT) ELSE 0 END AS s FROM d)"
@@ -203,6 +223,8 @@ f AS (SELECT ordinal, fwd, rev, row_number() OVER (ORDER BY ordinal) AS i FROM c
 g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS kept UNION ALL
   SELECT f.i, CASE WHEN len(list_filter(kept, lambda x: hamming(x, fwd) < 8 OR hamming(x, rev) < 8)) = 0 THEN list_concat(kept, [fwd, rev]) ELSE kept END FROM g JOIN f ON f.i = g.i + 1)
 SELECT ordinal, fwd, rev FROM f SEMI JOIN (SELECT unnest(arg_max(kept, i)) AS fwd FROM g) USING (fwd)""",
+    "retrieved_files": """WITH f AS (SELECT CAST(s_suppkey AS BIGINT) AS file_id, printf('nation%d/%d.txt', s_nationkey, s_suppkey) AS filename, s_name, s_nationkey, printf('P%04d', row_number() OVER (ORDER BY s_suppkey % 2 = 0, s_suppkey) - 1) AS primer_id FROM supplier)
+SELECT file_id, filename, primer_id, 'ok' AS status, sha256(s_name) AS sha256 FROM f WHERE s_nationkey <> 11 AND contains(filename, 'nation1') ORDER BY file_id LIMIT 10""",
     "assigned_primers": f"SELECT CAST(c_custkey AS BIGINT) AS custkey, CASE WHEN row_number() OVER w <= {PRIMERS} THEN printf('P%04d', row_number() OVER w - 1) END AS primer_id FROM customer WINDOW w AS (ORDER BY c_acctbal, c_custkey)",
     "rewritten_blocks": "SELECT o_custkey AS lba, count(*) AS generation, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS write_id FROM orders GROUP BY o_custkey",
     "write_once_blocks": "SELECT o_custkey AS lba, o_orderkey AS write_id, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1 THEN 'ok' ELSE 'already_written' END AS status FROM orders",
