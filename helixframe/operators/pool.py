@@ -35,11 +35,19 @@ def strand_count(size: Column, codec: str) -> Column:
 
 
 def nucleotides() -> Column:
-    """Bases of a catalog row's strands, by closed form."""
-    two_rule = F.col("codec") == "yinyang"
-    data = F.when(two_rule & (F.col("size") > 0), 4 * (F.col("size") + 4) + codecs.HEAD * F.col("data_strands")).otherwise((codecs.INDEX + codecs.SEGMENT) * F.col("data_strands"))
-    width = F.when(two_rule, F.least(F.lit(codecs.HEAD + codecs.CHUNK), codecs.HEAD + 4 * (F.col("size") + 4))).otherwise(codecs.INDEX + codecs.SEGMENT)
-    return data + 4 * width * F.col("parity_strands")
+    """Bases of a catalog row's strands, by closed form.
+
+    A parity strand has four bases for each of the longest strand of its stripe;
+    of the two-rule codec the last strand is shorter, which counts where it is
+    alone in its stripe.
+    """
+    two_rule, n = F.col("codec") == "yinyang", F.col("data_strands")
+    bases = 4 * (F.col("size") + 4)
+    data = F.when(two_rule & (F.col("size") > 0), bases + codecs.HEAD * n).otherwise((codecs.INDEX + codecs.SEGMENT) * n)
+    alone = two_rule & (n > 0) & ((n - 1) % F.greatest(F.lit(1), F.lit(reedsolomon.BLOCK) - F.col("redundancy")) == 0)
+    lacking = F.when(alone, (codecs.CHUNK * n - bases) * F.col("redundancy")).otherwise(0)
+    width = F.when(two_rule, codecs.HEAD + codecs.CHUNK).otherwise(codecs.INDEX + codecs.SEGMENT)
+    return data + 4 * (width * F.col("parity_strands") - lacking)
 
 
 def strands(files: DataFrame, codec: str = "ternary", parity: int = PARITY) -> DataFrame:
@@ -54,14 +62,35 @@ def tagged_size(data: Column, parity: Column) -> Column:
     return data + parity + 2 * dna.PRIMER_LENGTH
 
 
+def _ratios(rolled: DataFrame) -> DataFrame:
+    ratio = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
+    return rolled.withColumns({"redundancy": ratio(F.col("strands"), F.col("data_strands")), "avg_length": ratio(F.col("nucleotides"), F.col("strands"))})
+
+
 def stat(strands: DataFrame) -> DataFrame:
-    """Per file and for the pool (file_id null): strands, data, parity, nucleotides, redundancy, mean length."""
+    """Per file and for the pool (file_id null): strands, data, parity, nucleotides, redundancy, mean length; of strands as they are."""
     rolled = strands.rollup("file_id").agg(
         F.grouping("file_id").alias("is_total"), F.count(F.lit(1)).alias("strands"), F.count_if(~F.col("is_parity")).alias("data_strands"), F.count_if("is_parity").alias("parity_strands"),
         F.coalesce(F.sum(F.length("seq")), F.lit(0)).cast("long").alias("nucleotides"),
     )
-    ratio = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
-    return rolled.withColumns({"redundancy": ratio(F.col("strands"), F.col("data_strands")), "avg_length": ratio(F.col("nucleotides"), F.col("strands"))})
+    return _ratios(rolled)
+
+
+def planned_stat(catalog: DataFrame) -> DataFrame:
+    """What ``stat`` says of the strands that a catalog's files have when none is lost, by closed form: no strand is made or read."""
+    each = catalog.where("size > 0").select("file_id", "data_strands", "parity_strands", nucleotides().alias("nucleotides"))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("data_strands", "parity_strands", "nucleotides")]
+    rolled = each.rollup("file_id").agg(F.grouping("file_id").alias("is_total"), F.coalesce(F.sum(F.col("data_strands") + F.col("parity_strands")), F.lit(0)).cast("long").alias("strands"), *sums)
+    return _ratios(rolled)
+
+
+def layouts(files: DataFrame, names: tuple[str, ...] = tuple(codecs.CODECS)) -> DataFrame:
+    """A row for each codec: strands, nucleotides and bits_per_nt that all of ``files`` (payload) take under it, by closed form in one scan."""
+    sized = files.select(F.octet_length("payload").cast("long").alias("size")).where("size > 0")
+    counts = F.array(*(F.struct(F.lit(k).alias("codec"), strand_count(F.col("size"), k).alias("data_strands")) for k in names))
+    each = sized.select("size", F.explode(counts).alias("c")).select("size", "c.*", F.lit(0).cast("long").alias("parity_strands"), F.lit(0).alias("redundancy"))
+    summed = each.withColumn("nucleotides", nucleotides()).groupBy("codec").agg(F.sum("data_strands").alias("strands"), F.sum("nucleotides").alias("nucleotides"), F.sum("size").alias("size"))
+    return summed.select("codec", "strands", "nucleotides", (8 * F.col("size") / F.col("nucleotides")).alias("bits_per_nt"))
 
 
 def versions(files: DataFrame, order: list[str]) -> DataFrame:

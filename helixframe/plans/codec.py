@@ -62,13 +62,8 @@ def yinyang_screened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def codec_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strands, nucleotides, density, mean GC share and longest run of all documents under each codec."""
-    files = document_files(spark, sf_dir)
-    done = []
-    for k in codecs.CODECS:
-        per = codecs.collection_stats(files, k)
-        done.append(per.agg(F.sum("strands").alias("strands"), F.sum("nucleotides").alias("nucleotides"), F.round(8 * F.sum("n_bytes") / F.sum("nucleotides"), 6).alias("bits_per_nt")).withColumn("codec", F.lit(k)))
-    return reduce(DataFrame.unionByName, done)
+    """Strands, nucleotides and density of all documents under each codec; ``codec_choice`` makes the strands."""
+    return pool.layouts(document_files(spark, sf_dir)).withColumn("bits_per_nt", F.round("bits_per_nt", 6))
 
 
 def codec_choice(spark: SparkSession, sf_dir: str) -> DataFrame:

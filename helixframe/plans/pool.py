@@ -17,7 +17,7 @@ PRIMERS, BLOCK_LIMIT, CAPACITY = 100, 512, 100_000
 
 def pool_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part as a stored file, and the pool as a whole (file_id -1)."""
-    found = pool.stat(pool.strands(part_files(spark, sf_dir), "ternary", 4))
+    found = pool.planned_stat(pool.catalog(part_files(spark, sf_dir), "ternary", 4))
     key = F.when(F.col("is_total") == 1, F.lit(-1)).otherwise(F.col("file_id")).cast("long")
     return found.select(key.alias("file_id"), "strands", "data_strands", "parity_strands", "nucleotides", F.round("redundancy", 6).alias("redundancy"), F.round("avg_length", 6).alias("avg_length"))
 

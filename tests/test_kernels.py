@@ -90,6 +90,18 @@ def test_field_inverse_and_lagrange():
     assert (reedsolomon.lagrange((0, 1, 5), (1, 5, 0)) == np.eye(3, dtype=np.uint8)[[1, 2, 0]]).all()
 
 
+@pytest.mark.parametrize("name,parity", [("ternary", 4), ("ternary-high", 0), ("yinyang", 3)])
+def test_statistics_by_closed_form_are_those_of_the_strands(spark, name, parity):
+    rnd = random.Random(4)
+    sizes = (0, 1, 20, 21, 30, 31, 32, 33, 71, 300, 9000)
+    files = spark.createDataFrame([*((i, f"f{i}", bytearray(rnd.randbytes(n)), i) for i, n in enumerate(sizes)), (99, "none", None, 99)], "file_id long, filename string, payload binary, created_at long")
+    rows = lambda d: sorted(map(tuple, d.select("file_id", "is_total", "strands", "data_strands", "parity_strands", "nucleotides", "redundancy", "avg_length").collect()), key=repr)
+    assert rows(pool.planned_stat(pool.catalog(files, name, parity))) == rows(pool.stat(pool.strands(files, name, parity)))
+    made = codecs.collection_stats(files, name).agg(F.sum("strands"), F.sum("nucleotides")).first()
+    laid = pool.layouts(files, (name,)).first()
+    assert (laid["strands"], laid["nucleotides"], round(laid["bits_per_nt"], 9)) == (*made, round(8 * sum(sizes) / made[1], 9))
+
+
 @pytest.mark.parametrize("preset", sorted(fountain.PRESETS))
 def test_fountain_peels(spark, preset):
     payloads = {n: random.Random(n).randbytes(n) for n in (1, 12, 16, 500, 764, 3000)}
