@@ -23,6 +23,13 @@ def pack(payload: Column) -> Column:
     return out
 
 
+def packed_gc(payload: Column) -> Column:
+    """GC share of the packed bytes, without packing them: a base is G or C if the high bit of its pair is set; 0 for no bytes."""
+    digits = F.hex(payload)
+    high = F.length(F.translate(digits, "0145", "")) + F.length(F.translate(digits, "0123456789CD", ""))
+    return F.when(F.length(digits) > 0, high / (2 * F.length(digits))).otherwise(0.0)
+
+
 def unpack(strand: Column) -> Column:
     """The bytes of a packed strand; bases beyond the last full byte are ignored."""
     digits = F.translate(F.substring(strand, F.lit(1), (F.floor(F.length(strand) / 4) * 4).cast("int")), BASES, "0123")

@@ -50,6 +50,14 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.sessions(table(spark, sf_dir, "events"))
 
 
+def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sessions, found by a stream that is run to its end."""
+    events = table(spark, sf_dir, "events")
+    arrived = scratch(spark, "events")
+    events.write.parquet(arrived)
+    return stream.drained(spark, arrived, events.schema, stream.sessions, scratch(spark, "stream"), whole=True).drop("batch")
+
+
 def command_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return agent.plans(c).select("conv_id", "turn", "tool", "filename", F.coalesce("redundancy", F.lit(-1)).cast("long").alias("redundancy"), "codec")
@@ -105,7 +113,7 @@ def indexed_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.search(spark, path, e.where("vec_id % 20 = 0"), 10).select("query_id", "vec_id", "score")
 
 
-QUERIES = {f.__name__: f for f in (audit_counts, audit_tail, pool_metrics, event_windows, event_sessions, command_plans, command_data, search_filtered, search_ranked, file_vectors, nearest_vectors, nearest_to_each, indexed_nearest)}
+QUERIES = {f.__name__: f for f in (audit_counts, audit_tail, pool_metrics, event_windows, event_sessions, streamed_sessions, command_plans, command_data, search_filtered, search_ranked, file_vectors, nearest_vectors, nearest_to_each, indexed_nearest)}
 
 _LOG = "WITH l AS (SELECT event_id, ts, event_type AS operation, coalesce(value, 0) >= 10 AS success FROM events)"
 _QUERY = "small text src3/12.en"
@@ -168,3 +176,4 @@ _DATA = ", ".join(f"nullif(regexp_replace({_behind(w, 'text')}, '^[:= ]+', ''),
 _ASKED = ", ".join(_behind(w, "lower(text)") for w in agent.QUERY_WORDS)
 ORACLE_SQL["command_data"] = f"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations), d AS (SELECT conv_id, turn, coalesce({_DATA}, '') AS data, coalesce({_ASKED}) AS query FROM t)
 SELECT conv_id, turn, sha256(CASE WHEN regexp_matches(data, '^"[^"]*"') THEN regexp_extract(data, '^"([^"]*)"', 1) ELSE data END) AS data_sha256, sha256(query) AS query_sha256 FROM d"""
+ORACLE_SQL["streamed_sessions"] = ORACLE_SQL["event_sessions"]

@@ -25,10 +25,9 @@ def strand_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gc_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by tenths of the GC share of their packed text."""
-    s = F.col("seq")
-    packed = document_files(spark, sf_dir).select(dna.pack(F.col("payload")).alias("seq"))
+    shares = document_files(spark, sf_dir).select(dna.packed_gc(F.col("payload")).alias("gc"))
     bins = spark.range(10).select(F.col("id").cast("int").alias("bin"))
-    counted = packed.select(F.least(F.floor(dna.gc_content(s) * 10), F.lit(9)).cast("int").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    counted = shares.select(F.least(F.floor(F.col("gc") * 10), F.lit(9)).cast("int").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     return bins.join(counted, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("documents"))
 
 

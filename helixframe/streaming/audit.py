@@ -30,10 +30,12 @@ def distinct(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicates(["event_id", "ts"])
 
 
-def drained(spark: SparkSession, path: str, schema, build, out: str, files_at_once: int = 1000, late: str = UNBOUNDED) -> DataFrame:
+def drained(spark: SparkSession, path: str, schema, build, out: str, files_at_once: int = 1000, late: str = UNBOUNDED, whole: bool = False) -> DataFrame:
     """Runs ``build`` over all files of ``path`` as a stream and returns what it wrote.
 
-    In update mode, a group's newest row wins; checkpoint and results go under ``out``.
+    A group's newest row wins; checkpoint and results go under ``out``.  Groups
+    that can merge, as sessions do, have no newest row: with ``whole`` every
+    batch writes all groups, and those of the last batch are returned.
     Files come in any order, so ``build`` is given ``late``, the time by which an event
     may be older than the newest one: the default is longer than any table's span,
     so that no event is dropped at any number of files, and all groups are held.
@@ -43,6 +45,10 @@ def drained(spark: SparkSession, path: str, schema, build, out: str, files_at_on
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
 
-    query = build(source, late=late).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    query = build(source, late=late).writeStream.outputMode("complete" if whole else "update").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    rows = spark.read.parquet(f"{out}/rows")
+    if whole:
+        last = rows.agg(F.max("batch")).first()[0]
+        rows = rows.where(F.col("batch") == F.coalesce(F.lit(last), F.lit(0)))
+    return rows

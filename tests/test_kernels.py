@@ -268,6 +268,11 @@ def test_observed_errors(spark):
     assert {r["place"]: r["mismatches"] for r in pool.errors_by_place(found).collect()} == {0: 1, 2: 2}
 
 
+def test_gc_of_packed_bytes(spark):
+    rows = spark.createDataFrame([(bytearray(range(256)),), (bytearray(),), *((bytearray([b]),) for b in range(256))], "payload binary")
+    assert rows.where(dna.packed_gc(F.col("payload")) != dna.gc_content(dna.pack(F.col("payload")))).count() == 0
+
+
 def test_unpack_is_the_inverse_of_pack(spark):
     rows = [(bytearray(random.Random(n).randbytes(n)),) for n in (0, 1, 6, 7, 8, 13, 14, 15, 200)] + [(bytearray(b"\xff" * 21),), (None,)]
     back = spark.createDataFrame(rows, "b binary").select("b", dna.unpack(dna.pack(F.col("b"))).alias("back")).collect()
