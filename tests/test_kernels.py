@@ -338,3 +338,26 @@ def test_recovery_uses_parity_whose_reads_are_contested(spark, sequencing, cover
     left = reads.where(F.col("is_parity") | (F.col("source_index") >= dropped))
     got = pool.recover(left, pool.catalog(stored, parity=parity), "ternary", parity).collect()
     assert [(r["status"], bytes(r["payload"] or b"")) for r in got] == [("ok", text)] * files
+
+
+@pytest.mark.parametrize("name", list(codecs.CODECS))
+def test_strands_in_order_leave_decoding_as_few_runs(spark, name, monkeypatch):
+    files = spark.createDataFrame([(i, bytes(range(200)) * 4) for i in range(30)], "file_id long, payload binary").coalesce(1)
+    made, seen = codecs.encode(files, name), []
+    plain = codecs.runs_of
+    monkeypatch.setattr(codecs, "runs_of", lambda *a: seen.append(plain(*a)) or seen[-1])
+    back = codecs.decode(made, name)
+    assert made.count() > 300 and seen[0].count() == 30
+    assert back.where("status = 'ok'").join(files, ["file_id", "payload"]).count() == 30
+
+
+def test_a_stripe_in_order_is_one_row_of_sums(spark):
+    files = spark.createDataFrame([(i, bytes(range(250)) * (1 + 20 * (i % 2))) for i in range(20)], "file_id long, payload binary").coalesce(1)
+    made = codecs.encode(files).withColumnRenamed("strand_index", "point").where("point < 200")
+    n = made.groupBy("file_id").agg(F.count(F.lit(1)).cast("int").alias("k"))
+    rows = made.join(n, "file_id").coalesce(1).sortWithinPartitions("file_id").selectExpr("file_id", "0 AS stripe", "k + 4 AS n", "point", "false AS is_parity", "seq", "sequence(k, k + 3) AS excluded", "sequence(k, k + 3) AS targets")
+    assert stripes.partial_sums(rows, 4).count() == 20
+    # sums of parts are those of the whole
+    whole = stripes.filled(rows, 4).select("file_id", "symbols")
+    apart = stripes.filled(rows.repartition(7, "point"), 4).select("file_id", "symbols")
+    assert whole.exceptAll(apart).count() == 0 and whole.count() == 20
