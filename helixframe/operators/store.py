@@ -119,7 +119,7 @@ def write(path: str, files: DataFrame, codec: str = "ternary", parity: int = poo
     made = pool.strands(files.withColumn("file_id", F.col("file_id").cast("long")), codec, parity)
     made = made.withColumns({"write": F.lit(name), "bucket": bucket(F.col("file_id")), "codec": F.lit(codec)})
     # few files a folder, and none much larger than the others
-    made.hint("rebalance", "bucket").write.partitionBy("codec", "bucket").parquet(f"{path}/strands/gen={name}")
+    made.hint("rebalance", "bucket").write.option("compression", "zstd").partitionBy("codec", "bucket").parquet(f"{path}/strands/gen={name}")
     entries.write.parquet(f"{path}/catalog/write={name}")
     commit(spark, path, "write", name, request, expected)
     if user is not None:
@@ -201,7 +201,8 @@ def read(spark: SparkSession, path: str, requests: DataFrame) -> DataFrame:
     # a handful of codecs, each with the most parity strands that a stripe has
     for codec, most in found.where("size > 0").groupBy("codec").agg(F.max("redundancy")).collect():
         mine = found.where((F.col("codec") == codec) & (F.col("size") > 0)).select("write", "file_id", "codec", "redundancy", "data_strands").distinct()
-        held = strands(spark, path, mine).join(mine.drop("codec"), ["write", "file_id"])
+        # one join, so that strands are shuffled once
+        held = all_strands(spark, path).join(mine.withColumn("bucket", bucket(F.col("file_id"))), ["codec", "bucket", "write", "file_id"])
         held = held.select(key.alias("file_id"), "stripe", "source_index", "is_parity", "seq", in_stripe.alias("data_strands"), F.col("redundancy").alias("parity"))
         data = stripes.mend(held, most)
         out = codecs.decode(data, codec).join(data.groupBy("file_id").agg(F.count_if("mended").alias("mended")), "file_id")
@@ -243,7 +244,7 @@ def compact(spark: SparkSession, path: str) -> int:
     dropped = [{"gen": r["gen"], "codec": r["codec"], "bucket": r["bucket"]} for r in touched]
     place = F.broadcast(spark.createDataFrame([(d["gen"], d["codec"], d["bucket"]) for d in dropped], "gen string, codec string, bucket int"))
     kept = marked.where("live").join(place, ["gen", "codec", "bucket"], "left_semi").drop("live", "gen")
-    kept.hint("rebalance", "bucket").write.partitionBy("codec", "bucket").parquet(f"{path}/strands/gen={name}")
+    kept.hint("rebalance", "bucket").write.option("compression", "zstd").partitionBy("codec", "bucket").parquet(f"{path}/strands/gen={name}")
     commit(spark, path, "compact", name, expected=seen, removed=removed, dropped=dropped)
     for d in dropped:
         fs, at = _place(spark, f"{path}/strands/gen={d['gen']}/codec={d['codec']}/bucket={d['bucket']}")

@@ -52,8 +52,11 @@ def migrated_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _harm(spark: SparkSession, path: str, lost: Column) -> None:
     """Takes the strands for which ``lost`` holds from a pool's folders."""
-    left = written(spark.read.schema(store.STRANDS).parquet(f"{path}/strands").where(~lost), "left")
-    left.write.mode("overwrite").partitionBy("gen", "codec", "bucket").parquet(f"{path}/strands")
+    left = spark.read.schema(store.STRANDS).parquet(f"{path}/strands").where(~lost)
+    left.write.option("compression", "zstd").partitionBy("gen", "codec", "bucket").parquet(f"{path}/left")
+    fs, at = store._place(spark, f"{path}/strands")
+    fs.delete(at, True)
+    fs.rename(store._place(spark, f"{path}/left")[1], at)
 
 
 def pool_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
