@@ -12,6 +12,8 @@ from ..sources.tables import written
 from . import constraints
 from .running import running_total
 
+#: Pairs in the first range that is tried.
+FIRST_RANGE = 3_000
 SCHEMA = "ordinal int, primer_id string, fwd string, rev string"
 
 
@@ -31,31 +33,77 @@ def candidates(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("ordinal"), drawn(name("fwd")).alias("fwd"), drawn(name("rev")).alias("rev"))
 
 
-def conflicts(pairs: DataFrame, distance: int = dna.PRIMER_DISTANCE) -> DataFrame:
-    """Pairs of which some primers differ in fewer than ``distance`` places: first, second (ordinals, first < second).
+def coded(primer: Column) -> Column:
+    """A primer's bases as a number, two bits a base; null for what isn't PRIMER_LENGTH bases."""
+    return F.when(primer.rlike(f"^[ATGC]{{{dna.PRIMER_LENGTH}}}$"), F.conv(F.translate(primer, dna.BASES, "0123"), 4, 10).cast("long"))
+
+
+def seeded(pairs: DataFrame, distance: int) -> DataFrame:
+    """Each primer (ordinal, primer, code) with its seeds: numbers of which primers that differ in fewer than ``distance`` places share one.
 
-    Cut into distance + 2 blocks, such primers agree in three whole blocks, so
-    only primers that share three are compared.
+    Cut into distance + 2 blocks, such primers agree in three whole blocks.
     """
     n, blocks = dna.PRIMER_LENGTH, distance + 2
     bounds = [n * i // blocks for i in range(blocks + 1)]
-    every = pairs.select("ordinal", F.explode(F.array("fwd", "rev")).alias("primer"))
-    part = lambda i: F.substring("primer", bounds[i] + 1, bounds[i + 1] - bounds[i])
-    seeds = F.array(*(F.concat_ws(":", F.lit(".".join(map(str, c))), *map(part, c)) for c in combinations(range(blocks), 3)))
-    seeded = every.select("ordinal", "primer", F.explode(seeds).alias("seed"))
-    other = seeded.select("seed", F.col("ordinal").alias("second"), F.col("primer").alias("other"))
-    met = seeded.join(other, "seed").where(F.col("ordinal") < F.col("second")).where(dna.hamming(F.col("primer"), F.col("other")) < distance)
+    every = pairs.select("ordinal", F.explode(F.array("fwd", "rev")).alias("primer")).withColumn("code", coded(F.col("primer")))
+    mask = lambda c: sum(3 << 2 * (n - 1 - j) for i in c for j in range(bounds[i], bounds[i + 1]))
+    # what isn't a base has seeds as if it were an A; only compared primers count, so that unlike ones may share a seed
+    like = coded(F.rpad(F.regexp_replace("primer", f"[^{dna.BASES}]", "A"), n, "A"))
+    masks = F.array(*(F.lit(mask(c)) for c in combinations(range(blocks), 3)))
+    every = every.withColumn("like", like)
+    seeds = F.transform(masks, lambda m, k: F.col("like").bitwiseAND(m) + F.shiftleft(k.cast("long"), 2 * n))
+    return every.select("ordinal", "primer", "code", F.explode(seeds).alias("seed"))
+
+
+def near(a: DataFrame, b: DataFrame, distance: int) -> DataFrame:
+    """(first, second): ordinals of ``a`` and greater ones of ``b`` of which some primers differ in fewer than ``distance`` places."""
+    ours = seeded(a, distance)
+    other = seeded(b, distance).select("seed", F.col("ordinal").alias("second"), F.col("primer").alias("other"), F.col("code").alias("other_code"))
+    apart = F.col("code").bitwiseXOR(F.col("other_code"))
+    differ = F.bit_count(apart.bitwiseOR(F.shiftright(apart, 1)).bitwiseAND(F.lit(int("01" * dna.PRIMER_LENGTH, 2))))
+    close = F.when(apart.isNotNull(), differ < distance).otherwise(dna.hamming(F.col("primer"), F.col("other")) < distance)
+    met = ours.join(other, "seed").where(F.col("ordinal") < F.col("second")).where(close)
     return met.select(F.col("ordinal").alias("first"), "second").distinct()
 
 
+def conflicts(pairs: DataFrame, distance: int = dna.PRIMER_DISTANCE) -> DataFrame:
+    """Pairs of which some primers differ in fewer than ``distance`` places: first, second (ordinals, first < second)."""
+    return near(pairs, pairs, distance)
+
+
 def independent(pairs: DataFrame, distance: int = dna.PRIMER_DISTANCE) -> DataFrame:
     """The plausible pairs that trying them in order keeps, each against all kept before: ordinal, fwd, rev.
 
+    Pairs come in ranges of their order, each twice as large as the one before.
+    Those in conflict with a pair that is kept already go first, so that only
+    what is left of a range is compared with itself: the kept pairs are few where
+    conflicts are many.  An ordinal stands for one pair.
+    """
+    fit = written(pairs.where(plausible(F.col("fwd")) & plausible(F.col("rev"))).select("ordinal", "fwd", "rev"), "primers")
+    n, shares = fit.count(), []
+    while FIRST_RANGE * (2 ** (len(shares) + 1) - 1) < n:
+        shares.append(FIRST_RANGE * (2 ** (len(shares) + 1) - 1) / n)
+    # any bounds give the same pairs; these needn't be exact
+    bounds = [None, *sorted(set(fit.approxQuantile("ordinal", shares, 0.01) if shares else [])), None]
+    kept = None
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        some = fit if low is None else fit.where(F.col("ordinal") > int(low))
+        some = some if high is None else some.where(F.col("ordinal") <= int(high))
+        if kept is not None:
+            lost = near(kept, some, distance).select(F.col("second").alias("ordinal")).distinct()
+            some = written(some.join(lost, "ordinal", "left_anti"), "open")
+        fresh = tried_in_order(some, distance)
+        kept = written(fresh if kept is None else kept.unionByName(fresh), "kept")
+    return kept
+
+
+def tried_in_order(fit: DataFrame, distance: int) -> DataFrame:
+    """The pairs that trying them in order keeps.
+
     In each round the pairs stay that no open pair before them is in conflict
     with, and those in conflict with one that stays go; a chain of conflicts is a
-    round a link, and random pairs have few.  An ordinal stands for one pair.
+    round a link, and random pairs have few.
     """
-    fit = written(pairs.where(plausible(F.col("fwd")) & plausible(F.col("rev"))).select("ordinal", "fwd", "rev"), "primers")
     edges = written(conflicts(fit, distance), "conflicts")
     gone = None
     while edges.head(1):

@@ -361,3 +361,11 @@ def test_a_stripe_in_order_is_one_row_of_sums(spark):
     whole = stripes.filled(rows, 4).select("file_id", "symbols")
     apart = stripes.filled(rows.repartition(7, "point"), 4).select("file_id", "symbols")
     assert whole.exceptAll(apart).count() == 0 and whole.count() == 20
+
+
+def test_primers_tried_in_ranges_are_those_tried_in_order(spark, monkeypatch):
+    pairs = primers.candidates(spark, 600, 5).cache()
+    want = primers.tried_in_order(pairs.where(primers.plausible(F.col("fwd")) & primers.plausible(F.col("rev"))), 9).select("ordinal")
+    monkeypatch.setattr(primers, "FIRST_RANGE", 20)
+    got = primers.independent(pairs, 9).select("ordinal")
+    assert got.count() == want.count() > 20 and got.exceptAll(want).count() == 0
