@@ -369,3 +369,46 @@ def test_primers_tried_in_ranges_are_those_tried_in_order(spark, monkeypatch):
     monkeypatch.setattr(primers, "FIRST_RANGE", 20)
     got = primers.independent(pairs, 9).select("ordinal")
     assert got.count() == want.count() > 20 and got.exceptAll(want).count() == 0
+
+
+def test_reads_near_their_backbone_vote_without_an_alignment(monkeypatch):
+    rnd, pairs = random.Random(5), []
+    for _ in range(600):
+        bone = "".join(rnd.choice(rnd.choice(("ATGC", "AT", "A"))) for _ in range(rnd.choice((4, 9, 40))))
+        read = list(bone)
+        for at in rnd.sample(range(len(read)), rnd.randint(0, 4)):
+            read[at] = rnd.choice("ATGC")
+        at = rnd.randrange(len(read))
+        read[at : at + rnd.choice((0, 1))] = [rnd.choice("ATGC")] * rnd.choice((0, 1))
+        pairs.append(("".join(read), bone))
+    want = consensus.aligned([p[0] for p in pairs], [p[1] for p in pairs])
+    for (read, bone), votes in zip(pairs, want):
+        near = consensus.near([read], [bone])[0]
+        assert near is None or sorted(near) == sorted(votes)
+    got = consensus.votes.func(pd.Series([p[0] for p in pairs]), pd.Series([p[1] for p in pairs]))
+    assert [sorted(v) for v in got] == [sorted(v) for v in want]
+    monkeypatch.setattr(consensus, "aligned", None)
+    assert [list(v) for v in consensus.votes.func(pd.Series(["CGAAT", "CGAAAAT", "CGAAAC"]), pd.Series(["CGAAAT"] * 3))] == [[2 * consensus.VOTES + consensus.GONE], [2 * consensus.VOTES + consensus.MORE], [5 * consensus.VOTES + 3]]
+
+
+def test_channel_draws_each_base_by_its_place_and_keeps_no_qualities_unasked(spark):
+    profile, n, size = noise.PROFILES["nanopore"], 40, 90
+    codes = np.random.default_rng(2).integers(0, 4, n * size).astype(np.uint8)
+    keys = np.random.default_rng(3).integers(0, 1 << 63, n).astype(np.uint64)
+    out = noise.pass_through(noise.Reads(codes, np.full(n, size), None, np.ones(n, bool), np.zeros(n, bool), np.zeros((n, 3), int)), profile, keys)
+    want = []
+    for i, key in enumerate(keys):
+        live = not noise.draw(key[None], 1)[0] < profile.dropout
+        drawn = {p: noise.draw(np.full(size, key), p, np.arange(size)) for p in range(4, 9)}
+        for j, c in enumerate(codes[i * size : (i + 1) * size]):
+            gone, other, more = (live and drawn[p][j] < r for p, r in ((4, profile.deletion), (5, profile.substitution), (6, profile.insertion)))
+            if not gone:
+                want += [(c + 1 + int(drawn[7][j] * 3)) % 4 if other else c] + ([int(drawn[8][j] * 4)] if more else [])
+    assert out.quality is None and list(out.codes) == want
+    # many reads of few bytes come in at least as many partitions as there are cores, however small the strands are
+    strands = spark.createDataFrame([(i, 0, 0, False, "ATGC" * 30) for i in range(40)], "file_id long, stripe int, source_index int, is_parity boolean, seq string").coalesce(1)
+    reads = pool.sequenced(strands, "twist", "illumina", 10, seed=7)
+    assert "quality" not in reads.columns and reads.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    named = strands.withColumn("strand_id", F.col("file_id"))
+    each, mean = (noise.read_stats(noise.simulate(named, "twist", "nanopore", 3, quality=q)).first() for q in ("each", "mean"))
+    assert each["reads"] == mean["reads"] == 120 and each["subs"] == mean["subs"] > 0 and abs(each["avg_quality"] - mean["avg_quality"]) < 1e-9
