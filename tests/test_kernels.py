@@ -412,3 +412,20 @@ def test_channel_draws_each_base_by_its_place_and_keeps_no_qualities_unasked(spa
     named = strands.withColumn("strand_id", F.col("file_id"))
     each, mean = (noise.read_stats(noise.simulate(named, "twist", "nanopore", 3, quality=q)).first() for q in ("each", "mean"))
     assert each["reads"] == mean["reads"] == 120 and each["subs"] == mean["subs"] > 0 and abs(each["avg_quality"] - mean["avg_quality"]) < 1e-9
+
+
+def test_droplets_of_a_generation_leave_a_batch_together(spark):
+    files = spark.createDataFrame([(1, bytes(range(256)) * 9), (2, b"ab"), (3, b"gone")], "file_id long, payload binary")
+    for preset in ("default", "screened"):
+        made = fountain.encode(files, preset)
+        size = fountain.HEADER + 4 * fountain.PRESETS[preset].segment
+        assert {len(r["seq"]) for r in made.select("seq").collect()} == {size}
+        # doubled, lost, short and unreadable strands, in any order
+        spoiled = made.unionByName(made.where("strand_index % 3 = 0")).withColumn("seq", F.when(F.col("file_id") == 3, F.when(F.col("strand_index") % 2 == 0, "NNé" + "A" * (size - 3)).otherwise(F.substring("seq", 1, 9))).otherwise(F.col("seq")))
+        for rows in (spoiled, spoiled.repartition(5, "seq")):
+            got = {r["file_id"]: (r["status"], r["payload"] and bytes(r["payload"])) for r in fountain.decode(rows, preset).collect()}
+            assert got == {1: ("ok", bytes(range(256)) * 9), 2: ("ok", b"ab"), 3: ("stuck", None)}
+    how = fountain.PRESETS["default"]
+    at, begin = fountain.drops_of(64, how)
+    assert len(begin) == fountain.needed(64, how) and at[begin[1] : begin[2]].tolist() == fountain.subset(fountain.FIRST + 1, 64, how).tolist()
+    assert fountain.peel([], 3, how) is None and fountain.peel([(fountain.FIRST, b"")], 64, how) is None
