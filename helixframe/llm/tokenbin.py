@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .storage import scratch_path, shuffle_partitions
 
 #: Words whose ids a worker keeps, but for those that one call adds.
-WORD_CACHE = 250_000
+WORD_CACHE = 500_000
 SIGNS = b'.,;:!?*#%&$@)"]'
 #: Bytes that byte-level pieces don't write as the Latin-1 character of that number, with the one that they do: U+0100 and on.
 _MOVED = [*range(33), *range(127, 161), 173]
@@ -109,7 +109,7 @@ class Encoder:
 
     def _learn(self, missing: set[bytes]) -> None:
         """Adds words to the cache: a word's ids are those of the word without its trailing signs, and theirs."""
-        plain = [w for w in missing if w.isalpha()]
+        plain = list(filter(bytes.isalpha, missing))
         signed, apart, latin, other = [], [], [], []
         for w in missing.difference(plain):
             core = w.rstrip(SIGNS)
@@ -133,18 +133,11 @@ class Encoder:
         if len(self.words) > WORD_CACHE // 2:
             self.older, self.words = self.words, {}
         split = [None if t and "<|" in t else (t or "").encode().lower().split() for t in texts]  # "<|": may be a special token
-        ids = [s and list(map(self.words.get, s)) for s in split]
-        gaps = [(s, x) for s, x in zip(split, ids, strict=True) if s and None in x]
-        missing = {w for s, x in gaps for w, y in zip(s, x, strict=True) if y is None}
+        missing = set().union(*filter(None, split)).difference(self.words)
         again = missing & self.older.keys()
-        self.words.update((w, self.older[w]) for w in again)
+        self.words.update(zip(again, map(self.older.get, again), strict=True))
         self._learn(missing - again)
-        for s, x in gaps:
-            k = -1
-            for _ in range(x.count(None)):
-                k = x.index(None, k + 1)
-                x[k] = self.words[s[k]]
-        return [self._direct(t) if x is None else b"".join(x) for t, x in zip(texts, ids, strict=True)]
+        return [self._direct(t) if s is None else b"".join(map(self.words.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}

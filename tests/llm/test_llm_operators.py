@@ -441,6 +441,20 @@ def test_toxic_models_are_kneser_ney_over_every_count(spark, monkeypatch):
             assert all(abs(got[t] - want(t)) < 1e-9 for t in ours)
 
 
+def test_encoder_learns_a_word_once(monkeypatch):
+    e, learned = tokenbin.Encoder(queries.tokenizer_path()), []
+
+    def learn(missing):
+        learned.extend(missing)
+        e.words.update((w, b"") for w in missing)
+
+    monkeypatch.setattr(e, "_learn", learn)
+    texts = [" ".join(f"x{i}" for i in range(k, k + 20_000)) for k in range(0, 220_000, 20_000)]
+    for t in texts * 2:
+        e.encode([t])
+    assert len(learned) == 220_000
+
+
 def test_toxic_model_has_every_bigram_of_the_smaller_class(spark):
     marked = [(f"a{i} b{i} c{i}", i % 2 == 0) for i in range(20)] + [("a1 b2 c3", False)] * 3
     train = spark.createDataFrame(marked, "text string, toxic boolean")
