@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.tables import written
+from ..sources.tables import spread_by, written
 from . import store
 
 KEYS = "file_id long, wrapped binary, write string"
@@ -61,7 +61,8 @@ def add(spark: SparkSession, path: str, ids: DataFrame, secret: str) -> None:
     if name:
         held = _held(spark, path, name).select("file_id", "wrapped")
         wanted = wanted.join(held, "file_id", "left_anti")
-    made = _with_secret(wanted.select("file_id", fresh("file_id").alias("key")), secret).select("file_id", F.aes_encrypt("key", "_master").alias("wrapped"))
+    # a key is few bytes and much work
+    made = _with_secret(spread_by(wanted, "file_id").select("file_id", fresh("file_id").alias("key")), secret).select("file_id", F.aes_encrypt("key", "_master").alias("wrapped"))
     _replace(spark, path, made if held is None else held.unionByName(made), seen)
 
 

@@ -204,8 +204,10 @@ def read(spark: SparkSession, path: str, requests: DataFrame) -> DataFrame:
         # one join, so that strands are shuffled once
         held = all_strands(spark, path).join(mine.withColumn("bucket", bucket(F.col("file_id"))), ["codec", "bucket", "write", "file_id"])
         held = held.select(key.alias("file_id"), "stripe", "source_index", "is_parity", "seq", in_stripe.alias("data_strands"), F.col("redundancy").alias("parity"))
-        data = stripes.mend(held, most)
-        out = codecs.decode(data, codec).join(data.groupBy("file_id").agg(F.count_if("mended").alias("mended")), "file_id")
+        data, made = stripes.mended(held, most)
+        out = codecs.decode(data if made is None else data.unionByName(made), codec)
+        # strands are counted only where some were lost
+        out = out.withColumn("mended", F.lit(0).cast("long")) if made is None else out.join(made.groupBy("file_id").agg(F.count(F.lit(1)).alias("mended")), "file_id", "left")
         decoded = decoded.unionByName(out.withColumnRenamed("file_id", "entry"))
     right = bits.content_hash(F.col("payload")) == F.col("content_hash")
     empty = F.col("size") == 0
@@ -220,6 +222,8 @@ def migrate(spark: SparkSession, path: str, names: DataFrame, codec: str, parity
         return before
     newest = current(load(spark, path)).where(F.col("codec") != codec).join(names.select("filename").distinct(), "filename", "left_semi")
     back = read(spark, path, newest.select("filename", F.lit(None).cast("int").alias("version"))).where("status = 'ok'")
+    # a write looks at its files more than once
+    back = written(back.select("file_id", "filename", "payload"), "back")
     return write(path, back.select("file_id", "filename", "payload", at.cast("long").alias("created_at")), codec, parity, request, expected)
 
 

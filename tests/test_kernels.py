@@ -429,3 +429,13 @@ def test_droplets_of_a_generation_leave_a_batch_together(spark):
     at, begin = fountain.drops_of(64, how)
     assert len(begin) == fountain.needed(64, how) and at[begin[1] : begin[2]].tolist() == fountain.subset(fountain.FIRST + 1, 64, how).tolist()
     assert fountain.peel([], 3, how) is None and fountain.peel([(fountain.FIRST, b"")], 64, how) is None
+
+
+@pytest.mark.parametrize("codec", ["ternary", "ternary-overlap", "yinyang"])
+def test_parity_is_made_where_strands_are(spark, codec):
+    files = spark.createDataFrame([(i, bytes((i * k * k + k) % 251 for k in range(n))) for i, n in enumerate((1, 2, 34, 700, 12_000, 130_000))], "file_id long, payload binary")
+    made = stripes.encoded(files, codec, 5)
+    plan = made._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and plan.split("== Physical Plan ==")[1].count("MapInArrow") == 1
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, stripes.add_parity(codecs.encode(files, codec), 5).collect()))
+    assert "Exchange" not in pool.strands(files, codec, 5)._jdf.queryExecution().toString()

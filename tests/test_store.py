@@ -148,3 +148,12 @@ def test_euclidean_distance(spark):
 
     row = spark.range(1).select(bits.euclidean(F.array(F.lit(0.0), F.lit(3.0)), F.array(F.lit(4.0), F.lit(0.0))).alias("d")).first()
     assert row["d"] == 5
+
+
+def test_keys_are_made_in_as_many_tasks_as_there_are_cores(spark, path):
+    from helixframe.operators import keys
+
+    keys.add(spark, path, spark.range(2000).coalesce(1).withColumnRenamed("id", "file_id"), "s")
+    held = spark.read.parquet(f"{path}/keys")
+    assert held.count() == 2000 and len(held.inputFiles()) >= spark.sparkContext.defaultParallelism
+    assert keys.opened(spark, path, "s").count() == 2000 and keys.opened(spark, path, "t").count() == 0
