@@ -19,10 +19,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .storage import scratch_path, shuffle_partitions
 
 #: Words whose ids a worker keeps, but for those that one call adds.
@@ -77,22 +79,22 @@ class Encoder:
     def _direct(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _by_model(self, found: list[bytes], texts: list[bytes], parts: int) -> None:
-        """Adds words ``found`` of lower-case Latin letters, whose ``texts`` have ``parts`` pieces set apart by spaces.
+    def _by_model(self, found: list[bytes]) -> None:
+        """Adds words ``found`` of lower-case Latin letters, or of signs only.
 
-        The file's normalisers leave them as they are and its splits are at the spaces,
-        so many are one text for the bare model; a piece ends where its token says so.
+        The file's normalisers leave them as they are and don't split them, so many
+        are one text for the bare model; a word ends where its token says so.
         """
         words = self.words
         for i in range(0, len(found), 1000):
-            text = b" ".join(texts[i : i + 1000])
+            text = b" ".join(found[i : i + 1000])
             latin = not text.isascii()
             text = text.decode("latin-1")
             for byte, char in MOVED if latin else ():
                 text = text.replace(byte, char)
             ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             raw, last = ids.tobytes(), 0
-            for w, end in zip(found[i : i + 1000], (4 * np.flatnonzero(self.ends[ids])[parts - 1 :: parts] + 4).tolist(), strict=True):
+            for w, end in zip(found[i : i + 1000], (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
                 words[w] = raw[last:end]
                 last = end
 
@@ -108,36 +110,58 @@ class Encoder:
                 self.words[x] = ids[at[k] : at[k + 1]].tobytes()
 
     def _learn(self, missing: set[bytes]) -> None:
-        """Adds words to the cache: a word's ids are those of the word without its trailing signs, and theirs."""
+        """Adds words to the cache."""
         plain = list(filter(bytes.isalpha, missing))
-        signed, apart, latin, other = [], [], [], []
-        for w in missing.difference(plain):
-            core = w.rstrip(SIGNS)
-            if core.isalpha() or is_latin(core):
-                if len(core) == len(w):
-                    latin.append(w)
-                else:
-                    signed.append(w)
-                    apart.append(core + b" " + w[len(core) :])
-            else:
-                other.append(w)
-        self._by_model(plain, plain, 1)
-        self._by_model(latin, latin, 1)
-        self._by_model(signed, apart, 2)
-        self._together(other)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if not self.by_word:
-            return [self._direct(t) if t else b"" for t in texts]
+        rest = missing.difference(plain)
+        signs = [w for w in rest if not w.strip(SIGNS)]
+        latin = list(filter(is_latin, rest.difference(signs)))
+        self._by_model(plain)
+        self._by_model(latin)
+        self._by_model(signs)
+        self._together(list(rest.difference(signs, latin)))
+
+    def _known(self, found: list[bytes]) -> list[bytes]:
+        """The ids of words: of letters with trailing signs, those of the letters and of the signs, which are kept apart."""
         if len(self.words) > WORD_CACHE // 2:
             self.older, self.words = self.words, {}
-        split = [None if t and "<|" in t else (t or "").encode().lower().split() for t in texts]  # "<|": may be a special token
-        missing = set().union(*filter(None, split)).difference(self.words)
+        out = list(map(self.words.get, found))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        cores = [found[i].rstrip(SIGNS) for i in new]
+        signed = [len(c) < len(found[i]) and (c.isalpha() or is_latin(c)) for i, c in zip(new, cores, strict=True)]
+        cores = [c if s else found[i] for i, c, s in zip(new, cores, signed, strict=True)]
+        signs = [found[i][len(c) :] for i, c in zip(new, cores, strict=True)]  # none of a word that stays whole
+        missing = {*cores, *signs} - {b""}
+        missing.difference_update(self.words)
         again = missing & self.older.keys()
         self.words.update(zip(again, map(self.older.get, again), strict=True))
         self._learn(missing - again)
-        return [self._direct(t) if s is None else b"".join(map(self.words.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
+        for i, core, sign in zip(new, cores, signs, strict=True):
+            out[i] = self.words[core] + self.words[sign] if sign else self.words[core]
+        return out
+
+    def rows(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by ``end``, and where each text's begin.  A word is looked up once, however often it stands in them."""
+        apart = pc.fill_null(pc.match_substring(texts, "<|"), False) if self.by_word else pc.is_valid(texts)  # "<|": may be a special token
+        data, offsets = K.text_buffers(pc.if_else(apart, "", texts))
+        words = K.find_words(K.LOWER[data], offsets)
+        size = words.end - words.start
+        column = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)])), pa.py_buffer(words.data[K.SPACED[words.data]])])
+        column = column.dictionary_encode()
+        raw, at = (column.dictionary.buffers()[2] or b"").to_pybytes() if len(size) else b"", np.frombuffer(column.dictionary.buffers()[1] or b"", dtype=np.int64)[: len(column.dictionary) + 1].tolist()
+        values = [*self._known([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]), end]
+        closing = np.full(len(texts), len(values) - 1)
+        for row in np.flatnonzero(apart.to_numpy(zero_copy_only=False)).tolist():
+            closing[row] = len(values)
+            values.append(self._direct(texts[row].as_py()) + end)
+        order = np.insert(column.indices.to_numpy().astype(np.int64), words.first[1:], closing)
+        bounds = np.concatenate([[0], np.cumsum(np.array(list(map(len, values)))[order])])[np.concatenate([[0], words.first[1:] + np.arange(1, len(texts) + 1)])]
+        flat = pa.array(values, pa.large_binary()).take(pa.array(order))
+        return np.frombuffer(flat.buffers()[2] or b"", dtype="<u4"), bounds // 4
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        ids, bounds = self.rows(pa.array(texts, pa.large_string()))
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -156,8 +180,8 @@ def forget() -> None:
     _encoders.clear()
 
 
-#: Characters encoded at once, and ids in one Arrow batch on the way to the file.
-TEXT_AT_ONCE, IDS_AT_ONCE = 1 << 20, 1 << 20
+#: Bytes of texts encoded at once, and ids in one Arrow batch on the way to the file.
+TEXT_AT_ONCE, IDS_AT_ONCE = 3 << 20, 1 << 20
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, stripe_bytes: int = 16 << 20, index_stride: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -167,23 +191,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, st
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        encode, end, shard, start = encoder(tokenizer).encode, end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
+        ours, end, shard, start = encoder(tokenizer), end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts, ids = batch["text"], batch["doc_id"]
-            i = 0
-            while i < len(texts):
-                j, size, some = i, 0, []
-                while j < len(texts) and size < TEXT_AT_ONCE:
-                    some.append(texts[j].as_py())
-                    size += len(some[-1] or "")
-                    j += 1
-                rows = encode(some)
-                counts = np.array([len(r) // 4 + 1 for r in rows], dtype=np.int64)
-                bounds = np.concatenate([[0], np.cumsum(counts)])
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(end.join([*rows, b""]), dtype="<i4")))
-                yield pa.record_batch({"doc_id": ids.slice(i, j - i), "ids": lists, "n_tokens": pa.array(counts), "shard": pa.array(np.full(j - i, shard, dtype=np.int32)), "shard_start": pa.array(start + bounds[:-1])})
+            texts, names = batch["text"], batch["doc_id"]
+            size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+            for i, j in K.chunks(texts, size, TEXT_AT_ONCE):
+                ids, bounds = ours.rows(texts.slice(i, j - i), end)
+                for a, b in K.chunks(ids, bounds, IDS_AT_ONCE):
+                    at = bounds[a : b + 1]
+                    lists = pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), pa.array(ids[at[0] : at[-1]].view("<i4")))
+                    yield pa.record_batch({"doc_id": names.slice(i + a, b - a), "ids": lists, "n_tokens": pa.array(np.diff(at)), "shard": pa.array(np.full(b - a, shard, dtype=np.int32)), "shard_start": pa.array(start + at[:-1])})
                 start += int(bounds[-1])
-                i = j
 
     rows = ranged.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, ids array<int>, n_tokens long, shard int, shard_start long")
     options = {"compression": "zstd", "orc.stripe.size": stripe_bytes, "orc.row.index.stride": index_stride, "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01}

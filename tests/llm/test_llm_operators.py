@@ -631,3 +631,12 @@ def test_two_batches_give_what_one_does(spark, odd):
     assert rows(one.ingest(odd)) == rows(two.ingest_in_two(odd))
     assert spark.table(two.name).count() == spark.table(one.name).count() > 1
     assert none.ingest_in_two(odd.limit(0)).count() == 0
+
+
+def test_encoder_looks_a_word_up_once_a_batch_and_keeps_it_without_its_signs(monkeypatch):
+    e = tokenbin.Encoder(queries.tokenizer_path())
+    asked, known = [], e._known
+    monkeypatch.setattr(e, "_known", lambda found: asked.extend(found) or known(found))
+    texts = ["Éa the, the. the", None, "", "the,, éa! x9, 中文, a<|endoftext|>b", "<|endoftext|>", "the, the!"]
+    assert e.encode(texts) == [e._direct(t or "") for t in texts]
+    assert len(asked) == len(set(asked)) and set(e.words) == {w.encode() for w in ("Éa", "the", ",", ".", "!")}
