@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -439,3 +440,21 @@ def test_parity_is_made_where_strands_are(spark, codec):
     assert "Exchange" not in plan and plan.split("== Physical Plan ==")[1].count("MapInArrow") == 1
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, stripes.add_parity(codecs.encode(files, codec), 5).collect()))
     assert "Exchange" not in pool.strands(files, codec, 5)._jdf.queryExecution().toString()
+
+
+def test_tally_counts_what_expressions_do(spark):
+    import random
+
+    rnd = random.Random(3)
+    seqs = ["", "A", "ATGC", "GCGCGCGC", "ACGTACGTAC", "AAAAATTTTT", None, "NNNNNNNNNN", "acgtacgtacgt", "A" * 600]
+    seqs += ["".join(rnd.choice("ATGC" if k % 3 else "ATGCGC") for _ in range(rnd.randint(5, 120))) for k in range(400)]
+    seqs += ["AGTCTGACCA" * 6, "ATCG" * 15]
+    strands = spark.createDataFrame([(s,) for s in seqs], "seq string").coalesce(2)
+    seq = F.col("seq")
+    for name, limits in constraints.LIMITS.items():
+        each = [r[0] for r in strands.where("seq is not null").select(constraints.is_valid(seq, limits)).collect()]
+        assert (~constraints.measures(pa.array([s for s in seqs if s is not None]), limits)[3]).tolist() == each, name
+        want = strands.agg(F.count(F.lit(1)), F.sum(F.length(seq)), F.round(F.avg(dna.gc_content(seq)), 9), F.max(dna.max_run(seq)), F.count_if(~constraints.is_valid(seq, limits))).first()
+        got = constraints.tally(strands, limits).select("strands", "nucleotides", F.round("avg_gc", 9), "max_run", "violating").first()
+        assert tuple(got) == tuple(want)
+    assert tuple(constraints.tally(strands.limit(0)).first()) == (0, 0, None, None, 0)
