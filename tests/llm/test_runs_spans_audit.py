@@ -208,3 +208,14 @@ def test_subset_states_and_orders(spark):
         assert r["redundant"] == sum(m >> f & 1 for m in docs) - r["removed"] and r["unique_fails"] == counts[1 << f, 0]
         total[f] = total.get(f, 0) + r["removed"]
     assert all(r["shapley"] == total[ord(r["filter_order"][r["step"] - 1]) - 65] for r in out)
+
+
+def test_periodic_runs_are_those_of_sql_with_nulls_as_none(spark):
+    """As ``test_same_rows_as_sql`` has it, without data frames, in which DuckDB 2 gives ``pandas.NA`` for null."""
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    found = con.execute(queries.ORACLE_SQL["op11_periodic_runs"])
+    columns = [c[0] for c in found.description]
+    want = found.fetchall()
+    got = [tuple(r) for r in queries.QUERIES["op11_periodic_runs"](spark, SF).select(*columns).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
