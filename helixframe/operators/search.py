@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import bits
 
 DIM, NAME_DIM = 32, 16
+#: Vectors that a block of queries is compared with at once.
+SCANNED = 512
 TEXT_TYPES, IMAGE_TYPES = ("txt", "md", "log", "csv"), ("jpg", "png", "gif", "bmp")
 
 
@@ -118,34 +120,58 @@ def nearest(vectors: DataFrame, query: Column, k: int, id_col: str = "vec_id", v
     return vectors.select(F.col(id_col), F.round(bits.cosine(v, query), 6).alias("score")).orderBy(F.desc("score"), F.asc(id_col)).limit(k)
 
 
+def unit(column: pa.Array) -> np.ndarray:
+    """Rows of arrays as a matrix of rows of length one; zero rows stay."""
+    v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return v / np.where(norm > 0, norm, 1)
+
+
+def best_of(names: np.ndarray, asked: np.ndarray, batches, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each query (its unit vector a row of ``asked``) the k best ids and scores, best first, over batches of vec_id and embedding; fewer if there are fewer."""
+    n = len(names)
+    ids, best, worst = np.zeros((n, 0), dtype=np.int64), np.zeros((n, 0)), np.full((n, 1), -np.inf)
+    for batch in batches:
+        for i in range(0, len(batch), SCANNED):
+            new, v = batch["vec_id"].slice(i, SCANNED).to_numpy(), unit(batch["embedding"].slice(i, SCANNED))
+            score = np.round(asked @ v.T, 6)
+            if best.shape[1] < k < len(new):  # what a query's k best among these leave out can't be among its k best
+                worst = np.maximum(worst, np.partition(score, -k, axis=1)[:, -k:][:, :1])
+            row, column = np.nonzero(~(score < worst))  # few, once k good ones are held
+            if not len(row):
+                continue
+            hit, held = np.unique(row), np.arange(best.shape[1])
+            of = np.concatenate([np.repeat(hit, len(held)), row])
+            name, value = np.concatenate([ids[hit].ravel(), new[column]]), np.concatenate([best[hit].ravel(), score[row, column]])
+            order = np.lexsort((name, -value, of))
+            begin = np.searchsorted(of[order], hit)
+            nth = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+            top = order[nth < k]
+            width = min(k, len(held) + len(new))
+            if width > len(held):
+                ids, best = np.zeros((n, width), dtype=np.int64), np.zeros((n, width))
+            ids[hit], best[hit] = name[top].reshape(len(hit), width), value[top].reshape(len(hit), width)
+            if width == k > 0:
+                worst = best[:, -1:].copy()
+    return ids, best
+
+
 def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 1024) -> DataFrame:
     """(query_id, vec_id, score): for each row of ``queries`` the k of ``vectors`` of greatest cosine; ties go to the smaller id.
 
     Both have vec_id (long) and embedding.  Queries come in blocks of at most
     ``block_rows``, each broadcast and scanned against all vectors; tasks keep the
-    k best of every query, which a shuffle by query merges.  A vector of length
+    k best of every query, which a shuffle by query merges.  Of the vectors scanned
+    at once only those that may be among a query's k best are sorted.  A vector of length
     zero has cosine 0; null vectors are left out.
     """
     context = vectors.sparkSession.sparkContext
     ours = vectors.select("vec_id", "embedding").where("embedding is not null and vec_id is not null")
 
-    def unit(column: pa.Array) -> np.ndarray:
-        v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-        norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
-        return v / np.where(norm > 0, norm, 1)
-
     def scan(block):
         def run(batches):
             names, asked = block.value
-            ids = np.zeros((len(names), 0), dtype=np.int64)
-            best = np.zeros((len(names), 0))
-            for batch in batches:
-                new, v = batch["vec_id"].to_numpy(), unit(batch["embedding"])
-                for i in range(0, len(new), 2048):
-                    best = np.concatenate([best, np.round(asked @ v[i : i + 2048].T, 6)], axis=1)
-                    ids = np.concatenate([ids, np.broadcast_to(new[i : i + 2048], (len(names), len(new[i : i + 2048])))], axis=1)
-                    top = np.lexsort((ids, -best), axis=1)[:, :k]
-                    best, ids = np.take_along_axis(best, top, axis=1), np.take_along_axis(ids, top, axis=1)
+            ids, best = best_of(names, asked, batches, k)
             yield pa.record_batch({"query_id": pa.array(np.repeat(names, ids.shape[1])), "vec_id": pa.array(ids.ravel()), "score": pa.array(best.ravel())})
 
         return run

@@ -458,3 +458,26 @@ def test_tally_counts_what_expressions_do(spark):
         got = constraints.tally(strands, limits).select("strands", "nucleotides", F.round("avg_gc", 9), "max_run", "violating").first()
         assert tuple(got) == tuple(want)
     assert tuple(constraints.tally(strands.limit(0)).first()) == (0, 0, None, None, 0)
+
+
+def test_nearest_to_each_is_brute_force_within_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    for n, dim, k in ((1500, 2, 7), (3, 4, 10), (530, 3, 600), (600, 1, 1), (9, 2, 0)):  # small whole numbers: many ties
+        v = rng.integers(-2, 3, (n, dim)).astype(np.float32)
+        v[0] = 0
+        name = rng.permutation(n)
+        table = pa.record_batch({"vec_id": pa.array(name), "embedding": pa.array(list(v), pa.list_(pa.float32()))})
+        asked = search.unit(table["embedding"])[:20]
+        ids, best = search.best_of(name[:20], asked, [table.slice(0, n // 3), table.slice(n // 3)], k)
+        score = np.round(asked @ search.unit(table["embedding"]).T, 6)
+        top = np.lexsort((np.broadcast_to(name, score.shape), -score), axis=1)[:, :k]
+        assert (ids == name[top]).all() and (best == np.take_along_axis(score, top, axis=1)).all()
+    v = pa.record_batch({"vec_id": pa.array(np.arange(12_000)), "embedding": pa.array(list(rng.normal(size=(12_000, 64)).astype(np.float32)))})
+    asked = search.unit(v["embedding"].slice(0, 1024))
+    tracemalloc.start()
+    search.best_of(np.arange(1024), asked, [v], 10)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6
