@@ -27,9 +27,10 @@ word nor a hot history is one task, where they meet.  Nothing is dropped; the ta
 counted words grows with the corpus.  Where x <= D2 the discounted count is zero
 and where u <= D1 the ratio of the classes is the same for all words, so what
 scoring has to know are the words and bigrams beyond their discounts.  They are
-broadcast in blocks of BLOCK_BYTES that texts pass one after the other, with the
-ids of their words, so that these are found once: scoring
-is a map, without a shuffle, whatever their number.
+broadcast in blocks of BLOCK_BYTES, each a range of their keys.  Scoring is one
+map, without a shuffle, whatever their number: a task holds HELD_TEXT of texts,
+sorts the keys that stand in them, and has one block after the other in memory,
+each asked only for the keys of its range.
 
 A text without words (null, empty, signs only) has likelihood ratio 0.  Rows
 without a label (none, or null) are scored and not learned from; of several
@@ -41,6 +42,7 @@ Words are runs of letters and digits, A-Z lower-cased, told apart by 64-bit hash
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -58,8 +60,8 @@ START, END = 1, 2
 NEUTRAL = 100
 #: Rows, at most, on which the two numbers of the calibration are fitted; they are taken evenly by hash.
 CALIBRATION_ROWS = 20_000
-#: Bounds: bytes of text for a range of counts, bytes of the model in a block, bigrams that a task holds, bytes of labels that are broadcast.
-COUNT_BYTES, BLOCK_BYTES, HELD, LABEL_BYTES = 32 << 20, 48 << 20, 1 << 21, 64 << 20
+#: Bounds: bytes of text for a range of counts, bytes of the model in a block, bigrams that a task holds, bytes of labels that are broadcast, bytes of text that pass several blocks together.
+COUNT_BYTES, BLOCK_BYTES, HELD, LABEL_BYTES, HELD_TEXT = 8 << 20, 48 << 20, 1 << 21, 64 << 20, 16 << 20
 #: Ranges are leading bits of the second word and as many, or one less, of the first; at least this many together.
 LEAST_BITS = 5
 
@@ -196,7 +198,8 @@ def weighed(counts: DataFrame) -> tuple[DataFrame, float]:
     less = log_ratio(F.col("k1"), F.col("k0")) + log_ratio(F.col("c1"), F.col("c0"))
     added = pairs.join(histories, "v").join(known.select("w", "c0", "c1"), "w").select(F.lit(True).alias("pair"), "key", (log_ratio(p[1], p[0]) - less).alias("value"))
     single = far.unionByName(backed).groupBy("key").agg(F.sum("value").alias("value")).select(F.lit(False).alias("pair"), "key", "value")
-    return written(single.unionByName(added), "toxic-model"), other
+    # files in the order of the keys, so that a block's range is read from a part of each
+    return written(single.unionByName(added).sortWithinPartitions("key"), "toxic-model"), other
 
 
 @dataclass
@@ -210,11 +213,14 @@ class ToxicModel:
 
     @classmethod
     def of(cls, table: DataFrame, other: float, block_bytes: int = BLOCK_BYTES) -> ToxicModel:
-        """Fetches a block at a time; each is about ``block_bytes``."""
-        n = max(1, -(-16 * table.count() // block_bytes))
+        """Fetches a block at a time, a range of the keys' leading bits; each is about ``block_bytes`` at most."""
+        bits = (max(0, 16 * table.count() - 1) // block_bytes).bit_length()
         model = cls(other)
-        for k in range(n):
-            rows = table.where(F.pmod(F.xxhash64("key"), F.lit(n)) == k).orderBy("key").toArrow()
+        for k in range(1 << bits):
+            # as signed numbers the keys of a block follow one another too
+            low = (k << 64 >> bits) - (k << 1 >> bits << 64)
+            rows = table.where(F.col("key").between(F.lit(low), F.lit(low + ((1 << 64) >> bits) - 1))) if bits else table
+            rows = rows.orderBy("key").toArrow()
             pair = rows["pair"].to_numpy()
             keys, values = rows["key"].to_numpy().view(np.uint64), rows["value"].to_numpy()
             sides = []
@@ -227,53 +233,80 @@ class ToxicModel:
     def ratios(self, rows: DataFrame) -> DataFrame:
         """``rows`` (a struct ``row`` with ``text``) with ``ratio``: log-likelihood per word as toxic, less that as ordinary; 0 without words."""
         row_type = rows.schema["row"].dataType.simpleString()
-        out = rows.select("row", F.lit(0.0).alias("ratio"))
-        for k, block in enumerate(self.blocks):
-            more = k + 1 < len(self.blocks)
-            out = out.mapInArrow(add_block(block, 0.0 if k else self.other, k > 0, more), f"row {row_type}, ratio double" + ", words binary" * more)
-        return out
+        return rows.select("row").mapInArrow(add_ratios(self.blocks, self.other), f"row {row_type}, ratio double")
 
     def scores(self, ratio: Column) -> Column:
         return F.lit(1.0) / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), ratio * self.scale + self.shift))))
 
 
-def looked_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Values of the asked keys, 0 for others; ``keys`` is sorted."""
+def looked_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, out: np.ndarray) -> None:
+    """Puts the values of those of the asked keys that are there into ``out``; both ``keys`` and ``asked`` are sorted."""
     if not len(keys):
-        return np.zeros(len(asked))
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return np.where(keys[at] == asked, values[at], 0.0)
+        return
+    low, high = np.searchsorted(asked, keys[0]), np.searchsorted(asked, keys[-1], side="right")
+    at = np.searchsorted(keys, asked[low:high])
+    there = np.flatnonzero(keys[at] == asked[low:high])
+    out[low + there] = values[at[there]]
+
+
+def passing(blocks: list[Broadcast]) -> Iterator[list[np.ndarray]]:
+    """The blocks' arrays one after the other; of several none stays in the worker, which reads them again from the executor's copy."""
+    for block in blocks:
+        yield block.value
+        if len(blocks) > 1 and hasattr(block, "_path"):
+            vars(block).pop("_value", None)
+
+
+def text_ratios(parts: list[tuple[np.ndarray, np.ndarray]], blocks: list[Broadcast], other: float) -> np.ndarray:
+    """The ratios of rows, from the ids of their words and each row's first word, in parts."""
+    ids, n = np.concatenate([i for i, _ in parts]), np.concatenate([np.diff(f) for _, f in parts])
+    out, full = np.zeros(len(n)), np.flatnonzero(n)
+    if not len(full):
+        return out
+    first = np.concatenate([[0], np.cumsum(n)])
+    names, where = np.unique(np.append(ids, np.array([START, END], dtype=np.uint64)), return_inverse=True)
+    before, after, _ = bigrams(ids, first)
+    keys, at = np.unique(pair_keys(before, after), return_inverse=True)
+    del before, after, ids
+    word_value, pair_value = np.zeros(len(names)), np.zeros(len(keys))
+    for words, values, pairs, added in passing(blocks):
+        looked_up(words, values, names, word_value)
+        looked_up(pairs, added, keys, pair_value)
+    total = np.add.reduceat(word_value[where[:-2]], first[full]) + word_value[where[-2:]].sum()
+    total += np.add.reduceat(pair_value[at], first[full] + np.arange(len(full)))
+    out[full] = (total + other * (n[full] + 1)) / (n[full] + 1 + NEUTRAL)
+    return out
+
+
+def add_ratios(blocks: list[Broadcast], other: float):
+    """Texts are held until they are HELD_TEXT, so that a block is loaded once for all of them; a single block stays loaded, and a chunk of texts goes by itself."""
+    room = HELD_TEXT if len(blocks) > 1 else 0
 
+    def run(batches):
+        held, parts, done, size = [], [], [], 0
 
-def add_block(block: Broadcast, other: float, known: bool, more: bool):
-    """Adds a block's part of the ratios; the ids of the words come from the block before (``known``) and go to the one behind (``more``)."""
+        def finished():
+            # the batches whose rows all have a ratio
+            ratio = np.concatenate([np.zeros(0), *done])
+            while held and len(held[0]) <= len(ratio):
+                batch = held.pop(0)
+                yield pa.record_batch({"row": batch["row"], "ratio": pa.array(ratio[: len(batch)])})
+                ratio = ratio[len(batch) :]
+            done[:] = [ratio]
 
-    def run(batches):
-        words, word_value, pairs, pair_value = block.value
-        ends = looked_up(words, word_value, np.array([START, END], dtype=np.uint64)).sum()
         for batch in batches:
+            held.append(batch)
             data, offsets = K.text_buffers(batch["row"].field("text"))
-            ratio, kept = batch["ratio"].to_numpy().copy(), []
             for i, j in K.chunks(data, offsets):
-                if known:
-                    own = batch["words"].slice(i, j - i).to_pylist()
-                    ids, first = np.frombuffer(b"".join(own), dtype=np.uint64), np.cumsum([0] + [len(x) // 8 for x in own])
-                else:
-                    ids, first = text_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                if more:
-                    kept += own if known else [ids[p:q].tobytes() for p, q in zip(first[:-1], first[1:], strict=True)]
-                if not len(ids):
-                    continue
-                n = np.diff(first)
-                full = np.flatnonzero(n)
-                names, where = np.unique(ids, return_inverse=True)
-                total = np.add.reduceat(looked_up(words, word_value, names)[where], first[full]) + ends
-                before, after, row = bigrams(ids, first)
-                if len(pairs):
-                    begin = first[full] + np.arange(len(full))
-                    total += np.add.reduceat(looked_up(pairs, pair_value, pair_keys(before, after)), begin)
-                ratio[i + full] += (total + other * (n[full] + 1)) / (n[full] + 1 + NEUTRAL)
-            yield pa.record_batch({"row": batch["row"], "ratio": pa.array(ratio)} | ({"words": pa.array(kept, pa.binary())} if more else {}))
+                parts.append(text_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+                size += int(offsets[j] - offsets[i])
+                if size >= room:
+                    done.append(text_ratios(parts, blocks, other))
+                    parts, size = [], 0
+            yield from finished()
+        if parts:
+            done.append(text_ratios(parts, blocks, other))
+        yield from finished()
 
     return run
 

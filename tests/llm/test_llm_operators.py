@@ -464,6 +464,25 @@ def test_toxic_model_has_every_bigram_of_the_smaller_class(spark):
     assert table.where("pair and value <> 0").count() == 10 * 4 + 4
 
 
+def test_several_blocks_of_a_toxic_model_are_one_pass_of_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD_TEXT", 300)
+    marked = [(" ".join(f"w{i * j % 13}" for j in range(1, 9)), i % 3 == 0) for i in range(60)]
+    train = spark.createDataFrame(marked, "text string, toxic boolean")
+    table, other = toxicity.weighed(toxicity.summed(toxicity.counted(train, 3, 2), (0.5, 1.0)).cache())
+    asked = spark.createDataFrame([((k, t),) for k, (t, _) in enumerate(marked + [("", False), ("w1 " * 400, True)])], "row struct<k:int, text:string>").coalesce(1)
+    one, several = toxicity.ToxicModel.of(table, other), toxicity.ToxicModel.of(table, other, 300)
+    assert len(one.blocks) == 1 < 4 < len(several.blocks)
+    for keys in (0, 2):
+        assert np.array_equal(np.sort(np.concatenate([b.value[keys] for b in several.blocks])), one.blocks[0].value[keys])
+    rows = several.ratios(asked)
+    # a Python worker a task, whatever the number of blocks
+    assert rows._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("MapInArrow") == 1
+    ratios = lambda d: [tuple(r) for r in d.select("row.k", "ratio").collect()]
+    assert ratios(rows) == ratios(one.ratios(asked)) and len({x for _, x in ratios(rows)}) > 5
+    block = several.blocks[0]
+    assert [len(arrays) for arrays in toxicity.passing(several.blocks)] == [4] * len(several.blocks) and not hasattr(block, "_value")
+
+
 @pytest.mark.parametrize("sf, least", [("sf0.1", 0.4)])
 def test_toxicity_holds_on_rows_it_never_saw(spark, sf, least):
     """About 5 % of the given labels are noise, so that not all that are labelled toxic can be found."""
