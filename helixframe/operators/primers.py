@@ -39,7 +39,7 @@ def coded(primer: Column) -> Column:
 
 
 def seeded(pairs: DataFrame, distance: int) -> DataFrame:
-    """Each primer (ordinal, primer, code) with its seeds: numbers of which primers that differ in fewer than ``distance`` places share one.
+    """Each primer (ordinal, code, and primer where it has no code) with its seeds: numbers of which primers that differ in fewer than ``distance`` places share one.
 
     Cut into distance + 2 blocks, such primers agree in three whole blocks.
     """
@@ -52,16 +52,24 @@ def seeded(pairs: DataFrame, distance: int) -> DataFrame:
     masks = F.array(*(F.lit(mask(c)) for c in combinations(range(blocks), 3)))
     every = every.withColumn("like", like)
     seeds = F.transform(masks, lambda m, k: F.col("like").bitwiseAND(m) + F.shiftleft(k.cast("long"), 2 * n))
-    return every.select("ordinal", "primer", "code", F.explode(seeds).alias("seed"))
+    # seeds are many, so a primer that has a code goes without its bases
+    return every.select("ordinal", F.when(F.col("code").isNull(), F.col("primer")).alias("primer"), "code", F.explode(seeds).alias("seed"))
+
+
+def decoded(code: Column) -> Column:
+    """A primer's bases from its number."""
+    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), dna.PRIMER_LENGTH, "0"), "0123", dna.BASES)
 
 
 def near(a: DataFrame, b: DataFrame, distance: int) -> DataFrame:
     """(first, second): ordinals of ``a`` and greater ones of ``b`` of which some primers differ in fewer than ``distance`` places."""
     ours = seeded(a, distance)
-    other = seeded(b, distance).select("seed", F.col("ordinal").alias("second"), F.col("primer").alias("other"), F.col("code").alias("other_code"))
+    # a primer has dozens of seeds, which Spark doesn't see in the table's size: never gather them at the driver for a broadcast
+    other = seeded(b, distance).hint("merge").select("seed", F.col("ordinal").alias("second"), F.col("primer").alias("other"), F.col("code").alias("other_code"))
+    whole = lambda bases, code: F.coalesce(F.col(bases), decoded(F.col(code)))
     apart = F.col("code").bitwiseXOR(F.col("other_code"))
     differ = F.bit_count(apart.bitwiseOR(F.shiftright(apart, 1)).bitwiseAND(F.lit(int("01" * dna.PRIMER_LENGTH, 2))))
-    close = F.when(apart.isNotNull(), differ < distance).otherwise(dna.hamming(F.col("primer"), F.col("other")) < distance)
+    close = F.when(apart.isNotNull(), differ < distance).otherwise(dna.hamming(whole("primer", "code"), whole("other", "other_code")) < distance)
     met = ours.join(other, "seed").where(F.col("ordinal") < F.col("second")).where(close)
     return met.select(F.col("ordinal").alias("first"), "second").distinct()
 

@@ -481,3 +481,14 @@ def test_nearest_to_each_is_brute_force_within_little_memory():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 40e6
+
+
+def test_seeds_of_primers_are_never_gathered_for_a_broadcast(spark):
+    drawn = primers.candidates(spark, 300).unionByName(spark.createDataFrame([(300, "N" + "A" * 19, "C" * 20), (301, "NT" + "A" * 18, "G" * 20)], "ordinal long, fwd string, rev string"))
+    found = primers.conflicts(drawn, 8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    rows = [(r["ordinal"], p) for r in drawn.collect() for p in (r["fwd"], r["rev"])]
+    apart = lambda p, q: sum(x != y for x, y in zip(p, q))
+    want = {(i, j) for i, p in rows for j, q in rows if i < j and apart(p, q) < 8}
+    assert {tuple(r) for r in found.collect()} == want and (300, 301) in want and len(want) > 20
