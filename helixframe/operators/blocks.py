@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import with_length
-from . import codecs, pool, reedsolomon
+from ..sources.tables import written
+from . import codecs, pool
 from . import parity as stripes
 
 SIZE = 512
+#: Addresses, at most, that are broadcast.
+FEW = 100_000
 
 
 def to_blocks(files: DataFrame, size: int = SIZE) -> DataFrame:
@@ -44,11 +47,8 @@ def write_once(writes: DataFrame, order: list[str]) -> DataFrame:
 def stored(blocks: DataFrame, parity: int, codec: str = "ternary") -> DataFrame:
     """Blocks (lba, block) as strands with parity: lba, stripe, source_index, is_parity, seq, data_strands (of the stripe), parity."""
     files = blocks.select(F.col("lba").alias("file_id"), F.col("block").alias("payload"))
-    made = pool.strands(files, codec, parity)
-    width = max(1, reedsolomon.BLOCK - parity)
-    n = files.select("file_id", pool.strand_count(F.octet_length("payload").cast("long"), codec).alias("n"))
-    sized = made.join(n, "file_id").withColumn("data_strands", F.least(F.lit(width), F.col("n") - F.col("stripe") * width).cast("int"))
-    return sized.select(F.col("file_id").alias("lba"), "stripe", "source_index", "is_parity", "seq", "data_strands", F.lit(parity).alias("parity"))
+    made = pool.strands(files, codec, parity, sized=True)
+    return made.select(F.col("file_id").alias("lba"), "stripe", "source_index", "is_parity", "seq", "data_strands", F.lit(parity).alias("parity"))
 
 
 def read(strands: DataFrame, asked: DataFrame, capacity: int, parity: int, codec: str = "ternary") -> DataFrame:
@@ -57,11 +57,14 @@ def read(strands: DataFrame, asked: DataFrame, capacity: int, parity: int, codec
     The status is ``ok``, ``out_of_range`` for an address beyond the device,
     ``never_written`` for one that has no strands, or ``uncorrectable``.
     """
-    wanted = asked.select("lba").distinct()
-    held = strands.join(wanted, "lba", "left_semi").withColumnRenamed("lba", "file_id")
+    wanted = written(asked.select("lba").distinct(), "asked")
+    # few addresses pick strands; of many, blocks are opened where strands are, and picked, as they are a fraction of their strands
+    held = strands.join(F.broadcast(wanted), "lba", "left_semi") if wanted.count() <= FEW else strands
+    held = held.withColumnRenamed("lba", "file_id")
     found = codecs.decode(stripes.mend(held, parity), codec).withColumnRenamed("file_id", "lba")
-    written = held.select(F.col("file_id").alias("lba")).distinct().withColumn("_written", F.lit(True))
-    out = wanted.join(written, "lba", "left").join(found, "lba", "left")
+    # a block whose strands are all harmed or parity has a row here and none above
+    known = held.select(F.col("file_id").alias("lba")).distinct().withColumn("_written", F.lit(True))
+    out = wanted.join(known, "lba", "left").join(found, "lba", "left")
     beyond = (F.col("lba") < 0) | (F.col("lba") >= capacity)
     status = F.when(beyond, "out_of_range").when(F.col("_written").isNull(), "never_written").when(F.col("status") == "ok", "ok").otherwise("uncorrectable")
     return out.select("lba", F.when(status == "ok", F.col("payload")).alias("block"), status.alias("status"))

@@ -50,10 +50,17 @@ def nucleotides() -> Column:
     return data + 4 * (width * F.col("parity_strands") - lacking)
 
 
-def strands(files: DataFrame, codec: str = "ternary", parity: int = PARITY) -> DataFrame:
-    """Data and parity strands of ``files`` (file_id, payload): file_id, stripe, source_index, is_parity, seq."""
+def strands(files: DataFrame, codec: str = "ternary", parity: int = PARITY, sized: bool = False) -> DataFrame:
+    """Data and parity strands of ``files`` (file_id, payload): file_id, stripe, source_index, is_parity, seq; if ``sized``, with the data_strands of the stripe."""
     some = files.where(F.octet_length("payload") > 0).select("file_id", "payload")
-    return stripes.encoded(some, codec, parity) if parity else stripes.add_parity(codecs.CODECS[codec].encode(some), parity)
+    if parity:
+        return stripes.encoded(some, codec, parity, sized)
+    if not sized:
+        return stripes.add_parity(codecs.CODECS[codec].encode(some), parity)
+    made = codecs.CODECS[codec].encode(some.withColumn("_all", strand_count(F.octet_length("payload").cast("long"), codec)))
+    at = reedsolomon.stripe(F.col("strand_index"), parity)
+    here = F.least(F.lit(reedsolomon.BLOCK), F.col("_all") - at * reedsolomon.BLOCK).cast("int")
+    return made.select("file_id", at.alias("stripe"), (F.col("strand_index") % reedsolomon.BLOCK).cast("int").alias("source_index"), F.lit(False).alias("is_parity"), "seq", here.alias("data_strands"))
 
 
 def tagged_size(data: Column, parity: Column) -> Column:

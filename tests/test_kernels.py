@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna
-from helixframe.operators import codecs, consensus, constraints, fountain, noise, pool, primers, reedsolomon, search
+from helixframe.operators import blocks, codecs, consensus, constraints, fountain, noise, pool, primers, reedsolomon, search
 from helixframe.operators import parity as stripes
 
 
@@ -492,3 +492,41 @@ def test_seeds_of_primers_are_never_gathered_for_a_broadcast(spark):
     apart = lambda p, q: sum(x != y for x, y in zip(p, q))
     want = {(i, j) for i, p in rows for j, q in rows if i < j and apart(p, q) < 8}
     assert {tuple(r) for r in found.collect()} == want and (300, 301) in want and len(want) > 20
+
+
+@pytest.mark.parametrize("dealt", ["in order", "scattered", "twice"])
+def test_stripes_are_mended_where_their_strands_are(spark, dealt):
+    files = spark.createDataFrame([(i, bytes((i * k + k * k) % 251 for k in range(n))) for i, n in enumerate((5, 60, 700, 13_000, 40_000))], "file_id long, payload binary").coalesce(1)
+    made = pool.strands(files, "ternary", 4, sized=True).withColumn("parity", F.lit(4))
+    # at most four of a stripe, the last stripe whole, and a file whose stripes can't be mended
+    left = made.where("file_id = 4 and stripe = 1 or source_index % 64 <> 1 and not (is_parity and stripe = 0 and file_id = 2) and not (file_id = 1 and source_index > 2)")
+    left = {"in order": left, "scattered": left.repartition(5, "source_index"), "twice": left.unionByName(left)}[dealt]
+    parts = stripes.stripe_parts(left, 4)
+    exchanges = lambda d: d._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert exchanges(parts) == exchanges(left)
+    assert (parts.count() == left.select("file_id", "stripe").distinct().count()) == (dealt == "in order")
+    data, rest = stripes.mended(left, 4)
+    assert exchanges(data) == exchanges(left)
+    want = made.where("not is_parity and file_id not in (1, 2)").join(left, ["file_id", "stripe", "source_index"], "left_anti").select("file_id", "stripe", "source_index", "seq")
+    assert rest.where("file_id not in (1, 2)").select(want.columns).exceptAll(want).count() == 0 and rest.where("file_id not in (1, 2)").count() == want.count() > 5
+    assert rest.where("file_id = 1").count() == 0
+
+
+def test_blocks_are_stored_without_a_shuffle(spark):
+    cut = spark.createDataFrame([(i, bytes([i % 251]) * 512) for i in range(50)], "lba long, block binary")
+    held = blocks.stored(cut, 2)
+    assert "Exchange" not in held._jdf.queryExecution().executedPlan().toString() and "Join" not in held._jdf.queryExecution().executedPlan().toString()
+    assert {r["data_strands"] for r in held.collect()} == {21}
+
+
+def test_two_rule_runs_leave_a_batch_as_two_bits_a_base(spark, monkeypatch):
+    files = spark.createDataFrame([(i, bytes((i * k * k + k) % 251 for k in range(n))) for i, n in enumerate((1, 34, 35, 500, 3000, 9000))], "file_id long, payload binary").coalesce(1)
+    made, seen, plain = codecs.encode(files, "yinyang"), [], codecs.runs_of
+    monkeypatch.setattr(codecs, "runs_of", lambda *a: seen.append(plain(*a)) or seen[-1])
+    codecs.decode(made, "yinyang")
+    size = seen[0].selectExpr("sum(octet_length(chunk))").first()[0]
+    assert size == sum(n + 4 for n in (1, 34, 35, 500, 3000, 9000))
+    # runs of any strands, each from a byte of its own
+    for given in (made, made.repartition(7), made.where("strand_index % 3 <> 2").unionByName(made.where("strand_index % 3 = 2").repartition(3))):
+        back = codecs.decode(given, "yinyang")
+        assert back.where("status = 'ok'").join(files, ["file_id", "payload"]).count() == 6
