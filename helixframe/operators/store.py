@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 from ..functions import bits
 from ..sources.fasta import append_audit
 from ..sources.tables import written
-from . import codecs, pool, reedsolomon
+from . import codecs, pool
 from . import parity as stripes
 
 BUCKETS = 64
+#: Versions, at most, whose names are broadcast, and folders that a task writes without sorting its strands first.
+FEW, FOLDERS = 100_000, 8
 #: An entry of the log: its number, the write it makes count, the request it answers, and for a compaction the folders it replaces.
 ENTRY = "number long, kind string, write string, request string, removed long, dropped array<struct<gen:string,codec:string,bucket:int>>"
-STRANDS = "write string, file_id long, stripe int, source_index int, is_parity boolean, seq string, gen string, codec string, bucket int"
+STRANDS = "write string, file_id long, stripe int, source_index int, is_parity boolean, seq string, data_strands int, parity int, gen string, codec string, bucket int"
 CATALOG = (
     "file_id long, filename string, created_at long, size long, content_hash string, codec string, profile string, redundancy int, data_strands long, parity_strands long, archive_id string, deleted boolean, write string"
 )
@@ -116,10 +118,9 @@ def write(path: str, files: DataFrame, codec: str = "ternary", parity: int = poo
         size = lambda rows: rows.agg(F.sum(pool.nucleotides())).first()[0] or 0
         if size(load(spark, path)) + size(entries) > capacity:
             raise Refused("the pool has no room for these files")
-    made = pool.strands(files.withColumn("file_id", F.col("file_id").cast("long")), codec, parity)
-    made = made.withColumns({"write": F.lit(name), "bucket": bucket(F.col("file_id")), "codec": F.lit(codec)})
-    # few files a folder, and none much larger than the others
-    made.hint("rebalance", "bucket").write.option("compression", "zstd").partitionBy("codec", "bucket").parquet(f"{path}/strands/gen={name}")
+    made = pool.strands(dealt(files.withColumn("file_id", F.col("file_id").cast("long"))), codec, parity, sized=True)
+    made = made.withColumns({"write": F.lit(name), "bucket": bucket(F.col("file_id")), "codec": F.lit(codec), "parity": F.lit(parity)})
+    put(made, f"{path}/strands/gen={name}", "codec", "bucket")
     entries.write.parquet(f"{path}/catalog/write={name}")
     commit(spark, path, "write", name, request, expected)
     if user is not None:
@@ -127,6 +128,25 @@ def write(path: str, files: DataFrame, codec: str = "ternary", parity: int = poo
     return name
 
 
+def dealt(files: DataFrame) -> DataFrame:
+    """``files`` by bucket, so that payloads are shuffled and not their strands, which are many times as large; a bucket is as many tasks as there are to spare."""
+    spark = files.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    part = F.pmod(F.shiftright(F.xxhash64("file_id"), 16), F.lit(max(1, n // BUCKETS)))
+    return files.repartition(n, bucket(F.col("file_id")), part)
+
+
+def put(strands: DataFrame, path: str, *folders: str) -> None:
+    """Writes strands by folder as they come: a file for each folder that a task has strands of, and no sort, which would keep a copy of them all."""
+    conf, name = strands.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, FOLDERS)
+    try:
+        strands.write.option("compression", "zstd").partitionBy(*folders).parquet(path)
+    finally:
+        conf.set(name, before)
+
+
 def delete(spark: SparkSession, path: str, names: DataFrame, at: Column, request: str | None = None, expected: int | None = None, user: Column | None = None) -> str | None:
     """Appends a tombstone for each current file of ``names`` (filename) at the time ``at``; the name of the write, none for a pool that isn't there."""
     if not version(spark, path):
@@ -195,20 +215,21 @@ def read(spark: SparkSession, path: str, requests: DataFrame) -> DataFrame:
     asked = requests.join(newest, "filename", "left").select("filename", F.coalesce("version", "last").alias("version"))
     found = written(asked.join(known, ["filename", "version"], "left"), "found")
     key = F.struct("write", "file_id")
-    width = F.greatest(F.lit(1), F.lit(reedsolomon.BLOCK) - F.col("redundancy"))
-    in_stripe = F.least(width, F.col("data_strands") - F.col("stripe") * width).cast("int")
-    decoded = spark.createDataFrame([], "entry struct<write:string,file_id:long>, payload binary, status string, mended long")
+    decoded = None
     # a handful of codecs, each with the most parity strands that a stripe has
-    for codec, most in found.where("size > 0").groupBy("codec").agg(F.max("redundancy")).collect():
-        mine = found.where((F.col("codec") == codec) & (F.col("size") > 0)).select("write", "file_id", "codec", "redundancy", "data_strands").distinct()
-        # one join, so that strands are shuffled once
-        held = all_strands(spark, path).join(mine.withColumn("bucket", bucket(F.col("file_id"))), ["codec", "bucket", "write", "file_id"])
-        held = held.select(key.alias("file_id"), "stripe", "source_index", "is_parity", "seq", in_stripe.alias("data_strands"), F.col("redundancy").alias("parity"))
-        data, made = stripes.mended(held, most)
+    for codec, most, n in found.where("size > 0").groupBy("codec").agg(F.max("redundancy"), F.count(F.lit(1))).collect():
+        mine = found.where((F.col("codec") == codec) & (F.col("size") > 0)).select("write", "file_id", "codec", bucket(F.col("file_id")).alias("bucket"))
+        # strands aren't shuffled: few versions pick theirs; of many, what their writes hold is opened where it lies, and picked by file, as payloads are a fraction of their strands
+        names = ["codec", "bucket", "write", "file_id"] if n <= FEW else ["codec", "write"]
+        held = all_strands(spark, path).where(F.col("codec") == codec).join(F.broadcast(mine.select(*names).distinct()), names, "left_semi")
+        data, made = stripes.mended(held.select(key.alias("file_id"), "stripe", "source_index", "is_parity", "seq", "data_strands", "parity"), most)
         out = codecs.decode(data if made is None else data.unionByName(made), codec)
         # strands are counted only where some were lost
         out = out.withColumn("mended", F.lit(0).cast("long")) if made is None else out.join(made.groupBy("file_id").agg(F.count(F.lit(1)).alias("mended")), "file_id", "left")
-        decoded = decoded.unionByName(out.withColumnRenamed("file_id", "entry"))
+        out = out.withColumnRenamed("file_id", "entry")
+        decoded = out if decoded is None else decoded.unionByName(out)
+    if decoded is None:
+        decoded = spark.createDataFrame([], "entry struct<write:string,file_id:long>, payload binary, status string, mended long")
     right = bits.content_hash(F.col("payload")) == F.col("content_hash")
     empty = F.col("size") == 0
     state = F.when(F.col("file_id").isNull(), "missing").when(empty, "ok").when(F.col("status").isNull(), "lost").when(F.col("status") != "ok", F.col("status")).when(right, "ok").otherwise("hash")
@@ -248,7 +269,9 @@ def compact(spark: SparkSession, path: str) -> int:
     dropped = [{"gen": r["gen"], "codec": r["codec"], "bucket": r["bucket"]} for r in touched]
     place = F.broadcast(spark.createDataFrame([(d["gen"], d["codec"], d["bucket"]) for d in dropped], "gen string, codec string, bucket int"))
     kept = marked.where("live").join(place, ["gen", "codec", "bucket"], "left_semi").drop("live", "gen")
-    kept.hint("rebalance", "bucket").write.option("compression", "zstd").partitionBy("codec", "bucket").parquet(f"{path}/strands/gen={name}")
+    # whole stripes in order, few files a folder
+    kept = kept.repartition(BUCKETS, "bucket").sortWithinPartitions("codec", "bucket", "write", "file_id", "stripe", "source_index")
+    put(kept, f"{path}/strands/gen={name}", "codec", "bucket")
     commit(spark, path, "compact", name, expected=seen, removed=removed, dropped=dropped)
     for d in dropped:
         fs, at = _place(spark, f"{path}/strands/gen={d['gen']}/codec={d['codec']}/bucket={d['bucket']}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import keys, store
 from ..sources.fasta import read_audit
-from ..sources.tables import document_files, part_files, scratch, table, written
+from ..sources.tables import document_files, forgotten, part_files, scratch, table
 
 
 def _brand_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,13 +50,20 @@ def migrated_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.join(made, "file_id").join(back, "filename").select("filename", "codec", F.col("version").cast("long").alias("version"), "strands", "nucleotides", "sha256")
 
 
-def _harm(spark: SparkSession, path: str, lost: Column) -> None:
-    """Takes the strands for which ``lost`` holds from a pool's folders."""
-    left = spark.read.schema(store.STRANDS).parquet(f"{path}/strands").where(~lost)
-    left.write.option("compression", "zstd").partitionBy("gen", "codec", "bucket").parquet(f"{path}/left")
-    fs, at = store._place(spark, f"{path}/strands")
-    fs.delete(at, True)
-    fs.rename(store._place(spark, f"{path}/left")[1], at)
+def _harm(spark: SparkSession, path: str, lost: Column, rounds: int = 8) -> None:
+    """Takes the strands for which ``lost`` holds from a pool's folders, some folders at a time, so that only these are there twice."""
+    fs, top = store._place(spark, f"{path}/strands/gen=*/codec=*/bucket=*")
+    folders = [f.getPath() for f in fs.globStatus(top)]
+    for k in range(rounds):
+        left = spark.read.schema(store.STRANDS).parquet(f"{path}/strands").where((F.col("bucket") % rounds == k) & ~lost)
+        store.put(left, f"{path}/left-{k}", "gen", "codec", "bucket")
+        for folder in folders:
+            if int(folder.getName().split("=")[1]) % rounds == k:
+                gen, codec = folder.getParent().getParent().getName(), folder.getParent().getName()
+                fs.delete(folder, True)
+                rest = store._place(spark, f"{path}/left-{k}/{gen}/{codec}/{folder.getName()}")[1]
+                if fs.exists(rest):
+                    fs.rename(rest, folder)
 
 
 def pool_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,12 +142,17 @@ def rotated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "pool")
     files = document_files(spark, sf_dir).withColumn("filename", F.concat_ws(" ", "filename", "file_id"))
     keys.add(spark, path, files, "first")
-    store.write(path, keys.sealed(files, keys.opened(spark, path, "first")), "yinyang", 2)
+    boxes = keys.sealed(files, keys.opened(spark, path, "first"))
+    store.write(path, boxes, "yinyang", 2)
+    # the pool has them now
+    forgotten(spark, boxes)
     keys.rotate(spark, path, "first", "second")
     keys.revoke(spark, path, files.where("file_id % 10 = 0"))
-    held = written(store.read(spark, path, store.load(spark, path).select("filename", "version")).select("file_id", "payload"), "held")
-    old = keys.unsealed(held, keys.opened(spark, path, "first")).select("file_id", F.col("payload").isNull().alias("first_secret_refused"))
-    return keys.unsealed(held, keys.opened(spark, path, "second")).join(old, "file_id").select("file_id", F.sha2("payload", 256).alias("sha256"), "first_secret_refused")
+    held = store.read(spark, path, store.load(spark, path).select("filename", "version")).select("file_id", "payload")
+    # payloads meet both keys of their file at once
+    both = held.join(keys.opened(spark, path, "first").withColumnRenamed("key", "old").join(keys.opened(spark, path, "second"), "file_id", "full"), "file_id", "left")
+    refused = F.try_aes_decrypt("payload", "old").isNull()
+    return both.select("file_id", F.sha2(F.try_aes_decrypt("payload", "key"), 256).alias("sha256"), refused.alias("first_secret_refused"))
 
 
 def sealed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

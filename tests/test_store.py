@@ -5,7 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import audit, store
+from helixframe.operators import audit, pool, store
 from helixframe.sources import fasta
 from helixframe.sources.tables import scratch
 
@@ -157,3 +157,18 @@ def test_keys_are_made_in_as_many_tasks_as_there_are_cores(spark, path):
     held = spark.read.parquet(f"{path}/keys")
     assert held.count() == 2000 and len(held.inputFiles()) >= spark.sparkContext.defaultParallelism
     assert keys.opened(spark, path, "s").count() == 2000 and keys.opened(spark, path, "t").count() == 0
+
+
+def test_payloads_are_dealt_out_by_bucket_and_their_strands_are_not(spark, path):
+    files = spark.createDataFrame([(i, f"f{i}", bytearray(b"abc" * (1 + i)), i) for i in range(40)], "file_id long, filename string, payload binary, created_at long")
+    made = pool.strands(store.dealt(files), "ternary", 4, sized=True)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    # the plan's lines go from the result to the input
+    assert plan.count("Exchange") == 1 and plan.index("MapInArrow") < plan.index("Exchange")
+    store.write(path, files)
+    held = store.all_strands(spark, path)
+    # a folder's strands come from one task, each stripe in one piece
+    lying = spark.read.schema(store.STRANDS).parquet(f"{path}/strands").withColumn("file", F.input_file_name())
+    assert lying.groupBy("bucket").agg(F.countDistinct("file").alias("n")).where("n > 1").count() == 0
+    assert held.where("data_strands is null or parity <> 4").count() == 0
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
