@@ -530,3 +530,33 @@ def test_two_rule_runs_leave_a_batch_as_two_bits_a_base(spark, monkeypatch):
     for given in (made, made.repartition(7), made.where("strand_index % 3 <> 2").unionByName(made.where("strand_index % 3 = 2").repartition(3))):
         back = codecs.decode(given, "yinyang")
         assert back.where("status = 'ok'").join(files, ["file_id", "payload"]).count() == 6
+
+
+def test_strands_whose_reads_meet_vote_as_those_that_spark_counts(spark, monkeypatch):
+    rnd, rows = random.Random(5), []
+    for g in range(40):
+        strand = [rnd.choice("ATGC") for _ in range(rnd.choice((30, 90)))]
+        for _ in range(rnd.randint(1, 12)):
+            read = strand.copy()
+            for _ in range(rnd.choice((0, 0, 1, 2, 9))):
+                at = rnd.randrange(len(read) - 1)
+                read[at : at + rnd.choice((0, 1, 1))] = [rnd.choice("ATGC")] * rnd.choice((0, 1, 1))
+            rows.append((g, g % 3 == 0 or None, "".join(read)))
+    reads = spark.createDataFrame(rows + [(99, None, ""), (98, None, None)], "strand long, kind boolean, seq string").repartition(5)
+    told = lambda: sorted((r["strand"], r["kind"] or False, r["seq"], r["coverage"], round(r["avg_confidence"], 9), round(r["min_confidence"], 9), r["contested"]) for r in consensus.by_group(reads.where("kind"), "strand", "kind").collect())
+    here = told()
+    assert len(here) == 14 and sum(r[-1] for r in here) > 3
+    # one shuffle, by strand
+    plan = consensus.met(reads, ["strand"], 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(strand#") == 1 and "seq#" not in plan.split("Exchange hashpartitioning(")[1].split(")")[0]
+    monkeypatch.setattr(consensus, "HOT", 0)
+    monkeypatch.setattr(consensus, "met", lambda reads, keys, rounds: reads.where("length(seq) > 0").selectExpr(*keys, "seq", "0 coverage", "0d avg_confidence", "0d min_confidence", "true contested", "1L times"))
+    assert told() == here
+
+
+def test_reads_of_a_hot_strand_do_not_meet(spark):
+    one = "ATGCATGGCA" * 3
+    reads = spark.range(2 * consensus.HOT + 10).selectExpr("1L strand", f"if(id % 3 = 0, '{one}', concat('{one}', if(id % 2 = 0, 'A', 'C'))) seq").unionByName(spark.createDataFrame([(0, one), (2, one)], "strand long, seq string"))
+    rows = consensus.met(reads, ["strand"], 3).groupBy("strand").agg(F.count("times").alias("n"), F.sum("times").alias("reads")).collect()
+    assert {r["strand"]: (r["n"] > 0, r["reads"]) for r in rows} == {0: (False, None), 1: (True, 2 * consensus.HOT + 10), 2: (False, None)}
+    assert {r["strand"]: r["coverage"] for r in consensus.by_group(reads, "strand").collect()} == {0: 1, 1: 2 * consensus.HOT + 10, 2: 1}
