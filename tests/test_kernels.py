@@ -560,3 +560,11 @@ def test_reads_of_a_hot_strand_do_not_meet(spark):
     rows = consensus.met(reads, ["strand"], 3).groupBy("strand").agg(F.count("times").alias("n"), F.sum("times").alias("reads")).collect()
     assert {r["strand"]: (r["n"] > 0, r["reads"]) for r in rows} == {0: (False, None), 1: (True, 2 * consensus.HOT + 10), 2: (False, None)}
     assert {r["strand"]: r["coverage"] for r in consensus.by_group(reads, "strand").collect()} == {0: 1, 1: 2 * consensus.HOT + 10, 2: 1}
+
+
+def test_screened_droplets_are_told_without_a_broadcast(spark):
+    from helixframe.plans import registry
+
+    told = registry.QUERIES["fountain_screened"](spark, "/root/testdata/sf0.001")
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
